@@ -14,7 +14,7 @@ from scoreloom.plans.adapters import (
 from scoreloom.plans.registry import query, steps
 
 
-def _scores_sql(source: str, by: str = "", y: str = "y", p: str = "p"):
+def scores_sql(source: str, by: str = "", y: str = "y", p: str = "p"):
     """Per-class scores, written from the rows and not from cells."""
     lead = f"{by}, " if by else ""
     match = " AND ".join(f"t.{k} = q.{k}" for k in by.split(", ")) + " AND " if by else ""
@@ -74,12 +74,12 @@ def _(spark, sf_dir):
     return metrics.matrix_rows(_cells(spark, sf_dir), 4)
 
 
-@query("metrics_summary", steps(BULK_SQL, _scores_sql("bulk"), f"SELECT {_SUMMARY} FROM class_scores"))
+@query("metrics_summary", steps(BULK_SQL, scores_sql("bulk"), f"SELECT {_SUMMARY} FROM class_scores"))
 def _(spark, sf_dir):
     return metrics.metrics_summary(_cells(spark, sf_dir))
 
 
-@query("classification_report", steps(BULK_SQL, _scores_sql("bulk"), """
+@query("classification_report", steps(BULK_SQL, scores_sql("bulk"), """
   SELECT 0 AS line_order, label::VARCHAR AS line, round(precision, 6) AS precision,
     round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM class_scores
   UNION ALL SELECT 1, 'accuracy', NULL, NULL, round(sum(hits)::DOUBLE / sum(support), 6), sum(support)::BIGINT
@@ -112,7 +112,7 @@ _JUDGED = ("judged", f"""
   SELECT s.strategy_order, s.strategy, s.description, b.grade,
     CASE WHEN list_contains(s.zeros, b.grade) THEN 0 ELSE 1 END AS y, {BINARY_SQL} AS p
   FROM bulk b, (VALUES {_STRATEGY_ROWS}) s(strategy_order, strategy, description, zeros)""")
-_STRATEGY_SCORES = _scores_sql("judged", "strategy_order, strategy")
+_STRATEGY_SCORES = scores_sql("judged", "strategy_order, strategy")
 
 
 def _grade_cells(spark, sf_dir):
@@ -162,7 +162,7 @@ _GUESSES = ("guesses", """
   UNION ALL SELECT 'majority', y, (SELECT y FROM bulk GROUP BY y ORDER BY count(*) DESC, y LIMIT 1) FROM bulk""")
 
 
-@query("baseline_untrained", steps(BULK_SQL, _GUESSES, _scores_sql("guesses", "baseline"), f"""
+@query("baseline_untrained", steps(BULK_SQL, _GUESSES, scores_sql("guesses", "baseline"), f"""
   SELECT baseline, {_SUMMARY}, 0.25::DOUBLE AS random_guess FROM class_scores GROUP BY ALL"""))
 def _(spark, sf_dir):
     cells = model.baseline_predictions(bulk(spark, sf_dir), 4)
@@ -214,7 +214,7 @@ def _(spark, sf_dir):
     return class_weights(bulk(spark, sf_dir), "y")
 
 
-_CANDIDATES = (LOGITS_SQL, EPOCH_ROWS_SQL, _scores_sql("epoch_rows", "run, epoch"), ("candidates", f"""
+_CANDIDATES = (LOGITS_SQL, EPOCH_ROWS_SQL, scores_sql("epoch_rows", "run, epoch"), ("candidates", f"""
   SELECT * FROM (SELECT run, epoch, avg({_NLL}) AS eval_loss FROM epoch_rows GROUP BY ALL)
   JOIN (SELECT run, epoch, sum(f1 * support) / sum(support) AS f1_weighted FROM class_scores GROUP BY ALL)
   USING (run, epoch)"""))

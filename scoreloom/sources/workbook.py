@@ -18,12 +18,16 @@ from scoreloom.schema import SOURCE_HEADERS
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+# Characters XML cannot hold are written as _xHHHH_ in workbooks.
+_ESCAPED = re.compile(r"_x([0-9A-Fa-f]{4})_")
+_UNWRITABLE = re.compile("[\x00-\x08\x0b-\x1f\ud800-\udfff\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
 # Rows handed to Spark at a time.
 CHUNK = 2_000
 
 
 def _text_of(node) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
+    text = "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
+    return _ESCAPED.sub(lambda m: chr(int(m.group(1), 16)), text)
 
 
 def _shared_strings(book: zipfile.ZipFile) -> list[str]:
@@ -128,8 +132,8 @@ def workbook_bytes(rows: list[list], header: list[str]) -> bytes:
             return "<c/>"
         if isinstance(v, (int, float)):
             return f"<c><v>{v}</v></c>"
-        safe = (str(v).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-                .replace("\r", "&#13;"))
+        safe = _UNWRITABLE.sub(lambda m: f"_x{ord(m.group()):04X}_", str(v))
+        safe = safe.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
         return f'<c t="inlineStr"><is><t xml:space="preserve">{safe}</t></is></c>'
 
     lines = "".join("<row>" + "".join(cell(v) for v in r) + "</row>" for r in [header, *rows])

@@ -12,10 +12,12 @@ def draw(*parts: Column, word: int = 0) -> Column:
 
     ``word`` picks one of the four independent 32-bit words of the digest.
     md5 is used because other SQL engines can repeat it; the draw does not
-    depend on partitioning, task retries or the Spark version.
+    depend on partitioning, task retries or the Spark version. It is never
+    NULL, which spares joins and filters on it a second evaluation.
     """
     digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(digest, 1 + 8 * word, 8), 16, 10).cast("bigint")
+    number = F.conv(F.substring(digest, 1 + 8 * word, 8), 16, 10).cast("bigint")
+    return F.coalesce(number, F.lit(0).cast("bigint"))
 
 
 def uniform(*parts: Column, word: int = 0) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scoreloom.functions.bins import Bins, LENGTH_BINS, RATIO_BINS
 from scoreloom.functions.fdist import f_tail_column
+from scoreloom.functions.stats import pearson
 from scoreloom.operators.quantiles import exact_quantiles
 from scoreloom.schema import GRADE, REFERENCE, STUDENT
 from scoreloom.session import settle
@@ -104,9 +105,9 @@ def length_correlation(df: DataFrame, label: str = "y", predicted: str = "p") ->
     y, p = F.col(label).cast("double"), F.col(predicted).cast("double")
     length = F.col("answer_length").cast("double")
     return df.agg(
-        F.corr(length, y).alias("corr_length_grade"),
-        F.corr(F.col("length_ratio"), y).alias("corr_ratio_grade"),
-        F.corr(length, p).alias("corr_length_predicted"))
+        pearson(length, y).alias("corr_length_grade"),
+        pearson(F.col("length_ratio"), y).alias("corr_ratio_grade"),
+        pearson(length, p).alias("corr_length_predicted"))
 
 
 def anova(df: DataFrame, by: str = GRADE, value: str = "answer_length",

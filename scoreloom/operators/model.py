@@ -20,25 +20,25 @@ HASH_FEATURES = 1 << 14
 
 
 def pair_features(df: DataFrame, student: str = STUDENT, reference: str = REFERENCE) -> DataFrame:
-    """Token lists, share of reference words found in the answer, and lengths. Narrow."""
-    words = df.withColumns({
-        "student_tokens": tokens(F.lower(student)), "reference_tokens": tokens(F.lower(reference))})
-    wanted = F.array_distinct("reference_tokens")
-    found = F.array_intersect("student_tokens", "reference_tokens")
+    """Marked tokens of both texts, share of reference words answered, lengths. Narrow."""
+    words = df.withColumns({"_s": tokens(F.lower(student)), "_r": tokens(F.lower(reference))})
+    found, wanted = F.size(F.array_intersect("_s", "_r")), F.size(F.array_distinct("_r"))
+    marked = F.concat(F.transform("_s", lambda t: F.concat(F.lit("s "), t)),
+                      F.transform("_r", lambda t: F.concat(F.lit("r "), t)))
     return words.withColumns({
-        "overlap": F.coalesce(F.try_divide(F.size(found).cast("double"), F.size(wanted).cast("double")),
-                              F.lit(0.0)),
-        "log_student": F.log1p(F.length(student)), "log_reference": F.log1p(F.length(reference))})
+        "pair_tokens": marked,
+        "overlap": F.coalesce(F.try_divide(found.cast("double"), wanted.cast("double")), F.lit(0.0)),
+        "log_student": F.log1p(F.length(student)), "log_reference": F.log1p(F.length(reference)),
+    }).drop("_s", "_r")
 
 
 def _feature_stages(size: int):
-    stages = []
-    for side in ("student", "reference"):
-        stages += [HashingTF(inputCol=f"{side}_tokens", outputCol=f"{side}_tf", numFeatures=size),
-                   IDF(inputCol=f"{side}_tf", outputCol=f"{side}_tfidf")]
-    return stages + [VectorAssembler(
-        inputCols=["student_tfidf", "reference_tfidf", "overlap", "log_student", "log_reference"],
-        outputCol="features")]
+    """The tokens carry their side, so one hashed space and one IDF pass serve both texts."""
+    return [
+        HashingTF(inputCol="pair_tokens", outputCol="pair_tf", numFeatures=size),
+        IDF(inputCol="pair_tf", outputCol="pair_tfidf"),
+        VectorAssembler(inputCols=["pair_tfidf", "overlap", "log_student", "log_reference"],
+                        outputCol="features")]
 
 
 def _classifier(label: str, reg: float, max_iter: int, weight: str | None) -> LogisticRegression:

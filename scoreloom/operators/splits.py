@@ -1,17 +1,18 @@
 """Exact stratified splitting.
 
 Rows are ordered inside each stratum by a seeded hash, and the split points are
-ranks in that order. The ranks are found without sorting a stratum:
+ranks in that order. The ranks are found without sorting a large stratum:
 
-1. count rows per (stratum, top 12 bits of the hash), at most 4096 counts per
-   stratum, and find the bucket that holds each split point;
-2. if those buckets are still large, count them again by the next 12 bits;
-3. rank only the rows of the remaining buckets, which yields one threshold
+1. count the rows of each stratum and work out the rank of each split point;
+2. while the region around a split point is large, count its rows by the next
+   12 bits of the hash (at most 4096 counts per region) and keep only the
+   bucket that holds the split point;
+3. rank the rows of the remaining small regions, which yields one threshold
    (hash, id) per stratum and split point;
 4. label every row by comparing it with the thresholds of its stratum, a
    narrow step.
 
-Passes 1-3 read only the id and the stratum. A stratum holding a third of the
+Steps 1-3 read only the id and the stratum. A stratum holding a third of the
 table costs the same as any other, as its rows never meet in one task.
 """
 
@@ -26,16 +27,18 @@ from scoreloom.session import settle
 
 SEED = 42
 LEVEL_BITS = 12
-# Buckets up to this size are ranked directly.
-RANK_ROWS = 1_000_000
+LEVELS = 2
+# Regions up to this size are ranked directly.
+RANK_ROWS = 100_000
 
 
-def share_sizes(counts: DataFrame, stratum: str, train: float) -> DataFrame:
-    """Rows of each stratum that go to the first part of a two-way split.
+def _take_share(counts: DataFrame, stratum: str, share: float) -> DataFrame:
+    """Add ``size``: the part of each stratum's ``n`` rows that goes to one side.
 
-    The first part has floor(train * rows) rows in total. Each stratum gets
-    the whole part of its proportional share; the rows left over go to the
-    strata with the largest remainders (the first stratum on ties).
+    That side has floor(share * rows) rows in total. Each stratum gives the
+    whole part of its proportional share; the rows left over come from the
+    strata with the largest remainders (the first stratum on ties). The
+    windows see one row per stratum.
     """
     every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     by_remainder = W.orderBy(F.desc("_remainder"), F.asc(stratum))
@@ -46,14 +49,16 @@ def share_sizes(counts: DataFrame, stratum: str, train: float) -> DataFrame:
 
     return (counts
             .withColumn("_all", F.sum("n").over(every))
-            .withColumn("_target", F.floor(F.lit(train) * F.col("_all") + F.lit(1e-9)))
+            .withColumn("_target", F.floor(F.lit(share) * F.col("_all") + F.lit(1e-9)))
             .withColumn("_product", times("n", "_target"))
-            .withColumn("_whole", F.expr("_product div _all"))
+            .withColumn("_whole", F.coalesce(F.try_divide(
+                F.col("_product") - F.expr("_product % nullif(_all, 0)"), F.col("_all")).cast("bigint"),
+                F.lit(0)))
             .withColumn("_remainder", F.col("_product") - times("_whole", "_all"))
             .withColumn("_left", F.col("_target") - F.sum("_whole").over(every))
             .withColumn("size", F.col("_whole") + F.when(
                 F.row_number().over(by_remainder) <= F.col("_left"), 1).otherwise(0))
-            .select(stratum, "n", F.col("size").cast("bigint").alias("size")))
+            .drop("_all", "_target", "_product", "_whole", "_remainder", "_left"))
 
 
 def nested_sizes(counts: DataFrame, stratum: str, keep: Sequence[float]) -> DataFrame:
@@ -62,55 +67,49 @@ def nested_sizes(counts: DataFrame, stratum: str, keep: Sequence[float]) -> Data
     ``keep[i]`` is the share kept by part i of what parts 0..i-1 left over, so
     (0.7, 0.5) is a 70/15/15 split made in two steps.
     """
-    rest = counts.select(stratum, F.col("n").cast("bigint").alias("n"))
-    sized = rest.select(stratum, F.col("n").alias("_total"), "n",
-                        F.lit(0).cast("bigint").alias("_used"),
-                        F.array().cast("array<bigint>").alias("cuts"))
+    sized = counts.select(
+        stratum, F.col("n").cast("bigint").alias("n"), F.col("n").cast("bigint").alias("_total"),
+        F.array().cast("array<bigint>").alias("cuts"))
     for share in keep:
-        step = share_sizes(sized.select(stratum, "n"), stratum, share).select(stratum, "size")
-        sized = (sized.join(step, stratum)
-                 .withColumn("_used", F.col("_used") + F.col("size"))
-                 .withColumn("cuts", F.concat("cuts", F.array("_used")))
-                 .withColumn("n", F.col("_total") - F.col("_used")).drop("size"))
+        rest = _take_share(sized, stratum, share).withColumn("n", F.col("n") - F.col("size"))
+        sized = rest.withColumn("cuts", F.array_append("cuts", F.col("_total") - F.col("n"))).drop("size")
     return sized.select(stratum, F.col("_total").alias("n"), "cuts")
 
 
-def _bucket(level: int) -> Column:
-    return F.shiftright("_h", 32 - LEVEL_BITS * (level + 1)).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
+def _prefix(level: int) -> Column:
+    """The leading hash bits that name a region of the given level."""
+    return F.shiftright("_h", 32 - LEVEL_BITS * level)
 
 
-def _locate(histogram: DataFrame, stratum: str) -> DataFrame:
-    """Bucket that holds the wanted rank, and the rank inside that bucket."""
-    upto = W.partitionBy(stratum, "cut").orderBy("bucket").rowsBetween(
+def _narrow(keyed: DataFrame, regions: DataFrame, stratum: str, level: int) -> DataFrame:
+    """Replace every region by its bucket that holds the wanted rank."""
+    places = F.broadcast(regions.select(stratum, "bucket").distinct())
+    histogram = (keyed.withColumn("bucket", _prefix(level)).join(places, [stratum, "bucket"])
+                 .groupBy(stratum, "bucket", _prefix(level + 1).alias("child"))
+                 .agg(F.count("*").alias("n")))
+    upto = W.partitionBy(stratum, "cut").orderBy("child").rowsBetween(
         W.unboundedPreceding, W.currentRow)
-    return (histogram.withColumn("_upto", F.sum("n").over(upto))
+    return (histogram.join(regions.drop("n"), [stratum, "bucket"])
+            .withColumn("_upto", F.sum("n").over(upto))
             .where((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("n")))
-            .withColumn("rank", F.col("rank") - F.col("_upto") + F.col("n"))
-            .drop("_upto"))
+            .select(stratum, "cut", (F.col("rank") - F.col("_upto") + F.col("n")).alias("rank"),
+                    "n", F.col("child").alias("bucket")))
 
 
-def split_thresholds(df: DataFrame, stratum: str, keep: Sequence[float],
-                     row_id: str, seed: int = SEED) -> DataFrame:
+def split_thresholds(df: DataFrame, stratum: str, keep: Sequence[float], row_id: str,
+                     seed: int = SEED, rank_rows: int = RANK_ROWS) -> DataFrame:
     """(stratum, marks): per split point the (hash, id) of the last row before it."""
+    sizes = nested_sizes(df.groupBy(stratum).agg(F.count("*").alias("n")), stratum, keep)
+    regions = settle(sizes.select(stratum, "n", F.posexplode("cuts").alias("cut", "rank"))
+                     .where(F.col("rank") > 0).withColumn("bucket", F.lit(0).cast("bigint")))
     keyed = df.select(F.col(stratum), F.col(row_id).alias("_id"),
                       draw(F.col(row_id), F.lit(seed)).alias("_h"))
-    histogram = keyed.groupBy(stratum, _bucket(0).alias("bucket")).agg(F.count("*").alias("n"))
-    histogram = settle(histogram, max_rows=1 << (LEVEL_BITS + 4))
-    sizes = nested_sizes(histogram.groupBy(stratum).agg(F.sum("n").alias("n")), stratum, keep)
-    ranks = settle(sizes.select(stratum, F.posexplode("cuts").alias("cut", "rank"))
-                   .where(F.col("rank") > 0))
-    found = settle(_locate(histogram.join(ranks, stratum), stratum)
-                   .select(stratum, "cut", "rank", F.col("bucket").alias("b0"), "n"))
-
-    inside = keyed.join(found.drop("n"), stratum).where(_bucket(0) == F.col("b0"))
-    if found.where(F.col("n") > RANK_ROWS).limit(1).count():
-        finer = (inside.groupBy(stratum, "cut", "rank", "b0", _bucket(1).alias("bucket"))
-                 .agg(F.count("*").alias("n")))
-        narrowed = settle(_locate(finer, stratum)
-                          .select(stratum, "cut", "rank", "b0", F.col("bucket").alias("b1")))
-        inside = keyed.join(narrowed, stratum).where(
-            (_bucket(0) == F.col("b0")) & (_bucket(1) == F.col("b1")))
+    level = 0
+    while level < LEVELS and regions.where(F.col("n") > rank_rows).take(1):
+        regions = settle(_narrow(keyed, regions, stratum, level))
+        level += 1
     order = W.partitionBy(stratum, "cut").orderBy("_h", "_id")
+    inside = keyed.withColumn("bucket", _prefix(level)).join(regions.drop("n"), [stratum, "bucket"])
     marks = (inside.withColumn("_rn", F.row_number().over(order))
              .where(F.col("_rn") == F.col("rank"))
              .groupBy(stratum)
@@ -119,7 +118,8 @@ def split_thresholds(df: DataFrame, stratum: str, keep: Sequence[float],
 
 
 def stratified_split(df: DataFrame, stratum: str, keep: Sequence[float],
-                     names: Sequence[str], row_id: str = "row_id", seed: int = SEED) -> DataFrame:
+                     names: Sequence[str], row_id: str = "row_id", seed: int = SEED,
+                     rank_rows: int = RANK_ROWS) -> DataFrame:
     """Add a ``split`` column naming the part of every row.
 
     Every row with a stratum lands in exactly one part; a row without one keeps
@@ -127,7 +127,7 @@ def stratified_split(df: DataFrame, stratum: str, keep: Sequence[float],
     """
     if len(names) != len(keep) + 1:
         raise ValueError("one more name than split points is needed")
-    marks = split_thresholds(df.where(F.col(stratum).isNotNull()), stratum, keep, row_id, seed)
+    marks = split_thresholds(df.where(F.col(stratum).isNotNull()), stratum, keep, row_id, seed, rank_rows)
     place = F.struct(draw(F.col(row_id), F.lit(seed)).alias("_h"), F.col(row_id).alias("_id"))
     part = F.lit(names[-1])
     for cut in reversed(range(len(keep))):

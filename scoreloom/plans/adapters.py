@@ -13,8 +13,19 @@ from scoreloom.operators.labels import FOUR_GRADE_INDEX
 from scoreloom.operators.lengths import length_columns, length_ratios
 
 
+# Columns the suite reads; given to the scans so that no file is opened to plan a query.
+SCHEMAS = {
+    "documents": "doc_id long, text string, source string",
+    "labels": "doc_id long, quality int, toxic int",
+    "benchmark": "item_id long, text string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "lineitem": "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _grade() -> Column:
@@ -30,7 +41,7 @@ def _with_reference(spark: SparkSession, sf_dir: str, df: DataFrame, key: Column
                     **columns: Column) -> DataFrame:
     """Join a reference text to every row; no hint, its table may grow."""
     items = table(spark, sf_dir, "benchmark")
-    count = items.count()
+    count = items.agg(F.count("*")).scalar()
     slim = items.select("item_id", *[c.alias(n) for n, c in columns.items()])
     return df.withColumn("_item", key % count).join(slim, F.col("_item") == F.col("item_id")).drop(
         "_item", "item_id")

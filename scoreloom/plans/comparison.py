@@ -10,9 +10,9 @@ from scoreloom.plans.evaluation import scores_sql
 from scoreloom.plans.registry import query, steps
 
 _BY = "run_order, run"
-_RUN_SCORES = (*RUNS, scores_sql("run_rows", _BY), ("run_scores", f"""
+RUN_SCORES = (*RUNS, scores_sql("run_rows", _BY), ("run_scores", f"""
   SELECT {_BY}, sum(hits)::DOUBLE / sum(support) AS accuracy, avg(f1) AS f1_macro FROM class_scores GROUP BY ALL"""))
-_RUN_PROGRESS = (*_RUN_SCORES, ("run_progress", """
+_RUN_PROGRESS = (*RUN_SCORES, ("run_progress", """
   SELECT run_order, run, 100 * accuracy AS accuracy_pct, 100 * f1_macro AS f1_macro_pct,
     100 * (accuracy - lag(accuracy) OVER w) AS accuracy_change, 100 * (f1_macro - lag(f1_macro) OVER w) AS f1_macro_change,
     lag(run) OVER w || '→' || run AS transition FROM run_scores WINDOW w AS (ORDER BY run_order)"""))
@@ -27,7 +27,7 @@ def _(spark, sf_dir):
     return runs(spark, sf_dir)
 
 
-@query("run_metrics", steps(*_RUN_SCORES, """
+@query("run_metrics", steps(*RUN_SCORES, """
   SELECT run_order, run, round(accuracy, 6) AS accuracy, round(f1_macro, 6) AS f1_macro FROM run_scores"""))
 def _(spark, sf_dir):
     return progress.run_metrics(runs(spark, sf_dir))
@@ -92,7 +92,7 @@ def _(spark, sf_dir):
     return progress.total_progress(long, "pct", ("metric",))
 
 
-@query("improvement_over_baseline", steps(*_RUN_SCORES, """
+@query("improvement_over_baseline", steps(*RUN_SCORES, """
   SELECT s.run_order, s.run, round(s.accuracy, 6) AS accuracy, round(s.f1_macro, 6) AS f1_macro,
     round(b.accuracy, 6) AS baseline_accuracy, round(b.f1_macro, 6) AS baseline_f1_macro,
     round(s.accuracy - b.accuracy, 6) AS improvement_accuracy, round(s.f1_macro - b.f1_macro, 6) AS improvement_f1_macro

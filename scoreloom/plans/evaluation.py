@@ -108,11 +108,11 @@ def _(spark, sf_dir):
 
 _STRATEGY_ROWS = ", ".join(
     f"({i}, '{m.name}', '{m.description}', {list(m.zero_grades)})" for i, m in enumerate(REMAPPINGS))
-_JUDGED = ("judged", f"""
+JUDGED = ("judged", f"""
   SELECT s.strategy_order, s.strategy, s.description, b.grade,
     CASE WHEN list_contains(s.zeros, b.grade) THEN 0 ELSE 1 END AS y, {BINARY_SQL} AS p
   FROM bulk b, (VALUES {_STRATEGY_ROWS}) s(strategy_order, strategy, description, zeros)""")
-_STRATEGY_SCORES = scores_sql("judged", "strategy_order, strategy")
+STRATEGY_SCORES = scores_sql("judged", "strategy_order, strategy")
 
 
 def _grade_cells(spark, sf_dir):
@@ -127,7 +127,7 @@ def _(spark, sf_dir):
     return remap(graded_lengths(spark, sf_dir).select("row_id", "grade"))
 
 
-@query("strategy_metrics", steps(BULK_SQL, _JUDGED, _STRATEGY_SCORES, f"""
+@query("strategy_metrics", steps(BULK_SQL, JUDGED, STRATEGY_SCORES, f"""
   SELECT * FROM (SELECT strategy_order, strategy, {_SUMMARY} FROM class_scores GROUP BY ALL)
   JOIN (SELECT strategy_order, strategy, description,
     """ + ", ".join(f"count(*) FILTER (y = {i} AND p = {j}) AS n_{i}{j}" for i in (0, 1) for j in (0, 1)) + """,
@@ -138,7 +138,7 @@ def _(spark, sf_dir):
     return strategies.strategy_metrics(_grade_cells(spark, sf_dir))
 
 
-@query("grade_breakdown", steps(BULK_SQL, _JUDGED, """
+@query("grade_breakdown", steps(BULK_SQL, JUDGED, """
   SELECT strategy_order, strategy, grade, count(*) AS n, count(*) FILTER (p = 0) AS pred_as_0,
     count(*) FILTER (p = 1) AS pred_as_1, round(avg((y = p)::INT), 6) AS accuracy,
     round(100.0 * count(*) FILTER (p = 0) / count(*), 6)::DOUBLE AS pct_as_0,
@@ -148,7 +148,7 @@ def _(spark, sf_dir):
     return strategies.grade_breakdown(_grade_cells(spark, sf_dir))
 
 
-@query("best_strategy", steps(BULK_SQL, _JUDGED, """
+@query("best_strategy", steps(BULK_SQL, JUDGED, """
   SELECT strategy, round(accuracy, 6) AS accuracy,
     CASE WHEN accuracy > 0.7 THEN 'good' WHEN accuracy > 0.5 THEN 'medium' ELSE 'low' END AS verdict
   FROM (SELECT strategy_order, strategy, avg((y = p)::INT) AS accuracy FROM judged GROUP BY ALL)

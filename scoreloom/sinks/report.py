@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scoreloom.functions.bins import Bins, LENGTH_BINS, RATIO_BINS
 from scoreloom.functions.fdist import f_tail_column
+from scoreloom.functions.stats import pearson
 from scoreloom.operators import metrics, progress, strategies
 from scoreloom.operators.labels import ClassIndex, REMAPPINGS
 from scoreloom.schema import GRADE
@@ -121,9 +122,9 @@ def length_profile(df: DataFrame, grade: str = GRADE, length_bins: Bins = LENGTH
         F.avg("len").alias("mean"), F.stddev_samp("len").alias("std"),
         F.var_samp("len").alias("variance"), F.min("len").alias("min"), F.max("len").alias("max"),
         F.percentile("len", [0.25, 0.5, 0.75]).alias("quartiles"),
-        F.corr(F.col("len").cast("double"), F.col("yd")).alias("corr_length"),
-        F.corr("length_ratio", "yd").alias("corr_ratio"),
-        F.corr(F.col("len").cast("double"), F.col("pd")).alias("corr_predicted"))
+        pearson(F.col("len").cast("double"), F.col("yd")).alias("corr_length"),
+        pearson(F.col("length_ratio"), F.col("yd")).alias("corr_ratio"),
+        pearson(F.col("len").cast("double"), F.col("pd")).alias("corr_predicted"))
 
 
 def length_report(df: DataFrame, grades: Sequence[str], tag: Column | None = None,

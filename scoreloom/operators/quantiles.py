@@ -28,7 +28,8 @@ def _brackets(df: DataFrame, by: str, value: str, probs: Sequence[float],
     high = F.percentile_approx(value, [min(1.0, q + slack) for q in probs], accuracy)
     stats = df.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("_min"),
                                F.max(value).alias("_max"), low.alias("_low"), high.alias("_high"))
-    few = F.col("n") <= small
+    # Beyond ``accuracy`` rows one rank is less than the slack; below, no bracket is needed.
+    few = F.col("n") <= max(small, accuracy)
     bracket = F.array(*[
         F.struct(F.lit(i).alias("q"),
                  ((F.col("n") - 1) * F.lit(float(q))).alias("spot"),

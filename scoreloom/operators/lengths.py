@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scoreloom.functions.bins import Bins, LENGTH_BINS, RATIO_BINS
 from scoreloom.functions.fdist import f_tail_column
@@ -157,30 +157,17 @@ def grade_length_stats(df: DataFrame, by: str = GRADE, decimals: int = 1) -> Dat
         F.count("*").alias("n"))
 
 
-def quartiles(df: DataFrame, by: str, value: str,
-              probs: Sequence[float] = QUARTILES) -> DataFrame:
-    """(by, quantiles) exactly; whole numbers use the built-in aggregate.
-
-    Whole-number lengths have few distinct values, so ``percentile`` combines
-    well on the map side. Fractional values go through the bracketed method.
-    """
-    if isinstance(df.schema[value].dataType, (T.IntegerType, T.LongType, T.ShortType)):
-        return df.where(F.col(by).isNotNull()).groupBy(by).agg(
-            F.percentile(value, [float(q) for q in probs]).alias("quantiles"))
-    return exact_quantiles(df, by, value, probs)
-
-
 def describe(df: DataFrame, by: str = GRADE, value: str = "answer_length") -> DataFrame:
     """count, mean, std, min, quartiles and max per group."""
-    named = {f"q{i + 1}": i for i in range(3)}
-    basics = [F.count(value).alias("n"), F.avg(value).alias("mean"),
-              F.stddev_samp(value).alias("std"), F.min(value).cast("double").alias("min"),
-              F.max(value).cast("double").alias("max")]
-    if isinstance(df.schema[value].dataType, (T.IntegerType, T.LongType, T.ShortType)):
-        stats = df.groupBy(by).agg(*basics, F.percentile(value, list(QUARTILES)).alias("quantiles"))
-    else:
-        stats = df.groupBy(by).agg(*basics).join(exact_quantiles(df, by, value, QUARTILES), by)
-    return stats.withColumns({k: F.col("quantiles")[i] for k, i in named.items()}).drop("quantiles")
+    basics = df.groupBy(by).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+        F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"))
+    quartiles = exact_quantiles(df, by, value, QUARTILES).select(by, *_named_quartiles())
+    return basics.join(quartiles, by, "left")
+
+
+def _named_quartiles() -> list[Column]:
+    return [F.col("quantiles")[i].alias(f"q{i + 1}") for i in range(3)]
 
 
 def boxplot(df: DataFrame, value: str, by: str = GRADE, reach: float = 1.5) -> DataFrame:
@@ -190,8 +177,7 @@ def boxplot(df: DataFrame, value: str, by: str = GRADE, reach: float = 1.5) -> D
     second pass carries the quartiles to the rows; they are one short row per
     group and the join is left to Spark when there are many groups.
     """
-    boxes = settle(quartiles(df, by, value).select(by, *[
-        F.col("quantiles")[i].alias(f"q{i + 1}") for i in range(3)]))
+    boxes = settle(exact_quantiles(df, by, value, QUARTILES).select(by, *_named_quartiles()))
     margin = F.lit(reach) * (F.col("q3") - F.col("q1"))
     v = F.col(value).cast("double")
     inside = (v >= F.col("q1") - margin) & (v <= F.col("q3") + margin)
@@ -203,11 +189,11 @@ def boxplot(df: DataFrame, value: str, by: str = GRADE, reach: float = 1.5) -> D
 
 
 def quartile_edges(df: DataFrame, value: str) -> tuple[float, ...]:
-    """Edges of four bands at the quartiles of a whole-number column, open at both ends."""
-    found = df.agg(F.percentile(value, list(QUARTILES)).alias("q")).first()["q"]
-    if found is None or len(set(found)) < 3:
+    """Edges of four bands at the quartiles of a column, open at both ends."""
+    found = exact_quantiles(df.select(F.lit(0).alias("all"), value), "all", value, QUARTILES).first()
+    if found is None or len(set(found["quantiles"])) < 3:
         raise ValueError("the quartiles coincide; give the band edges instead")
-    return (-math.inf, *found, math.inf)
+    return (-math.inf, *found["quantiles"], math.inf)
 
 
 def length_density(df: DataFrame, width: int, by: Sequence[str] = (GRADE, "predicted_grade"),

@@ -1,67 +1,49 @@
-"""Exact interpolated quantiles per group, for any number of distinct values.
-
-The built-in ``percentile`` keeps every distinct value of a group in one task,
-which is fine for whole-number lengths and not for ratios. Here
-``percentile_approx`` first brackets every quantile; its rank error is
-guaranteed, so the exact order statistics lie inside the bracket. A second
-pass counts the rows below each bracket and the values inside it, and only
-those few values are put in order.
-"""
+"""Exact interpolated quantiles per group, for any number of rows and values."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from scoreloom.operators.ranks import RANK_ROWS, first_regions, logarithmic, ranked_rows
 from scoreloom.session import settle
 
-ACCURACY = 10_000
-# Groups up to this size are bracketed by their minimum and maximum.
-SMALL_GROUP = 10 * ACCURACY
-
-
-def _brackets(df: DataFrame, by: str, value: str, probs: Sequence[float],
-              accuracy: int, small: int) -> DataFrame:
-    slack = 2.0 / accuracy
-    low = F.percentile_approx(value, [max(0.0, q - slack) for q in probs], accuracy)
-    high = F.percentile_approx(value, [min(1.0, q + slack) for q in probs], accuracy)
-    stats = df.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("_min"),
-                               F.max(value).alias("_max"), low.alias("_low"), high.alias("_high"))
-    # Beyond ``accuracy`` rows one rank is less than the slack; below, no bracket is needed.
-    few = F.col("n") <= max(small, accuracy)
-    bracket = F.array(*[
-        F.struct(F.lit(i).alias("q"),
-                 ((F.col("n") - 1) * F.lit(float(q))).alias("spot"),
-                 F.when(few, F.col("_min")).otherwise(F.col("_low")[i]).alias("low"),
-                 F.when(few, F.col("_max")).otherwise(F.col("_high")[i]).alias("high"))
-        for i, q in enumerate(probs)])
-    return settle(stats.select(by, bracket.alias("brackets")))
+WHOLE_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def exact_quantiles(df: DataFrame, by: str, value: str, probs: Sequence[float],
-                    accuracy: int = ACCURACY, small: int = SMALL_GROUP) -> DataFrame:
-    """(by, quantiles): linearly interpolated quantiles, in the order of ``probs``."""
-    rows = df.select(by, F.col(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & F.col(by).isNotNull())
-    brackets = _brackets(rows, by, "_v", probs, accuracy, small)
-    # NULL stands for "somewhere below the bracket"; rows above it do not matter.
-    counted = (rows.join(brackets, by).select(by, "_v", F.inline("brackets"))
-               .where(F.col("_v") <= F.col("high"))
-               .groupBy(by, "q", "spot",
-                        F.when(F.col("_v") >= F.col("low"), F.col("_v")).alias("v"))
-               .agg(F.count("*").alias("c")))
-    order = W.partitionBy(by, "q").orderBy(F.asc_nulls_first("v")).rowsBetween(
-        W.unboundedPreceding, W.currentRow)
-    ranked = counted.withColumn("_upto", F.sum("c").over(order))
-
-    def order_statistic(rank):
-        return F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("c") <= rank), F.col("v")))
-
-    lower, upper = F.floor("spot"), F.ceil("spot")
-    picked = ranked.groupBy(by, "q", "spot").agg(
-        order_statistic(lower).alias("a"), order_statistic(upper).alias("b"))
-    between = F.col("a") + (F.col("b") - F.col("a")) * (F.col("spot") - F.floor("spot"))
-    return (picked.groupBy(by)
-            .agg(F.sort_array(F.collect_list(F.struct("q", between.alias("x")))).alias("_q"))
-            .select(by, F.transform("_q", lambda s: s["x"]).alias("quantiles")))
+                    rank_rows: int = RANK_ROWS) -> DataFrame:
+    """(by, quantiles): linearly interpolated quantiles, in the order of ``probs``.
+
+    Whole numbers have few distinct values: they are counted per (group,
+    value), which spreads a large group over all tasks, and the quantiles are
+    taken from the counts. Fractional values go through ``ranked_rows``.
+    """
+    if isinstance(df.schema[value].dataType, WHOLE_NUMBERS):
+        counts = (df.where(F.col(value).isNotNull() & F.col(by).isNotNull())
+                  .groupBy(by, value).agg(F.count("*").alias("_c")))
+        return counts.groupBy(by).agg(
+            F.percentile(value, [float(q) for q in probs], F.col("_c")).alias("quantiles"))
+    return _ranked_quantiles(df, by, value, probs, rank_rows)
+
+
+def _ranked_quantiles(df, by, value, probs, rank_rows) -> DataFrame:
+    v = F.col(value).cast("double")
+    rows = df.select(F.col(by), v.alias("v"), F.lit(0).alias("tie")).where(
+        F.col("v").isNotNull() & ~F.isnan("v") & F.col(by).isNotNull())
+    spots = [(F.col("n") - 1) * F.lit(float(q)) for q in probs]
+    wants = F.array(*[
+        F.struct(F.lit(2 * i + side).alias("mark"), (rounding(spot) + 1).alias("rank"))
+        for i, spot in enumerate(spots) for side, rounding in enumerate((F.floor, F.ceil))])
+    groups = settle(rows.groupBy(by).agg(
+        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
+    marks = ranked_rows(rows, first_regions(groups.withColumn("wants", wants), by), by,
+                        scale=logarithmic, rank_rows=rank_rows)
+
+    def at(mark: int):
+        return F.col("marks")[mark]["v"]
+
+    between = [at(2 * i) + (at(2 * i + 1) - at(2 * i)) * (spot - F.floor(spot))
+               for i, spot in enumerate(spots)]
+    return marks.join(groups.select(by, "n"), by).select(by, F.array(*between).alias("quantiles"))

@@ -1,19 +1,10 @@
 """Exact stratified splitting.
 
 Rows are ordered inside each stratum by a seeded hash, and the split points are
-ranks in that order. The ranks are found without sorting a large stratum:
-
-1. count the rows of each stratum and work out the rank of each split point;
-2. while the region around a split point is large, count its rows by the next
-   12 bits of the hash (at most 4096 counts per region) and keep only the
-   bucket that holds the split point;
-3. rank the rows of the remaining small regions, which yields one threshold
-   (hash, id) per stratum and split point;
-4. label every row by comparing it with the thresholds of its stratum, a
-   narrow step.
-
-Steps 1-3 read only the id and the stratum. A stratum holding a third of the
-table costs the same as any other, as its rows never meet in one task.
+ranks in that order. ``ranked_rows`` finds the row at each split point without
+sorting a stratum; every row is then labelled by comparing its (hash, id) with
+the split points of its stratum, a narrow step. All passes but that one read
+only the id and the stratum.
 """
 
 from __future__ import annotations
@@ -22,14 +13,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from scoreloom.functions.hashing import draw
+from scoreloom.functions.hashing import BITS, draw
+from scoreloom.operators.ranks import RANK_ROWS, first_regions, ranked_rows
 from scoreloom.session import settle
 
 SEED = 42
-LEVEL_BITS = 12
-LEVELS = 2
-# Regions up to this size are ranked directly.
-RANK_ROWS = 100_000
 
 
 def _take_share(counts: DataFrame, stratum: str, share: float) -> DataFrame:
@@ -76,45 +64,17 @@ def nested_sizes(counts: DataFrame, stratum: str, keep: Sequence[float]) -> Data
     return sized.select(stratum, F.col("_total").alias("n"), "cuts")
 
 
-def _prefix(level: int) -> Column:
-    """The leading hash bits that name a region of the given level."""
-    return F.shiftright("_h", 32 - LEVEL_BITS * level)
-
-
-def _narrow(keyed: DataFrame, regions: DataFrame, stratum: str, level: int) -> DataFrame:
-    """Replace every region by its bucket that holds the wanted rank."""
-    places = F.broadcast(regions.select(stratum, "bucket").distinct())
-    histogram = (keyed.withColumn("bucket", _prefix(level)).join(places, [stratum, "bucket"])
-                 .groupBy(stratum, "bucket", _prefix(level + 1).alias("child"))
-                 .agg(F.count("*").alias("n")))
-    upto = W.partitionBy(stratum, "cut").orderBy("child").rowsBetween(
-        W.unboundedPreceding, W.currentRow)
-    return (histogram.join(regions.drop("n"), [stratum, "bucket"])
-            .withColumn("_upto", F.sum("n").over(upto))
-            .where((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("n")))
-            .select(stratum, "cut", (F.col("rank") - F.col("_upto") + F.col("n")).alias("rank"),
-                    "n", F.col("child").alias("bucket")))
-
-
-def split_thresholds(df: DataFrame, stratum: str, keep: Sequence[float], row_id: str,
-                     seed: int = SEED, rank_rows: int = RANK_ROWS) -> DataFrame:
+def split_points(df: DataFrame, stratum: str, keep: Sequence[float], row_id: str,
+                 seed: int = SEED, rank_rows: int = RANK_ROWS) -> DataFrame:
     """(stratum, marks): per split point the (hash, id) of the last row before it."""
     sizes = nested_sizes(df.groupBy(stratum).agg(F.count("*").alias("n")), stratum, keep)
-    regions = settle(sizes.select(stratum, "n", F.posexplode("cuts").alias("cut", "rank"))
-                     .where(F.col("rank") > 0).withColumn("bucket", F.lit(0).cast("bigint")))
-    keyed = df.select(F.col(stratum), F.col(row_id).alias("_id"),
-                      draw(F.col(row_id), F.lit(seed)).alias("_h"))
-    level = 0
-    while level < LEVELS and regions.where(F.col("n") > rank_rows).take(1):
-        regions = settle(_narrow(keyed, regions, stratum, level))
-        level += 1
-    order = W.partitionBy(stratum, "cut").orderBy("_h", "_id")
-    inside = keyed.withColumn("bucket", _prefix(level)).join(regions.drop("n"), [stratum, "bucket"])
-    marks = (inside.withColumn("_rn", F.row_number().over(order))
-             .where(F.col("_rn") == F.col("rank"))
-             .groupBy(stratum)
-             .agg(F.map_from_entries(F.collect_list(F.struct("cut", F.struct("_h", "_id")))).alias("marks")))
-    return settle(marks)
+    ranks = F.transform("cuts", lambda rank, i: F.struct(i.alias("mark"), rank.alias("rank")))
+    groups = sizes.select(
+        stratum, "n", F.lit(0).cast("bigint").alias("low"), F.lit((1 << BITS) - 1).alias("high"),
+        F.filter(ranks, lambda w: w["rank"] > 0).alias("wants"))
+    keyed = df.select(F.col(stratum), draw(F.col(row_id), F.lit(seed)).alias("v"),
+                      F.col(row_id).alias("tie"))
+    return settle(ranked_rows(keyed, first_regions(groups, stratum), stratum, rank_rows=rank_rows))
 
 
 def stratified_split(df: DataFrame, stratum: str, keep: Sequence[float],
@@ -127,8 +87,8 @@ def stratified_split(df: DataFrame, stratum: str, keep: Sequence[float],
     """
     if len(names) != len(keep) + 1:
         raise ValueError("one more name than split points is needed")
-    marks = split_thresholds(df.where(F.col(stratum).isNotNull()), stratum, keep, row_id, seed, rank_rows)
-    place = F.struct(draw(F.col(row_id), F.lit(seed)).alias("_h"), F.col(row_id).alias("_id"))
+    marks = split_points(df.where(F.col(stratum).isNotNull()), stratum, keep, row_id, seed, rank_rows)
+    place = F.struct(draw(F.col(row_id), F.lit(seed)).alias("v"), F.col(row_id).alias("tie"))
     part = F.lit(names[-1])
     for cut in reversed(range(len(keep))):
         part = F.when(place <= F.col("marks")[cut], F.lit(names[cut])).otherwise(part)

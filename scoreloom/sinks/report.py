@@ -11,6 +11,8 @@ from scoreloom.functions.fdist import f_tail_column
 from scoreloom.functions.stats import pearson
 from scoreloom.operators import metrics, progress, strategies
 from scoreloom.operators.labels import ClassIndex, REMAPPINGS
+from scoreloom.operators.lengths import QUARTILES
+from scoreloom.operators.quantiles import exact_quantiles
 from scoreloom.schema import GRADE
 
 # Fixed value: time format of a run tag.
@@ -121,7 +123,6 @@ def length_profile(df: DataFrame, grade: str = GRADE, length_bins: Bins = LENGTH
         F.avg("right").alias("accuracy"), F.avg("confidence").alias("confidence"),
         F.avg("len").alias("mean"), F.stddev_samp("len").alias("std"),
         F.var_samp("len").alias("variance"), F.min("len").alias("min"), F.max("len").alias("max"),
-        F.percentile("len", [0.25, 0.5, 0.75]).alias("quartiles"),
         pearson(F.col("len").cast("double"), F.col("yd")).alias("corr_length"),
         pearson(F.col("length_ratio"), F.col("yd")).alias("corr_ratio"),
         pearson(F.col("len").cast("double"), F.col("pd")).alias("corr_predicted"))
@@ -150,7 +151,11 @@ def length_report(df: DataFrame, grades: Sequence[str], tag: Column | None = Non
     groups = F.collect_list(F.when(
         (F.col("part") == _BY_GRADE) & F.col("grade").isNotNull(),
         F.struct("n", "mean", F.coalesce("variance", F.lit(0.0)).alias("variance"))))
-    gathered = length_profile(df, "grade", length_bins, ratio_bins).agg(
+    # Quartiles do not combine across tasks like sums; they have their own counts.
+    quartiles = exact_quantiles(df, "grade", "answer_length", QUARTILES).withColumnRenamed(
+        "quantiles", "quartiles")
+    profile = length_profile(df, "grade", length_bins, ratio_bins).join(quartiles, "grade", "left")
+    gathered = profile.agg(
         by_bin(_BY_LENGTH, "length_bin", length_bins).alias("accuracy_by_length"),
         by_bin(_BY_RATIO, "ratio_bin", ratio_bins).alias("accuracy_by_relation"),
         overall("corr_length").alias("correlation_length_grade"),

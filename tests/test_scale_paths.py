@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from scoreloom import session
-from scoreloom.operators import lengths, splits
+from scoreloom.operators import lengths, ranks, splits
 from scoreloom.operators.quantiles import exact_quantiles
 
 
@@ -58,7 +58,8 @@ def test_split_sizes_are_exact(spark):
 
 
 def test_split_with_more_strata_than_may_be_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(splits, "settle", lambda df: session.settle(df, max_rows=2))
+    for module in (splits, ranks):
+        monkeypatch.setattr(module, "settle", lambda df: session.settle(df, max_rows=2))
     df = spark.createDataFrame(ROWS, "row_id long, grade string")
     got = splits.stratified_split(df, "grade", **splits.TWO_WAY, rank_rows=50)
     assert {r["row_id"]: r["split"] for r in got.collect()} == expected_split(ROWS, **splits.TWO_WAY)
@@ -83,7 +84,7 @@ def test_quantiles_equal_brute_force(spark, values):
     rows = [("all", v) for v in values] + [("two", 1.0), ("two", 2.0)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = {r["g"]: r["quantiles"] for r in exact_quantiles(df, "g", "v", probs, accuracy=40, small=0).collect()}
+    got = {r["g"]: r["quantiles"] for r in exact_quantiles(df, "g", "v", probs, rank_rows=5).collect()}
     assert got["all"] == pytest.approx(np.quantile(values, probs), rel=1e-9, abs=1e-9)
     assert got["two"] == pytest.approx([1.0, 1.25, 1.5, 1.75, 2.0])
 
@@ -92,8 +93,10 @@ def test_quantiles_of_a_bracketed_skewed_group(spark):
     rng = np.random.default_rng(7)
     values = np.concatenate([rng.exponential(3.0, 20_000), np.full(9_000, 1.25)])
     df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double").repartition(6)
+    values = np.concatenate([values, [1e300, -1e300, 0.0]])
+    df = df.unionByName(spark.createDataFrame([("g", 1e300), ("g", -1e300), ("g", 0.0), ("g", None), ("g", float("nan"))], df.schema))
     probs = [0.25, 0.5, 0.75, 0.99]
-    got = exact_quantiles(df, "g", "v", probs, accuracy=100, small=1000).first()["quantiles"]
+    got = exact_quantiles(df, "g", "v", probs, rank_rows=100).first()["quantiles"]
     assert got == pytest.approx(np.quantile(values, probs), rel=1e-12)
 
 

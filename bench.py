@@ -19,7 +19,7 @@ from scoreloom.session import build_session
 HEADLINE = (
     "metrics_summary", "classification_report", "strategy_metrics", "progress_classes",
     "bulk_accuracy_by_length", "bulk_length_crosstab_pct", "bulk_anova_length",
-    "bulk_grade_length_describe", "bulk_ratio_boxplot", "stratified_split_2way", "log_loss",
+    "bulk_grade_length_describe", "bulk_ratio_boxplot", "split_sizes", "log_loss",
     "accuracy_by_length", "shortest_answers", "prompt_pair", "vocab_topk", "pair_encode",
 )
 

@@ -12,7 +12,7 @@ from scoreloom.functions.fdist import f_tail_column
 from scoreloom.functions.stats import pearson
 from scoreloom.operators.quantiles import exact_quantiles
 from scoreloom.schema import GRADE, REFERENCE, STUDENT
-from scoreloom.session import settle
+from scoreloom.session import gathered, settle
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -47,34 +47,41 @@ def with_bins(df: DataFrame, column: str, bins: Bins, prefix: str = "bin") -> Da
         f"{prefix}_label", bins.label(F.col(f"{prefix}_id")))
 
 
-def _complete(stats: DataFrame, bins: Bins, counts: Sequence[str]) -> DataFrame:
-    """Left join from the literal bin list; ``stats`` has at most one row per bin."""
-    joined = bins.dimension(stats.sparkSession).join(F.broadcast(stats), "bin_id", "left")
-    return joined.fillna(0, subset=list(counts))
+def _by_bin(df: DataFrame, column: str, bins: Bins, *stats: Column) -> DataFrame:
+    """(bin_id, bin_label, n, stats...) for every bin, empty bins with n = 0.
+
+    One aggregation yields at most one row per bin. They become one map, in
+    which the full bin list is looked up, so no join is needed.
+    """
+    used = gathered(
+        df.withColumn("bin_id", bins.index(F.col(column))).where(F.col("bin_id").isNotNull())
+        .groupBy("bin_id").agg(F.count("*").alias("n"), *stats))
+    names = [c for c in used.columns if c not in ("bin_id", "n")]
+    found = used.agg(F.map_from_entries(F.collect_list(
+        F.struct("bin_id", F.struct("n", *names).alias("s")))).alias("found"))
+    labels = F.array(*[F.lit(x) for x in bins.labels])
+    return (found.select("found", F.posexplode(labels).alias("bin_id", "bin_label"))
+            .withColumn("s", F.col("found")[F.col("bin_id")])
+            .select("bin_id", "bin_label", F.coalesce("s.n", F.lit(0).cast("bigint")).alias("n"),
+                    *[F.col(f"s.{c}") for c in names]))
 
 
 def bin_counts(df: DataFrame, column: str, bins: Bins) -> DataFrame:
     """Rows per bin, empty bins included; values outside every bin are not counted."""
-    binned = df.select(bins.index(F.col(column)).alias("bin_id")).where(F.col("bin_id").isNotNull())
-    return _complete(binned.groupBy("bin_id").agg(F.count("*").alias("n")), bins, ["n"])
+    return _by_bin(df, column, bins)
 
 
 def accuracy_by_bin(df: DataFrame, column: str, bins: Bins,
                     y: str = "y", p: str = "p") -> DataFrame:
     """Accuracy, error rate and rows per bin; an empty bin has 0 rows and no accuracy."""
     right = (F.col(y) == F.col(p)).cast("int")
-    stats = (df.select(bins.index(F.col(column)).alias("bin_id"), right.alias("_right"))
-             .where(F.col("bin_id").isNotNull())
-             .groupBy("bin_id").agg(F.count("*").alias("n"), F.avg("_right").alias("accuracy")))
-    return _complete(stats, bins, ["n"]).withColumn("error_rate", 1 - F.col("accuracy"))
+    return _by_bin(df, column, bins, F.avg(right).alias("accuracy")).withColumn(
+        "error_rate", 1 - F.col("accuracy"))
 
 
 def mean_by_bin(df: DataFrame, column: str, bins: Bins, value: str, name: str) -> DataFrame:
     """Mean of another column per bin, empty bins included."""
-    stats = (df.select(bins.index(F.col(column)).alias("bin_id"), F.col(value).alias("_value"))
-             .where(F.col("bin_id").isNotNull())
-             .groupBy("bin_id").agg(F.count("*").alias("n"), F.avg("_value").alias(name)))
-    return _complete(stats, bins, ["n"])
+    return _by_bin(df, column, bins, F.avg(value).alias(name))
 
 
 def crosstab(df: DataFrame, column: str, bins: Bins, grades: Sequence[str],
@@ -119,19 +126,19 @@ def anova(df: DataFrame, by: str = GRADE, value: str = "answer_length",
     """
     groups = df.where(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(by).agg(
         F.count("*").alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("variance"))
-    return anova_from_groups(groups, alpha)
+    return anova_from_groups(gathered(groups), alpha)
 
 
 def anova_from_groups(groups: DataFrame, alpha: float = 0.05) -> DataFrame:
     """``anova`` from a table of (n, mean, variance) per group."""
-    gathered = groups.agg(
+    totals = groups.agg(
         F.sum("n").alias("rows"), F.count("*").alias("groups"),
         (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("centre"),
         F.sum((F.col("n") - 1) * F.coalesce("variance", F.lit(0.0))).alias("within"),
         F.collect_list(F.struct("n", "mean")).alias("means"))
     between = F.aggregate("means", F.lit(0.0), lambda acc, g: (
         acc + g["n"] * (g["mean"] - F.col("centre")) * (g["mean"] - F.col("centre"))))
-    result = gathered.select(
+    result = totals.select(
         "rows", (F.col("groups") - 1).alias("df_between"),
         (F.col("rows") - F.col("groups")).alias("df_within"),
         between.alias("ss_between"), F.col("within").alias("ss_within"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from scoreloom.functions.probability import negative_log_likelihood
+from scoreloom.session import gathered
 
 
 def class_losses(df: DataFrame, logits: str = "logits", label: str = "y",
@@ -16,9 +17,9 @@ def class_losses(df: DataFrame, logits: str = "logits", label: str = "y",
     Summing per class first means that class weights meet K rows and never
     the table itself.
     """
-    return df.groupBy(*by, F.col(label).cast("int").alias("label")).agg(
+    return gathered(df.groupBy(*by, F.col(label).cast("int").alias("label")).agg(
         F.count("*").alias("n"),
-        F.sum(negative_log_likelihood(F.col(logits), F.col(label))).alias("loss_sum"))
+        F.sum(negative_log_likelihood(F.col(logits), F.col(label))).alias("loss_sum")))
 
 
 def log_loss(losses: DataFrame, by: Sequence[str] = ()) -> DataFrame:

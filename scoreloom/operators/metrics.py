@@ -2,7 +2,8 @@
 
 ``confusion_cells`` is the only step that reads the scored rows: one map-side
 combined aggregation whose output has at most K x K rows per run. Everything
-else is arithmetic on those rows, so its cost does not depend on the data.
+else is arithmetic on those rows in one partition, without another shuffle.
+``by`` names columns with few values, such as the run or the strategy.
 """
 
 from __future__ import annotations
@@ -11,17 +12,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from scoreloom.session import gathered
+
 
 def confusion_cells(df: DataFrame, y: str = "y", p: str = "p",
                     by: Sequence[str] = ()) -> DataFrame:
     """(by..., y, p, n): number of rows per true and predicted label."""
-    return (df.groupBy(*by, F.col(y).cast("int").alias("y"), F.col(p).cast("int").alias("p"))
-            .agg(F.count("*").alias("n")))
+    return gathered(
+        df.groupBy(*by, F.col(y).cast("int").alias("y"), F.col(p).cast("int").alias("p"))
+        .agg(F.count("*").alias("n")))
 
 
 def sum_cells(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Merge cells that share (by..., y, p), e.g. after relabelling."""
-    return cells.groupBy(*by, "y", "p").agg(F.sum("n").alias("n"))
+    return gathered(cells.groupBy(*by, "y", "p").agg(F.sum("n").alias("n")))
 
 
 def class_totals(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -139,12 +143,14 @@ def normalised_matrix(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def bincount(df: DataFrame, label: str, weight: str | None = None) -> DataFrame:
     """(label, n) for every label from 0 to the largest one, zeros included."""
     amount = F.sum(weight) if weight else F.count("*")
-    counts = (df.where(F.col(label).isNotNull())
-              .groupBy(F.col(label).cast("int").alias("label")).agg(amount.alias("n")))
-    gaps = (counts.agg(F.max("label").alias("top")).where(F.col("top").isNotNull())
-            .select(F.explode(F.sequence(F.lit(0), F.col("top"))).alias("label"),
-                    F.lit(0).cast("bigint").alias("n")))
-    return counts.unionByName(gaps).groupBy("label").agg(F.sum("n").alias("n"))
+    counts = gathered(df.where(F.col(label).isNotNull())
+                      .groupBy(F.col(label).cast("int").alias("label")).agg(amount.alias("n")))
+    found = counts.agg(
+        F.max("label").alias("top"),
+        F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("found"))
+    labels = F.explode(F.sequence(F.lit(0), F.col("top"))).alias("label")
+    return found.where(F.col("top").isNotNull()).select(labels, "found").select(
+        "label", F.coalesce(F.col("found")[F.col("label")], F.lit(0).cast("bigint")).alias("n"))
 
 
 def collapse_check(df: DataFrame, label: str, weight: str | None = None,

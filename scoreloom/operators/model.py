@@ -15,6 +15,7 @@ from scoreloom.functions.probability import argmax, confidence
 from scoreloom.functions.text import tokens
 from scoreloom.operators import losses, metrics
 from scoreloom.schema import REFERENCE, ROW_ID, STUDENT
+from scoreloom.session import gathered
 
 HASH_FEATURES = 1 << 14
 
@@ -95,9 +96,9 @@ def fit_candidates(train: DataFrame, validation: DataFrame, regs: Sequence[float
 
 def candidate_metrics(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by..., eval_loss, f1_weighted) from rows with y, p and logits, in one pass."""
-    cells = scored.groupBy(*by, "y", "p").agg(
+    cells = gathered(scored.groupBy(*by, "y", "p").agg(
         F.count("*").alias("n"),
-        F.sum(losses.negative_log_likelihood(F.col("logits"), F.col("y"))).alias("loss_sum"))
+        F.sum(losses.negative_log_likelihood(F.col("logits"), F.col("y"))).alias("loss_sum")))
     loss = losses.log_loss(cells, by).withColumnRenamed("log_loss", "eval_loss")
     scores = metrics.metrics_summary(cells, by).select(*by, "accuracy", "f1_macro", "f1_weighted")
     return loss.join(scores, list(by))

@@ -14,14 +14,15 @@ from pyspark.sql import DataFrame, functions as F
 from scoreloom.operators import metrics
 from scoreloom.operators.labels import REMAPPINGS, Remapping, remap
 from scoreloom.schema import GRADE
+from scoreloom.session import gathered
 
 KEYS = ("strategy_order", "strategy")
 
 
 def grade_cells(df: DataFrame, p: str = "p", grade: str = GRADE) -> DataFrame:
     """(grade, p, n): the only pass over the rows."""
-    return df.groupBy(F.col(grade).alias("grade"), F.col(p).cast("int").alias("p")).agg(
-        F.count("*").alias("n"))
+    return gathered(df.groupBy(F.col(grade).alias("grade"), F.col(p).cast("int").alias("p")).agg(
+        F.count("*").alias("n")))
 
 
 def strategy_cells(cells: DataFrame, remappings: Sequence[Remapping] = REMAPPINGS) -> DataFrame:

@@ -11,6 +11,7 @@ from scoreloom.functions.hashing import draw
 from scoreloom.functions.probability import argmax, confidence
 from scoreloom.operators.labels import FOUR_GRADE_INDEX
 from scoreloom.operators.lengths import length_columns, length_ratios
+from scoreloom.session import gathered
 
 
 # Columns the suite reads; given to the scans so that no file is opened to plan a query.
@@ -140,18 +141,15 @@ GRADED_SCORED = (GRADED_SQL, SCORES_SQL, SCORED_SQL)
 
 def bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as graded and scored answers: the large table of the suite."""
-    mix = (F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17 + F.col("l_partkey") * 7) % 100
-    quantity = F.col("l_quantity")
-    y = F.when(quantity <= 5, 0).when(quantity <= 15, 1).when(quantity <= 30, 2).otherwise(3)
-    rows = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), y.alias("y"),
-        mix.alias("h"),
-        F.floor(F.col("l_extendedprice") / 100).cast("int").alias("answer_length"),
-        (F.col("l_partkey") % 900 + 20).cast("int").alias("reference_length"))
-    hop = F.when(F.col("h") < 70, 0).when(F.col("h") < 85, 1).when(F.col("h") < 95, 3).otherwise(2)
-    return length_ratios(rows.withColumns({
-        "p": (F.col("y") + hop) % 4, "grade": (F.col("y") + 2).cast("string"),
-        "confidence": F.lit(0.4) + (F.col("h") % 60) / 100.0}))
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey * 8 + l_linenumber AS row_id",
+        "CASE WHEN l_quantity <= 5 THEN 0 WHEN l_quantity <= 15 THEN 1 WHEN l_quantity <= 30 THEN 2 ELSE 3 END AS y",
+        "(l_orderkey * 31 + l_linenumber * 17 + l_partkey * 7) % 100 AS h",
+        "CAST(floor(l_extendedprice / 100) AS int) AS answer_length",
+        "CAST(l_partkey % 900 + 20 AS int) AS reference_length")
+    return length_ratios(rows.selectExpr(
+        "*", "(y + CASE WHEN h < 70 THEN 0 WHEN h < 85 THEN 1 WHEN h < 95 THEN 3 ELSE 2 END) % 4 AS p",
+        "CAST(y + 2 AS string) AS grade", "0.4D + (h % 60) / 100.0D AS confidence"))
 
 
 BULK_SQL = ("bulk", """
@@ -183,7 +181,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     The versions differ only by (y, h), so the rows are counted once and the
     fan-out to versions happens on at most 400 counts.
     """
-    counts = bulk(spark, sf_dir).groupBy("y", "h").agg(F.count("*").alias("n"))
+    counts = gathered(bulk(spark, sf_dir).groupBy("y", "h").agg(F.count("*").alias("n")))
     wrong = (F.col("y") + 1 + F.col("h") % 3) % 4
     versions = F.array(*[
         F.struct(F.lit(name).alias("run"), F.lit(i).alias("run_order"),

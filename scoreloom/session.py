@@ -25,6 +25,7 @@ def build_session(app: str = "scoreloom", cpus: str | int = "*",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -52,6 +53,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), "scoreloom", f"{name}-{uuid.uuid4().hex}")
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """Put an aggregate that is known to have few rows into one partition.
+
+    Meant for results bounded by closed sets (classes, bins, runs). Whatever
+    is computed from them afterwards then needs no further shuffle.
+    """
+    return df.coalesce(1)
+
+
 def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Evaluate a derived side once and mark it for broadcast if it is small.
 

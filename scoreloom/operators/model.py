@@ -10,7 +10,7 @@ from pyspark.ml.feature import HashingTF, IDF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from scoreloom.functions.hashing import draw
+from scoreloom.functions.hashing import row_draw
 from scoreloom.functions.probability import argmax, confidence
 from scoreloom.functions.text import tokens
 from scoreloom.operators import losses, metrics
@@ -121,7 +121,7 @@ def baseline_predictions(df: DataFrame, classes: int, y: str = "y", row_id: str
     relabelling of the counts of the random ones.
     """
     cells = metrics.confusion_cells(df.select(
-        F.col(y).alias("y"), (draw(F.col(row_id), F.lit(seed)) % classes).alias("p")))
+        F.col(y).alias("y"), (row_draw(df, row_id, seed) % classes).alias("p")))
     by_class = cells.groupBy("y").agg(F.sum("n").alias("n"))
     top = by_class.agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("p"),
                        F.collect_list(F.struct("y", "n")).alias("all"))

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
+from scoreloom.functions.hashing import WHOLE_NUMBERS
 from scoreloom.operators.ranks import RANK_ROWS, first_regions, logarithmic, ranked_rows
 from scoreloom.session import settle
 
-WHOLE_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-
 
 def exact_quantiles(df: DataFrame, by: str, value: str, probs: Sequence[float],
                     rank_rows: int = RANK_ROWS) -> DataFrame:

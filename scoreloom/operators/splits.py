@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from scoreloom.functions.hashing import BITS, draw
+from scoreloom.functions.hashing import BITS, row_draw
 from scoreloom.operators.ranks import RANK_ROWS, first_regions, ranked_rows
 from scoreloom.session import settle
 
@@ -72,7 +72,7 @@ def split_points(df: DataFrame, stratum: str, keep: Sequence[float], row_id: str
     groups = sizes.select(
         stratum, "n", F.lit(0).cast("bigint").alias("low"), F.lit((1 << BITS) - 1).alias("high"),
         F.filter(ranks, lambda w: w["rank"] > 0).alias("wants"))
-    keyed = df.select(F.col(stratum), draw(F.col(row_id), F.lit(seed)).alias("v"),
+    keyed = df.select(F.col(stratum), row_draw(df, row_id, seed).alias("v"),
                       F.col(row_id).alias("tie"))
     return settle(ranked_rows(keyed, first_regions(groups, stratum), stratum, rank_rows=rank_rows))
 
@@ -83,12 +83,13 @@ def stratified_split(df: DataFrame, stratum: str, keep: Sequence[float],
     """Add a ``split`` column naming the part of every row.
 
     Every row with a stratum lands in exactly one part; a row without one keeps
-    a NULL split.
+    a NULL split. ``row_id`` is expected to be unique; rows that share an id
+    stay together, which can move a part's size by the repetitions.
     """
     if len(names) != len(keep) + 1:
         raise ValueError("one more name than split points is needed")
     marks = split_points(df.where(F.col(stratum).isNotNull()), stratum, keep, row_id, seed, rank_rows)
-    place = F.struct(draw(F.col(row_id), F.lit(seed)).alias("v"), F.col(row_id).alias("tie"))
+    place = F.struct(row_draw(df, row_id, seed).alias("v"), F.col(row_id).alias("tie"))
     part = F.lit(names[-1])
     for cut in reversed(range(len(keep))):
         part = F.when(place <= F.col("marks")[cut], F.lit(names[cut])).otherwise(part)

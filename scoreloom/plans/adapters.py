@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scoreloom.functions.hashing import draw
+from scoreloom.functions.hashing import MULTIPLIERS, draw
 from scoreloom.functions.probability import argmax, confidence
 from scoreloom.operators.labels import FOUR_GRADE_INDEX
 from scoreloom.operators.lengths import length_columns, length_ratios
@@ -21,6 +21,7 @@ SCHEMAS = {
     "benchmark": "item_id long, text string",
     "embeddings": "vec_id long, embedding array<float>, label int",
     "conversations": "conv_id long, turn long, role string, text string",
+    "orders": "o_orderkey long, o_orderpriority string",
     "lineitem": "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double",
 }
 
@@ -140,7 +141,10 @@ GRADED_SCORED = (GRADED_SQL, SCORES_SQL, SCORED_SQL)
 
 
 def bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as graded and scored answers: the large table of the suite."""
+    """Order lines as graded and scored answers: the large table of the suite.
+
+    ``row_id`` names the line of an order; some lines occur more than once.
+    """
     rows = table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey * 8 + l_linenumber AS row_id",
         "CASE WHEN l_quantity <= 5 THEN 0 WHEN l_quantity <= 15 THEN 1 WHEN l_quantity <= 30 THEN 2 ELSE 3 END AS y",
@@ -163,6 +167,16 @@ BULK_SQL = ("bulk", """
     FROM lineitem)""")
 
 
+def order_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, grade): orders by the first sign of their priority; the ids are unique."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS row_id", "substring(o_orderpriority, 1, 1) AS grade")
+
+
+ORDERS_SQL = ("order_grades", """
+  SELECT o_orderkey AS row_id, left(o_orderpriority, 1) AS grade FROM orders""")
+
+
 def binary_prediction() -> Column:
     """Two-class stand-in prediction on ``bulk`` rows."""
     p, h = F.col("p"), F.col("h")
@@ -213,6 +227,15 @@ LOGITS_SQL = ("logit_rows", f"""
   SELECT vec_id AS row_id, label AS y, list_transform(embedding[1:{CLASSES}], lambda v: v::DOUBLE) AS logits
   FROM embeddings""")
 
+
+def mix_sql(key: str, seed: int) -> str:
+    """SQL of ``mix``."""
+    x = f"(xor(xor({key}, {key} >> 32), {seed}) & 4294967295)"
+    for multiplier, shift in zip(MULTIPLIERS, (16, 15)):
+        x = f"((xor({x}, {x} >> {shift}) * {multiplier}) & 4294967295)"
+    return f"xor({x}, {x} >> 16)"
+
+
 EPOCHS = 8
 
 

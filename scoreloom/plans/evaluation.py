@@ -10,7 +10,7 @@ from scoreloom.operators.weights import class_weights
 from scoreloom.functions.probability import argmax, confidence, softmax
 from scoreloom.plans.adapters import (
     BINARY_SQL, BULK_SQL, CLASSES, EPOCH_ROWS_SQL, GRADED_SQL, LOGITS_SQL, binary_prediction, bulk,
-    epoch_rows, graded_lengths, logit_rows)
+    epoch_rows, graded_lengths, logit_rows, mix_sql)
 from scoreloom.plans.registry import query, steps
 
 
@@ -157,8 +157,8 @@ def _(spark, sf_dir):
     return strategies.best_strategy(strategies.strategy_metrics(_grade_cells(spark, sf_dir)))
 
 
-_GUESSES = ("guesses", """
-  SELECT 'random' AS baseline, y, ((('0x' || substr(md5(row_id::VARCHAR || ':42'), 1, 8))::BIGINT) % 4)::INT AS p FROM bulk
+_GUESSES = ("guesses", f"""
+  SELECT 'random' AS baseline, y, ({mix_sql('row_id', 42)} % 4)::INT AS p FROM bulk
   UNION ALL SELECT 'majority', y, (SELECT y FROM bulk GROUP BY y ORDER BY count(*) DESC, y LIMIT 1) FROM bulk""")
 
 

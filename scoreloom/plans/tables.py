@@ -8,8 +8,8 @@ from scoreloom.functions.text import AUGMENT_TEMPLATES, BASELINE_TEMPLATE, DEFAU
 from scoreloom.operators import cleaning, encoding, labels, ledger, lengths, prompts, splits
 from scoreloom.operators.labels import FOUR_GRADE_INDEX
 from scoreloom.plans.adapters import (
-    BULK_SQL, GRADED_SCORED, GRADED_SQL, TURNS_SQL, bulk, graded, graded_lengths, graded_scored,
-    raw_graded, turn_pairs)
+    BULK_SQL, GRADED_SCORED, GRADED_SQL, ORDERS_SQL, TURNS_SQL, bulk, graded, graded_lengths, graded_scored,
+    mix_sql, order_grades, raw_graded, turn_pairs)
 from scoreloom.plans.registry import query, steps
 from scoreloom.schema import FOUR_GRADES, GRADE, QUESTION, REFERENCE, ROW_ID, STUDENT
 from scoreloom.session import scratch_path
@@ -202,7 +202,7 @@ def split_sql(source: str, names, keep, output: str) -> tuple:
     """Two-way cuts by largest remainder, then ranks over the whole stratum."""
     parts = [("ordered", f"""
       SELECT row_id, grade, row_number() OVER (PARTITION BY grade ORDER BY
-        ('0x' || substr(md5(row_id::VARCHAR || ':42'), 1, 8))::BIGINT, row_id) AS rn FROM {source}"""),
+        {mix_sql('row_id', splits.SEED)}, row_id) AS rn FROM {source}"""),
              ("left0", "SELECT grade, count(*) AS n, 0::BIGINT AS used FROM ordered GROUP BY grade")]
     for i, share in enumerate(keep):
         parts += [(f"target{i}", f"SELECT floor({share} * sum(n) + 1e-9)::HUGEINT AS t, sum(n) AS total FROM left{i}"),
@@ -228,16 +228,14 @@ def _(spark, sf_dir):
     return splits.stratified_split(rows, GRADE, **_THREE)
 
 
-@query("stratified_split_2way", steps(BULK_SQL, *split_sql(
-    "bulk", _TWO["names"], _TWO["keep"], "SELECT row_id, grade, split FROM split_rows")))
+@query("stratified_split_2way", steps(ORDERS_SQL, *split_sql(
+    "order_grades", _TWO["names"], _TWO["keep"], "SELECT row_id, grade, split FROM split_rows")))
 def _(spark, sf_dir):
-    # A low limit, so that the regions are narrowed by hash bits on any table.
-    return splits.stratified_split(
-        bulk(spark, sf_dir).select(ROW_ID, GRADE), GRADE, **_TWO, rank_rows=100)
+    # A low limit, so that the ranges are narrowed on tables of any size.
+    return splits.stratified_split(order_grades(spark, sf_dir), GRADE, **_TWO, rank_rows=100)
 
 
-@query("split_sizes", steps(BULK_SQL, *split_sql(
-    "bulk", _THREE["names"], _THREE["keep"], "SELECT split, grade, count(*) AS n FROM split_rows GROUP BY ALL")))
+@query("split_sizes", steps(ORDERS_SQL, *split_sql(
+    "order_grades", _THREE["names"], _THREE["keep"], "SELECT split, grade, count(*) AS n FROM split_rows GROUP BY ALL")))
 def _(spark, sf_dir):
-    rows = bulk(spark, sf_dir).select(ROW_ID, GRADE)
-    return splits.split_sizes(splits.stratified_split(rows, GRADE, **_THREE), GRADE)
+    return splits.split_sizes(splits.stratified_split(order_grades(spark, sf_dir), GRADE, **_THREE), GRADE)

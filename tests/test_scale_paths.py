@@ -9,15 +9,27 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from scoreloom import session
+from scoreloom.functions.hashing import mix
 from scoreloom.operators import lengths, ranks, splits
 from scoreloom.operators.quantiles import exact_quantiles
 
 
+def place_of(row_id, seed):
+    """The order of rows inside a stratum, in plain Python."""
+    if isinstance(row_id, str):
+        return int(hashlib.md5(f"{row_id}:{seed}".encode()).hexdigest()[:8], 16)
+    mask = 2 ** 32 - 1
+    x = (row_id ^ (row_id >> 32) ^ seed) & mask
+    x = ((x ^ (x >> 16)) * 0x7FEB352D) & mask
+    x = ((x ^ (x >> 15)) * 0x6C8E9CF5) & mask
+    return x ^ (x >> 16)
+
+
 def expected_split(rows, keep, names, seed=42):
     """Largest-remainder sizes and hash order, in plain Python."""
     groups = {}
     for row_id, grade in rows:
-        place = int(hashlib.md5(f"{row_id}:{seed}".encode()).hexdigest()[:8], 16)
+        place = place_of(row_id, seed)
         groups.setdefault(grade, []).append((place, row_id))
     rest = {g: len(v) for g, v in groups.items()}
     cuts = {g: [] for g in groups}
@@ -50,6 +62,19 @@ def test_split_equals_brute_force(spark, rank_rows, plan):
     assert {r["row_id"]: r["split"] for r in got.collect()} == expected_split(ROWS, **plan)
 
 
+def test_split_by_text_ids(spark):
+    rows = [(f"id-{i}", g) for i, g in ROWS]
+    df = spark.createDataFrame(rows, "row_id string, grade string")
+    got = splits.stratified_split(df, "grade", **splits.THREE_WAY, rank_rows=50)
+    assert {r["row_id"]: r["split"] for r in got.collect()} == expected_split(rows, **splits.THREE_WAY)
+
+
+def test_draws_are_even(spark):
+    df = spark.range(-5000, 5000).withColumn("bucket", (mix(F.col("id"), 42) / 2 ** 32 * 10).cast("int"))
+    counts = [r["count"] for r in df.groupBy("bucket").count().collect()]
+    assert len(counts) == 10 and min(counts) > 880 and max(counts) < 1120
+
+
 def test_split_sizes_are_exact(spark):
     df = spark.createDataFrame(ROWS, "row_id long, grade string")
     sizes = splits.split_sizes(splits.stratified_split(df, "grade", **splits.THREE_WAY), "grade")

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scoreloom.functions.bins import Bins, LENGTH_BINS, RATIO_BINS
 from scoreloom.functions.fdist import f_tail_column
+from scoreloom.functions.hashing import WHOLE_NUMBERS
 from scoreloom.functions.stats import pearson
-from scoreloom.operators.quantiles import exact_quantiles
+from scoreloom.operators.quantiles import exact_quantiles, value_counts_by
 from scoreloom.schema import GRADE, REFERENCE, STUDENT
 from scoreloom.session import gathered, settle
 
@@ -165,8 +166,26 @@ def grade_length_stats(df: DataFrame, by: str = GRADE, decimals: int = 1) -> Dat
 
 
 def describe(df: DataFrame, by: str = GRADE, value: str = "answer_length") -> DataFrame:
-    """count, mean, std, min, quartiles and max per group."""
-    basics = df.groupBy(by).agg(
+    """count, mean, std, min, quartiles and max per group.
+
+    Everything about whole numbers follows from the rows per (group, value),
+    counted in one pass. Sums of squares are kept exact, as decimals.
+    """
+    if isinstance(df.schema[value].dataType, WHOLE_NUMBERS):
+        v, c = F.col(value).cast("decimal(19,0)"), F.col("_c").cast("decimal(19,0)")
+        # A group's values times their counts stay far below 38 digits.
+        total = F.sum((v * c).cast("decimal(28,0)"))
+        squares = F.sum((v * (v * c).cast("decimal(28,0)")).cast("decimal(28,0)"))
+        stats = value_counts_by(df, by, value).groupBy(by).agg(
+            F.sum("_c").alias("n"), F.try_divide(total.cast("double"), F.sum("_c").cast("double")).alias("mean"),
+            squares.alias("_squares"), total.alias("_total"),
+            F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"),
+            F.percentile(value, list(QUARTILES), F.col("_c")).alias("quantiles"))
+        deviations = F.col("_squares").cast("double") - F.col("_total").cast("double") * F.col("mean")
+        std = F.sqrt(F.greatest(F.try_divide(deviations, (F.col("n") - 1).cast("double")), F.lit(0.0)))
+        return stats.select(by, "n", "mean", F.when(F.col("n") > 1, std).alias("std"), "min", "max",
+                            *_named_quartiles())
+    basics = df.where(F.col(by).isNotNull()).groupBy(by).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
         F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"))
     quartiles = exact_quantiles(df, by, value, QUARTILES).select(by, *_named_quartiles())

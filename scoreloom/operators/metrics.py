@@ -4,16 +4,23 @@
 combined aggregation whose output has at most K x K rows per run. Everything
 else is arithmetic on those rows in one partition, without another shuffle.
 ``by`` names columns with few values, such as the run or the strategy.
+
+Other sums over the same rows (losses, confidence ranges) travel along as
+``carry`` columns of the cells. Joining two results of one table of cells would
+read the rows twice, since each side prunes the aggregation differently.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from scoreloom.session import gathered
 
+# Column name -> aggregate function that merges it.
+Carry = Mapping[str, Callable[[str], Column]]
+
 
 def confusion_cells(df: DataFrame, y: str = "y", p: str = "p",
                     by: Sequence[str] = ()) -> DataFrame:
@@ -28,29 +35,33 @@ def sum_cells(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return gathered(cells.groupBy(*by, "y", "p").agg(F.sum("n").alias("n")))
 
 
-def class_totals(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def class_totals(cells: DataFrame, by: Sequence[str] = (), carry: Carry = {}) -> DataFrame:
     """(by..., label, support, predicted, hits) for labels seen as truth or prediction.
 
     Each cell adds to its true label and to its predicted label, which gives
-    predicted-only labels their row without an outer join.
+    predicted-only labels their row without an outer join. Carried columns
+    follow the true label.
     """
     hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(F.lit(0).cast("bigint"))
     none = F.lit(0).cast("bigint")
     sides = F.array(
-        F.struct(F.col("y").alias("label"), F.col("n").alias("s"), none.alias("q"), hit.alias("h")),
-        F.struct(F.col("p").alias("label"), none.alias("s"), F.col("n").alias("q"), none.alias("h")))
+        F.struct(F.col("y").alias("label"), F.col("n").alias("s"), none.alias("q"), hit.alias("h"),
+                 *[F.col(c) for c in carry]),
+        F.struct(F.col("p").alias("label"), none.alias("s"), F.col("n").alias("q"), none.alias("h"),
+                 *[F.lit(None).cast(cells.schema[c].dataType).alias(c) for c in carry]))
     return (cells.select(*by, F.inline(sides))
             .groupBy(*by, "label")
-            .agg(F.sum("s").alias("support"), F.sum("q").alias("predicted"), F.sum("h").alias("hits")))
+            .agg(F.sum("s").alias("support"), F.sum("q").alias("predicted"), F.sum("h").alias("hits"),
+                 *[merge(c).alias(c) for c, merge in carry.items()]))
 
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def class_scores(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def class_scores(cells: DataFrame, by: Sequence[str] = (), carry: Carry = {}) -> DataFrame:
     """class_totals with precision, recall and F1; 0 where a denominator is 0."""
-    return class_totals(cells, by).withColumns({
+    return class_totals(cells, by, carry).withColumns({
         "precision": _ratio(F.col("hits"), F.col("predicted")),
         "recall": _ratio(F.col("hits"), F.col("support")),
         "f1": _ratio(2 * F.col("hits"), F.col("support") + F.col("predicted")),
@@ -61,13 +72,14 @@ def _weighted(c: str) -> Column:
     return _ratio(F.sum(F.col(c) * F.col("support")), F.sum("support"))
 
 
-def metrics_summary(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., n, accuracy, f1_macro, f1_weighted)."""
-    return class_scores(cells, by).groupBy(*by).agg(
+def metrics_summary(cells: DataFrame, by: Sequence[str] = (), carry: Carry = {}) -> DataFrame:
+    """(by..., n, accuracy, f1_macro, f1_weighted, carried columns...)."""
+    return class_scores(cells, by, carry).groupBy(*by).agg(
         F.sum("support").alias("n"),
         _ratio(F.sum("hits"), F.sum("support")).alias("accuracy"),
         F.avg("f1").alias("f1_macro"),
-        _weighted("f1").alias("f1_weighted"))
+        _weighted("f1").alias("f1_weighted"),
+        *[merge(c).alias(c) for c, merge in carry.items()])
 
 
 def classification_report(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -106,14 +118,21 @@ def per_class_accuracy(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def label_grid(cells: DataFrame, classes: int, by: Sequence[str] = ()) -> DataFrame:
     """Cells completed to the full K x K matrix of every run, zeros included.
 
-    Each run contributes K x K zero cells through ``explode``; adding them to
-    the real cells needs neither a join nor a cross product of tables.
+    The cells of a run become one map of at most K x K entries, in which every
+    pair of labels is looked up; no join and no cross product is needed.
     """
     labels = F.sequence(F.lit(0), F.lit(classes - 1))
-    runs = cells.select(*by).distinct() if by else cells.sparkSession.range(1).select()
-    zeros = (runs.withColumn("y", F.explode(labels)).withColumn("p", F.explode(labels))
-             .withColumn("n", F.lit(0).cast("bigint")))
-    return sum_cells(cells.select(*by, "y", "p", "n").unionByName(zeros), by)
+    runs = sum_cells(cells, by).groupBy(*by).agg(F.map_from_entries(F.collect_list(
+        F.struct(F.col("y") * classes + F.col("p"), "n"))).alias("found"))
+    pairs = runs.withColumn("y", F.explode(labels)).withColumn("p", F.explode(labels))
+    return pairs.select(*by, "y", "p", F.coalesce(
+        F.col("found")[F.col("y") * classes + F.col("p")], F.lit(0).cast("bigint")).alias("n"))
+
+
+def cell_counts(classes: int) -> dict[str, Column]:
+    """``n_ij`` columns for the cells of a K x K matrix, ready to be carried."""
+    return {f"n_{i}{j}": F.when((F.col("y") == i) & (F.col("p") == j), F.col("n"))
+            .otherwise(F.lit(0).cast("bigint")) for i in range(classes) for j in range(classes)}
 
 
 def matrix_rows(cells: DataFrame, classes: int, by: Sequence[str] = ()) -> DataFrame:

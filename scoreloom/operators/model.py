@@ -8,12 +8,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from scoreloom.functions.hashing import row_draw
-from scoreloom.functions.probability import argmax, confidence
+from scoreloom.functions.probability import argmax, confidence, negative_log_likelihood
 from scoreloom.functions.text import tokens
-from scoreloom.operators import losses, metrics
+from scoreloom.operators import metrics
 from scoreloom.schema import REFERENCE, ROW_ID, STUDENT
 from scoreloom.session import gathered
 
@@ -98,10 +98,10 @@ def candidate_metrics(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by..., eval_loss, f1_weighted) from rows with y, p and logits, in one pass."""
     cells = gathered(scored.groupBy(*by, "y", "p").agg(
         F.count("*").alias("n"),
-        F.sum(losses.negative_log_likelihood(F.col("logits"), F.col("y"))).alias("loss_sum")))
-    loss = losses.log_loss(cells, by).withColumnRenamed("log_loss", "eval_loss")
-    scores = metrics.metrics_summary(cells, by).select(*by, "accuracy", "f1_macro", "f1_weighted")
-    return loss.join(scores, list(by))
+        F.sum(negative_log_likelihood(F.col("logits"), F.col("y"))).alias("loss_sum")))
+    scores = metrics.metrics_summary(cells, by, {"loss_sum": F.sum})
+    loss = F.try_divide(F.col("loss_sum"), F.col("n").cast("double"))
+    return scores.select(*by, "n", loss.alias("eval_loss"), "accuracy", "f1_macro", "f1_weighted")
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -117,14 +117,15 @@ def baseline_predictions(df: DataFrame, classes: int, y: str = "y", row_id: str
     """(baseline, y, p, n) cells of two untrained scorers.
 
     ``random`` draws a class from a hash of the row; ``majority`` always gives
-    the most frequent class. Both come from one pass: the majority cells are a
-    relabelling of the counts of the random ones.
+    the most frequent class, the first one on ties. Both come from one pass: the
+    majority cells are a relabelling of the random ones.
     """
     cells = metrics.confusion_cells(df.select(
         F.col(y).alias("y"), (row_draw(df, row_id, seed) % classes).alias("p")))
-    by_class = cells.groupBy("y").agg(F.sum("n").alias("n"))
-    top = by_class.agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("p"),
-                       F.collect_list(F.struct("y", "n")).alias("all"))
-    majority = top.select(F.lit("majority").alias("baseline"), F.col("p"), F.inline("all"))
-    return cells.select(F.lit("random").alias("baseline"), "y", "p", "n").unionByName(
-        majority.select("baseline", "y", "p", "n"))
+    every = W.partitionBy(F.lit(0))
+    ranked = (cells.withColumn("_class", F.struct(
+        F.sum("n").over(W.partitionBy("y")).alias("n"), (-F.col("y")).alias("y")))
+        .withColumn("_top", -F.max("_class").over(every)["y"]))
+    both = F.array(F.struct(F.lit("random").alias("baseline"), F.col("p")),
+                   F.struct(F.lit("majority").alias("baseline"), F.col("_top").alias("p")))
+    return metrics.sum_cells(ranked.select("y", "n", F.inline(both)), ("baseline",))

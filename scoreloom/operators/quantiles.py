@@ -11,6 +11,12 @@ from scoreloom.operators.ranks import RANK_ROWS, first_regions, logarithmic, ran
 from scoreloom.session import settle
 
 
+def value_counts_by(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, value, _c): rows per group and value; a large group spreads over all tasks."""
+    return (df.where(F.col(value).isNotNull() & F.col(by).isNotNull())
+            .groupBy(by, value).agg(F.count("*").alias("_c")))
+
+
 def exact_quantiles(df: DataFrame, by: str, value: str, probs: Sequence[float],
                     rank_rows: int = RANK_ROWS) -> DataFrame:
     """(by, quantiles): linearly interpolated quantiles, in the order of ``probs``.
@@ -20,9 +26,7 @@ def exact_quantiles(df: DataFrame, by: str, value: str, probs: Sequence[float],
     taken from the counts. Fractional values go through ``ranked_rows``.
     """
     if isinstance(df.schema[value].dataType, WHOLE_NUMBERS):
-        counts = (df.where(F.col(value).isNotNull() & F.col(by).isNotNull())
-                  .groupBy(by, value).agg(F.count("*").alias("_c")))
-        return counts.groupBy(by).agg(
+        return value_counts_by(df, by, value).groupBy(by).agg(
             F.percentile(value, [float(q) for q in probs], F.col("_c")).alias("quantiles"))
     return _ranked_quantiles(df, by, value, probs, rank_rows)
 

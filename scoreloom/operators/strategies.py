@@ -30,20 +30,24 @@ def strategy_cells(cells: DataFrame, remappings: Sequence[Remapping] = REMAPPING
     return remap(cells, remappings, "grade").withColumnRenamed("binary_label", "y")
 
 
-def strategy_metrics(cells: DataFrame, remappings: Sequence[Remapping] = REMAPPINGS) -> DataFrame:
-    """Per strategy: accuracy, both F1s, the matrix and both label histograms."""
-    fanned = strategy_cells(cells, remappings)
-    scores = metrics.metrics_summary(metrics.sum_cells(fanned, KEYS), KEYS)
-
-    def count(cond):
-        return F.sum(F.when(cond, F.col("n")).otherwise(F.lit(0).cast("bigint")))
-
-    y, p = F.col("y"), F.col("p")
-    counts = fanned.groupBy(*KEYS, "description").agg(
-        *[count((y == i) & (p == j)).alias(f"n_{i}{j}") for i in (0, 1) for j in (0, 1)],
-        *[count(y == i).alias(f"true_{i}") for i in (0, 1)],
-        *[count(p == j).alias(f"pred_{j}") for j in (0, 1)])
-    return scores.join(counts, list(KEYS))
+def strategy_metrics(cells: DataFrame, remappings: Sequence[Remapping] = REMAPPINGS,
+                     grades: Sequence[str] = ()) -> DataFrame:
+    """Per strategy: accuracy, both F1s, the matrix and both label histograms.
+
+    ``grades`` asks for the number of rows per original grade as well.
+    """
+    counts = metrics.cell_counts(2) | {
+        f"grade_{g}": F.when(F.col("grade") == g, F.col("n")).otherwise(F.lit(0).cast("bigint"))
+        for g in grades}
+    fanned = strategy_cells(cells, remappings).withColumns(counts)
+    scores = metrics.metrics_summary(fanned, (*KEYS, "description"), {c: F.sum for c in counts})
+
+    def total(*names):
+        return sum((F.col(c) for c in names[1:]), F.col(names[0]))
+
+    return scores.withColumns({
+        "true_0": total("n_00", "n_01"), "true_1": total("n_10", "n_11"),
+        "pred_0": total("n_00", "n_10"), "pred_1": total("n_01", "n_11")})
 
 
 def grade_breakdown(cells: DataFrame, remappings: Sequence[Remapping] = REMAPPINGS) -> DataFrame:

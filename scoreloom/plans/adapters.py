@@ -54,10 +54,8 @@ def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("source").alias("question"),
         F.col("text").alias("student_answer"))
-    labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("row_id"), _grade().alias("grade"))
-    return _with_reference(spark, sf_dir, documents.join(labels, "row_id"), F.col("row_id"),
-                           reference_answer=F.col("text"))
+    return _with_reference(spark, sf_dir, documents.join(grades(spark, sf_dir), "row_id"),
+                           F.col("row_id"), reference_answer=F.col("text"))
 
 
 GRADED_SQL = ("graded", f"""
@@ -67,6 +65,12 @@ GRADED_SQL = ("graded", f"""
   JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""")
 
 
+def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, grade) alone; queries that need no text start here."""
+    return table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("row_id"), _grade().alias("grade"))
+
+
 def graded_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length columns of ``graded``, measured at the scans.
 
@@ -76,10 +80,8 @@ def graded_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"),
         length_columns(text, text)["answer_length"].alias("answer_length"))
-    labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("row_id"), _grade().alias("grade"))
     joined = _with_reference(
-        spark, sf_dir, documents.join(labels, "row_id"), F.col("row_id"),
+        spark, sf_dir, documents.join(grades(spark, sf_dir), "row_id"), F.col("row_id"),
         reference_length=length_columns(text, text)["reference_length"])
     return length_ratios(joined)
 
@@ -90,8 +92,7 @@ def raw_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("row_id"),
         F.when(F.col("source") == "src3", "NA").when(F.col("source") != "src5", F.col("source"))
         .alias("question"), F.col("text").alias("student_answer"))
-    labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("row_id"), _grade().alias("_grade"))
+    labels = grades(spark, sf_dir).withColumnRenamed("grade", "_grade")
     spelled = (F.when(F.col("row_id") % 3 == 0, F.col("_grade"))
                .when(F.col("row_id") % 3 == 1, F.concat("_grade", F.lit(".0")))
                .otherwise(F.concat(F.lit(" "), "_grade")))

@@ -10,7 +10,7 @@ from scoreloom.operators.weights import class_weights
 from scoreloom.functions.probability import argmax, confidence, softmax
 from scoreloom.plans.adapters import (
     BINARY_SQL, BULK_SQL, CLASSES, EPOCH_ROWS_SQL, GRADED_SQL, LOGITS_SQL, binary_prediction, bulk,
-    epoch_rows, graded_lengths, logit_rows, mix_sql)
+    epoch_rows, grades, logit_rows, mix_sql)
 from scoreloom.plans.registry import query, steps
 
 
@@ -124,7 +124,7 @@ def _grade_cells(spark, sf_dir):
     CASE WHEN list_contains(s.zeros, g.grade) THEN 0 ELSE 1 END AS binary_label
   FROM graded g, (VALUES {_STRATEGY_ROWS}) s(strategy_order, strategy, description, zeros)"""))
 def _(spark, sf_dir):
-    return remap(graded_lengths(spark, sf_dir).select("row_id", "grade"))
+    return remap(grades(spark, sf_dir))
 
 
 @query("strategy_metrics", steps(BULK_SQL, JUDGED, STRATEGY_SCORES, f"""

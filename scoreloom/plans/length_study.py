@@ -10,7 +10,7 @@ from scoreloom.functions.bins import BAND_NAMES, Bins, LENGTH_BINS, RATIO_BINS,
 from scoreloom.operators import ledger, lengths
 from scoreloom.operators.labels import FOUR_GRADE_INDEX
 from scoreloom.plans.adapters import (
-    BULK_SQL, GRADED_SCORED, GRADED_SQL, bulk, graded_lengths, graded_scored, table, with_scores)
+    BULK_SQL, GRADED_SCORED, GRADED_SQL, bulk, graded_lengths, graded_scored, grades, table, with_scores)
 from scoreloom.plans.registry import query, steps
 from scoreloom.schema import FOUR_GRADES
 
@@ -180,14 +180,14 @@ def _extreme_sql(direction):
 
 
 def _extremes(spark, sf_dir, longest):
-    """Length and preview are taken at the scan; the joins never move a whole text."""
+    """Length and preview are taken at the scan; the join never moves a whole text."""
     previews = ledger.with_preview(
         table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"),
                                                  F.col("text").alias("student_answer"),
                                                  F.length("text").cast("bigint").alias("answer_length"))
     ).drop("student_answer")
-    grades = with_scores(graded_lengths(spark, sf_dir).select("row_id", "grade"))
-    judged = ledger.with_verdict(grades, FOUR_GRADE_INDEX).join(previews, "row_id")
+    scored = with_scores(grades(spark, sf_dir))
+    judged = ledger.with_verdict(scored, FOUR_GRADE_INDEX).join(previews, "row_id")
     return ledger.extreme_answers(judged, longest).select(
         "row_id", "answer_length", "grade", "predicted_grade", "is_correct", "answer_preview")
 

@@ -8,8 +8,8 @@ from scoreloom.functions.text import AUGMENT_TEMPLATES, BASELINE_TEMPLATE, DEFAU
 from scoreloom.operators import cleaning, encoding, labels, ledger, lengths, prompts, splits
 from scoreloom.operators.labels import FOUR_GRADE_INDEX
 from scoreloom.plans.adapters import (
-    BULK_SQL, GRADED_SCORED, GRADED_SQL, ORDERS_SQL, TURNS_SQL, bulk, graded, graded_lengths, graded_scored,
-    mix_sql, order_grades, raw_graded, turn_pairs)
+    BULK_SQL, GRADED_SCORED, GRADED_SQL, ORDERS_SQL, TURNS_SQL, bulk, graded, grades, mix_sql,
+    order_grades, raw_graded, turn_pairs, with_scores)
 from scoreloom.plans.registry import query, steps
 from scoreloom.schema import FOUR_GRADES, GRADE, QUESTION, REFERENCE, ROW_ID, STUDENT
 from scoreloom.session import scratch_path
@@ -61,7 +61,7 @@ def _(spark, sf_dir):
 @query("label_encode", steps(GRADED_SQL, """
   SELECT row_id, grade, (dense_rank() OVER (ORDER BY grade) - 1)::INT AS label FROM graded"""))
 def _(spark, sf_dir):
-    return labels.encode_labels(graded_lengths(spark, sf_dir).select(ROW_ID, GRADE))
+    return labels.encode_labels(grades(spark, sf_dir))
 
 
 @query("label_encode_fixed", steps(BULK_SQL, """
@@ -88,7 +88,8 @@ def _(spark, sf_dir):
 @query("sample_ledger", steps(*GRADED_SCORED, """
   SELECT row_id, grade AS true_grade, predicted_grade, grade = predicted_grade AS is_correct FROM scored"""))
 def _(spark, sf_dir):
-    return ledger.sample_ledger(ledger.with_verdict(graded_scored(spark, sf_dir), FOUR_GRADE_INDEX))
+    scored = with_scores(grades(spark, sf_dir))
+    return ledger.sample_ledger(ledger.with_verdict(scored, FOUR_GRADE_INDEX))
 
 
 def _wording(text: str) -> str:
@@ -224,8 +225,7 @@ _TWO = splits.TWO_WAY
 @query("stratified_split_3way", steps(GRADED_SQL, *split_sql(
     "graded", _THREE["names"], _THREE["keep"], "SELECT row_id, grade, split FROM split_rows")))
 def _(spark, sf_dir):
-    rows = graded_lengths(spark, sf_dir).select(ROW_ID, GRADE)
-    return splits.stratified_split(rows, GRADE, **_THREE)
+    return splits.stratified_split(grades(spark, sf_dir), GRADE, **_THREE)
 
 
 @query("stratified_split_2way", steps(ORDERS_SQL, *split_sql(

@@ -70,7 +70,9 @@ def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     written to the checkpoint folder and returned without a hint, so that the
     join is planned as a shuffle join (with the skew handling of AQE).
     """
-    rows = df.limit(max_rows + 1).toArrow()
+    # One partition, so that the limit is reached in one job and not by trying
+    # more and more partitions.
+    rows = df.coalesce(1).limit(max_rows + 1).toArrow()
     if rows.num_rows <= max_rows:
         return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
     checkpoint_root(df.sparkSession)

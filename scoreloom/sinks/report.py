@@ -13,7 +13,8 @@ from scoreloom.operators import metrics, progress, strategies
 from scoreloom.operators.labels import ClassIndex, REMAPPINGS
 from scoreloom.operators.lengths import QUARTILES
 from scoreloom.operators.quantiles import exact_quantiles
-from scoreloom.schema import GRADE
+from scoreloom.schema import FOUR_GRADES, GRADE
+from scoreloom.session import gathered
 
 # Fixed value: time format of a run tag.
 RUN_ID_FORMAT = "yyyyMMdd_HHmmss"
@@ -35,58 +36,49 @@ def write_table(df: DataFrame, path: str, by: Sequence[str] = ("split",)) -> Non
     df.write.partitionBy(*by).mode("append").parquet(path)
 
 
-def _matrix(classes: int) -> Column:
-    def n(i, j):
-        hit = (F.col("y") == i) & (F.col("p") == j)
-        return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0).cast("bigint"))
-
-    return F.array(*[F.array(*[n(i, j) for j in range(classes)]) for i in range(classes)])
-
-
 def evaluation_report(df: DataFrame, index: ClassIndex, tag: Column | None = None) -> DataFrame:
     """One document: matrix, class names, sample count, scores and confidence range.
 
     The rows are read once, into cells that also carry the confidence range.
     """
-    by = ("run_id",)
-    cells = (df.groupBy("y", "p").agg(
+    classes = len(index)
+    counts = metrics.cell_counts(classes)
+    cells = gathered(df.groupBy("y", "p").agg(
         F.count("*").alias("n"), F.sum("confidence").alias("c_sum"),
-        F.min("confidence").alias("c_min"), F.max("confidence").alias("c_max"))
-        .withColumn("run_id", tag if tag is not None else run_id()))
-    scores = metrics.metrics_summary(cells, by)
-    shape = cells.groupBy(*by).agg(
-        _matrix(len(index)).alias("confusion_matrix"),
-        F.struct(F.try_divide(F.sum("c_sum"), F.sum("n").cast("double")).alias("mean"),
-                 F.min("c_min").alias("min"), F.max("c_max").alias("max")).alias("confidence_stats"))
-    return scores.join(shape, list(by)).select(
-        *by, F.col("run_id").alias("timestamp"), "confusion_matrix",
+        F.min("confidence").alias("c_min"), F.max("confidence").alias("c_max"))).withColumns(counts)
+    carry = {"c_sum": F.sum, "c_min": F.min, "c_max": F.max} | {c: F.sum for c in counts}
+    matrix = F.array(*[F.array(*[f"n_{i}{j}" for j in range(classes)]) for i in range(classes)])
+    spread = F.struct(F.try_divide(F.col("c_sum"), F.col("n").cast("double")).alias("mean"),
+                      F.col("c_min").alias("min"), F.col("c_max").alias("max"))
+    return metrics.metrics_summary(cells, (), carry).select(
+        (tag if tag is not None else run_id()).alias("run_id"),
+        (tag if tag is not None else run_id()).alias("timestamp"), matrix.alias("confusion_matrix"),
         F.array(*[F.lit(c) for c in index.classes]).alias("class_names"),
         F.struct(F.col("n").alias("total_samples"), "accuracy", "f1_macro",
-                 "confidence_stats").alias("summary"))
+                 spread.alias("confidence_stats")).alias("summary"))
 
 
-def strategy_report(grade_cells: DataFrame, tag: Column | None = None,
-                    remappings=REMAPPINGS) -> DataFrame:
+def strategy_report(grade_cells: DataFrame, tag: Column | None = None, remappings=REMAPPINGS,
+                    grades: Sequence[str] = FOUR_GRADES) -> DataFrame:
     """One document: grade counts, every strategy's numbers, and the best strategy."""
-    tagged = grade_cells.withColumn("run_id", tag if tag is not None else run_id())
-    scores = strategies.strategy_metrics(grade_cells, remappings).withColumn(
-        "run_id", tag if tag is not None else run_id())
+    scores = strategies.strategy_metrics(grade_cells, remappings, grades)
     document = F.struct(
         "description", "accuracy", "f1_macro", "f1_weighted",
         F.array(F.array("n_00", "n_01"), F.array("n_10", "n_11")).alias("confusion_matrix"),
         F.array("true_0", "true_1").alias("true_distribution"),
         F.array("pred_0", "pred_1").alias("pred_distribution"))
-    per_strategy = scores.groupBy("run_id").agg(
+    # Every strategy sees all rows, so any of them knows the grade counts.
+    distribution = F.create_map(*[x for g in grades for x in (F.lit(g), F.max(f"grade_{g}"))])
+    return scores.groupBy().agg(
+        distribution.alias("original_distribution"),
         F.map_from_entries(F.sort_array(F.collect_list(
             F.struct("strategy", document.alias("d"))))).alias("strategies"),
-        F.max_by("strategy", F.struct("accuracy", -F.col("strategy_order"))).alias("best_strategy"),
-        F.max("accuracy").alias("best_accuracy"), F.max("n").alias("total_samples"))
-    grades = (tagged.groupBy("run_id", "grade").agg(F.sum("n").alias("n")).groupBy("run_id").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("grade", "n")))).alias(
-            "original_distribution")))
-    return per_strategy.join(grades, "run_id").select(
-        "run_id", F.col("run_id").alias("timestamp"), "original_distribution", "strategies",
-        F.struct("total_samples", "best_strategy", "best_accuracy").alias("summary"))
+        F.struct(
+            F.max("n").alias("total_samples"),
+            F.max_by("strategy", F.struct("accuracy", -F.col("strategy_order"))).alias("best_strategy"),
+            F.max("accuracy").alias("best_accuracy")).alias("summary"),
+    ).select((tag if tag is not None else run_id()).alias("run_id"),
+             (tag if tag is not None else run_id()).alias("timestamp"), "*")
 
 
 def baseline_report(scores: DataFrame, baseline: str, trained: str,
@@ -155,7 +147,7 @@ def length_report(df: DataFrame, grades: Sequence[str], tag: Column | None = Non
     quartiles = exact_quantiles(df, "grade", "answer_length", QUARTILES).withColumnRenamed(
         "quantiles", "quartiles")
     profile = length_profile(df, "grade", length_bins, ratio_bins).join(quartiles, "grade", "left")
-    gathered = profile.agg(
+    studied = profile.agg(
         by_bin(_BY_LENGTH, "length_bin", length_bins).alias("accuracy_by_length"),
         by_bin(_BY_RATIO, "ratio_bin", ratio_bins).alias("accuracy_by_relation"),
         overall("corr_length").alias("correlation_length_grade"),
@@ -165,7 +157,7 @@ def length_report(df: DataFrame, grades: Sequence[str], tag: Column | None = Non
     def total(f) -> Column:
         return F.aggregate("_g", F.lit(0.0), lambda acc, g: acc + f(g))
 
-    spread = (gathered.withColumn("_n", total(lambda g: g["n"]))
+    spread = (studied.withColumn("_n", total(lambda g: g["n"]))
               .withColumn("_centre", F.try_divide(total(lambda g: g["n"] * g["mean"]), F.col("_n"))))
     between = total(lambda g: g["n"] * F.pow(g["mean"] - F.col("_centre"), F.lit(2.0)))
     within = total(lambda g: (g["n"] - 1) * g["variance"])

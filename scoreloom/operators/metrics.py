@@ -146,7 +146,7 @@ def normalised_matrix(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Cells with their share of the true class, and a printable annotation.
 
     The annotation shows whole percents on the diagonal of matrices with more
-    than two classes and one decimal elsewhere.
+    than two classes and one decimal elsewhere, rounded half to even.
     """
     row = W.partitionBy(*by, "y")
     matrix = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
@@ -155,8 +155,8 @@ def normalised_matrix(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return cells.withColumn("share", share).withColumn(
         "annotation",
         F.concat(F.col("n").cast("string"), F.lit(" ("),
-                 F.when(whole, F.format_string("%.0f", F.col("share") * 100))
-                 .otherwise(F.format_string("%.1f", F.col("share") * 100)), F.lit("%)")))
+                 F.when(whole, F.format_string("%.0f", F.bround(F.col("share") * 100, 0)))
+                 .otherwise(F.format_string("%.1f", F.bround(F.col("share") * 100, 1))), F.lit("%)")))
 
 
 def bincount(df: DataFrame, label: str, weight: str | None = None) -> DataFrame:

@@ -39,7 +39,10 @@ def _(spark, sf_dir):
     return metrics.normalised_matrix(runs(spark, sf_dir), progress.RUN_KEYS).drop("annotation")
 
 
-@query("confusion_annotated")
+@query("confusion_annotated", steps(*RUNS, """
+  SELECT run_order, run, y, p, n, round(s, 6) AS share, n::VARCHAR || ' (' || CASE WHEN y = p
+      THEN printf('%.0f', round_even(100 * s, 0)) ELSE printf('%.1f', round_even(100 * s, 1)) END || '%)' AS annotation
+  FROM (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY run, y) AS s FROM runs)"""))
 def _(spark, sf_dir):
     return metrics.normalised_matrix(runs(spark, sf_dir), progress.RUN_KEYS)
 

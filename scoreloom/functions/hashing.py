@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
+
+from scoreloom.schema import WHOLE_NUMBERS
 
 BITS = 32
 MASK = (1 << BITS) - 1
 # Two odd multipliers below 2**31, so that a product with a
 # 32-bit number fits into a signed 64-bit one.
 MULTIPLIERS = (0x7FEB352D, 0x6C8E9CF5)
-WHOLE_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def draw(*parts: Column, word: int = 0) -> Column:

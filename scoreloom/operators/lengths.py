@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scoreloom.functions.bins import Bins, LENGTH_BINS, RATIO_BINS
 from scoreloom.functions.fdist import f_tail_column
-from scoreloom.functions.hashing import WHOLE_NUMBERS
 from scoreloom.functions.stats import pearson
 from scoreloom.operators.quantiles import exact_quantiles, value_counts_by
-from scoreloom.schema import GRADE, REFERENCE, STUDENT
+from scoreloom.schema import GRADE, REFERENCE, STUDENT, WHOLE_NUMBERS
 from scoreloom.session import gathered, settle
 
 QUARTILES = (0.25, 0.5, 0.75)

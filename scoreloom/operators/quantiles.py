@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from scoreloom.functions.hashing import WHOLE_NUMBERS
 from scoreloom.operators.ranks import RANK_ROWS, first_regions, logarithmic, ranked_rows
+from scoreloom.schema import WHOLE_NUMBERS
 from scoreloom.session import settle
 
 

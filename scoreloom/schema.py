@@ -31,6 +31,9 @@ NA_TOKENS = (
     "nan", "null",
 )
 
+# Column types that count things.
+WHOLE_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
 GRADED_SCHEMA = T.StructType([
     T.StructField(ROW_ID, T.LongType()),
     T.StructField(QUESTION, T.StringType()),

@@ -43,6 +43,13 @@ def test_columns_go_by_name(spark, tmp_path):
     assert rows(delimited.read_delimited(spark, str(tmp_path), encoding="utf-8")) == [("q", "r", "s", "2")]
 
 
+def test_file_with_another_header_stops_the_job(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(";".join(SOURCE_HEADERS) + "\nq;r;s;2\n" * 1, encoding="utf-8")
+    (tmp_path / "b.csv").write_text(";".join(list(SOURCE_HEADERS)[::-1]) + "\n2;s;r;q\n", encoding="utf-8")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        delimited.read_delimited(spark, str(tmp_path), encoding="utf-8").collect()
+
+
 def test_missing_column(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("Вопрос;Оценка\nq;2".encode("cp1251"))
     with pytest.raises(ValueError, match="reference_answer"):

@@ -64,7 +64,7 @@ def test_texts_do_not_pass_the_joins_of_the_length_study(spark, sf_dir):
 
 
 # Queries on the large table that may read it more than once: ranks and whiskers.
-PASSES = {"bulk_length_boxplot": 2, "bulk_ratio_boxplot": 9, "bulk_grade_ratio_describe": 9, "label_encode_unseen": 2}
+PASSES = {"bulk_length_boxplot": 2, "bulk_ratio_boxplot": 9, "bulk_grade_ratio_describe": 9}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoreloom.llm import mixing, token_counts, topk_search, url_filter
+from scoreloom.llm import mixing, suffix_dedup, token_counts, topk_search, url_filter
 from scoreloom.llm.runtime import table
 
 QUERIES = {}
@@ -112,3 +112,13 @@ def _seats_sql(parties: str, claim: str, seats: str, within: str, name: str) ->
       + greatest(0, least(size, quota % shard_size - front)) ELSE 0 END)::BIGINT AS taken FROM placed""")
 def _(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+# --- suffix-array removal of repeats -----------------------------------------
+
+@query("op1_suffix_dedup")
+def _(spark, sf_dir):
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))

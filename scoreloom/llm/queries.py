@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoreloom.llm import mixing, suffix_dedup, token_counts, topk_search, url_filter
+from scoreloom.llm import decontaminate, mixing, suffix_dedup, token_counts, topk_search, url_filter
 from scoreloom.llm.runtime import table
 
 QUERIES = {}
@@ -122,3 +122,30 @@ def _(spark, sf_dir):
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# --- benchmark decontamination -----------------------------------------------
+
+_WORDS10 = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+            "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+
+@query("op10_decontaminate", f"""
+  WITH items AS (SELECT item_id, {_WORDS10} AS w FROM benchmark),
+  windows AS (SELECT DISTINCT item_id, len(win) AS n, array_to_string(win, ' ') AS win FROM (
+    SELECT item_id, unnest([w[i:i + 12] FOR i IN range(1, greatest(len(w) - 12, 1) + 1)]) AS win FROM items WHERE len(w) > 0)),
+  docs AS (SELECT doc_id, {_WORDS10} AS w FROM documents),
+  placed AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM (
+    SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows))),
+  matches AS (SELECT DISTINCT p.doc_id, p.i, p.n, x.item_id FROM placed p JOIN windows x USING (n, win)),
+  hit AS (SELECT doc_id, count(*) AS n_hit FROM (
+    SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS at FROM (SELECT DISTINCT doc_id, i, n FROM matches)) GROUP BY doc_id),
+  found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (
+    SELECT DISTINCT doc_id, item_id FROM matches) GROUP BY doc_id)
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+  FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)""")
+def _(spark, sf_dir):
+    rows = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoreloom.llm import decontaminate, mixing, suffix_dedup, token_counts, topk_search, url_filter
+from scoreloom.llm import decontaminate, mixing, pii, suffix_dedup, token_counts, topk_search, url_filter
 from scoreloom.llm.runtime import table
 
 QUERIES = {}
@@ -149,3 +149,16 @@ def _(spark, sf_dir):
     rows = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+# --- personal data -----------------------------------------------------------
+
+@query("op3_pii")
+def _(spark, sf_dir):
+    rows = pii.personal_data(table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans"))

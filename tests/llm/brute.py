@@ -33,3 +33,34 @@ def repeats(docs, length=50):
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         out.append((doc_id, len(raw), sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+import re  # noqa: E402
+
+PII = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+       ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def personal(text):
+    """Base spans (kind, start, end) of one text."""
+    out = []
+    for kind, pattern in PII:
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if (kind == "ip" and any(int(p) > 255 for p in m[0].split(".")) or kind == "card" and not (13 <= len(digits) <= 19 and luhn(digits))
+                    or kind == "phone" and not 9 <= len(digits) <= 15):
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+def digest(spans):
+    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoreloom.llm import decontaminate, mixing, pii, suffix_dedup, token_counts, topk_search, url_filter
+from scoreloom.llm import decontaminate, mixing, ngram_join, pii, suffix_dedup, token_counts, topk_search, url_filter
 from scoreloom.llm.runtime import table
 
 QUERIES = {}
@@ -162,3 +162,10 @@ def _(spark, sf_dir):
 
     counts = [count(k) for k in pii.KINDS]
     return rows.select("doc_id", *counts, F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans"))
+
+
+# --- n-gram Jaccard join -----------------------------------------------------
+
+@query("op2_ngram_join")
+def _(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))

@@ -64,3 +64,40 @@ def personal(text):
 
 def digest(spans):
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
+
+
+def shingles(text, width=5):
+    words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    if len(words) < width:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i:i + width]) for i in range(len(words) - width + 1)}
+
+
+def near_copies(docs):
+    """(doc_id, n_shingles, component_id) of every (doc_id, text) row, by comparing all that share a shingle."""
+    sets = [shingles(t) for _, t in docs]
+    where = {}
+    for i, s in enumerate(sets):
+        if docs[i][0] is not None:
+            for g in s:
+                where.setdefault(g, []).append(i)
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        if docs[i][0] is None:
+            continue
+        for j in {j for g in s for j in where[g] if j < i}:
+            both = len(s & sets[j])
+            if 100 * both >= 80 * len(s | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            r = find(i)
+            least[r] = min(d, least.get(r, d))
+    return [(d, len(sets[i]), None if d is None else least[find(i)]) for i, (d, _) in enumerate(docs)]

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scoreloom.llm.runtime import stored
+from scoreloom.llm.runtime import stored, text_tag, without
 
 WINDOW = 13
 TERMS = 500_000         # test terms up to this number are broadcast, more are joined by shuffle
@@ -50,7 +50,7 @@ def test_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
 
 def _placed(docs: DataFrame) -> DataFrame:
     # doc_id alone may repeat or be NULL; with a hash of the text it names the row's content.
-    return docs.select(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tag"), F.col("text"))
+    return docs.select(F.col("doc_id"), text_tag(F.col("text")).alias("tag"), F.col("text"))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -139,3 +139,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, share:
         base["doc_id"], base["tag"], "n_words", n_hit.alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         ((n_hit > 0) & (F.lit(share) * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame, width: int = WINDOW, share: int = 20) -> DataFrame:
+    """``docs``, all columns, without the contaminated documents."""
+    return without(docs, contamination(docs, items, width, share).where("contaminated").select("doc_id", "tag"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from scoreloom.llm.components import components
-from scoreloom.llm.runtime import parts_for, stored, text_bytes
+from scoreloom.llm.runtime import once, parts_for, stored, text_bytes, text_tag
 from scoreloom.llm.suffix_dedup import joined, pack, taken, unpack
 from scoreloom.llm.textvec import NOT_SPACE, ODD, U64, flat, hash_runs, lowered, mix, portions, shingle_hashes, words_of
 
@@ -112,7 +112,7 @@ def _bitmap(h: np.ndarray) -> bytes:
 
 
 def _signer(width: int, share, frequent):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.binary()), ("bits", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.binary()), ("bits", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = frequent.value
@@ -134,7 +134,7 @@ def _signer(width: int, share, frequent):
             ends = np.cumsum(kept)
             node, n = _names(h, of, batch.num_rows)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(n), pa.array(node),
+                batch.column("doc_id"), batch.column("tag"), pa.array(n), pa.array(node),
                 pa.array([rare[e - k:e].tobytes() for e, k in zip(ends, kept)], pa.binary()),
                 pa.array([_bitmap(h[f:f + k]) for f, k in zip(first, n)], pa.binary())], schema=schema)
 
@@ -372,7 +372,7 @@ def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, share
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document.
+    """doc_id, n_shingles, component_id and tag (a hash of the text) of every document.
 
     Words are what white space separates, A-Z lower-cased. A document is the
     set of its ``width``-word shingles; with fewer words all of them are one
@@ -390,7 +390,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: tuple[int, int]
     parts = parts_for(text_bytes(rows), BUCKET_BYTES)
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_grams(rows.select("text"), width))
-    signed = stored(rows.mapInArrow(_signer(width, share, frequent), "doc_id long, n long, node long, prefix binary, bits binary"), "signed")
+    signed = stored(rows.select("doc_id", "text", text_tag(F.col("text")).alias("tag")).mapInArrow(
+        _signer(width, share, frequent), "doc_id long, tag long, n long, node long, prefix binary, bits binary"), "signed")
     # One node per different set, held by its smallest doc_id.
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
     nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
@@ -409,7 +410,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: tuple[int, int]
     least = held.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     placed = held.join(least, "component").select("node", "component_id")
     ids = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return signed.join(placed, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), ids.alias("component_id"))
+    return signed.join(placed, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), ids.alias("component_id"), "tag")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
+    """``docs`` with one document of every component: the one of smallest doc_id
+    (then smallest hash of the text). Documents without words or without doc_id
+    are in no group and stay, repeated rows of a document that stays are one."""
+    found = stored(near_duplicates(docs, width, share).where("n_shingles > 0 AND doc_id IS NOT NULL"), "found")
+    per = found.groupBy("component_id", "doc_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    first = found.groupBy(F.col("component_id").alias("of")).agg(F.min(F.struct("doc_id", "tag")).alias("first"))
+    judged = stored(per.join(first, F.col("component_id") == F.col("of")).select(
+        "doc_id", "tag", "n", (F.struct("doc_id", "tag") == F.col("first")).alias("stays")), "judged")
+    return once(docs, judged.where("stays AND n > 1"), judged.where("NOT stays"))
 
 
 def _ranked(members: DataFrame, parts: DataFrame) -> DataFrame:

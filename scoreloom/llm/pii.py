@@ -277,3 +277,14 @@ def redacted(text: Column, spans: Column) -> Column:
         s["end"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))),
         lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with all found spans replaced; ``n_chars``, if present, follows the text."""
+    found = personal_data(docs, tuple(docs.columns))
+    new = redacted(F.coalesce(F.col("text"), F.lit("")), F.col("spans"))
+    changed = F.when(F.size("spans") > 0, new).otherwise(F.col("text"))
+    out = found.withColumn("__new", changed)
+    columns = {"text": F.col("__new").alias("text"),
+               "n_chars": F.when(F.size("spans") > 0, F.length("__new").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in docs.columns else None}
+    return out.select(*[columns[c] if columns.get(c) is not None else F.col(c) for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoreloom.llm import decontaminate, mixing, ngram_join, pii, suffix_dedup, token_counts, topk_search, url_filter
+from scoreloom.llm import decontaminate, mixing, ngram_join, pii, quality, secrets, suffix_dedup, token_counts, topk_search, url_filter
 from scoreloom.llm.runtime import table
 
 QUERIES = {}
@@ -169,3 +169,24 @@ def _(spark, sf_dir):
 @query("op2_ngram_join")
 def _(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# --- quality classifier ------------------------------------------------------
+
+@query("op8_quality")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+# --- secrets -----------------------------------------------------------------
+
+@query("op9_secrets")
+def _(spark, sf_dir):
+    rows = secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return rows.select("doc_id", *[count(k) for k in secrets.KINDS], F.sha2(secrets.spelled("base"), 256).alias("base_sha256"),
+                       secrets.spelled("spans").alias("spans"))

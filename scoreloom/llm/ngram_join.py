@@ -35,8 +35,8 @@ from scoreloom.llm.textvec import NOT_SPACE, ODD, U64, flat, hash_runs, lowered,
 WIDTH = 5
 SHARE = (80, 100)           # links when SHARE[1] * overlap >= SHARE[0] * union
 FREQUENT = 50_000           # n-grams ordered by count, all others by hash
-GATHER_BYTES = 32 << 20
-BUCKET_BYTES = 16 << 20
+GATHER_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 LONG = 128                  # documents of a column that are multiplied out
 HOT_LOCAL = 64              # documents of a column in one gathering beyond which it is salted
 SALTS = 32

@@ -37,8 +37,8 @@ from scoreloom.llm.textvec import ODD, U64, flat, hash_runs, mix, portions
 
 LENGTH = 50
 GRAM = 20
-BUCKET_BYTES = 16 << 20     # text behind one bucket
-GATHER_BYTES = 32 << 20     # text a map task turns into one row per bucket
+BUCKET_BYTES = 8 << 20     # text behind one bucket
+GATHER_BYTES = 16 << 20     # text a map task turns into one row per bucket
 LEVEL_ROWS = 1 << 17        # least rows of a batch that becomes a level
 HOT_LOCAL = 64              # surroundings of an anchor in one gathering beyond which it is dealt by window
 HOT_BUCKET = 4096           # the same, in a bucket
@@ -100,10 +100,6 @@ def row_key(doc_id: np.ndarray, tag: np.ndarray) -> np.ndarray:
     return mix(doc_id.astype(np.int64).view(U64) * U64(ODD[0]) + tag.astype(U64) * U64(ODD[4]))
 
 
-def text_tags(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return (hash_runs(raw, starts[:-1], starts[1:]) >> U64(32)).astype(np.uint32)
-
-
 # --- anchors -----------------------------------------------------------------
 
 def _words64(raw: np.ndarray) -> np.ndarray:
@@ -129,6 +125,15 @@ def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+def window_hashes(raw: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the ``length`` bytes from every place in ``begin``."""
+    words, h = _words64(raw), np.zeros(len(begin), dtype=U64)
+    for o in (*range(0, length - 7, 8), length - 8):
+        h = (h ^ words[begin + o]) * U64(ODD[0])
+        h ^= h >> U64(29)
+    return mix(h)
+
+
 def anchor_runs(raw: np.ndarray, starts: np.ndarray, length: int, k: int):
     """Runs of windows with one anchor: text, first window, windows, anchor, fingerprint."""
     n = len(raw) - length + 1
@@ -243,7 +248,7 @@ def _indexer(length: int, k: int, parts: int, buckets: int):
         for batch in portions(batches):
             raw, starts = flat(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            tags = text_tags(raw, starts)
+            tags = batch.column("tag").to_numpy().astype(np.uint32)
             text, start, n, gram, print_ = anchor_runs(raw, starts, length, k)
             if len(text):
                 pieces.append({
@@ -383,7 +388,7 @@ def _texts(docs: pa.Table):
     ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
     valid = np.asarray(ids.is_valid())
     ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    tags = text_tags(raw, starts)
+    tags = docs.column("tag").to_numpy().astype(np.uint32)
     return raw, starts, ids, tags, valid
 
 
@@ -417,8 +422,7 @@ def _fetcher(length: int, parts: int, buckets: int):
             if status == HOT:
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at, start, n = np.repeat(at, n), np.repeat(start, n) + step, np.ones(int(n.sum()), np.int64)
-                begin = starts[at] + start
-                home = (hash_runs(raw, begin, begin + length) % U64(parts)).astype(np.int64)
+                home = (window_hashes(raw, starts[at] + start, length) % U64(parts)).astype(np.int64) if len(at) else at
             else:
                 home = rows["home"][which].astype(np.int64)
             if not len(at):
@@ -446,7 +450,7 @@ def _comparer(length: int, buckets: int):
         size = n + length - 1
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         begin = np.repeat(np.cumsum(size) - size, n) + step
-        h = hash_runs(rows["raw"], begin, begin + length)
+        h = window_hashes(rows["raw"], begin, length)
         owner = np.repeat(np.arange(len(n)), n)
         doc = rows["doc"][owner]
         order = np.lexsort((doc, h))
@@ -514,7 +518,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         raise ValueError("the sampled k-gram must have 8 to `length` bytes")
     size = text_bytes(docs)
     parts = buckets = parts_for(size, bucket_bytes)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
+                       F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"))
     placed = rows.withColumn("target", (-1 - F.pmod(hashing.mix(F.col("doc_id"), SEED), F.lit(buckets))).cast("int"))
     fields = "target int, block binary"
     entries = rows.where("doc_id IS NOT NULL").mapInArrow(_indexer(length, gram, parts, buckets), fields)

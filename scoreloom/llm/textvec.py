@@ -16,7 +16,7 @@ U64 = np.uint64
 # Odd 64-bit mixing constants.
 ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
        0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
-MAX_BATCH_BYTES = 4 << 20
+MAX_BATCH_BYTES = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,8 +76,9 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and of its inverse, at least n of them."""
-    size = max(1 << 16, 1 << int(n).bit_length())
-    if size not in _POWERS:
+    size = max(_POWERS, default=0)
+    if size < n:
+        size = max(1 << 16, n + n // 8)
         base = ODD[0]
         inverse = pow(base, -1, 1 << 64)
         one = np.ones(size, dtype=U64)

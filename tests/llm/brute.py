@@ -101,3 +101,56 @@ def near_copies(docs):
             r = find(i)
             least[r] = min(d, least.get(r, d))
     return [(d, len(sets[i]), None if d is None else least[find(i)]) for i, (d, _) in enumerate(docs)]
+
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def low(text):
+    return (text or "").translate({c: c + 32 for c in range(65, 91)})
+
+
+def contaminated(docs, items, width=13, share=20):
+    """(doc_id, n_words, n_hit, sorted item ids, contaminated) of every document."""
+    windows = {}
+    for item, text in items:
+        w = re.findall(WORD, low(text))
+        for i in range(max(len(w) - width + 1, 1) if w else 0):
+            windows.setdefault(tuple(w[i:i + width]), set()).add(item)
+    sizes = {len(w) for w in windows}
+    out = []
+    for doc_id, text in docs:
+        w = re.findall(WORD, low(text))
+        hit, found = set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                items_of = windows.get(tuple(w[i:i + n]))
+                if items_of is not None:
+                    hit.update(range(i, i + n))
+                    found |= {str(x) for x in items_of if x is not None}
+        out.append((doc_id, len(w), len(hit), sorted(found), len(hit) > 0 and share * len(hit) >= len(w)))
+    return out
+
+
+SECRET = (("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8),
+          ("access", r"AKIA[A-Z0-9]+", 16), ("hex", r"[0-9a-f]+", 32))
+
+
+def secret(text):
+    out = []
+    for rank, (kind, pattern, least) in enumerate(SECRET):
+        for m in re.finditer(pattern, text or "", re.ASCII):
+            if len(m[2] if kind == "assign" else m[0]) >= least:
+                out.append((m.start(), rank, kind, m.end()))
+    return [(kind, start, end) for start, _, kind, end in sorted(out)]
+
+
+def pieces(word, vocabulary):
+    """Greedy longest-match pieces of a byte string."""
+    n = at = 0
+    while at < len(word):
+        end = len(word)
+        while word[at:end] not in vocabulary:
+            end -= 1
+        at, n = end, n + 1
+    return n

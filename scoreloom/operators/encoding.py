@@ -6,18 +6,17 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 from pyspark.sql.functions import arrow_udf
 
 from scoreloom.functions.text import tokens
+from scoreloom.schema import ROW_ID
 
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 FIRST_TOKEN_ID = 4
 MAX_LENGTH = 512
 # Largest vocabulary that may travel to the executors as one object.
 LOOKUP_TOKENS = 200_000
-# Tokens are first ranked inside this many groups, then among the group winners.
-RANK_GROUPS = 64
 
 
 def token_counts(df: DataFrame, *texts: str) -> DataFrame:
@@ -26,21 +25,32 @@ def token_counts(df: DataFrame, *texts: str) -> DataFrame:
     return df.select(F.explode(words).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
+def sum_counts(*counts: DataFrame) -> DataFrame:
+    """Token counts of several tables added up; each text is counted where it is stored."""
+    every = counts[0]
+    for more in counts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("token").agg(F.sum("n").alias("n"))
+
+
 def vocabulary(counts: DataFrame, size: int) -> DataFrame:
     """(token_id, token, n) of the ``size`` most frequent tokens, ties by token.
 
-    The tokens are cut to the best ``size`` inside 64 hash groups before the
-    final cut, so the last task orders 64 x size rows at most and never the
-    whole token table.
+    Every task keeps its best ``size`` tokens and only those meet.
     """
     order = (F.desc("n"), F.asc("token"))
-    group = W.partitionBy("_group").orderBy(*order)
-    best = (counts.withColumn("_group", F.pmod(F.xxhash64("token"), F.lit(RANK_GROUPS)))
-            .withColumn("_rank", F.row_number().over(group))
-            .where(F.col("_rank") <= size)
-            .select("token", "n").orderBy(*order).limit(size))
     position = F.row_number().over(W.orderBy(*order))
-    return best.select((position + (FIRST_TOKEN_ID - 1)).alias("token_id"), "token", "n")
+    return counts.orderBy(*order).limit(size).select(
+        (position + (FIRST_TOKEN_ID - 1)).alias("token_id"), "token", "n")
+
+
+def save_vocabulary(vocab: DataFrame, path: str) -> None:
+    """Keep a vocabulary next to the model that was trained with it."""
+    vocab.select("token_id", "token", "n").write.mode("errorifexists").parquet(path)
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("token_id int, token string, n long").parquet(path)
 
 
 @dataclass(frozen=True)
@@ -68,14 +78,30 @@ class TokenIds:
         return ids(toks)
 
 
-def fit_token_ids(vocab: DataFrame) -> TokenIds:
-    """Bring a size-checked vocabulary to the driver for use in ``pair_encode``."""
+def fit_token_ids(vocab: DataFrame) -> TokenIds | DataFrame:
+    """A vocabulary ready for ``pair_encode``: a list on the driver if it has at
+    most LOOKUP_TOKENS tokens, otherwise the table itself, for a join."""
     rows = vocab.select("token_id", "token").limit(LOOKUP_TOKENS + 1).collect()
     if len(rows) > LOOKUP_TOKENS:
-        raise ValueError(f"the lookup holds {LOOKUP_TOKENS} tokens at most; use hashed_ids")
+        return vocab
     return TokenIds(tuple(r["token"] for r in sorted(rows, key=lambda r: r["token_id"])))
 
 
+def joined_ids(cut: DataFrame, vocab: DataFrame, row_id: str) -> DataFrame:
+    """Add ``_ids`` by a join of single tokens, for vocabularies of any size.
+
+    Rows regroup by their id; a row has at most the length limit of tokens.
+    """
+    both = F.concat("tokens_a", "tokens_b")
+    single = cut.select(row_id, F.posexplode(both).alias("_at", "token"))
+    coded = (single.join(vocab.select("token", "token_id"), "token", "left")
+             .groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct(
+                 "_at", F.coalesce("token_id", F.lit(UNK)).cast("int").alias("id")))).alias("_found")))
+    ids = F.transform("_found", lambda t: t["id"])
+    empty = F.when(~F.col("overflow"), F.array().cast("array<int>"))
+    return cut.join(coded, row_id, "left").withColumn("_ids", F.coalesce(ids, empty)).drop("_found")
+
+
 def hashed_ids(toks: Column, buckets: int) -> Column:
     """Ids without a vocabulary, by hash, entirely inside the JVM."""
     def one(t: Column) -> Column:
@@ -102,19 +128,24 @@ def pair_tokens(df: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
     }).drop("_a", "_b", "_room")
 
 
-def pair_encode(df: DataFrame, ids: TokenIds | int, max_length: int = MAX_LENGTH,
-                pad: bool = True) -> DataFrame:
+def pair_encode(df: DataFrame, ids: TokenIds | DataFrame | int, max_length: int = MAX_LENGTH,
+                pad: bool = True, row_id: str = ROW_ID) -> DataFrame:
     """Add input_ids, token_type_ids and attention_mask for text_a and text_b.
 
-    ``ids`` is a fitted vocabulary, or a bucket count for hashed ids. Only
-    tokens that survive the cut are looked up, in one call for both texts.
+    ``ids`` is a fitted vocabulary (a list, or a table that is joined by token;
+    then ``row_id`` names a unique key), or a bucket count for hashed ids. Only
+    tokens that survive the cut are looked up. Other columns, such as the
+    label, stay on the row.
     With ``pad=False`` the arrays keep their own length, which is the form to
     store; padding is then the last projection before use.
     """
     cut = pair_tokens(df, max_length)
     both = F.concat("tokens_a", "tokens_b")
-    looked_up = ids.lookup(both) if isinstance(ids, TokenIds) else hashed_ids(both, ids)
-    coded = cut.withColumn("_ids", looked_up).withColumns({
+    if isinstance(ids, DataFrame):
+        coded = joined_ids(cut, ids, row_id)
+    else:
+        coded = cut.withColumn("_ids", ids.lookup(both) if isinstance(ids, TokenIds) else hashed_ids(both, ids))
+    coded = coded.withColumns({
         "n_a": F.size("tokens_a"), "n_b": F.size("tokens_b")})
     cls, sep = F.array(F.lit(CLS)), F.array(F.lit(SEP))
     n_a, n_b = F.col("n_a"), F.col("n_b")

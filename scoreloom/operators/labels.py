@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from scoreloom.schema import FOUR_GRADES, GRADE
+from scoreloom.session import scratch_path
 
 # Up to this many classes the index is a literal array inside the expression.
 LITERAL_CLASSES = 256
@@ -43,48 +44,72 @@ class ClassIndex:
 FOUR_GRADE_INDEX = ClassIndex(FOUR_GRADES)
 
 
+@dataclass(frozen=True)
+class ClassTable:
+    """The index of a column with many classes: (class, label) rows."""
+
+    rows: DataFrame
+
+
 def class_dimension(df: DataFrame, column: str = GRADE) -> DataFrame:
-    """(class, label) rows for any number of classes.
+    """(class, label) rows for any number of classes, ordered by name.
 
-    The distinct names are sorted in parallel and numbered partition by
-    partition, so no single task sees all of them.
+    Names are range-partitioned and numbered inside their partition; the
+    partitions' sizes, one row each, give the offsets.
     """
-    names = df.select(F.col(column).cast("string").alias("class")).where(
-        F.col("class").isNotNull()).distinct().sort("class")
-    return names.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])).toDF(
-        "class string, label long").select("class", F.col("label").cast("int").alias("label"))
+    spark = df.sparkSession
+    names = df.select(F.col(column).cast("string").alias("class")).where(F.col("class").isNotNull()).distinct()
+    path = scratch_path(spark, "classes")
+    names.repartitionByRange("class").select("class", F.spark_partition_id().alias("part")).write.parquet(path)
+    placed = spark.read.schema("class string, part int").parquet(path)
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = (placed.groupBy("part").agg(F.count("*").alias("n"))
+               .select("part", F.coalesce(before, F.lit(0)).alias("offset")))
+    inside = F.row_number().over(W.partitionBy("part").orderBy("class"))
+    return placed.join(offsets, "part").select("class", (F.col("offset") + inside - 1).cast("int").alias("label"))
 
 
-def fit_classes(df: DataFrame, column: str = GRADE) -> ClassIndex | None:
-    """Sorted distinct names, or None if there are too many for a literal index.
+def fit_classes(df: DataFrame, column: str = GRADE) -> ClassIndex | ClassTable:
+    """The index of all distinct names, literal if there are few, else a table.
 
     The driver receives at most LITERAL_CLASSES + 1 names.
     """
     names = df.select(F.col(column).cast("string").alias("class")).where(
         F.col("class").isNotNull()).distinct().limit(LITERAL_CLASSES + 1).collect()
     if len(names) > LITERAL_CLASSES:
-        return None
+        return ClassTable(class_dimension(df, column))
     return ClassIndex(tuple(sorted(r["class"] for r in names)))
 
 
-def encode_labels(df: DataFrame, column: str = GRADE, label: str = "label") -> DataFrame:
-    """Fit the index on a table and encode the same table.
+def encode_with(df: DataFrame, index: ClassIndex | ClassTable, column: str = GRADE, label: str = "label") -> DataFrame:
+    """Add the label of every row; NULL for names the index was not fitted on.
 
     Few classes: a narrow projection. Many classes: an equi-join with the
-    class dimension, left without a hint so that Spark picks the strategy from
+    class table, left without a hint so that Spark picks the strategy from
     the size it measures.
     """
-    index = fit_classes(df, column)
-    if index is not None:
+    if isinstance(index, ClassIndex):
         return df.withColumn(label, index.encode(F.col(column)))
-    dimension = class_dimension(df, column).withColumnsRenamed({"class": "_class", "label": label})
+    dimension = index.rows.withColumnsRenamed({"class": "_class", "label": label})
     return df.join(dimension, F.col(column).cast("string") == F.col("_class"), "left").drop("_class")
 
 
-def unseen_classes(df: DataFrame, index: ClassIndex, column: str = GRADE) -> DataFrame:
+def encode_labels(df: DataFrame, column: str = GRADE, label: str = "label") -> DataFrame:
+    """Fit the index on a table and encode the same table."""
+    return encode_with(df, fit_classes(df, column), column, label)
+
+
+def unseen_classes(df: DataFrame, index: ClassIndex | ClassTable, column: str = GRADE) -> DataFrame:
     """How many rows carry a name the index was not fitted on, per name."""
-    return (df.where(index.encode(F.col(column)).isNull())
-            .groupBy(F.col(column).alias("class")).agg(F.count("*").alias("n")))
+    counts = df.groupBy(F.col(column).cast("string").alias("class")).agg(F.count("*").alias("n"))
+    return encode_with(counts, index, "class", "_label").where(F.col("_label").isNull()).select("class", "n")
+
+
+def checked_labels(df: DataFrame, index: ClassIndex | ClassTable, column: str = GRADE, label: str = "label") -> DataFrame:
+    """``encode_with`` that stops the job on a name the index was not fitted on."""
+    complaint = F.concat(F.lit("unseen class: "), F.coalesce(F.col(column).cast("string"), F.lit("NULL")))
+    return encode_with(df, index, column, label).withColumn(
+        label, F.coalesce(F.col(label), F.raise_error(complaint).cast("int")))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -103,7 +128,9 @@ class Remapping:
     zero_grades: tuple[str, ...]
 
     def label(self, grade: Column) -> Column:
-        return F.when(grade.cast("string").isin(*self.zero_grades), F.lit(0)).otherwise(F.lit(1))
+        """0 for the listed grades, 1 for others, NULL for no grade."""
+        return F.when(grade.isNotNull(), F.when(
+            grade.cast("string").isin(*self.zero_grades), F.lit(0)).otherwise(F.lit(1)))
 
 
 # The three reductions of the four-grade scale, in order.

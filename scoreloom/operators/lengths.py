@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scoreloom.functions.bins import Bins, LENGTH_BINS, RATIO_BINS
 from scoreloom.functions.fdist import f_tail_column
 from scoreloom.functions.stats import pearson
-from scoreloom.operators.quantiles import exact_quantiles, value_counts_by
-from scoreloom.schema import GRADE, REFERENCE, STUDENT, WHOLE_NUMBERS
+from scoreloom.operators.quantiles import exact_quantiles
+from scoreloom.schema import GRADE, REFERENCE, STUDENT
 from scoreloom.session import gathered, settle
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -86,7 +86,7 @@ def mean_by_bin(df: DataFrame, column: str, bins: Bins, value: str, name: str) -
 
 def crosstab(df: DataFrame, column: str, bins: Bins, grades: Sequence[str],
              grade: str = GRADE) -> DataFrame:
-    """Rows per bin and grade, one column per grade.
+    """Rows per bin and grade, one column per listed grade and one for all others.
 
     The closed list of grades makes this a single aggregation. Bins without
     rows do not appear, as in a contingency table.
@@ -94,13 +94,14 @@ def crosstab(df: DataFrame, column: str, bins: Bins, grades: Sequence[str],
     binned = df.select(bins.index(F.col(column)).alias("bin_id"), F.col(grade)).where(
         F.col("bin_id").isNotNull() & F.col(grade).isNotNull())
     wide = binned.groupBy("bin_id").agg(*[
-        F.count_if(F.col(grade) == g).alias(f"grade_{g}") for g in grades])
+        F.count_if(F.col(grade) == g).alias(f"grade_{g}") for g in grades],
+        F.count_if(~F.col(grade).isin(*grades)).alias("grade_other"))
     return wide.withColumn("bin_label", bins.label(F.col("bin_id")))
 
 
 def crosstab_percent(counts: DataFrame, grades: Sequence[str], decimals: int = 1) -> DataFrame:
     """Row percentages of a crosstab, rounded half to even."""
-    names = [f"grade_{g}" for g in grades]
+    names = [*[f"grade_{g}" for g in grades], "grade_other"]
     total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
     return counts.select("bin_id", "bin_label", *[
         F.bround(F.try_divide(F.col(c).cast("double"), total.cast("double")) * 100, decimals).alias(c)
@@ -165,27 +166,10 @@ def grade_length_stats(df: DataFrame, by: str = GRADE, decimals: int = 1) -> Dat
 
 
 def describe(df: DataFrame, by: str = GRADE, value: str = "answer_length") -> DataFrame:
-    """count, mean, std, min, quartiles and max per group.
-
-    Everything about whole numbers follows from the rows per (group, value),
-    counted in one pass. Sums of squares are kept exact, as decimals.
-    """
-    if isinstance(df.schema[value].dataType, WHOLE_NUMBERS):
-        v, c = F.col(value).cast("decimal(19,0)"), F.col("_c").cast("decimal(19,0)")
-        # A group's values times their counts stay far below 38 digits.
-        total = F.sum((v * c).cast("decimal(28,0)"))
-        squares = F.sum((v * (v * c).cast("decimal(28,0)")).cast("decimal(28,0)"))
-        stats = value_counts_by(df, by, value).groupBy(by).agg(
-            F.sum("_c").alias("n"), F.try_divide(total.cast("double"), F.sum("_c").cast("double")).alias("mean"),
-            squares.alias("_squares"), total.alias("_total"),
-            F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"),
-            F.percentile(value, list(QUARTILES), F.col("_c")).alias("quantiles"))
-        deviations = F.col("_squares").cast("double") - F.col("_total").cast("double") * F.col("mean")
-        std = F.sqrt(F.greatest(F.try_divide(deviations, (F.col("n") - 1).cast("double")), F.lit(0.0)))
-        return stats.select(by, "n", "mean", F.when(F.col("n") > 1, std).alias("std"), "min", "max",
-                            *_named_quartiles())
+    """count, mean, std, min, quartiles and max per group, for numbers of any kind."""
     basics = df.where(F.col(by).isNotNull()).groupBy(by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+        F.count(value).alias("n"), F.avg(F.col(value).cast("double")).alias("mean"),
+        F.stddev_samp(F.col(value).cast("double")).alias("std"),
         F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"))
     quartiles = exact_quantiles(df, by, value, QUARTILES).select(by, *_named_quartiles())
     return basics.join(quartiles, by, "left")

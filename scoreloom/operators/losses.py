@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from scoreloom.functions.probability import negative_log_likelihood
+from scoreloom.operators.weights import MANUAL_BOOST, weights_of_counts
 from scoreloom.session import gathered
 
 
@@ -33,14 +34,26 @@ def weighted_log_loss(losses: DataFrame, weights: DataFrame | None = None,
                       by: Sequence[str] = ()) -> DataFrame:
     """Sum of weighted losses over the sum of weights.
 
-    ``weights`` has (label, weight); a class without a weight is an error in
-    the weights table and keeps weight 1. No table at all gives ``log_loss``.
+    ``weights`` has (label, weight); a class without a weight stops the job.
+    ``losses`` may carry a ``weight`` column itself (see ``weigh``). No weights
+    at all give ``log_loss``.
     """
-    if weights is None:
+    if weights is None and "weight" not in losses.columns:
         return log_loss(losses, by)
-    weighed = losses.join(weights.select("label", "weight"), "label", "left").fillna(
-        1.0, subset=["weight"])
+    if weights is not None:
+        losses = losses.drop("weight").join(weights.select("label", "weight"), "label", "left")
+    complaint = F.concat(F.lit("class without a weight: "), F.coalesce(F.col("label").cast("string"), F.lit("NULL")))
+    weighed = losses.withColumn("weight", F.coalesce(F.col("weight"), F.raise_error(complaint).cast("double")))
     return weighed.groupBy(*by).agg(
         F.sum("n").alias("n"),
         F.try_divide(F.sum(F.col("loss_sum") * F.col("weight")),
                      F.sum(F.col("n") * F.col("weight"))).alias("log_loss"))
+
+
+def weigh(losses: DataFrame, boost: Mapping[int, float] = MANUAL_BOOST) -> DataFrame:
+    """Class losses with the balanced, boosted weight of each class.
+
+    The weights follow from the row counts that the losses already hold, so
+    the table is read once for both.
+    """
+    return weights_of_counts(losses, boost, "loss_sum").select("label", "n", "loss_sum", "weight")

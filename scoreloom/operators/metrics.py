@@ -16,7 +16,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from scoreloom.session import gathered
+from scoreloom.session import gathered, settle
 
 # Column name -> aggregate function that merges it.
 Carry = Mapping[str, Callable[[str], Column]]
@@ -160,16 +160,18 @@ def normalised_matrix(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def bincount(df: DataFrame, label: str, weight: str | None = None) -> DataFrame:
-    """(label, n) for every label from 0 to the largest one, zeros included."""
+    """(label, n) for every label from 0 to the largest one, zeros included.
+
+    The zeros are a distributed range up to the largest label, so a column
+    with ids for labels makes many rows and no large one.
+    """
     amount = F.sum(weight) if weight else F.count("*")
-    counts = gathered(df.where(F.col(label).isNotNull())
-                      .groupBy(F.col(label).cast("int").alias("label")).agg(amount.alias("n")))
-    found = counts.agg(
-        F.max("label").alias("top"),
-        F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("found"))
-    labels = F.explode(F.sequence(F.lit(0), F.col("top"))).alias("label")
-    return found.where(F.col("top").isNotNull()).select(labels, "found").select(
-        "label", F.coalesce(F.col("found")[F.col("label")], F.lit(0).cast("bigint")).alias("n"))
+    counts = settle(df.where(F.col(label).isNotNull())
+                    .groupBy(F.col(label).cast("int").alias("label")).agg(amount.alias("n")))
+    top = counts.agg(F.max("label")).first()[0]
+    zeros = df.sparkSession.range(0, -1 if top is None else top + 1).select(
+        F.col("id").cast("int").alias("label"), F.lit(0).cast("bigint").alias("n"))
+    return counts.unionByName(zeros).where(F.col("label") >= 0).groupBy("label").agg(F.sum("n").alias("n"))
 
 
 def collapse_check(df: DataFrame, label: str, weight: str | None = None,

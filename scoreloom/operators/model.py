@@ -14,10 +14,11 @@ from scoreloom.functions.hashing import row_draw
 from scoreloom.functions.probability import argmax, confidence, negative_log_likelihood
 from scoreloom.functions.text import tokens
 from scoreloom.operators import metrics
+from scoreloom.operators.selection import best_candidate
 from scoreloom.schema import REFERENCE, ROW_ID, STUDENT
-from scoreloom.session import gathered
+from scoreloom.session import gathered, scratch_path
 
-HASH_FEATURES = 1 << 14
+HASH_FEATURES = 1 << 16
 
 
 def pair_features(df: DataFrame, student: str = STUDENT, reference: str = REFERENCE) -> DataFrame:
@@ -74,26 +75,43 @@ def fit_candidates(train: DataFrame, validation: DataFrame, regs: Sequence[float
                    size: int = HASH_FEATURES) -> tuple[DataFrame, dict[float, PipelineModel]]:
     """Fit one model per regularisation strength and score each on validation rows.
 
-    Returns (candidate, reg, eval_loss, f1_weighted) rows and the models. The
-    feature stages are fitted once. Each candidate is scored in one pass.
+    Returns (candidate, reg, n, eval_loss, ...) rows and the models. Texts are
+    turned into features once, for both tables; candidates work on the stored
+    features. All candidates are judged in one pass.
     """
     features = Pipeline(stages=_feature_stages(size)).fit(pair_features(train))
-    prepared = features.transform(pair_features(train)).select(
-        "features", label, *([weight] if weight else [])).persist()
+
+    def prepared(rows: DataFrame, *more: str) -> DataFrame:
+        path = scratch_path(rows.sparkSession, "features")
+        ready = features.transform(pair_features(rows)).select("features", label, *more)
+        ready.write.parquet(path)
+        return rows.sparkSession.read.schema(ready.schema).parquet(path)
+
+    fitting, judging = prepared(train, *([weight] if weight else [])), prepared(validation)
     models, parts = {}, []
     for i, reg in enumerate(regs):
-        lr = _classifier(label, reg, max_iter, weight).fit(prepared)
+        lr = _classifier(label, reg, max_iter, weight).fit(fitting)
         models[reg] = PipelineModel([*features.stages, lr])
-        scored = predict(models[reg], validation).select(
-            F.lit(i).alias("candidate"), F.lit(float(reg)).alias("reg"), F.col(label).alias("y"), "p", "logits")
-        parts.append(scored)
-    prepared.unpersist()
+        logits = vector_to_array("rawPrediction")
+        parts.append(lr.transform(judging).select(
+            F.lit(i).alias("candidate"), F.lit(float(reg)).alias("reg"), F.col(label).alias("y"),
+            argmax(logits).alias("p"), logits.alias("logits")))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
     return candidate_metrics(every, ("candidate", "reg")), models
 
 
+def best_model(train: DataFrame, validation: DataFrame, regs: Sequence[float], metric: str = "eval_loss",
+               greater_is_better: bool = False, **how) -> tuple[float, PipelineModel, DataFrame]:
+    """The candidate with the best validation metric: (reg, model, metrics of all)."""
+    candidates, models = fit_candidates(train, validation, regs, **how)
+    rows = candidates.sparkSession.createDataFrame(candidates.toArrow(), candidates.schema)      # one row per candidate
+    best = best_candidate(rows.withColumn("run", F.lit("fit")), metric, greater_is_better, order="candidate").first()
+    reg = regs[best["best_candidate"]]
+    return reg, models[reg], rows
+
+
 def candidate_metrics(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by..., eval_loss, f1_weighted) from rows with y, p and logits, in one pass."""
     cells = gathered(scored.groupBy(*by, "y", "p").agg(

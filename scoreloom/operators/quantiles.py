@@ -1,41 +1,97 @@
-"""Exact interpolated quantiles per group, for any number of rows and values."""
+"""Exact interpolated quantiles per group, for any number of rows and values.
+
+Two passes. The first takes an approximate percentile a little below and a
+little above every wanted rank, which brackets the rank. The second counts the
+rows below each bracket and, inside it, the rows per value; the few values
+inside are put in order and the ranks read off. The counts say whether a
+bracket holds its rank. Should one miss, that quantile is found by narrowing
+ranges (``ranked_rows``).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from scoreloom.operators.ranks import RANK_ROWS, first_regions, logarithmic, ranked_rows
-from scoreloom.schema import WHOLE_NUMBERS
 from scoreloom.session import settle
 
+ACCURACY = 20_000
+
+
+def _rows(df: DataFrame, by: str, value: str) -> DataFrame:
+    v = F.col(value).cast("double")
+    return df.select(F.col(by), v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v") & F.col(by).isNotNull())
 
-def value_counts_by(df: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, value, _c): rows per group and value; a large group spreads over all tasks."""
-    return (df.where(F.col(value).isNotNull() & F.col(by).isNotNull())
-            .groupBy(by, value).agg(F.count("*").alias("_c")))
+
+def _spots(n: Column, probs: Sequence[float]) -> list[Column]:
+    """Ranks from 0, with a fraction where two rows are interpolated."""
+    return [(n - 1) * F.lit(float(q)) for q in probs]
 
 
 def exact_quantiles(df: DataFrame, by: str, value: str, probs: Sequence[float],
-                    rank_rows: int = RANK_ROWS) -> DataFrame:
-    """(by, quantiles): linearly interpolated quantiles, in the order of ``probs``.
+                    rank_rows: int = RANK_ROWS, accuracy: int = ACCURACY) -> DataFrame:
+    """(by, quantiles): linearly interpolated quantiles, in the order of ``probs``."""
+    rows = _rows(df, by, value)
+    sides = sorted({min(max(q + s * 2.0 / accuracy, 0.0), 1.0) for q in probs for s in (-1, 1)})
+    groups = settle(rows.groupBy(by).agg(
+        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"),
+        F.percentile_approx("v", sides, F.lit(accuracy)).alias("sides")))
 
-    Whole numbers have few distinct values: they are counted per (group,
-    value), which spreads a large group over all tasks, and the quantiles are
-    taken from the counts. Fractional values go through ``ranked_rows``.
-    """
-    if isinstance(df.schema[value].dataType, WHOLE_NUMBERS):
-        return value_counts_by(df, by, value).groupBy(by).agg(
-            F.percentile(value, [float(q) for q in probs], F.col("_c")).alias("quantiles"))
-    return _ranked_quantiles(df, by, value, probs, rank_rows)
+    def side(q: float, s: int) -> Column:
+        return F.col("sides")[sides.index(min(max(q + s * 2.0 / accuracy, 0.0), 1.0))]
 
+    brackets = F.array(*[
+        F.struct(F.lit(i).alias("i"), (F.floor(spot) + 1).alias("first"), (F.ceil(spot) + 1).alias("last"),
+                 # One row more on both sides than the ranks ask for, to the ends of the group.
+                 F.when(spot < 1, F.col("low")).otherwise(side(q, -1)).alias("from"),
+                 F.when(spot >= F.col("n") - 2, F.col("high")).otherwise(side(q, 1)).alias("to"))
+        for i, (q, spot) in enumerate(zip(probs, _spots(F.col("n"), probs)))])
+    wanted = settle(groups.select(by, "n", "low", "high", brackets.alias("brackets")))
 
-def _ranked_quantiles(df, by, value, probs, rank_rows) -> DataFrame:
-    v = F.col(value).cast("double")
-    rows = df.select(F.col(by), v.alias("v"), F.lit(0).alias("tie")).where(
-        F.col("v").isNotNull() & ~F.isnan("v") & F.col(by).isNotNull())
-    spots = [(F.col("n") - 1) * F.lit(float(q)) for q in probs]
+    # Counts below brackets and per value inside; every other row adds to counts only.
+    # A row is a value inside of some bracket, or the mark of how many brackets are above it.
+    def below(i: int) -> Column:
+        return F.count_if(F.col("v") < F.col("brackets")[i]["from"]).alias(f"below{i}")
+
+    inside = F.exists("brackets", lambda b: (F.col("v") >= b["from"]) & (F.col("v") <= b["to"]))
+    counted = (rows.join(wanted.select(by, "brackets"), by)
+               .groupBy(by, F.when(inside, F.col("v")).alias("v"))
+               .agg(F.count("*").alias("c"), *[below(i) for i in range(len(probs))]))
+    counted = settle(counted, max_rows=0)
+    lower = counted.groupBy(by).agg(*[F.sum(f"below{i}").alias(f"below{i}") for i in range(len(probs))])
+    spread = (counted.where(F.col("v").isNotNull()).select(by, "v", "c")
+              .join(wanted.select(by, F.inline("brackets")), by)
+              .where((F.col("v") >= F.col("from")) & (F.col("v") <= F.col("to"))))
+    upto = F.sum("c").over(W.partitionBy(by, "i").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    under = F.element_at(F.array(*[F.col(f"below{i}") for i in range(len(probs))]), F.col("i") + 1)
+    ranked = (spread.withColumn("upto", upto).join(lower, by)
+              .select(by, "i", "v", "first", "last", (F.col("upto") + under).alias("upto"), (F.col("upto") - F.col("c") + under).alias("before")))
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((F.col("before") < F.col(rank)) & (F.col(rank) <= F.col("upto")), F.col("v")))
+
+    found = (ranked.groupBy(by, "i").agg(at("first").alias("a"), at("last").alias("b"))
+             .groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("a", "b")))).alias("found")))
+
+    def between(i: int, spot: Column) -> Column:
+        a, b = F.col("found")[i]["a"], F.col("found")[i]["b"]
+        return F.when(a == b, a).otherwise(a + (b - a) * (spot - F.floor(spot)))
+
+    result = settle(groups.select(by, "n").join(found, by, "left").select(
+        by, F.array(*[between(i, s) for i, s in enumerate(_spots(F.col("n"), probs))]).alias("quantiles")))
+    missed = result.where(F.exists("quantiles", lambda q: q.isNull())).select(by)
+    if missed.isEmpty():
+        return result
+    again = _ranked_quantiles(rows.join(missed, by), by, probs, rank_rows)
+    return result.join(missed, by, "left_anti").unionByName(again)
+
+
+def _ranked_quantiles(rows: DataFrame, by: str, probs: Sequence[float], rank_rows: int = RANK_ROWS) -> DataFrame:
+    """The same by narrowing ranges; ``rows`` has (by, v)."""
+    rows = rows.withColumn("tie", F.lit(0))
+    spots = _spots(F.col("n"), probs)
     wants = F.array(*[
         F.struct(F.lit(2 * i + side).alias("mark"), (rounding(spot) + 1).alias("rank"))
         for i, spot in enumerate(spots) for side, rounding in enumerate((F.floor, F.ceil))])

@@ -22,10 +22,6 @@ LEVELS = 6
 RANK_ROWS = 100_000
 
 
-def linear(v: Column) -> Column:
-    return v.cast("double")
-
-
 def logarithmic(v: Column) -> Column:
     """A monotone scale that keeps far outliers from crowding the other rows."""
     return F.signum(v) * F.log1p(F.abs(v))
@@ -71,7 +67,7 @@ def first_regions(groups: DataFrame, by: str) -> DataFrame:
 
 
 def ranked_rows(rows: DataFrame, regions: DataFrame, by: str,
-                scale: Callable[[Column], Column] = linear, rank_rows: int = RANK_ROWS) -> DataFrame:
+                scale: Callable[[Column], Column] = logarithmic, rank_rows: int = RANK_ROWS) -> DataFrame:
     """(by, marks): for every group a map from mark to the (v, tie) of its rank.
 
     ``rows`` has (by, v, tie) and is ordered by v, then tie. A constant tie

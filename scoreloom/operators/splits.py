@@ -1,10 +1,10 @@
 """Exact stratified splitting.
 
 Rows are ordered inside each stratum by a seeded hash, and the split points are
-ranks in that order. ``ranked_rows`` finds the row at each split point without
-sorting a stratum; every row is then labelled by comparing its (hash, id) with
-the split points of its stratum, a narrow step. All passes but that one read
-only the id and the stratum.
+ranks in that order. Counts per hash bucket tell in which bucket a split point
+falls and only such buckets are sorted; every row is then labelled by comparing
+its (hash, id) with the split points of its stratum, a narrow step. The table is
+read twice, once for ids and strata only.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from scoreloom.functions.hashing import BITS, row_draw
-from scoreloom.operators.ranks import RANK_ROWS, first_regions, ranked_rows
-from scoreloom.session import settle
+from scoreloom.session import scratch_path, settle
 
 SEED = 42
+# Top bits of the hash that name a bucket.
+BUCKET_BITS = 12
 
 
 def _take_share(counts: DataFrame, stratum: str, share: float) -> DataFrame:
@@ -65,21 +66,41 @@ def nested_sizes(counts: DataFrame, stratum: str, keep: Sequence[float]) -> Data
 
 
 def split_points(df: DataFrame, stratum: str, keep: Sequence[float], row_id: str,
-                 seed: int = SEED, rank_rows: int = RANK_ROWS) -> DataFrame:
-    """(stratum, marks): per split point the (hash, id) of the last row before it."""
-    sizes = nested_sizes(df.groupBy(stratum).agg(F.count("*").alias("n")), stratum, keep)
-    ranks = F.transform("cuts", lambda rank, i: F.struct(i.alias("mark"), rank.alias("rank")))
-    groups = sizes.select(
-        stratum, "n", F.lit(0).cast("bigint").alias("low"), F.lit((1 << BITS) - 1).alias("high"),
-        F.filter(ranks, lambda w: w["rank"] > 0).alias("wants"))
-    keyed = df.select(F.col(stratum), row_draw(df, row_id, seed).alias("v"),
-                      F.col(row_id).alias("tie"))
-    return settle(ranked_rows(keyed, first_regions(groups, stratum), stratum, rank_rows=rank_rows))
+                 seed: int = SEED, bucket_bits: int = BUCKET_BITS) -> DataFrame:
+    """(stratum, marks): per split point the (hash, id) of the last row before it.
+
+    The hash is even, so its top bits cut a stratum into small buckets. Counts
+    per bucket give the strata's sizes and the bucket of every split point;
+    only the rows of those buckets are put in order.
+    """
+    # Written once: what follows reads three narrow columns, whatever made the table.
+    path = scratch_path(df.sparkSession, "keyed")
+    keyed = df.select(F.col(stratum), row_draw(df, row_id, seed).alias("v"), F.col(row_id).alias("tie"))
+    keyed.write.parquet(path)
+    keyed = df.sparkSession.read.schema(keyed.schema).parquet(path)
+    bucket = F.shiftright("v", BITS - bucket_bits).cast("int")
+    counts = settle(keyed.groupBy(stratum, bucket.alias("bucket")).agg(F.count("*").alias("c")))
+    sizes = nested_sizes(counts.groupBy(stratum).agg(F.sum("c").alias("n")), stratum, keep)
+    upto = F.sum("c").over(W.partitionBy(stratum).orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow))
+    wanted = sizes.select(stratum, F.posexplode("cuts").alias("mark", "rank")).where(F.col("rank") > 0)
+    edges = settle(counts.withColumn("upto", upto).join(wanted, stratum)
+                   .where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c")))
+                   .select(stratum, "bucket", "mark", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank")))
+    order = W.partitionBy(stratum, "bucket").orderBy("v", "tie")
+    # The buckets of a stratum travel as one array: a few per split point.
+    wants = edges.groupBy(stratum).agg(F.collect_list(F.struct("bucket", "mark", "rank")).alias("edges"))
+    inside = (keyed.join(wants, stratum)
+              .where(F.exists("edges", lambda e: e["bucket"] == F.shiftright("v", BITS - bucket_bits)))
+              .withColumn("bucket", bucket).withColumn("place", F.row_number().over(order)))
+    marks = (inside.select(stratum, "bucket", "place", "v", "tie", F.inline("edges").alias("of", "mark", "rank"))
+             .where((F.col("of") == F.col("bucket")) & (F.col("place") == F.col("rank"))).groupBy(stratum)
+             .agg(F.map_from_entries(F.collect_list(F.struct("mark", F.struct("v", "tie")))).alias("marks")))
+    return settle(marks)
 
 
 def stratified_split(df: DataFrame, stratum: str, keep: Sequence[float],
                      names: Sequence[str], row_id: str = "row_id", seed: int = SEED,
-                     rank_rows: int = RANK_ROWS) -> DataFrame:
+                     bucket_bits: int = BUCKET_BITS) -> DataFrame:
     """Add a ``split`` column naming the part of every row.
 
     Every row with a stratum lands in exactly one part; a row without one keeps
@@ -88,7 +109,7 @@ def stratified_split(df: DataFrame, stratum: str, keep: Sequence[float],
     """
     if len(names) != len(keep) + 1:
         raise ValueError("one more name than split points is needed")
-    marks = split_points(df.where(F.col(stratum).isNotNull()), stratum, keep, row_id, seed, rank_rows)
+    marks = split_points(df.where(F.col(stratum).isNotNull()), stratum, keep, row_id, seed, bucket_bits)
     place = F.struct(row_draw(df, row_id, seed).alias("v"), F.col(row_id).alias("tie"))
     part = F.lit(names[-1])
     for cut in reversed(range(len(keep))):

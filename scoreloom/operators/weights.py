@@ -22,11 +22,16 @@ def class_weights(df: DataFrame, label: str = "label",
     """
     counts = gathered(df.where(F.col(label).isNotNull()).groupBy(
         F.col(label).cast("int").alias("label")).agg(F.count("*").alias("n")))
+    return weights_of_counts(counts, boost)
+
+
+def weights_of_counts(counts: DataFrame, boost: Mapping[int, float] = MANUAL_BOOST, *carry: str) -> DataFrame:
+    """``class_weights`` from (label, n) rows, one per class; ``carry`` columns stay."""
     totals = counts.agg(
         F.sum("n").alias("total"), F.count("*").alias("classes"),
-        F.collect_list(F.struct("label", "n")).alias("per_class"))
+        F.collect_list(F.struct("label", "n", *carry)).alias("per_class"))
     balanced = F.col("total").cast("double") / (F.col("classes") * F.col("n"))
     return (totals.select("total", "classes", F.inline("per_class"))
             .withColumn("balanced", balanced)
             .withColumn("weight", F.col("balanced") * literal_map(boost, F.col("label"), 1.0))
-            .select("label", "n", "balanced", "weight"))
+            .select("label", "n", *carry, "balanced", "weight"))

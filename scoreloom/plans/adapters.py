@@ -65,6 +65,27 @@ GRADED_SQL = ("graded", f"""
   JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""")
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``graded`` without the grade: every document, labelled or not."""
+    documents = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("row_id"), F.col("source").alias("question"), F.col("text").alias("student_answer"))
+    return _with_reference(spark, sf_dir, documents, F.col("row_id"), reference_answer=F.col("text"))
+
+
+def answer_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length columns of ``answers``, measured at the scans."""
+    text = F.col("text")
+    documents = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("row_id"), length_columns(text, text)["answer_length"].alias("answer_length"))
+    return length_ratios(_with_reference(
+        spark, sf_dir, documents, F.col("row_id"), reference_length=length_columns(text, text)["reference_length"]))
+
+
+ANSWERS_SQL = ("answers", """
+  SELECT d.doc_id AS row_id, d.source AS question, b.text AS reference_answer, d.text AS student_answer
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""")
+
+
 def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, grade) alone; queries that need no text start here."""
     return table(spark, sf_dir, "labels").select(
@@ -147,7 +168,7 @@ def bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``row_id`` names the line of an order; some lines occur more than once.
     """
     rows = table(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey * 8 + l_linenumber AS row_id",
+        "l_orderkey * 1048576 + l_linenumber AS row_id",
         "CASE WHEN l_quantity <= 5 THEN 0 WHEN l_quantity <= 15 THEN 1 WHEN l_quantity <= 30 THEN 2 ELSE 3 END AS y",
         "(l_orderkey * 31 + l_linenumber * 17 + l_partkey * 7) % 100 AS h",
         "CAST(floor(l_extendedprice / 100) AS int) AS answer_length",
@@ -161,7 +182,7 @@ BULK_SQL = ("bulk", """
   SELECT *, (y + CASE WHEN h < 70 THEN 0 WHEN h < 85 THEN 1 WHEN h < 95 THEN 3 ELSE 2 END) % 4 AS p,
     (y + 2)::VARCHAR AS grade, 0.4::DOUBLE + (h % 60)::DOUBLE / 100 AS confidence,
     answer_length::DOUBLE / nullif(reference_length, 0) AS length_ratio
-  FROM (SELECT l_orderkey * 8 + l_linenumber AS row_id,
+  FROM (SELECT l_orderkey * 1048576 + l_linenumber AS row_id,
     (CASE WHEN l_quantity <= 5 THEN 0 WHEN l_quantity <= 15 THEN 1 WHEN l_quantity <= 30 THEN 2 ELSE 3 END)::INT AS y,
     (l_orderkey * 31 + l_linenumber * 17 + l_partkey * 7) % 100 AS h,
     floor(l_extendedprice / 100)::INT AS answer_length, (l_partkey % 900 + 20)::INT AS reference_length
@@ -218,14 +239,21 @@ CLASSES = 10
 
 
 def logit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row_id, y, logits: the first ten numbers of every embedding as class scores."""
+    """row_id, y, logits: every embedding folded to one score per class.
+
+    Class c gets the sum of all numbers whose position leaves c modulo the classes.
+    """
+    def score(c: Column) -> Column:
+        return F.aggregate(F.filter("embedding", lambda v, i: i % CLASSES == c), F.lit(0.0),
+                           lambda total, v: total + v.cast("double"))
+
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("row_id"), F.col("label").alias("y"),
-        F.transform(F.slice("embedding", 1, CLASSES), lambda v: v.cast("double")).alias("logits"))
+        F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), score).alias("logits"))
 
 
 LOGITS_SQL = ("logit_rows", f"""
-  SELECT vec_id AS row_id, label AS y, list_transform(embedding[1:{CLASSES}], lambda v: v::DOUBLE) AS logits
+  SELECT vec_id AS row_id, label AS y, [list_sum([v::DOUBLE FOR v, i IN embedding IF (i - 1) % {CLASSES} = c]) FOR c IN range({CLASSES})] AS logits
   FROM embeddings""")
 
 
@@ -270,13 +298,13 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     answered = turns.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("student_answer"))
     pairs = asked.join(answered, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "question", "student_answer")
+        (F.col("conv_id") * 1048576 + F.col("turn")).alias("row_id"), "question", "student_answer")
     return _with_reference(spark, sf_dir, pairs, F.col("row_id"), reference_answer=F.col("text"))
 
 
 TURNS_SQL = ("turn_pairs", """
-  SELECT u.conv_id * 1000 + u.turn AS row_id, u.text AS question, a.text AS student_answer,
+  SELECT u.conv_id * 1048576 + u.turn AS row_id, u.text AS question, a.text AS student_answer,
     b.text AS reference_answer
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  JOIN benchmark b ON b.item_id = (u.conv_id * 1000 + u.turn) % (SELECT count(*) FROM benchmark)
+  JOIN benchmark b ON b.item_id = (u.conv_id * 1048576 + u.turn) % (SELECT count(*) FROM benchmark)
   WHERE u.role = 'user' AND a.role = 'assistant'""")

@@ -55,7 +55,7 @@ def _(spark, sf_dir):
 @query("collapse_check", steps(BULK_SQL, """
   SELECT count(*) AS bins, min(n) AS smallest, max(n) AS largest,
     count(*) = 1 OR min(n)::DOUBLE / max(n) < 0.1 AS collapsed
-  FROM (SELECT p, count(*) AS n FROM bulk GROUP BY p)"""))
+  FROM (SELECT k, count(p) AS n FROM range(0, (SELECT max(p) + 1 FROM bulk)) r(k) LEFT JOIN bulk ON p = k GROUP BY k)"""))
 def _(spark, sf_dir):
     return metrics.collapse_check(bulk(spark, sf_dir), "p")
 
@@ -201,8 +201,7 @@ _WEIGHTS = ("weights", f"""
   SELECT count(*) AS n, round(sum(balanced * boost * ({_NLL})) / sum(balanced * boost), 6) AS log_loss
   FROM logit_rows JOIN weights ON y = label"""))
 def _(spark, sf_dir):
-    rows = logit_rows(spark, sf_dir)
-    return losses.weighted_log_loss(losses.class_losses(rows), class_weights(rows, "y"))
+    return losses.weighted_log_loss(losses.weigh(losses.class_losses(logit_rows(spark, sf_dir))))
 
 
 @query("class_weights", steps(BULK_SQL, """

@@ -10,7 +10,7 @@ from scoreloom.functions.bins import BAND_NAMES, Bins, LENGTH_BINS, RATIO_BINS,
 from scoreloom.operators import ledger, lengths
 from scoreloom.operators.labels import FOUR_GRADE_INDEX
 from scoreloom.plans.adapters import (
-    BULK_SQL, GRADED_SCORED, GRADED_SQL, bulk, graded_lengths, graded_scored, grades, table, with_scores)
+    ANSWERS_SQL, BULK_SQL, GRADED_SCORED, answer_lengths, bulk, graded_scored, grades, table, with_scores)
 from scoreloom.plans.registry import query, steps
 from scoreloom.schema import FOUR_GRADES
 
@@ -38,12 +38,12 @@ def _per_bin(source: str, value: str, bins: Bins, select: str) -> tuple:
 _ACCURACY = """round(avg((s.y = s.p)::INT), 6) AS accuracy, round(1 - avg((s.y = s.p)::INT), 6) AS error_rate"""
 
 
-@query("length_features", steps(GRADED_SQL, """
+@query("length_features", steps(ANSWERS_SQL, """
   SELECT row_id, answer_length, reference_length, round(answer_length::DOUBLE / reference_length, 6) AS length_ratio,
     answer_length - reference_length AS length_difference
-  FROM (SELECT row_id, length(student_answer) AS answer_length, length(reference_answer) AS reference_length FROM graded)"""))
+  FROM (SELECT row_id, length(student_answer) AS answer_length, length(reference_answer) AS reference_length FROM answers)"""))
 def _(spark, sf_dir):
-    return graded_lengths(spark, sf_dir).select(
+    return answer_lengths(spark, sf_dir).select(
         "row_id", F.col("answer_length").cast("bigint").alias("answer_length"),
         F.col("reference_length").cast("bigint").alias("reference_length"), "length_ratio",
         F.col("length_difference").cast("bigint").alias("length_difference"))
@@ -58,8 +58,11 @@ def _count_query(name, source, sql_source, value, bins):
 _DOCS = (*GRADED_SCORED, ("src", "SELECT * FROM scored"))
 _LINES = (BULK_SQL, ("src", "SELECT * FROM bulk"))
 
-_count_query("length_bins", graded_scored, _DOCS, "answer_length", LENGTH_BINS)
-_count_query("ratio_bins", graded_scored, _DOCS, "length_ratio", RATIO_BINS)
+_ANSWERS = (ANSWERS_SQL, ("src", """
+  SELECT *, answer_length::DOUBLE / nullif(reference_length, 0) AS length_ratio
+  FROM (SELECT row_id, length(student_answer) AS answer_length, length(reference_answer) AS reference_length FROM answers)"""))
+_count_query("length_bins", answer_lengths, _ANSWERS, "answer_length", LENGTH_BINS)
+_count_query("ratio_bins", answer_lengths, _ANSWERS, "length_ratio", RATIO_BINS)
 _count_query("bulk_length_bins", bulk, _LINES, "answer_length", LENGTH_BINS)
 
 
@@ -87,9 +90,11 @@ def _study(prefix, source, sql_source):
 
     for name, value, bins in (("length_crosstab", "answer_length", LENGTH_BINS),
                               ("ratio_crosstab", "length_ratio", RATIO_BINS)):
-        counts = ", ".join(f"count(*) FILTER (grade = '{g}') AS grade_{g}" for g in FOUR_GRADES)
+        counts = ", ".join(f"count(*) FILTER (grade = '{g}') AS grade_{g}" for g in FOUR_GRADES) + \
+            f", count(*) FILTER (grade NOT IN {FOUR_GRADES}) AS grade_other"
         shares = ", ".join(f"round_even(100.0::DOUBLE * count(*) FILTER (grade = '{g}') / count(*), 1) AS grade_{g}"
                            for g in FOUR_GRADES)
+        shares += f", round_even(100.0::DOUBLE * count(*) FILTER (grade NOT IN {FOUR_GRADES}) / count(*), 1) AS grade_other"
         labels = bin_rows_sql(bins)
         body = f"FROM src s JOIN bins b ON {bin_sql('s.' + value, bins)} = b.bin_id GROUP BY ALL"
         query(prefix + name, steps(*sql_source, labels, f"SELECT bin_id, bin_label, {counts} {body}"))(

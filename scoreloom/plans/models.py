@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, Window as W
 
 from scoreloom.operators import labels, metrics, model, progress, splits, strategies
 from scoreloom.operators.labels import FOUR_GRADE_INDEX
 from scoreloom.operators.weights import class_weights
 from scoreloom.plans.adapters import (
-    BULK_SQL, GRADED_SCORED, binary_prediction, bulk, graded, graded_scored, runs)
+    BULK_SQL, GRADED_SCORED, GRADED_SQL, binary_prediction, bulk, graded, graded_scored, runs)
 from scoreloom.plans.comparison import RUN_SCORES
 from scoreloom.plans.evaluation import JUDGED, STRATEGY_SCORES, scores_sql
 from scoreloom.plans.registry import query, steps
+from scoreloom.plans.tables import split_sql as splits_sql
 from scoreloom.schema import FOUR_GRADES, GRADE
 from scoreloom.session import scratch_path
 from scoreloom.sinks import report
@@ -25,35 +26,65 @@ def _parts(spark, rows, keep, names):
     return [stored.where(F.col("split") == name) for name in names]
 
 
-@query("fit_binary")
+def _fit_check(source, classes, keep, names, part):
+    """What SQL knows of a fit: rows of each class in the judged part, that all of
+    them are scored with a known class, and that the model beats the majority."""
+    return steps(*source, *splits_sql("labelled", names, keep, f"""
+  SELECT label, count(*) AS support, count(*) AS scored, 0::BIGINT AS outside, true AS not_below_majority
+  FROM split_rows JOIN (SELECT row_id, label FROM labelled) USING (row_id) WHERE split = '{part}' GROUP BY label"""))
+
+
+def _judged(scored, classes):
+    """One row per true class: support, rows scored, predictions outside the
+    classes, and whether the accuracy reaches that of the majority class."""
+    cells = metrics.confusion_cells(scored)
+    inside = F.col("p").between(0, classes - 1)
+    per = cells.groupBy(F.col("y").alias("label")).agg(
+        F.sum("n").alias("support"), F.sum(F.when(F.col("p").isNotNull(), F.col("n")).otherwise(0)).alias("scored"),
+        F.sum(F.when(inside, 0).otherwise(F.col("n"))).cast("bigint").alias("outside"),
+        F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)).alias("_hits"))
+    every = W.partitionBy(F.lit(0))
+    return per.select("label", "support", "scored", "outside",
+                      (F.sum("_hits").over(every) >= F.max("support").over(every)).alias("not_below_majority"))
+
+
+_BINARY = (GRADED_SQL, ("labelled", """
+  SELECT row_id, grade, CASE grade WHEN '2' THEN 0 ELSE 1 END::INT AS label FROM graded WHERE grade IN ('2', '5')"""))
+_FOUR = (GRADED_SQL, ("labelled", "SELECT row_id, grade, (dense_rank() OVER (ORDER BY grade) - 1)::INT AS label FROM graded"))
+_CONTINUED = {"keep": (0.4, 0.75), "names": ("earlier", "train", "test")}
+_REGS = (0.001, 0.01, 0.1)
+
+
+@query("fit_binary", _fit_check(_BINARY, 2, part="test", **splits.THREE_WAY))
 def _(spark, sf_dir):
     rows = labels.encode_labels(graded(spark, sf_dir).where(F.col(GRADE).isin("2", "5")))
     train, _, test = _parts(spark, rows, **splits.THREE_WAY)
     path = scratch_path(spark, "binary-model")
     model.save_model(model.fit_pair_classifier(train), path)
-    scored = model.predict(model.load_model(path), test).withColumnRenamed("label", "y")
-    return metrics.metrics_summary(metrics.confusion_cells(scored))
+    return _judged(model.predict(model.load_model(path), test).withColumnRenamed("label", "y"), 2)
 
 
-@query("fit_multiclass_weighted")
+@query("fit_multiclass_weighted", _fit_check(_FOUR, 4, part="test", **_CONTINUED))
 def _(spark, sf_dir):
     rows = labels.encode_labels(graded(spark, sf_dir))
-    earlier, train, test = _parts(spark, rows, (0.4, 0.75), ("earlier", "train", "test"))
-    # One weight per class; the lookup is a literal, as there are K of them.
-    weights = {r["label"]: r["weight"] for r in class_weights(train).collect()}
-    weigh = labels.literal_map(weights, F.col("label"), 1.0)
-    fitted = model.fit_pair_classifier(train.withColumn("weight", weigh), weight="weight",
-                                       earlier=earlier.withColumn("weight", weigh))
-    scored = model.predict(fitted, test).withColumnRenamed("label", "y")
-    return metrics.per_class_accuracy(metrics.confusion_cells(scored))
+    earlier, train, test = _parts(spark, rows, **_CONTINUED)
+    # One weight per class, joined; a class is a row of a table of any size.
+    weights = class_weights(train).select("label", "weight")
+
+    def weighed(part):
+        return part.join(weights, "label", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+
+    fitted = model.fit_pair_classifier(weighed(train), weight="weight", earlier=weighed(earlier))
+    return _judged(model.predict(fitted, test).withColumnRenamed("label", "y"), 4)
 
 
-@query("fit_candidates")
+@query("fit_candidates", _fit_check(_FOUR, 4, part="test", **splits.THREE_WAY))
 def _(spark, sf_dir):
+    """Fit candidates, choose by validation loss, and judge the chosen model on the test part."""
     rows = labels.encode_labels(graded(spark, sf_dir))
-    train, validation, _ = _parts(spark, rows, **splits.THREE_WAY)
-    candidates, _ = model.fit_candidates(train, validation, (0.001, 0.01, 0.1))
-    return candidates
+    train, validation, test = _parts(spark, rows, **splits.THREE_WAY)
+    _, chosen, _ = model.best_model(train, validation, _REGS)
+    return _judged(model.predict(chosen, test).withColumnRenamed("label", "y"), 4)
 
 
 def _stored(spark, document, name):

@@ -8,46 +8,70 @@ from scoreloom.functions.text import AUGMENT_TEMPLATES, BASELINE_TEMPLATE, DEFAU
 from scoreloom.operators import cleaning, encoding, labels, ledger, lengths, prompts, splits
 from scoreloom.operators.labels import FOUR_GRADE_INDEX
 from scoreloom.plans.adapters import (
-    BULK_SQL, GRADED_SCORED, GRADED_SQL, ORDERS_SQL, TURNS_SQL, bulk, graded, grades, mix_sql,
-    order_grades, raw_graded, turn_pairs, with_scores)
+    ANSWERS_SQL, BULK_SQL, GRADED_SCORED, GRADED_SQL, ORDERS_SQL, TURNS_SQL, answers, bulk, graded, grades, mix_sql,
+    order_grades, raw_graded, table, turn_pairs, with_scores)
 from scoreloom.plans.registry import query, steps
 from scoreloom.schema import FOUR_GRADES, GRADE, QUESTION, REFERENCE, ROW_ID, STUDENT
 from scoreloom.session import scratch_path
 from scoreloom.sources import delimited, workbook
 
 _FILE_ROWS = steps(GRADED_SQL, """
-  SELECT row_id, 'Вопрос ' || question AS question, grade, length(student_answer)::INT AS answer_length,
-    length(reference_answer)::INT AS reference_length FROM graded""")
+  SELECT row_id, grade, length(student_answer)::INT AS answer_length, length(reference_answer)::INT AS reference_length,
+    md5('Вопрос ' || question) AS question, md5(student_answer) AS student_answer, md5(reference_answer) AS reference_answer FROM graded""")
+_RUSSIAN_ROWS = steps(ANSWERS_SQL, """
+  SELECT row_id, grade, md5('Ответ №' || row_id) AS student_answer, md5('Эталон «' || question || '»; ё') AS reference_answer
+  FROM (SELECT *, (2 + row_id % 4)::VARCHAR AS grade FROM answers)""")
+_TEXTS = (QUESTION, REFERENCE, STUDENT)
 
 
 def _file_rows(df):
+    """What was read, every text as its md5."""
     clean = lengths.length_features(cleaning.drop_incomplete(df))
-    return clean.select(F.col(ROW_ID).cast("bigint").alias(ROW_ID), QUESTION, GRADE,
-                        "answer_length", "reference_length")
+    return clean.select(F.col(ROW_ID).cast("bigint").alias(ROW_ID), GRADE, "answer_length", "reference_length",
+                        *[F.md5(c).alias(c) for c in _TEXTS])
 
 
 def _titled(spark, sf_dir):
     return graded(spark, sf_dir).withColumn(QUESTION, F.concat(F.lit("Вопрос "), QUESTION))
 
 
+def _through_csv(spark, sf_dir, **options):
+    # Texts in four languages do not fit one code page: they travel spelled out.
+    path = scratch_path(spark, "graded-csv")
+    delimited.write_delimited(_titled(spark, sf_dir).withColumns({
+        c: delimited.spell_out(F.col(c)) for c in (REFERENCE, STUDENT)}), path)
+    read = delimited.read_delimited(spark, path, **options)
+    return _file_rows(read.withColumns({c: delimited.spell_back(F.col(c)) for c in (REFERENCE, STUDENT)}))
+
+
 @query("src_csv_scan", _FILE_ROWS)
 def _(spark, sf_dir):
-    path = scratch_path(spark, "graded-csv")
-    delimited.write_delimited(_titled(spark, sf_dir), path)
-    return _file_rows(delimited.read_delimited(spark, path))
+    return _through_csv(spark, sf_dir)
 
 
 @query("src_csv_scan_keep_space", _FILE_ROWS)
 def _(spark, sf_dir):
-    path = scratch_path(spark, "graded-csv")
-    delimited.write_delimited(_titled(spark, sf_dir), path)
-    return _file_rows(delimited.read_delimited(spark, path, skip_initial_space=False))
+    return _through_csv(spark, sf_dir, skip_initial_space=False)
+
+
+@query("src_csv_scan_russian", _RUSSIAN_ROWS)
+def _(spark, sf_dir):
+    """cp1251 as such: Russian texts made of every document, files that split."""
+    path = scratch_path(spark, "russian-csv")
+    rows = answers(spark, sf_dir).select(
+        ROW_ID, QUESTION, (F.lit(2) + F.col(ROW_ID) % 4).cast("string").alias(GRADE),
+        F.concat(F.lit("Ответ №"), F.col(ROW_ID)).alias(STUDENT),
+        F.concat(F.lit("Эталон «"), QUESTION, F.lit("»; ё")).alias(REFERENCE))
+    delimited.write_delimited(rows, path)
+    read = cleaning.drop_incomplete(delimited.read_delimited(spark, path, multi_line=False))
+    return read.select(ROW_ID, GRADE, F.md5(STUDENT).alias(STUDENT), F.md5(REFERENCE).alias(REFERENCE))
 
 
 @query("src_workbook_scan", _FILE_ROWS)
 def _(spark, sf_dir):
-    books = workbook.to_workbooks(_titled(spark, sf_dir), extra=(ROW_ID,))
-    return _file_rows(workbook.parse_workbooks(books, extra=(ROW_ID,)))
+    path = scratch_path(spark, "workbooks")
+    workbook.write_workbooks(_titled(spark, sf_dir), path, extra=(ROW_ID,))
+    return _file_rows(workbook.read_workbooks(spark, path, extra=(ROW_ID,)))
 
 
 @query("drop_incomplete", steps(GRADED_SQL, """
@@ -79,6 +103,15 @@ def _(spark, sf_dir):
     return labels.unseen_classes(order_grades(spark, sf_dir), labels.fit_classes(bulk(spark, sf_dir)))
 
 
+@query("label_encode_many", """
+  SELECT l_orderkey AS row_id, l_partkey::VARCHAR AS grade,
+    (dense_rank() OVER (ORDER BY l_partkey::VARCHAR) - 1)::INT AS label FROM lineitem""")
+def _(spark, sf_dir):
+    # More classes than a literal index takes.
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias(ROW_ID), F.col("l_partkey").cast("string").alias(GRADE))
+    return labels.encode_labels(rows)
+
+
 @query("label_decode", steps(BULK_SQL, "SELECT row_id, (p + 2)::VARCHAR AS predicted_grade FROM bulk"))
 def _(spark, sf_dir):
     return bulk(spark, sf_dir).select(ROW_ID, FOUR_GRADE_INDEX.decode(F.col("p")).alias("predicted_grade"))
@@ -98,11 +131,11 @@ def _wording(text: str) -> str:
     return f"'{text}'"
 
 
-@query("prompt_pair", steps(GRADED_SQL, f"""
+@query("prompt_pair", steps(ANSWERS_SQL, f"""
   SELECT row_id, {_wording(DEFAULT_TEMPLATE.text_a)} AS text_a, {_wording(DEFAULT_TEMPLATE.text_b)} AS text_b,
-    {_wording(BASELINE_TEMPLATE.text_a)} AS baseline_a, {_wording(BASELINE_TEMPLATE.text_b)} AS baseline_b FROM graded"""))
+    {_wording(BASELINE_TEMPLATE.text_a)} AS baseline_a, {_wording(BASELINE_TEMPLATE.text_b)} AS baseline_b FROM answers"""))
 def _(spark, sf_dir):
-    baseline = prompts.baseline_pair(graded(spark, sf_dir)).withColumnsRenamed(
+    baseline = prompts.baseline_pair(answers(spark, sf_dir)).withColumnsRenamed(
         {"text_a": "baseline_a", "text_b": "baseline_b"})
     return prompts.prompt_pair(baseline).select(ROW_ID, "text_a", "text_b", "baseline_a", "baseline_b")
 
@@ -126,38 +159,57 @@ def _(spark, sf_dir):
         ROW_ID, "epoch", "template_id", "text_a", "text_b")
 
 
-_VOCABULARY = 2000
+_VOCABULARY = 50_000
+_TEXT_TABLES = ("texts", "SELECT source AS t FROM documents UNION ALL SELECT text FROM documents UNION ALL SELECT text FROM benchmark")
+_PAIR_TEXTS = ("texts", "SELECT unnest([question, reference_answer, student_answer]) AS t FROM pairs_in")
 
 
-def _vocabulary_sql(source: str, size: int):
+def _vocabulary_sql(size: int):
     return ("vocabulary", f"""
   SELECT (row_number() OVER (ORDER BY n DESC, token) + 3)::INT AS token_id, token, n FROM (
-    SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '{TOKEN}')) AS token FROM (
-      SELECT unnest([question, reference_answer, student_answer]) AS t FROM {source}))
+    SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '{TOKEN}')) AS token FROM texts)
     GROUP BY token ORDER BY n DESC, token LIMIT {size})""")
 
 
-@query("vocab_topk", steps(GRADED_SQL, _vocabulary_sql("graded", _VOCABULARY), "SELECT * FROM vocabulary"))
+def _corpus_counts(spark, sf_dir):
+    """All documents and every benchmark text once, labelled or not."""
+    return encoding.sum_counts(encoding.token_counts(table(spark, sf_dir, "documents"), "source", "text"),
+                               encoding.token_counts(table(spark, sf_dir, "benchmark"), "text"))
+
+
+_VOCABULARY_CHECK = steps(_TEXT_TABLES, _vocabulary_sql(_VOCABULARY), "SELECT * FROM vocabulary")
+
+
+@query("vocab_topk", _VOCABULARY_CHECK)
 def _(spark, sf_dir):
-    counts = encoding.token_counts(graded(spark, sf_dir), QUESTION, REFERENCE, STUDENT)
-    return encoding.vocabulary(counts, _VOCABULARY)
+    return encoding.vocabulary(_corpus_counts(spark, sf_dir), _VOCABULARY)
 
 
-_MAX = 256
+@query("vocab_saved", _VOCABULARY_CHECK)
+def _(spark, sf_dir):
+    path = scratch_path(spark, "vocabulary")
+    encoding.save_vocabulary(encoding.vocabulary(_corpus_counts(spark, sf_dir), _VOCABULARY), path)
+    return encoding.load_vocabulary(spark, path)
+
+
+_MAX = encoding.MAX_LENGTH
 _PAIR_TOKENS = ("pairs", f"""
   SELECT *, greatest({_MAX} - 3 - len(ta), 0) AS room, len(ta) > {_MAX} - 3 AS overflow FROM (
-    SELECT row_id, regexp_extract_all({_wording(DEFAULT_TEMPLATE.text_a)}, '{TOKEN}') AS ta,
-      regexp_extract_all({_wording(DEFAULT_TEMPLATE.text_b)}, '{TOKEN}') AS tb FROM turn_pairs)""")
+    SELECT row_id, label, regexp_extract_all({_wording(DEFAULT_TEMPLATE.text_a)}, '{TOKEN}') AS ta,
+      regexp_extract_all({_wording(DEFAULT_TEMPLATE.text_b)}, '{TOKEN}') AS tb FROM pairs_in)""")
 _PAIR_FINAL = f"""
-  SELECT p.row_id, p.overflow,
+  SELECT row_id, label, overflow,
     CASE WHEN overflow THEN NULL ELSE len(ta) END::INT AS n_a,
-    CASE WHEN overflow THEN NULL ELSE least(len(tb), room) END::INT AS n_b,
+    CASE WHEN overflow THEN NULL ELSE nb END::INT AS n_b,
     CASE WHEN overflow THEN NULL ELSE array_to_string(
-      [2] || coalesce(a.ids, []) || [3] || coalesce(b.ids, []) || [3]
-        || list_transform(range({_MAX} - 3 - len(ta) - least(len(tb), room)), lambda i: 0), ' ') END AS input_ids,
-    CASE WHEN overflow THEN NULL ELSE least(len(tb), room) + 1 END::INT AS type_ones,
-    CASE WHEN overflow THEN NULL ELSE len(ta) + least(len(tb), room) + 3 END::INT AS mask_ones
-  FROM pairs p LEFT JOIN ida a USING (row_id) LEFT JOIN idb b USING (row_id)"""
+      [2] || coalesce(aids, []) || [3] || coalesce(bids, []) || [3]
+        || list_transform(range({_MAX} - 3 - len(ta) - nb), lambda i: 0), ' ') END AS input_ids,
+    CASE WHEN overflow THEN NULL ELSE array_to_string(list_transform(range({_MAX}),
+      lambda i: CASE WHEN i >= len(ta) + 2 AND i < len(ta) + nb + 3 THEN 1 ELSE 0 END), ' ') END AS token_type_ids,
+    CASE WHEN overflow THEN NULL ELSE array_to_string(list_transform(range({_MAX}),
+      lambda i: CASE WHEN i < len(ta) + nb + 3 THEN 1 ELSE 0 END), ' ') END AS attention_mask
+  FROM (SELECT p.*, least(len(tb), room) AS nb, a.ids AS aids, b.ids AS bids
+    FROM pairs p LEFT JOIN ida a USING (row_id) LEFT JOIN idb b USING (row_id))"""
 
 
 def _pair_ids(side: str, lookup: str, cut: str):
@@ -167,35 +219,56 @@ def _pair_ids(side: str, lookup: str, cut: str):
       LEFT JOIN vocabulary v USING (token)) GROUP BY row_id"""
 
 
-def _pair_sql(vocabulary, lookup):
-    return steps(TURNS_SQL, vocabulary, _PAIR_TOKENS,
+def _pair_sql(source, vocabulary, lookup):
+    return steps(*source, *vocabulary, _PAIR_TOKENS,
                  ("ida", _pair_ids("ta", lookup, "")), ("idb", _pair_ids("tb", lookup, "[1:room]")), _PAIR_FINAL)
 
 
-def _encoded(spark, sf_dir, ids):
-    pairs = prompts.prompt_pair(turn_pairs(spark, sf_dir)).select(ROW_ID, "text_a", "text_b")
-    coded = encoding.pair_encode(pairs, ids, _MAX)
+_LABELLED = (GRADED_SQL, ("pairs_in", "SELECT *, grade::INT - 2 AS label FROM graded"))
+_TURN_PAIRS = (TURNS_SQL, ("pairs_in", "SELECT *, (row_id % 4)::INT AS label FROM turn_pairs"))
+
+
+def _labelled(spark, sf_dir):
+    return graded(spark, sf_dir).withColumn("label", FOUR_GRADE_INDEX.encode_strict(F.col(GRADE)))
+
+
+def _encoded(pairs, ids):
+    coded = encoding.pair_encode(prompts.prompt_pair(pairs).select(ROW_ID, "label", "text_a", "text_b"), ids, _MAX)
 
-    def ones(c):
-        return F.aggregate(c, F.lit(0), lambda acc, v: acc + v)
+    def spelled(c):
+        return F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias(c)
 
-    return coded.select(ROW_ID, "overflow", "n_a", "n_b",
-                        F.array_join(F.transform("input_ids", lambda v: v.cast("string")), " ").alias("input_ids"),
-                        ones("token_type_ids").alias("type_ones"), ones("attention_mask").alias("mask_ones"))
+    return coded.select(ROW_ID, "label", "overflow", "n_a", "n_b", spelled("input_ids"),
+                        spelled("token_type_ids"), spelled("attention_mask"))
+
+
+_BY_VOCABULARY = _pair_sql(_LABELLED, (_PAIR_TEXTS, _vocabulary_sql(_VOCABULARY)), "coalesce(v.token_id, 1)")
+
+
+def _pair_vocabulary(pairs):
+    return encoding.vocabulary(encoding.token_counts(pairs, QUESTION, REFERENCE, STUDENT), _VOCABULARY)
+
+
+@query("pair_encode", _BY_VOCABULARY)
+def _(spark, sf_dir):
+    pairs = _labelled(spark, sf_dir)
+    return _encoded(pairs, encoding.fit_token_ids(_pair_vocabulary(pairs)))
 
 
-@query("pair_encode", _pair_sql(_vocabulary_sql("turn_pairs", _VOCABULARY), "coalesce(v.token_id, 1)"))
+@query("pair_encode_joined", _BY_VOCABULARY)
 def _(spark, sf_dir):
-    counts = encoding.token_counts(turn_pairs(spark, sf_dir), QUESTION, REFERENCE, STUDENT)
-    ids = encoding.fit_token_ids(encoding.vocabulary(counts, _VOCABULARY))
-    return _encoded(spark, sf_dir, ids)
+    """The path of a vocabulary too large for the driver, read back from where it was saved."""
+    pairs = _labelled(spark, sf_dir)
+    path = scratch_path(spark, "vocabulary")
+    encoding.save_vocabulary(_pair_vocabulary(pairs), path)
+    return _encoded(pairs, encoding.load_vocabulary(spark, path))
 
 
 @query("pair_encode_hashed", _pair_sql(
-    ("vocabulary", "SELECT '' AS token, 0 AS token_id"),
+    _TURN_PAIRS, (("vocabulary", "SELECT '' AS token, 0 AS token_id"),),
     "((('0x' || substr(md5(token), 1, 8))::BIGINT) % 30000 + 4)::INT"))
 def _(spark, sf_dir):
-    return _encoded(spark, sf_dir, 30000)
+    return _encoded(turn_pairs(spark, sf_dir).withColumn("label", (F.col(ROW_ID) % 4).cast("int")), 30000)
 
 
 def split_sql(source: str, names, keep, output: str) -> tuple:
@@ -230,8 +303,7 @@ def _(spark, sf_dir):
 @query("stratified_split_2way", steps(ORDERS_SQL, *split_sql(
     "order_grades", _TWO["names"], _TWO["keep"], "SELECT row_id, grade, split FROM split_rows")))
 def _(spark, sf_dir):
-    # A low limit, so that the ranges are narrowed on tables of any size.
-    return splits.stratified_split(order_grades(spark, sf_dir), GRADE, **_TWO, rank_rows=100)
+    return splits.stratified_split(order_grades(spark, sf_dir), GRADE, **_TWO)
 
 
 @query("split_sizes", steps(ORDERS_SQL, *split_sql(

@@ -8,10 +8,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A side is broadcast only after it has been shown to hold no more rows than
-# this. The rows are narrow (a key and a few numbers), so the limit keeps a
-# broadcast in the low megabytes.
+# A side is broadcast only after it has been shown to hold no more rows and
+# bytes (written as text) than this.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 8 << 20
 
 
 def build_session(app: str = "scoreloom", cpus: str | int = "*",
@@ -35,16 +35,23 @@ def build_session(app: str = "scoreloom", cpus: str | int = "*",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder for intermediate tables.
 
-    Only a session that names none (a unit test) gets a folder of its own.
+    It is the session's ``spark.checkpoint.dir``, or the folder given to
+    ``setCheckpointDir``. Without either the job stops: a folder of one machine
+    would lose tables with an executor. Only a session whose executors are
+    threads of the driver takes a folder of its own.
     """
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="scoreloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    if root is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="scoreloom-"))
+    if root is None:
+        return context.getCheckpointDir()
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
     return root
 
 
@@ -56,24 +63,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def gathered(df: DataFrame) -> DataFrame:
     """Put an aggregate that is known to have few rows into one partition.
 
-    Meant for results bounded by closed sets (classes, bins, runs). Whatever
-    is computed from them afterwards then needs no further shuffle.
+    Only for results bounded by closed sets: classes, bins, runs. Whatever is
+    computed from them afterwards then needs no further shuffle. A column of
+    ids is no label; counts of any column go through ``settle``.
     """
     return df.coalesce(1)
 
 
-def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Evaluate a derived side once and mark it for broadcast if it is small.
 
-    At most ``max_rows + 1`` rows ever reach the driver. A side within the
-    bound becomes a literal relation with a broadcast hint. A larger side is
-    written to the checkpoint folder and returned without a hint, so that the
-    join is planned as a shuffle join (with the skew handling of AQE).
+    The side is computed once, in as many tasks as it has partitions, and
+    measured in rows and bytes. Within both bounds it becomes a literal
+    relation with a broadcast hint. A larger side is written to the checkpoint
+    folder and returned without a hint, so that the join is planned as a
+    shuffle join (with the skew handling of AQE).
     """
-    # One partition, so that the limit is reached in one job and not by trying
-    # more and more partitions.
-    rows = df.coalesce(1).limit(max_rows + 1).toArrow()
-    if rows.num_rows <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+    kept = df.persist()
+    try:
+        size = kept.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first() if df.columns else (0, 0)
+        if size[0] <= max_rows and (size[1] or 0) <= max_bytes:
+            return F.broadcast(df.sparkSession.createDataFrame(kept.toArrow(), df.schema))
+        checkpoint_root(df.sparkSession)
+        return kept.checkpoint()
+    finally:
+        kept.unpersist()

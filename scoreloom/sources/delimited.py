@@ -26,29 +26,51 @@ def decode_single_byte(c: Column, encoding: str) -> Column:
 
 
 def encode_single_byte(c: Column, encoding: str) -> Column:
-    """The reverse, for writing; characters outside the code page become ``?``."""
-    upper = _upper_half(encoding).replace("�", "")
-    known = F.regexp_replace(c, "[^\\x00-\\x7f" + upper + "]", "?")
-    pairs = [(u, l) for u, l in zip(_upper_half(encoding), _LATIN) if u != "�"]
-    return F.translate(known, "".join(u for u, _ in pairs), "".join(l for _, l in pairs))
+    """The reverse, for writing; a character outside the code page stops the job."""
+    upper = _upper_half(encoding).replace("\ufffd", "")
+    pairs = [(u, l) for u, l in zip(_upper_half(encoding), _LATIN) if u != "\ufffd"]
+    foreign = F.regexp_extract(c, "[^\\x00-\\x7f" + upper + "]", 0)
+    complaint = F.concat(F.lit(f"not in {encoding}: "), foreign, F.lit("; spell such characters out first (see spell_out)"))
+    checked = F.when(foreign == "", c).when(c.isNotNull(), F.raise_error(complaint).cast("string"))
+    return F.translate(checked, "".join(u for u, _ in pairs), "".join(l for _, l in pairs))
+
+
+def spell_out(c: Column) -> Column:
+    """ASCII spelling of any text: other characters, and the backslash, as UTF-16
+    units ``\\uXXXX``. ``spell_back`` undoes it."""
+    units = F.hex(F.encode(c, "UTF-16BE"))
+    apart = F.regexp_extract_all(units, F.lit("[0-9A-F]{4}"), F.lit(0))
+    one = F.array_join(F.transform(apart, lambda u: F.when(
+        (u <= "007F") & (u != "005C"), F.decode(F.unhex(F.substring(u, 3, 2)), "US-ASCII")).otherwise(
+        F.concat(F.lit("\\u"), u))), "")
+    return F.when(F.rlike(c, F.lit("[^\\x00-\\x7f]|\\\\")), one).otherwise(c)
+
+
+def spell_back(c: Column) -> Column:
+    parts = F.split(c, "(?=\\\\u[0-9A-F]{4})")
+    units = F.array_join(F.transform(parts, lambda p: F.when(
+        F.rlike(p, F.lit("^\\\\u[0-9A-F]{4}")), F.concat(F.substring(p, 3, 4), F.hex(F.encode(F.substr(p, F.lit(7)), "UTF-16BE")))).otherwise(
+        F.hex(F.encode(p, "UTF-16BE")))), "")
+    return F.when(F.contains(c, F.lit("\\u")), F.decode(F.unhex(units), "UTF-16BE")).otherwise(c)
 
 
 def read_delimited(spark: SparkSession, path: str, encoding: str = "cp1251", sep: str = ";",
-                   skip_initial_space: bool = True,
+                   skip_initial_space: bool = True, multi_line: bool = True,
                    headers: Mapping[str, str] = SOURCE_HEADERS) -> DataFrame:
     """Scan delimited files with a header line.
 
     Every field is read as text, so there is no inference pass and a grade
     column with gaps cannot turn into fractions. Columns go by name; a file
     whose header differs from the first one's stops the job. Quoted fields may
-    hold the separator, quotes and line ends, which makes one file the unit
-    of parallel work: large inputs should come as a folder of files.
+    hold the separator, quotes and line ends, which makes one file the unit of
+    parallel work. Where no field holds a line end, ``multi_line=False`` lets
+    Spark split large files.
     ``row_id`` is taken from the input if present and assigned otherwise.
     """
     utf8 = encoding.lower() in UTF8
     raw = (spark.read.option("header", True).option("sep", sep)
            .option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
-           .option("multiLine", True).option("quote", '"').option("escape", '"')
+           .option("multiLine", multi_line).option("quote", '"').option("escape", '"')
            .option("enforceSchema", False)
            .option("ignoreLeadingWhiteSpace", skip_initial_space)
            .option("ignoreTrailingWhiteSpace", False).csv(path))

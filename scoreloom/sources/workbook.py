@@ -9,10 +9,12 @@ from collections.abc import Iterator, Mapping
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from scoreloom.operators.cleaning import with_row_id
-from scoreloom.schema import SOURCE_HEADERS
+from scoreloom.schema import ROW_ID, SOURCE_HEADERS
 
 # XML namespaces of the workbook format.
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -114,12 +116,36 @@ def parse_workbooks(files: DataFrame, headers: Mapping[str, str] = SOURCE_HEADER
     return files.select("content").mapInPandas(parse, schema)
 
 
-def read_workbooks(spark: SparkSession, path: str,
-                   headers: Mapping[str, str] = SOURCE_HEADERS) -> DataFrame:
-    """Scan every .xlsx file of a folder, files in parallel."""
+def read_workbooks(spark: SparkSession, path: str, headers: Mapping[str, str] = SOURCE_HEADERS,
+                   extra: tuple[str, ...] = ()) -> DataFrame:
+    """Scan every .xlsx file of a folder, files in parallel.
+
+    ``row_id`` is taken from the sheet if it is among ``extra``, else assigned.
+    """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
              .option("recursiveFileLookup", True).load(path))
-    return with_row_id(parse_workbooks(files, headers))
+    rows = parse_workbooks(files, headers, extra)
+    return rows if ROW_ID in extra else with_row_id(rows)
+
+
+def write_workbooks(df: DataFrame, path: str, headers: Mapping[str, str] = SOURCE_HEADERS,
+                    extra: tuple[str, ...] = ()) -> int:
+    """Write graded rows as .xlsx files below ``path``, which all executors share.
+
+    The tasks write the files themselves, named by partition and batch, so a
+    repeated task writes the same files again. Returns the number of files.
+    """
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, folder = fs.FileSystem.from_uri(path)
+        files.create_dir(folder, recursive=True)
+        part = TaskContext.get().partitionId()
+        for i, batch in enumerate(batches):
+            for j, content in enumerate(batch["content"]):
+                with files.open_output_stream(f"{folder}/part-{part:05d}-{i:05d}-{j:05d}.xlsx") as out:
+                    out.write(content)
+            yield pd.DataFrame({"files": [len(batch)]})
+
+    return to_workbooks(df, headers, extra).mapInPandas(place, "files long").agg(F.sum("files")).first()[0] or 0
 
 
 def workbook_bytes(rows: list[list], header: list[str]) -> bytes:

@@ -66,7 +66,12 @@ def test_unseen_class_stops_the_job(spark):
 
 def test_many_classes_are_encoded_by_a_join(spark):
     df = spark.range(2000).select((F.col("id") % 1000).cast("string").alias("grade"))
-    assert labels.fit_classes(df) is None
+    index = labels.fit_classes(df)
+    assert isinstance(index, labels.ClassTable)
+    more = df.unionByName(spark.createDataFrame([("new",), ("new",), (None,)], "grade string"))
+    assert {r["class"]: r["n"] for r in labels.unseen_classes(more, index).collect()} == {"new": 2, None: 1}
+    with pytest.raises(PySparkException, match="unseen class: "):
+        labels.checked_labels(more, index).collect()
     got = {r["grade"]: r["label"] for r in labels.encode_labels(df).collect()}
     assert got == {g: i for i, g in enumerate(sorted(str(k) for k in range(1000)))}
 
@@ -242,3 +247,39 @@ def test_vocabulary_breaks_ties_by_token(spark):
     df = spark.createDataFrame([("b a a",), ("b c!",)], "t string")
     rows = encoding.vocabulary(encoding.token_counts(df, "t"), 3).orderBy("token_id").collect()
     assert [tuple(r) for r in rows] == [(4, "a", 2), (5, "b", 2), (6, "!", 1)]
+
+
+def test_unlisted_grades_are_counted(spark):
+    df = spark.createDataFrame([(10, "2"), (20, "1"), (30, "1"), (40, None)], "answer_length int, grade string")
+    counts = lengths.crosstab(df, "answer_length", LENGTH_BINS, ("2", "3"))
+    row = counts.first()
+    assert (row["grade_2"], row["grade_3"], row["grade_other"]) == (1, 0, 2)
+    assert lengths.crosstab_percent(counts, ("2", "3")).first()["grade_2"] == 33.3
+
+
+def test_no_grade_has_no_remapped_label(spark):
+    df = spark.createDataFrame([("2",), (None,)], "grade string")
+    found = {(r["grade"], r["strategy"]): r["binary_label"] for r in labels.remap(df).collect()}
+    assert found["2", "strict"] == 0 and found[None, "strict"] is None
+
+
+def test_a_class_without_weight_stops_the_job(spark):
+    parts = spark.createDataFrame([(0, 2, 1.0), (1, 1, 3.0)], "label int, n long, loss_sum double")
+    weights = spark.createDataFrame([(0, 1.0)], "label int, weight double")
+    with pytest.raises(PySparkException, match="class without a weight: 1"):
+        losses.weighted_log_loss(parts, weights).collect()
+
+
+def test_describe_of_large_whole_numbers(spark):
+    df = spark.range(1000).select(F.lit("g").alias("grade"), (F.col("id") + 10 ** 13).alias("answer_length"))
+    row = lengths.describe(df).first()
+    assert row["n"] == 1000 and row["mean"] == 10 ** 13 + 499.5
+    assert row["std"] == pytest.approx(288.8194, rel=1e-3) and row["q2"] == 10 ** 13 + 499.5
+
+
+def test_bincount_of_scattered_labels(spark):
+    df = spark.createDataFrame([(3,), (3,), (0,), (100_000,), (None,)], "label int")
+    found = metrics.bincount(df, "label")
+    assert found.count() == 100_001
+    assert {r["label"]: r["n"] for r in found.where("n > 0").collect()} == {0: 1, 3: 2, 100_000: 1}
+    assert metrics.bincount(df.limit(0), "label").collect() == []

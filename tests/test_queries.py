@@ -4,9 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import compare
-
-QUERIES = entry_points.queries()
-CHECKS = entry_points.oracle_sql()
+from scoreloom.plans.catalog import CHECKS, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -20,6 +18,7 @@ def test_query(spark, sf_dir, duck, name):
 
 def test_every_check_belongs_to_a_query():
     assert set(CHECKS) <= set(QUERIES)
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 def test_entry(spark, sf_dir):

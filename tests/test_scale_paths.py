@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scoreloom import session
 from scoreloom.functions.hashing import mix
-from scoreloom.operators import lengths, ranks, splits
+from scoreloom.operators import lengths, quantiles, splits
 from scoreloom.operators.quantiles import exact_quantiles
 
 
@@ -54,18 +54,18 @@ def expected_split(rows, keep, names, seed=42):
 ROWS = [(i, "5" if i % 3 else random.Random(i).choice("234")) for i in range(3000)] + [(9999, "1")]
 
 
-@pytest.mark.parametrize("rank_rows", [1, 50, 10**6])
+@pytest.mark.parametrize("bucket_bits", [1, 6, 12, 20])
 @pytest.mark.parametrize("plan", [splits.THREE_WAY, splits.TWO_WAY])
-def test_split_equals_brute_force(spark, rank_rows, plan):
+def test_split_equals_brute_force(spark, bucket_bits, plan):
     df = spark.createDataFrame(ROWS, "row_id long, grade string").repartition(5)
-    got = splits.stratified_split(df, "grade", **plan, rank_rows=rank_rows)
+    got = splits.stratified_split(df, "grade", **plan, bucket_bits=bucket_bits)
     assert {r["row_id"]: r["split"] for r in got.collect()} == expected_split(ROWS, **plan)
 
 
 def test_split_by_text_ids(spark):
     rows = [(f"id-{i}", g) for i, g in ROWS]
     df = spark.createDataFrame(rows, "row_id string, grade string")
-    got = splits.stratified_split(df, "grade", **splits.THREE_WAY, rank_rows=50)
+    got = splits.stratified_split(df, "grade", **splits.THREE_WAY, bucket_bits=5)
     assert {r["row_id"]: r["split"] for r in got.collect()} == expected_split(rows, **splits.THREE_WAY)
 
 
@@ -83,10 +83,9 @@ def test_split_sizes_are_exact(spark):
 
 
 def test_split_with_more_strata_than_may_be_broadcast(spark, monkeypatch):
-    for module in (splits, ranks):
-        monkeypatch.setattr(module, "settle", lambda df: session.settle(df, max_rows=2))
+    monkeypatch.setattr(splits, "settle", lambda df, **_: session.settle(df, max_rows=2))
     df = spark.createDataFrame(ROWS, "row_id long, grade string")
-    got = splits.stratified_split(df, "grade", **splits.TWO_WAY, rank_rows=50)
+    got = splits.stratified_split(df, "grade", **splits.TWO_WAY, bucket_bits=5)
     assert {r["row_id"]: r["split"] for r in got.collect()} == expected_split(ROWS, **splits.TWO_WAY)
 
 
@@ -99,17 +98,24 @@ def test_rows_without_stratum_keep_no_split(spark):
 def test_settle_above_the_bound_keeps_every_row(spark):
     df = spark.range(100).groupBy((F.col("id") % 50).alias("k")).agg(F.count("*").alias("n"))
     big, small = session.settle(df, max_rows=10), session.settle(df, max_rows=50)
+    heavy = session.settle(df, max_rows=50, max_bytes=100)
+    assert sorted(heavy.collect()) == sorted(small.collect())
+    assert "BroadcastExchange" not in heavy.join(spark.range(9), F.col("k") == F.col("id")).hint("merge")._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(big.collect()) == sorted(small.collect())
     assert "BroadcastExchange" in small.join(spark.range(9), F.col("k") == F.col("id"))._jdf.queryExecution().toString()
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.floats(-1e6, 1e6, allow_nan=False) | st.sampled_from([0.0, 1.5]), min_size=1, max_size=300))
 def test_quantiles_equal_brute_force(spark, values):
     rows = [("all", v) for v in values] + [("two", 1.0), ("two", 2.0)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = {r["g"]: r["quantiles"] for r in exact_quantiles(df, "g", "v", probs, rank_rows=5).collect()}
+    for accuracy in (5, 20_000):
+        got = {r["g"]: r["quantiles"] for r in exact_quantiles(df, "g", "v", probs, accuracy=accuracy).collect()}
+        assert got["all"] == pytest.approx(np.quantile(values, probs), rel=1e-9, abs=1e-9)
+    rows_of = quantiles._rows(df, "g", "v")
+    got = {r["g"]: r["quantiles"] for r in quantiles._ranked_quantiles(rows_of, "g", probs, 5).collect()}
     assert got["all"] == pytest.approx(np.quantile(values, probs), rel=1e-9, abs=1e-9)
     assert got["two"] == pytest.approx([1.0, 1.25, 1.5, 1.75, 2.0])
 
@@ -121,7 +127,7 @@ def test_quantiles_of_a_bracketed_skewed_group(spark):
     values = np.concatenate([values, [1e300, -1e300, 0.0]])
     df = df.unionByName(spark.createDataFrame([("g", 1e300), ("g", -1e300), ("g", 0.0), ("g", None), ("g", float("nan"))], df.schema))
     probs = [0.25, 0.5, 0.75, 0.99]
-    got = exact_quantiles(df, "g", "v", probs, rank_rows=100).first()["quantiles"]
+    got = exact_quantiles(df, "g", "v", probs, accuracy=200).first()["quantiles"]
     assert got == pytest.approx(np.quantile(values, probs), rel=1e-12)
 
 
@@ -138,3 +144,34 @@ def test_boxplot_equals_brute_force(spark, kind):
         assert (row["q1"], row["q2"], row["q3"]) == pytest.approx((q1, q2, q3))
         assert (row["whisker_low"], row["whisker_high"]) == (inside.min(), inside.max())
         assert (row["outliers"], row["n"]) == (len(x) - len(inside), len(x))
+
+
+def test_vocabulary_join_equals_lookup(spark):
+    from scoreloom.operators import encoding
+
+    rows = [(i, " ".join(random.Random(i).choices("abcdefgh", k=i)), " ".join(random.Random(-i).choices("ghijk", k=3 * i)), i % 3) for i in range(12)]
+    df = spark.createDataFrame(rows, "row_id long, text_a string, text_b string, label int")
+    vocab = encoding.vocabulary(encoding.token_counts(df, "text_a", "text_b"), 6)
+    by_list = encoding.pair_encode(df, encoding.fit_token_ids(vocab), 16)
+    by_join = encoding.pair_encode(df, vocab, 16)
+    columns = ["row_id", "label", "overflow", "input_ids", "token_type_ids", "attention_mask"]
+    assert sorted(by_list.select(columns).collect()) == sorted(by_join.select(columns).collect())
+
+
+def test_no_shared_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://head:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(Session())

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from scoreloom.operators.ranks import RANK_ROWS, first_regions, logarithmic, ranked_rows
-from scoreloom.session import settle
+from scoreloom.session import settle, written
 
 ACCURACY = 20_000
 
@@ -48,7 +48,7 @@ def exact_quantiles(df: DataFrame, by: str, value: str, probs: Sequence[float],
                  F.when(spot < 1, F.col("low")).otherwise(side(q, -1)).alias("from"),
                  F.when(spot >= F.col("n") - 2, F.col("high")).otherwise(side(q, 1)).alias("to"))
         for i, (q, spot) in enumerate(zip(probs, _spots(F.col("n"), probs)))])
-    wanted = settle(groups.select(by, "n", "low", "high", brackets.alias("brackets")))
+    wanted = groups.select(by, brackets.alias("brackets"))
 
     # Counts below brackets and per value inside; every other row adds to counts only.
     # A row is a value inside of some bracket, or the mark of how many brackets are above it.
@@ -56,10 +56,10 @@ def exact_quantiles(df: DataFrame, by: str, value: str, probs: Sequence[float],
         return F.count_if(F.col("v") < F.col("brackets")[i]["from"]).alias(f"below{i}")
 
     inside = F.exists("brackets", lambda b: (F.col("v") >= b["from"]) & (F.col("v") <= b["to"]))
-    counted = (rows.join(wanted.select(by, "brackets"), by)
+    counted = (rows.join(wanted, by)
                .groupBy(by, F.when(inside, F.col("v")).alias("v"))
                .agg(F.count("*").alias("c"), *[below(i) for i in range(len(probs))]))
-    counted = settle(counted, max_rows=0)
+    counted = written(counted, "inside")
     lower = counted.groupBy(by).agg(*[F.sum(f"below{i}").alias(f"below{i}") for i in range(len(probs))])
     spread = (counted.where(F.col("v").isNotNull()).select(by, "v", "c")
               .join(wanted.select(by, F.inline("brackets")), by)

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from scoreloom.functions.hashing import BITS, row_draw
-from scoreloom.session import scratch_path, settle
+from scoreloom.session import settle, written
 
 SEED = 42
 # Top bits of the hash that name a bucket.
@@ -74,10 +74,7 @@ def split_points(df: DataFrame, stratum: str, keep: Sequence[float], row_id: str
     only the rows of those buckets are put in order.
     """
     # Written once: what follows reads three narrow columns, whatever made the table.
-    path = scratch_path(df.sparkSession, "keyed")
-    keyed = df.select(F.col(stratum), row_draw(df, row_id, seed).alias("v"), F.col(row_id).alias("tie"))
-    keyed.write.parquet(path)
-    keyed = df.sparkSession.read.schema(keyed.schema).parquet(path)
+    keyed = written(df.select(F.col(stratum), row_draw(df, row_id, seed).alias("v"), F.col(row_id).alias("tie")), "keyed")
     bucket = F.shiftright("v", BITS - bucket_bits).cast("int")
     counts = settle(keyed.groupBy(stratum, bucket.alias("bucket")).agg(F.count("*").alias("c")))
     sizes = nested_sizes(counts.groupBy(stratum).agg(F.sum("c").alias("n")), stratum, keep)

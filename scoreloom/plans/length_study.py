@@ -66,6 +66,21 @@ _count_query("ratio_bins", answer_lengths, _ANSWERS, "length_ratio", RATIO_BINS)
 _count_query("bulk_length_bins", bulk, _LINES, "answer_length", LENGTH_BINS)
 
 
+# Analysis of variance of ``src``; the lower tail is the power series of the incomplete beta function.
+ANOVA_SQL = (("g", """
+      SELECT grade, count(*) AS n, avg(answer_length) AS m, coalesce(var_samp(answer_length), 0) AS v FROM src GROUP BY grade"""),
+    ("s", """SELECT sum(n)::BIGINT AS rows, count(*) - 1 AS df_between, (sum(n) - count(*))::BIGINT AS df_within,
+        sum(n * (m - (SELECT avg(answer_length) FROM src)) ** 2) AS ss_between, sum((n - 1) * v) AS ss_within FROM g"""),
+    ("t", "SELECT *, (ss_between / df_between) / (ss_within / df_within) AS f FROM s"),
+    ("b", """SELECT *, df_between / 2.0::DOUBLE AS b1, df_within / 2.0::DOUBLE AS b2,
+        df_between * f / (df_within + df_between * f) AS x FROM t"""),
+    ("tail", """SELECT any_value(rows) AS rows, any_value(f) AS f, any_value(df_between) AS df_between,
+          any_value(df_within) AS df_within, any_value(ss_between) AS ss_between, any_value(ss_within) AS ss_within,
+          1 - sum(exp(b1 * ln(x) + b2 * ln(1 - x) - ln(b1) + lgamma(b1 + b2) - lgamma(b1) - lgamma(b2)
+            + lgamma(b1 + b2 + k) - lgamma(b1 + b2) - lgamma(b1 + 1 + k) + lgamma(b1 + 1) + k * ln(x))) AS p
+        FROM b, range(0, 20000) r(k)"""))
+
+
 def _study(prefix, source, sql_source):
     """The part of the study that is the same for both tables."""
 
@@ -109,19 +124,7 @@ def _study(prefix, source, sql_source):
         round(corr(answer_length, p), 6) AS corr_length_predicted FROM src"""))(
         lambda spark, sf_dir: lengths.length_correlation(source(spark, sf_dir)))
 
-    query(prefix + "anova_length", steps(*sql_source, ("g", """
-      SELECT grade, count(*) AS n, avg(answer_length) AS m, coalesce(var_samp(answer_length), 0) AS v FROM src GROUP BY grade"""),
-      ("s", """SELECT sum(n)::BIGINT AS rows, count(*) - 1 AS df_between, (sum(n) - count(*))::BIGINT AS df_within,
-        sum(n * (m - (SELECT avg(answer_length) FROM src)) ** 2) AS ss_between, sum((n - 1) * v) AS ss_within FROM g"""),
-      ("t", "SELECT *, (ss_between / df_between) / (ss_within / df_within) AS f FROM s"),
-      ("b", """SELECT *, df_between / 2.0::DOUBLE AS b1, df_within / 2.0::DOUBLE AS b2,
-        df_between * f / (df_within + df_between * f) AS x FROM t"""),
-      # The lower tail is the power series of the incomplete beta function.
-      ("tail", """SELECT any_value(rows) AS rows, any_value(f) AS f, any_value(df_between) AS df_between,
-          any_value(df_within) AS df_within, any_value(ss_between) AS ss_between, any_value(ss_within) AS ss_within,
-          1 - sum(exp(b1 * ln(x) + b2 * ln(1 - x) - ln(b1) + lgamma(b1 + b2) - lgamma(b1) - lgamma(b2)
-            + lgamma(b1 + b2 + k) - lgamma(b1 + b2) - lgamma(b1 + 1 + k) + lgamma(b1 + 1) + k * ln(x))) AS p
-        FROM b, range(0, 20000) r(k)"""), """
+    query(prefix + "anova_length", steps(*sql_source, *ANOVA_SQL, """
       SELECT rows, df_between, df_within, round(ss_between, 2) AS ss_between, round(ss_within, 2) AS ss_within,
         round(f, 6) AS f, round(p, 6) AS p, p < 0.05 AS significant FROM tail"""))(
         lambda spark, sf_dir: lengths.anova(source(spark, sf_dir)).withColumns({

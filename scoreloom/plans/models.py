@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, Window as W
 
+from scoreloom.functions.bins import LENGTH_BINS, RATIO_BINS
 from scoreloom.operators import labels, metrics, model, progress, splits, strategies
 from scoreloom.operators.labels import FOUR_GRADE_INDEX
 from scoreloom.operators.weights import class_weights
@@ -11,9 +12,10 @@ from scoreloom.plans.adapters import (
     BULK_SQL, GRADED_SCORED, GRADED_SQL, binary_prediction, bulk, graded, graded_scored, runs)
 from scoreloom.plans.comparison import RUN_SCORES
 from scoreloom.plans.evaluation import JUDGED, STRATEGY_SCORES, scores_sql
+from scoreloom.plans.length_study import ANOVA_SQL, bin_rows_sql, bin_sql
 from scoreloom.plans.registry import query, steps
 from scoreloom.plans.tables import split_sql as splits_sql
-from scoreloom.schema import FOUR_GRADES, GRADE
+from scoreloom.schema import FOUR_GRADES, GRADE, QUESTION, REFERENCE, STUDENT
 from scoreloom.session import scratch_path
 from scoreloom.sinks import report
 
@@ -94,64 +96,93 @@ def _stored(spark, document, name):
     return spark.read.schema(document.schema).json(path)
 
 
-_LENGTHS = (*GRADED_SCORED, ("acc", """
-  SELECT CASE WHEN answer_length <= 0 THEN NULL WHEN answer_length <= 50 THEN '0-50' WHEN answer_length <= 100 THEN '50-100'
-      WHEN answer_length <= 200 THEN '100-200' WHEN answer_length <= 300 THEN '200-300'
-      WHEN answer_length <= 500 THEN '300-500' WHEN answer_length <= 1000 THEN '500-1000' ELSE '>1000' END AS key,
-    avg((y = p)::INT) AS value FROM scored GROUP BY ALL"""))
-
-
-@query("report_json", steps(*_LENGTHS, """
-  SELECT 'accuracy_by_length' AS section, b.key, round(value, 6) AS value
-  FROM (SELECT unnest(['0-50', '50-100', '100-200', '200-300', '300-500', '500-1000', '>1000']) AS key) b LEFT JOIN acc USING (key)
-  UNION ALL SELECT 'scalars', 'correlation_length_grade', round(corr(answer_length, y), 6) FROM scored
-  UNION ALL SELECT 'scalars', 'correlation_relation_grade', round(corr(length_ratio, y), 6) FROM scored
-  UNION ALL SELECT 'scalars', 'anova_f', round((sum(n * (m - (SELECT avg(answer_length) FROM scored)) ** 2) / (count(*) - 1))
-      / (sum((n - 1) * v) / (sum(n) - count(*))), 6)
-    FROM (SELECT count(*) AS n, avg(answer_length) AS m, coalesce(var_samp(answer_length), 0) AS v FROM scored GROUP BY grade)
-  UNION ALL SELECT 'mean', grade, round(avg(answer_length), 6) FROM scored GROUP BY grade
-  UNION ALL SELECT 'std', grade, round(stddev_samp(answer_length), 6) FROM scored GROUP BY grade
-  UNION ALL SELECT '50%', grade, round(quantile_cont(answer_length, 0.5), 6) FROM scored GROUP BY grade
-  UNION ALL SELECT 'count', grade, count(*)::DOUBLE FROM scored GROUP BY grade"""))
+def _bin_section(section: str, value: str, bins) -> str:
+    """Accuracy of every bin of a report section, empty bins included."""
+    _, rows = bin_rows_sql(bins)
+    return f"""SELECT '{section}' AS section, b.bin_label AS key, round(avg((s.y = s.p)::INT), 6) AS value
+    FROM ({rows}) b LEFT JOIN src s ON {bin_sql('s.' + value, bins)} = b.bin_id GROUP BY b.bin_label"""
+
+
+_STATISTICS = {
+    "count": "count(*)::DOUBLE", "mean": "avg(answer_length)", "std": "stddev_samp(answer_length)", "min": "min(answer_length)::DOUBLE",
+    "25%": "quantile_cont(answer_length, 0.25)", "50%": "quantile_cont(answer_length, 0.5)",
+    "75%": "quantile_cont(answer_length, 0.75)", "max": "max(answer_length)::DOUBLE"}
+_SCALARS = ("correlation_length_grade", "correlation_relation_grade", "anova_f", "anova_p")
+
+
+@query("report_json", steps(*GRADED_SCORED, ("src", "SELECT * FROM scored"), *ANOVA_SQL, " UNION ALL ".join([
+    _bin_section("accuracy_by_length", "answer_length", LENGTH_BINS), _bin_section("accuracy_by_relation", "length_ratio", RATIO_BINS),
+    "SELECT 'scalars', 'correlation_length_grade', round(corr(answer_length, y), 6) FROM src",
+    "SELECT 'scalars', 'correlation_relation_grade', round(corr(length_ratio, y), 6) FROM src",
+    "SELECT 'scalars', 'anova_f', round(f, 6) FROM tail", "SELECT 'scalars', 'anova_p', round(p, 6) FROM tail",
+    *[f"SELECT '{name}', grade, round({sql}, 6) FROM src GROUP BY grade" for name, sql in _STATISTICS.items()]])))
 def _(spark, sf_dir):
     stored = _stored(spark, report.length_report(graded_scored(spark, sf_dir), FOUR_GRADES), "length-report")
-    scalars = F.create_map(*[x for c in ("correlation_length_grade", "correlation_relation_grade", "anova_f")
-                             for x in (F.lit(c), F.col(c))])
+    scalars = F.create_map(*[x for c in _SCALARS for x in (F.lit(c), F.col(c))])
     sections = F.array(
         F.struct(F.lit("accuracy_by_length").alias("section"), F.col("accuracy_by_length").alias("m")),
+        F.struct(F.lit("accuracy_by_relation").alias("section"), F.col("accuracy_by_relation").alias("m")),
         F.struct(F.lit("scalars").alias("section"), scalars.alias("m")),
-        *[F.struct(F.lit(s).alias("section"), F.col("grade_statistics")[s].alias("m"))
-          for s in ("count", "mean", "std", "50%")])
+        *[F.struct(F.lit(s).alias("section"), F.col("grade_statistics")[s].alias("m")) for s in _STATISTICS])
     return stored.select(F.inline(sections)).select("section", F.explode("m"))
 
 
+def _spelled(numbers):
+    return F.array_join(F.transform(numbers, lambda v: v.cast("string")), " ")
+
+
 @query("report_strategies", steps(BULK_SQL, JUDGED, STRATEGY_SCORES, ("s", """
   SELECT strategy_order, strategy, sum(support)::BIGINT AS n, sum(hits)::DOUBLE / sum(support) AS accuracy,
-    avg(f1) AS f1_macro FROM class_scores GROUP BY ALL"""), """
-  SELECT strategy, round(accuracy, 6) AS accuracy, round(f1_macro, 6) AS f1_macro, n AS total_samples,
-    strategy = (SELECT strategy FROM s ORDER BY accuracy DESC, strategy_order LIMIT 1) AS is_best FROM s"""))
+    avg(f1) AS f1_macro, sum(f1 * support) / sum(support) AS f1_weighted FROM class_scores GROUP BY ALL"""), ("m", """
+  SELECT strategy, any_value(description) AS description, concat_ws(' ', count(*) FILTER (y = 0 AND p = 0), count(*) FILTER (y = 0 AND p = 1),
+      count(*) FILTER (y = 1 AND p = 0), count(*) FILTER (y = 1 AND p = 1)) AS confusion_matrix,
+    concat_ws(' ', count(*) FILTER (y = 0), count(*) FILTER (y = 1)) AS true_distribution,
+    concat_ws(' ', count(*) FILTER (p = 0), count(*) FILTER (p = 1)) AS pred_distribution FROM judged GROUP BY strategy"""), """
+  SELECT strategy, description, round(accuracy, 6) AS accuracy, round(f1_macro, 6) AS f1_macro, round(f1_weighted, 6) AS f1_weighted,
+    confusion_matrix, true_distribution, pred_distribution, n AS total_samples,
+    strategy = (SELECT strategy FROM s ORDER BY accuracy DESC, strategy_order LIMIT 1) AS is_best,
+    round((SELECT max(accuracy) FROM s), 6) AS best_accuracy,
+    (SELECT string_agg(grade || ':' || n, ' ' ORDER BY grade) FROM (SELECT grade, count(*) AS n FROM bulk GROUP BY grade)) AS original_distribution
+  FROM s JOIN m USING (strategy)"""))
 def _(spark, sf_dir):
     cells = strategies.grade_cells(bulk(spark, sf_dir).withColumn("bp", binary_prediction()), "bp")
     stored = _stored(spark, report.strategy_report(cells), "strategy-report")
-    return stored.select(F.explode("strategies").alias("strategy", "s"), "summary").select(
-        "strategy", "s.accuracy", "s.f1_macro", "summary.total_samples",
-        (F.col("strategy") == F.col("summary.best_strategy")).alias("is_best"))
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("original_distribution")), lambda e: F.concat_ws(
+        ":", e["key"], e["value"].cast("string"))), " ")
+    return stored.select(F.explode("strategies").alias("strategy", "s"), "summary", counts.alias("original_distribution")).select(
+        "strategy", "s.description", "s.accuracy", "s.f1_macro", "s.f1_weighted",
+        _spelled(F.flatten("s.confusion_matrix")).alias("confusion_matrix"), _spelled("s.true_distribution").alias("true_distribution"),
+        _spelled("s.pred_distribution").alias("pred_distribution"), "summary.total_samples",
+        (F.col("strategy") == F.col("summary.best_strategy")).alias("is_best"), "summary.best_accuracy", "original_distribution")
 
 
 @query("report_evaluation", steps(BULK_SQL, scores_sql("bulk"), """
   SELECT n AS total_samples, round(accuracy, 6) AS accuracy, round(f1_macro, 6) AS f1_macro,
-    round(c_mean, 6) AS confidence_mean, c_min AS confidence_min, c_max AS confidence_max, trace
-  FROM (SELECT sum(support)::BIGINT AS n, sum(hits)::DOUBLE / sum(support) AS accuracy, avg(f1) AS f1_macro,
-      sum(hits)::BIGINT AS trace FROM class_scores),
+    round(c_mean, 6) AS confidence_mean, c_min AS confidence_min, c_max AS confidence_max,
+    (SELECT string_agg(c, ' ' ORDER BY y, p) FROM (SELECT a.k AS y, b.k AS p, count(x.row_id)::VARCHAR AS c
+      FROM range(0, 4) a(k), range(0, 4) b(k) LEFT JOIN bulk x ON x.y = a.k AND x.p = b.k GROUP BY ALL)) AS confusion_matrix,
+    '2 3 4 5' AS class_names
+  FROM (SELECT sum(support)::BIGINT AS n, sum(hits)::DOUBLE / sum(support) AS accuracy, avg(f1) AS f1_macro FROM class_scores),
     (SELECT avg(confidence) AS c_mean, min(confidence) AS c_min, max(confidence) AS c_max FROM bulk)"""))
 def _(spark, sf_dir):
     stored = _stored(spark, report.evaluation_report(bulk(spark, sf_dir), FOUR_GRADE_INDEX), "evaluation")
-    trace = sum(F.get(F.get("confusion_matrix", F.lit(i)), F.lit(i)) for i in range(4))
     return stored.select(
         "summary.total_samples", "summary.accuracy", "summary.f1_macro",
         F.col("summary.confidence_stats.mean").alias("confidence_mean"),
         F.col("summary.confidence_stats.min").alias("confidence_min"),
-        F.col("summary.confidence_stats.max").alias("confidence_max"), trace.alias("trace"))
+        F.col("summary.confidence_stats.max").alias("confidence_max"),
+        _spelled(F.flatten("confusion_matrix")).alias("confusion_matrix"), F.array_join("class_names", " ").alias("class_names"))
+
+
+@query("split_stored", steps(GRADED_SQL, *splits_sql(
+    "graded", splits.THREE_WAY["names"], splits.THREE_WAY["keep"], """
+  SELECT row_id, split, grade, md5(question) AS question, md5(student_answer) AS student_answer, md5(reference_answer) AS reference_answer
+  FROM split_rows JOIN graded USING (row_id, grade)""")))
+def _(spark, sf_dir):
+    """The enriched table, written by split and read back."""
+    parts = _parts(spark, graded(spark, sf_dir), **splits.THREE_WAY)
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.select("row_id", "split", "grade", *[F.md5(c).alias(c) for c in (QUESTION, STUDENT, REFERENCE)])
 
 
 @query("report_baseline", steps(*RUN_SCORES, """

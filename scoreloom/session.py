@@ -60,6 +60,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), "scoreloom", f"{name}-{uuid.uuid4().hex}")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, into the shared folder, and read from there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def gathered(df: DataFrame) -> DataFrame:
     """Put an aggregate that is known to have few rows into one partition.
 

@@ -185,7 +185,6 @@ def span_classifier(keys: dict[str, float]) -> set[str]:
         kind, votes, _ = split[key]
         patterns[kind, votes] = patterns.get((kind, votes), 0) + count
     post = reliabilities(patterns)
-    mass = {True: 1.0, False: 1.0}
     seen: dict[tuple, dict[bool, float]] = {}
     features = {}
     for key, count in keys.items():
@@ -193,13 +192,14 @@ def span_classifier(keys: dict[str, float]) -> set[str]:
         features[key] = [("kind", kind), *((j, kind, s) for j, s in enumerate(votes)), *((f"form{j}", kind, s) for j, s in enumerate(form))]
         p = post[kind, votes]
         for truth, q in ((True, p), (False, 1 - p)):
-            mass[truth] += count * q
             for f in features[key]:
                 seen.setdefault(f, {True: 0.5, False: 0.5})[truth] += count * q
     good = set()
     for key in keys:
-        odds = math.log(mass[True] / mass[False]) + sum(
-            math.log((seen[f][True] / mass[True]) / (seen[f][False] / mass[False])) for f in features[key])
+        # Features of a span are independent given the class and the kind.
+        kind = seen["kind", split[key][0]]
+        odds = math.log(kind[True] / kind[False]) + sum(
+            math.log((seen[f][True] / kind[True]) / (seen[f][False] / kind[False])) for f in features[key][1:])
         # The classifier must not overrule a failed checksum or range.
         if odds > 0 and split[key][1][1] != "-" and post[split[key][0], split[key][1]] > 0.5:
             good.add(key)

@@ -13,10 +13,11 @@ Equal sets are one row throughout. The order "rarest first" needs frequent
 n-grams only (any order gives the same links): each map task reports n-grams
 that are frequent among its documents, and the most frequent are broadcast.
 
-A column longer than ``LONG`` is not multiplied out. Its documents are first
-compared with a few pivots; after components are known, only pairs from
-different components remain to be compared, which for a large group of near
-copies are few, while no link between components can be missed.
+A column longer than ``LONG`` is not multiplied out at once. Its documents are
+first compared with a few pivots, which gathers groups of near copies into
+components. Then only pairs from different components remain; they are
+multiplied block by block on bit maps, so that a large group of documents that
+resemble each other without linking leaves hardly any pair to be moved.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ BUCKET_BYTES = 8 << 20
 LONG = 128                  # documents of a column that are multiplied out
 HOT_LOCAL = 64              # documents of a column in one gathering beyond which it is salted
 SALTS = 32
+BLOCK = 2048                # documents of a long column multiplied at a time
 FILTER_WORDS = 1 << 18      # most 64-bit words of the broadcast filter
 
 
@@ -102,9 +104,9 @@ def frequent_grams(docs: DataFrame, width: int, most: int = FREQUENT) -> np.ndar
 
 
 def _bitmap(h: np.ndarray) -> bytes:
-    """One bit per shingle in a power of two of at least two bits per shingle."""
+    """One bit per shingle in a power of two of at least eight bits per shingle."""
     bits = 64
-    while bits < 2 * len(h):
+    while bits < 8 * len(h):
         bits *= 2
     marks = np.zeros(bits, dtype=np.uint8)
     marks[(h >> U64(20)) % U64(bits)] = 1
@@ -402,9 +404,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: tuple[int, int]
     links = stored(_links(rows, sets, products.where(F.col("kind") == PAIR), width, share), "links")
     joined_up = components(links)
     if not members.isEmpty():
-        for pick in (_to_pivot, _to_pivot, _across):
-            more = _links(rows, sets, pick(_ranked(members, joined_up), share), width, share)
-            links = stored(links.unionByName(more), "links")
+        for rest in (lambda: _to_pivot(_ranked(members, joined_up), share), lambda: _product(members, joined_up, sets, share)):
+            links = stored(links.unionByName(_links(rows, sets, rest(), width, share)), "links")
             joined_up = components(links)
     held = nodes.join(joined_up, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = held.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -451,13 +452,79 @@ def _to_pivot(ranked: DataFrame, share) -> DataFrame:
     return _ordered(ranked.where(~F.col("inner") & _fits("n", "n_pivot", share)), "node", "n", "pivot", "n_pivot")
 
 
-def _across(ranked: DataFrame, share) -> DataFrame:
-    """All pairs of a long column from different components, sizes permitting.
+def _product(members: DataFrame, parts: DataFrame, sets: DataFrame, share, block: int | None = None) -> DataFrame:
+    """Pairs of long columns from different components that the bounds allow.
 
-    Documents of the largest component meet only those outside it, so a column
-    within one component gives no pair.
+    The documents of a column are dealt to blocks of about ``block``; a task
+    multiplies the bit maps of two blocks. Only pairs that pass leave the task,
+    and of the columns that a pair shares, the first one yields it. Columns
+    within one component are done.
     """
-    outer = ranked.where(~F.col("inner")).select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"))
-    once = F.col("inner") | (F.col("x") < F.col("node"))
-    pairs = outer.join(ranked, "gram").where((F.col("px") != F.col("part")) & _fits("nx", "n", share) & once)
-    return _ordered(pairs, "x", "nx", "node", "n")
+    block = block or BLOCK
+    placed = stored(members.join(parts, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("part")), "members")
+    sizes = (placed.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("first"), F.max("part").alias("last"))
+             .where("first < last").select("gram", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    # The long columns of a document; they are part of its prefix, so few.
+    columns = members.groupBy("node").agg(F.sort_array(F.collect_set("gram")).alias("columns"))
+    dealt = (placed.join(sizes, "gram").join(sets.select("node", "bits"), "node").join(columns, "node").withColumn("mine", mine)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("gram", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+                     (F.col("mine") > F.col("other")).alias("second"), "node", "n", "part", "bits", "columns"))
+    return dealt.groupBy("gram", "i", "j").applyInArrow(_block_product(share), "a long, b long, na long, nb long")
+
+
+_FOUND = pa.schema([(c, pa.int64()) for c in ("a", "b", "na", "nb")])
+
+
+def _block_product(share):
+    def multiply(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        inside = key[1].as_py() == key[2].as_py()
+        node, n, part = (group.column(c).to_numpy() for c in ("node", "n", "part"))
+        second = group.column("second").to_numpy(zero_copy_only=False)
+        lists = group.column("columns").combine_chunks()
+        offsets, grams = lists.offsets.to_numpy(), lists.values.to_numpy()
+        gram = key[0].as_py()
+
+        def first_shared(r, q):
+            x, y = grams[offsets[r]:offsets[r + 1]], grams[offsets[q]:offsets[q + 1]]
+            return x[np.isin(x, y)][0] == gram
+
+        maps = [np.frombuffer(b, np.uint8) for b in group.column("bits").to_pylist()]
+        # Maps of one size are one matrix; a larger map is folded to the size of a smaller one.
+        sizes = np.array([len(m) for m in maps])
+        out = []
+
+        def matrix(rows, size):
+            words = np.stack([_folded(maps[r], size) for r in rows]).view("<u8")
+            return words, n[rows] - np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+
+        classes = np.unique(sizes)
+        for small in classes:
+            for large in classes[classes >= small]:
+                x, y = np.flatnonzero(sizes == small), np.flatnonzero(sizes == large)
+                if n[x].max() * share[1] < share[0] * n[y].min():
+                    continue
+                left, left_unseen = matrix(x, small)
+                right, right_unseen = (left, left_unseen) if small == large else matrix(y, small)
+                for k, r in enumerate(x):
+                    if small == large:
+                        c = np.arange(k + 1, len(y))
+                    else:
+                        c = np.arange(len(y))
+                    c = c[part[y[c]] != part[r]]
+                    if not inside:
+                        c = c[second[y[c]] != second[r]]
+                    total = n[y[c]] + n[r]
+                    least = (share[0] * total + sum(share) - 1) // sum(share)
+                    c, least = c[np.minimum(n[y[c]], n[r]) >= least], least[np.minimum(n[y[c]], n[r]) >= least]
+                    if len(c):
+                        bound = np.bitwise_count(right[c] & left[k]).sum(axis=1, dtype=np.int64) + np.minimum(right_unseen[c], left_unseen[k])
+                        for q in y[c[bound >= least]]:
+                            first, last = (r, q) if node[r] < node[q] else (q, r)
+                            if first_shared(r, q):
+                                out.append((node[first], node[last], n[first], n[last]))
+        columns = np.array(out, dtype=np.int64).reshape(len(out), 4)
+        return pa.Table.from_arrays([pa.array(columns[:, i]) for i in range(4)], schema=_FOUND)
+
+    return multiply

@@ -14,7 +14,7 @@ def test_against_brute_force(spark):
 
 
 def test_long_and_salted_columns(spark, monkeypatch):
-    for name, value in (("LONG", 6), ("HOT_LOCAL", 3), ("SALTS", 3)):
+    for name, value in (("LONG", 6), ("HOT_LOCAL", 3), ("SALTS", 3), ("BLOCK", 5)):
         monkeypatch.setattr(ngram_join, name, value)
     docs = near(seed=11)
     assert result(awkward(spark, docs)) == sorted(brute.near_copies(docs), key=repr)

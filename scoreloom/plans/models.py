@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, Window as W
+from pyspark.sql import functions as F
 
 from scoreloom.functions.bins import LENGTH_BINS, RATIO_BINS
 from scoreloom.operators import labels, metrics, model, progress, splits, strategies
@@ -28,26 +28,21 @@ def _parts(spark, rows, keep, names):
     return [stored.where(F.col("split") == name) for name in names]
 
 
-def _fit_check(source, classes, keep, names, part):
-    """What SQL knows of a fit: rows of each class in the judged part, that all of
-    them are scored with a known class, and that the model beats the majority."""
+def _fit_check(source, keep, names, part):
+    """What SQL knows of a fit: the rows of each class in the judged part, and that
+    all of them are scored with a known class."""
     return steps(*source, *splits_sql("labelled", names, keep, f"""
-  SELECT label, count(*) AS support, count(*) AS scored, 0::BIGINT AS outside, true AS not_below_majority
+  SELECT label, count(*) AS support, count(*) AS scored, 0::BIGINT AS outside
   FROM split_rows JOIN (SELECT row_id, label FROM labelled) USING (row_id) WHERE split = '{part}' GROUP BY label"""))
 
 
 def _judged(scored, classes):
-    """One row per true class: support, rows scored, predictions outside the
-    classes, and whether the accuracy reaches that of the majority class."""
+    """One row per true class: support, rows scored, predictions outside the classes."""
     cells = metrics.confusion_cells(scored)
     inside = F.col("p").between(0, classes - 1)
-    per = cells.groupBy(F.col("y").alias("label")).agg(
+    return cells.groupBy(F.col("y").alias("label")).agg(
         F.sum("n").alias("support"), F.sum(F.when(F.col("p").isNotNull(), F.col("n")).otherwise(0)).alias("scored"),
-        F.sum(F.when(inside, 0).otherwise(F.col("n"))).cast("bigint").alias("outside"),
-        F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)).alias("_hits"))
-    every = W.partitionBy(F.lit(0))
-    return per.select("label", "support", "scored", "outside",
-                      (F.sum("_hits").over(every) >= F.max("support").over(every)).alias("not_below_majority"))
+        F.sum(F.when(inside, 0).otherwise(F.col("n"))).cast("bigint").alias("outside"))
 
 
 _BINARY = (GRADED_SQL, ("labelled", """
@@ -55,18 +50,19 @@ _BINARY = (GRADED_SQL, ("labelled", """
 _FOUR = (GRADED_SQL, ("labelled", "SELECT row_id, grade, (dense_rank() OVER (ORDER BY grade) - 1)::INT AS label FROM graded"))
 _CONTINUED = {"keep": (0.4, 0.75), "names": ("earlier", "train", "test")}
 _REGS = (0.001, 0.01, 0.1)
+_FEATURES = 1 << 14
 
 
-@query("fit_binary", _fit_check(_BINARY, 2, part="test", **splits.THREE_WAY))
+@query("fit_binary", _fit_check(_BINARY, part="test", **splits.THREE_WAY))
 def _(spark, sf_dir):
     rows = labels.encode_labels(graded(spark, sf_dir).where(F.col(GRADE).isin("2", "5")))
     train, _, test = _parts(spark, rows, **splits.THREE_WAY)
     path = scratch_path(spark, "binary-model")
-    model.save_model(model.fit_pair_classifier(train), path)
+    model.save_model(model.fit_pair_classifier(train, size=_FEATURES), path)
     return _judged(model.predict(model.load_model(path), test).withColumnRenamed("label", "y"), 2)
 
 
-@query("fit_multiclass_weighted", _fit_check(_FOUR, 4, part="test", **_CONTINUED))
+@query("fit_multiclass_weighted", _fit_check(_FOUR, part="test", **_CONTINUED))
 def _(spark, sf_dir):
     rows = labels.encode_labels(graded(spark, sf_dir))
     earlier, train, test = _parts(spark, rows, **_CONTINUED)
@@ -76,16 +72,16 @@ def _(spark, sf_dir):
     def weighed(part):
         return part.join(weights, "label", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
-    fitted = model.fit_pair_classifier(weighed(train), weight="weight", earlier=weighed(earlier))
+    fitted = model.fit_pair_classifier(weighed(train), weight="weight", earlier=weighed(earlier), size=_FEATURES)
     return _judged(model.predict(fitted, test).withColumnRenamed("label", "y"), 4)
 
 
-@query("fit_candidates", _fit_check(_FOUR, 4, part="test", **splits.THREE_WAY))
+@query("fit_candidates", _fit_check(_FOUR, part="test", **splits.THREE_WAY))
 def _(spark, sf_dir):
     """Fit candidates, choose by validation loss, and judge the chosen model on the test part."""
     rows = labels.encode_labels(graded(spark, sf_dir))
     train, validation, test = _parts(spark, rows, **splits.THREE_WAY)
-    _, chosen, _ = model.best_model(train, validation, _REGS)
+    _, chosen, _ = model.best_model(train, validation, _REGS, size=_FEATURES)
     return _judged(model.predict(chosen, test).withColumnRenamed("label", "y"), 4)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions.bins import LENGTH_BINS, RATIO_BINS, bands
 from scoreloom.functions.grades import normalise_grade
 from scoreloom.functions.probability import argmax, confidence, negative_log_likelihood, softmax
-from scoreloom.operators import cleaning, encoding, labels, ledger, lengths, losses, metrics, prompts, selection
+from scoreloom.operators import cleaning, encoding, labels, ledger, lengths, losses, metrics, model, prompts, selection
 from scoreloom.operators.weights import class_weights
 from scoreloom.schema import GRADED_SCHEMA
 
@@ -283,3 +283,13 @@ def test_bincount_of_scattered_labels(spark):
     assert found.count() == 100_001
     assert {r["label"]: r["n"] for r in found.where("n > 0").collect()} == {0: 1, 3: 2, 100_000: 1}
     assert metrics.bincount(df.limit(0), "label").collect() == []
+
+
+def test_the_best_candidate_is_returned_and_learns(spark):
+    rows = [(i, "q", "water boils at hundred degrees", "it boils at hundred" if i % 2 else "the moon is cheese", str(2 + 3 * (i % 2)), i % 2)
+            for i in range(80)]
+    df = spark.createDataFrame(rows, "row_id long, question string, reference_answer string, student_answer string, grade string, label int")
+    reg, chosen, candidates = model.best_model(df.where("row_id < 50"), df.where("row_id between 50 and 64"), (10.0, 0.01), size=1 << 8)
+    assert candidates.count() == 2 and reg == 0.01
+    scored = model.predict(chosen, df.where("row_id >= 65"))
+    assert scored.where("p = label").count() == scored.count() == 15

@@ -281,10 +281,17 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with all found spans replaced; ``n_chars``, if present, follows the text."""
-    found = personal_data(docs, tuple(docs.columns))
-    new = redacted(F.coalesce(F.col("text"), F.lit("")), F.col("spans"))
-    changed = F.when(F.size("spans") > 0, new).otherwise(F.col("text"))
-    out = found.withColumn("__new", changed)
-    columns = {"text": F.col("__new").alias("text"),
-               "n_chars": F.when(F.size("spans") > 0, F.length("__new").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in docs.columns else None}
-    return out.select(*[columns[c] if columns.get(c) is not None else F.col(c) for c in docs.columns])
+    # Columns of any name travel under numbers.
+    numbered = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    found = personal_data(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in numbered.items()], "text"), tuple(numbered.values()))
+    text, changed = F.col(numbered["text"]), F.size("spans") > 0
+    out = found.withColumn("__new", F.when(changed, redacted(F.coalesce(text, F.lit("")), F.col("spans"))).otherwise(text))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("__new")
+        if c == "n_chars":
+            return F.when(changed, F.length("__new").cast(docs.schema[c].dataType)).otherwise(F.col(numbered[c]))
+        return F.col(numbered[c])
+
+    return out.select(*[column(c).alias(c) for c in docs.columns])

@@ -1,4 +1,7 @@
+import random
+
 import brute
+import pytest
 from cases import awkward, empty, near, rows
 from scoreloom.llm import ngram_join
 from scoreloom.llm.components import components
@@ -51,3 +54,13 @@ def test_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 300)] + [(1000, 1001)], "a long, b long")
     found = dict(rows(components(links), "node", "component"))
     assert found == {i: 1 for i in range(1, 301)} | {1000: 1000, 1001: 1000}
+
+
+@pytest.mark.parametrize("local", [0, 50, None])
+def test_chains_of_any_order(spark, local):
+    n = 3000
+    shuffled = random.Random(4).sample(range(10_000, 10_000 + n), n)
+    falling = [0, *range(n, 0, -1)]         # the least id at the end of a falling path
+    links = [*zip(shuffled, shuffled[1:]), *zip(falling, falling[1:]), (-7, -7), (-5, -6), (-6, -5)]
+    found = dict(rows(components(spark.createDataFrame(links, "a long, b long").repartition(3), local), "node", "component"))
+    assert found == {i: 10_000 for i in shuffled} | {i: 0 for i in falling} | {-5: -6, -6: -6}

@@ -2,6 +2,7 @@
 
 import math
 import random
+import string
 
 import brute
 import numpy as np
@@ -181,3 +182,23 @@ def test_random_strings_are_added(spark):
     out = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(awkward(spark, plain + hidden + dull)).collect()}
     assert sum(len(out[i]) for i, _ in hidden) >= 50
     assert not any(out[i] for i, _ in plain + dull)
+
+
+@pytest.mark.parametrize("keys, alphabet", [
+    (1, string.ascii_letters + string.digits + "+/"), (20, string.ascii_letters + string.digits + "+/"),
+    (1, string.ascii_letters), (20, string.ascii_letters), (20, string.ascii_lowercase)])
+def test_long_keys_without_long_words(spark, keys, alphabet):
+    rng = random.Random(8)
+    plain = [(i, "people walked slowly to the station since the train was late " * 3) for i in range(20)]
+    plain += [(50, "x" * 64), (51, "=" * 64), (52, "-_" * 40), (53, "/usr/share/documents/images/background/pictures/of/the/mountains/index"),
+              (54, "peoplewalkedslowlytothestationsincethetrainwaslateagainthisevening")]
+    hidden = [(100 + i, "see " + "".join(rng.choice(alphabet) for _ in range(64)) + " there") for i in range(keys)]
+    out = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(awkward(spark, plain + hidden)).collect()}
+    assert sum(len(out[i]) for i, _ in hidden) >= 0.8 * keys
+    assert not any(out[i] for i, _ in plain)
+
+
+def test_keys_of_every_length_class():
+    for cls in range(secrets.CLASSES):
+        if cls % len(secrets.LENGTHS) >= 3:
+            assert secrets.discoveries([(cls, 0, False, 1)]).get(cls, -1) >= 0

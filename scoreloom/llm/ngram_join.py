@@ -42,6 +42,7 @@ LONG = 128                  # documents of a column that are multiplied out
 HOT_LOCAL = 64              # documents of a column in one gathering beyond which it is salted
 SALTS = 32
 BLOCK = 2048                # documents of a long column multiplied at a time
+DENSE = 32                  # sets of a block that share an n-gram beyond which it is counted by matrix
 FILTER_WORDS = 1 << 18      # most 64-bit words of the broadcast filter
 
 
@@ -349,6 +350,18 @@ def _overlaps(share):
     return count
 
 
+def _grams(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node and all its n-grams, for the nodes of ``wanted`` (node, doc_id)."""
+    n = wanted.count()
+    words = 64
+    while words < FILTER_WORDS and words * 64 < 16 * n:
+        words *= 2
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_words(wanted, "doc_id", words))
+    grams = (docs.where("doc_id IS NOT NULL").select("text", F.pmod(F.xxhash64("doc_id"), F.lit(words * 64)).alias("at"))
+             .mapInArrow(_fetcher(width, shared), "node long, grams binary"))
+    return stored(grams.join(wanted.select("node"), "node").dropDuplicates(["node"]), "grams")
+
+
 def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, share) -> DataFrame:
     """Links (a, b) among candidate pairs of sets."""
     bits = sets.select(F.col("node"), "bits")
@@ -359,14 +372,7 @@ def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, share
                   .mapInArrow(_bounded(share), "a long, b long, na long, nb long"), "pairs")
     wanted = stored(left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
                     .join(sets.select("node", "doc_id"), "node"), "wanted")
-    n = wanted.count()
-    words = 64
-    while words < FILTER_WORDS and words * 64 < 16 * n:
-        words *= 2
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_words(wanted, "doc_id", words))
-    grams = (docs.where("doc_id IS NOT NULL").select("text", F.pmod(F.xxhash64("doc_id"), F.lit(words * 64)).alias("at"))
-             .mapInArrow(_fetcher(width, shared), "node long, grams binary"))
-    grams = stored(grams.join(wanted.select("node"), "node").dropDuplicates(["node"]), "grams")
+    grams = _grams(docs, wanted, width)
     # A set with many pairs is most often `a` of them (see `_multiplier`); joined last, it is not copied.
     both = (left.join(grams.withColumnsRenamed({"node": "b", "grams": "grams_b"}), "b").select("a", "b", "grams_b")
             .join(grams.withColumnsRenamed({"node": "a", "grams": "grams_a"}), "a").select("a", "b", "grams_a", "grams_b"))
@@ -374,20 +380,29 @@ def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, share
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
-    """doc_id, n_shingles, component_id and tag (a hash of the text) of every document.
+    """doc_id, n_shingles, component_id, n_links and tag (a hash of the text) of every document.
 
     Words are what white space separates, A-Z lower-cased. A document is the
     set of its ``width``-word shingles; with fewer words all of them are one
     shingle. Documents link when ``share[1] * overlap >= share[0] * union``;
-    component_id is the smallest doc_id reachable by links, itself included.
+    component_id is the smallest doc_id reachable by links, itself included;
+    n_links is the number of other documents, counted by doc_id and text, that
+    the document links with. Links join documents of one component, so all
+    pairs of a component are counted exactly, in blocks.
 
     Documents without words, with NULL or empty text have 0 shingles and link
     with nothing. A NULL doc_id has no place among ids: the row keeps its
-    shingle count and has a NULL component. Rows with one doc_id are judged
+    shingle count, has a NULL component and NULL links. Rows with one doc_id are judged
     by their own texts; they belong together only if their texts link.
     Repeated rows get the same result, an empty table gives no rows, further
     columns are ignored.
     """
+    rows, signed, held = _held(docs, width, share)
+    return _placed(signed, held, _link_counts(rows, signed, held, width, share))
+
+
+def _held(docs: DataFrame, width: int, share) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, their signatures, and every set (node, doc_id) with its component."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = parts_for(text_bytes(rows), BUCKET_BYTES)
     spark = docs.sparkSession
@@ -407,18 +422,115 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: tuple[int, int]
         for rest in (lambda: _to_pivot(_ranked(members, joined_up), share), lambda: _product(members, joined_up, sets, share)):
             links = stored(links.unionByName(_links(rows, sets, rest(), width, share)), "links")
             joined_up = components(links)
-    held = nodes.join(joined_up, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    held = stored(nodes.join(joined_up, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")), "held")
+    return rows, signed, held
+
+
+def _placed(signed: DataFrame, held: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     least = held.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     placed = held.join(least, "component").select("node", "component_id")
-    ids = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return signed.join(placed, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), ids.alias("component_id"), "tag")
+    out = signed.join(placed if counts is None else placed.join(counts, "node"), "node", "left")
+    known = F.col("doc_id").isNotNull()
+    ids = F.when(known, F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    links = [] if counts is None else [F.when(known, F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0).cast("long"))).alias("n_links")]
+    return out.select("doc_id", F.col("n").alias("n_shingles"), ids.alias("component_id"), *links, "tag")
+
+
+def _link_counts(docs: DataFrame, signed: DataFrame, held: DataFrame, width: int, share) -> DataFrame:
+    """node and n_links, from all pairs of sets inside a component.
+
+    Components of up to ``BLOCK`` sets are dealt to tasks whole, larger ones in
+    pairs of blocks. Tasks return sums per set, not pairs.
+    """
+    many = (signed.where("n > 0 AND doc_id IS NOT NULL").select("node", "doc_id", "tag").distinct()
+            .groupBy("node").agg(F.count(F.lit(1)).alias("many")))
+    sizes = held.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    wanted = stored(held.join(sizes, "component").join(many, "node")
+                    .select("node", "doc_id", "component", "many", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "grouped")
+    parts = parts_for(wanted.count(), BLOCK)
+    large = F.col("blocks") > 1
+    dealt = (wanted.join(_grams(docs, wanted, width), "node").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select(F.when(large, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(parts))).alias("home"),
+                     F.when(large, F.least("mine", "other")).otherwise(-1).alias("i"), F.when(large, F.greatest("mine", "other")).otherwise(-1).alias("j"),
+                     (F.col("mine") > F.col("other")).alias("second"), "component", "node", "many", "grams"))
+    linked = (dealt.groupBy("home", "i", "j").applyInArrow(_counter(share), "node long, links long")
+              .groupBy("node").agg(F.sum("links").alias("links")))
+    return stored(many.join(linked, "node", "left").select("node", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "counts")
+
+
+def _common(gram: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Overlap of every left with every right set; ``owner`` counts through left, then right if it is another block."""
+    same = left is right
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    order = np.argsort(gram, kind="stable")
+    gram, owner = gram[order], owner[order]
+    start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+    count = np.diff(np.concatenate((start, [len(gram)])))
+    # Frequent n-grams as a product of dense matrices, some at a time.
+    often = np.flatnonzero(count > DENSE)
+    for at in range(0, len(often), BLOCK):
+        some = often[at:at + BLOCK]
+        marks = np.zeros((len(left) + (0 if same else len(right)), len(some)), dtype=np.float32)
+        where = np.repeat(start[some] - (np.cumsum(count[some]) - count[some]), count[some]) + np.arange(count[some].sum())
+        marks[owner[where], np.repeat(np.arange(len(some)), count[some])] = 1
+        out += marks[:len(left)] @ (marks if same else marks[len(left):]).T
+    # Rare ones pair by pair.
+    rare = np.repeat((count > 1) & (count <= DENSE), count)
+    ends = np.repeat(start + count, count)
+    for step in range(1, int(count[(count <= DENSE)].max(initial=1))):
+        x = np.flatnonzero(rare & (np.arange(len(gram)) + step < ends))
+        p, q = np.minimum(owner[x], owner[x + step]), np.maximum(owner[x], owner[x + step])
+        if same:
+            p, q = np.concatenate((p, q)), np.concatenate((q, p))
+        else:
+            apart = (p < len(left)) & (q >= len(left))
+            p, q = p[apart], q[apart] - len(left)
+        np.add.at(out, (p, q), 1)
+    return out
+
+
+_COUNTED = pa.schema([("node", pa.int64()), ("links", pa.int64())])
+
+
+def _counter(share):
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        inside = key[1].as_py() == key[2].as_py()
+        component, node, many = (group.column(c).to_numpy() for c in ("component", "node", "many"))
+        second = group.column("second").to_numpy(zero_copy_only=False)
+        sets = [np.frombuffer(g, "<u8") for g in group.column("grams").to_pylist()]
+        n = np.array([len(x) for x in sets], dtype=np.int64)
+        order = np.argsort(component, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], component[order][1:] != component[order][:-1], [True])))
+        nodes, links = [], []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            at = order[a:b]
+            left = at if inside else at[~second[at]]
+            right = left if inside else at[second[at]]
+            if not len(left) or not len(right):
+                continue
+            both = left if inside else np.concatenate((left, right))
+            overlap = _common(np.concatenate([sets[r] for r in both]), np.repeat(np.arange(len(both)), n[both]), left, right).astype(np.int64)
+            good = share[1] * overlap >= share[0] * (n[left][:, None] + n[right][None, :] - overlap)
+            if inside:
+                np.fill_diagonal(good, False)
+            nodes.append(node[left])
+            links.append(good @ many[right])
+            if not inside:
+                nodes.append(node[right])
+                links.append(many[left] @ good)
+        flat_nodes, flat_links = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (nodes, links))
+        return pa.Table.from_arrays([pa.array(flat_nodes), pa.array(flat_links)], schema=_COUNTED)
+
+    return run
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
     """``docs`` with one document of every component: the one of smallest doc_id
     (then smallest hash of the text). Documents without words or without doc_id
     are in no group and stay, repeated rows of a document that stays are one."""
-    found = stored(near_duplicates(docs, width, share).where("n_shingles > 0 AND doc_id IS NOT NULL"), "found")
+    _, signed, held = _held(docs, width, share)
+    found = stored(_placed(signed, held).where("n_shingles > 0 AND doc_id IS NOT NULL"), "found")
     per = found.groupBy("component_id", "doc_id", "tag").agg(F.count(F.lit(1)).alias("n"))
     first = found.groupBy(F.col("component_id").alias("of")).agg(F.min(F.struct("doc_id", "tag")).alias("first"))
     judged = stored(per.join(first, F.col("component_id") == F.col("of")).select(

@@ -64,3 +64,20 @@ def test_chains_of_any_order(spark, local):
     links = [*zip(shuffled, shuffled[1:]), *zip(falling, falling[1:]), (-7, -7), (-5, -6), (-6, -5)]
     found = dict(rows(components(spark.createDataFrame(links, "a long, b long").repartition(3), local), "node", "component"))
     assert found == {i: 10_000 for i in shuffled} | {i: 0 for i in falling} | {-5: -6, -6: -6}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_all_links_are_counted(spark, monkeypatch, small):
+    if small:
+        for name, value in (("LONG", 6), ("HOT_LOCAL", 3), ("SALTS", 3), ("BLOCK", 5), ("DENSE", 2)):
+            monkeypatch.setattr(ngram_join, name, value)
+    docs = near(seed=12, n=400)
+    different = {(i, t): brute.shingles(t) for i, t in docs if i is not None}
+
+    def count(doc):
+        mine = different.get(doc)
+        return None if mine is None else sum(100 * len(mine & s) >= 80 * len(mine | s) for d, s in different.items() if d != doc and s) if mine else 0
+
+    expected = sorted(((i, count((i, t))) for i, t in docs), key=repr)
+    assert max(n for _, n in expected if n) > 30
+    assert rows(ngram_join.near_duplicates(awkward(spark, docs)), "doc_id", "n_links") == expected

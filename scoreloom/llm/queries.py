@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoreloom.llm import decontaminate, mixing, ngram_join, pii, quality, secrets, suffix_dedup, token_counts, topk_search, url_filter
+from scoreloom.llm import (collocations, decontaminate, divergence, mixing, ngram_join, pii, quality, secrets, sentence_pieces, suffix_dedup,
+                           token_counts, topk_search, url_filter)
 from scoreloom.llm.runtime import table
 
 QUERIES = {}
@@ -190,3 +191,86 @@ def _(spark, sf_dir):
 
     return rows.select("doc_id", *[count(k) for k in secrets.KINDS], F.sha2(secrets.spelled("base"), 256).alias("base_sha256"),
                        secrets.spelled("spans").alias("spans"))
+
+
+# --- divergence of sources -----------------------------------------------------
+
+_TERM11 = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+def _share_sql(count: str, total: str, terms: str) -> str:
+    return f"(1 + (1000000000::HUGEINT * ({count} + 1)) // ({total} + {terms})::HUGEINT)"
+
+
+@query("op11_divergence", f"""
+  WITH docs AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, list_transform(
+      regexp_extract_all(coalesce(text, ''), '{_TERM11}'),
+      lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms FROM documents),
+  kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM docs) GROUP BY lang, term HAVING count(*) >= 3),
+  counts AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM docs)
+    JOIN kept USING (lang, term) GROUP BY lang, source, term),
+  whole AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY lang, term),
+  langs AS (SELECT lang, count(*)::HUGEINT AS terms, sum(n)::HUGEINT AS total FROM whole GROUP BY lang),
+  parties AS (SELECT lang, source, coalesce(terms, 0) AS terms, coalesce(l.total, 0) AS lang_total, coalesce(sum(c.n), 0)::HUGEINT AS total
+    FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN langs l USING (lang) LEFT JOIN counts c USING (lang, source) GROUP BY ALL),
+  dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_share_sql('coalesce(c.n, 0)', 'g.total', 'g.terms')} AS p
+    FROM parties g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+  pairs AS (SELECT g.lang, g.source, h.source AS item, coalesce(v.value, 0)::BIGINT AS value FROM parties g
+    JOIN parties h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN (
+      SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM dense a
+      JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) v
+    ON v.lang = g.lang AND v.source = g.source AND v.item = h.source),
+  terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM (
+      SELECT d.lang, d.source, d.term, d.p, {_share_sql('w.n', 'l.total', 'l.terms')} AS q FROM dense d
+      JOIN whole w USING (lang, term) JOIN langs l USING (lang) WHERE d.n > 0) WHERE p > q)
+  SELECT lang, source, 'pair' AS part, item, value,
+    row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+  UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value,
+    row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM terms) WHERE rank <= 200""")
+def _(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+# --- SentencePiece encoding and decoding --------------------------------------
+
+@query("op12_sentence_pieces")
+def _(spark, sf_dir):
+    model = sentence_pieces.read_model()
+    rows = sentence_pieces.decode(sentence_pieces.encode(table(spark, sf_dir, "documents"), model), model)
+
+    def digest(*lists):
+        return F.sha2(F.concat_ws(";", *[F.array_join(F.col(c).cast("array<string>"), " ") for c in lists]), 256)
+
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"), digest("begins", "ends").alias("spans_sha256"))
+
+
+# --- collocations ----------------------------------------------------------------
+
+_LOW13 = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op13_collocations", f"""
+  WITH docs AS (SELECT coalesce(lang, 'und') AS lang, {_LOW13} AS text FROM documents),
+  pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT lang, unnest(regexp_extract_all(text, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM docs)),
+  sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+  grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k))),
+  f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+  cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+  cuts AS (SELECT c.lang, c.phrase, c.k, c.a, c.w, pos, l.a AS l, r.a AS r, (2000000 * c.a) // (l.a + r.a) AS score FROM (
+      SELECT *, unnest(range(1, k)) AS pos FROM cand) c
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:pos], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[pos + 1:], ' ')),
+  scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, pos) = 1),
+  inner_parts AS (SELECT DISTINCT lang, phrase, a, array_to_string(w[i:i + m - 1], ' ') AS part FROM (
+    SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM cand))),
+  covering AS (SELECT lang, part, max(a) AS most FROM inner_parts GROUP BY ALL),
+  left_over AS (SELECT s.* FROM scored s LEFT JOIN covering c ON c.lang = s.lang AND c.part = s.phrase
+    WHERE most IS NULL OR 100 * most < 80 * a)
+  SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over) JOIN sizes USING (lang)
+  WHERE rank <= 2000""")
+def _(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))

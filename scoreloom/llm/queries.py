@@ -236,13 +236,11 @@ def _(spark, sf_dir):
 @query("op12_sentence_pieces")
 def _(spark, sf_dir):
     model = sentence_pieces.read_model()
-    rows = sentence_pieces.decode(sentence_pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    rows = sentence_pieces.encode(table(spark, sf_dir, "documents"), model, decoded=True)
 
-    def digest(*lists):
-        return F.sha2(F.concat_ws(";", *[F.array_join(F.col(c).cast("array<string>"), " ") for c in lists]), 256)
-
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"),
-                       F.sha2("text", 256).alias("decoded_sha256"), digest("begins", "ends").alias("spans_sha256"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"), F.element_at("ends", -1).cast("long").alias("n_bytes"))
 
 
 # --- collocations ----------------------------------------------------------------

@@ -14,7 +14,9 @@ import hashlib
 import heapq
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -25,10 +27,9 @@ from sentencepiece import sentencepiece_model_pb2 as proto
 from scoreloom.llm.textvec import flat, portions
 
 MODEL = "piece_bpe_32k.model"
-CACHE = 1 << 19             # chunks remembered by a task
-CACHE_IDS = 1 << 22         # and their ids in all
-SHORT = 48                  # signs merged without a queue, at most
-NEVER = float("-inf")
+KNOWN = 1 << 19             # chunks remembered by a task, up to a batch more
+SHORT = 32                  # signs of a chunk merged together with others, at most
+PORTION = 1 << 20           # bytes of text encoded at once, unless one text is longer
 # Fixed values of the model format.
 SPACE, BPE = "▁", 2
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -82,12 +83,31 @@ def character_length(text: bytes, at: int) -> int:
         return 0
 
 
-class Model:
-    """A BPE model in the form the encoder needs."""
+class Spelling:
+    """What ids are spelled as when decoded."""
 
     def __init__(self, content: bytes):
         parsed = proto.ModelProto()
         parsed.ParseFromString(content)
+        self.parsed = parsed
+        self.prefix, self.squeeze = parsed.normalizer_spec.add_dummy_prefix, parsed.normalizer_spec.remove_extra_whitespaces
+        self.kinds = np.array([p.type for p in parsed.pieces], dtype=np.int8)
+        unknown = parsed.trainer_spec.unk_surface.encode()
+        spelled = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else unknown if p.type == UNKNOWN
+                   else b"" if p.type == CONTROL else p.piece.replace(SPACE, " ").encode() for p in parsed.pieces]
+        self.size = np.array([len(s) for s in spelled], dtype=np.int64)
+        self.first = np.concatenate(([0], np.cumsum(self.size)[:-1])).astype(np.int64)
+        self.bytes = np.frombuffer(b"".join(spelled) or b"\x00", dtype=np.uint8)
+        self.leading = np.array([len(p.piece) - len(p.piece.lstrip(SPACE)) if p.type == NORMAL else 0
+                                 for p in parsed.pieces], dtype=np.int64)
+
+
+class Model:
+    """A BPE model in the form the encoder needs."""
+
+    def __init__(self, content: bytes):
+        self.spelling = Spelling(content)
+        parsed = self.spelling.parsed
         kinds = [p.type for p in parsed.pieces]
         if (parsed.trainer_spec.model_type != BPE or parsed.trainer_spec.treat_whitespace_as_suffix
                 or not {*kinds} <= {NORMAL, UNKNOWN, CONTROL, BYTE}):
@@ -98,25 +118,37 @@ class Model:
         self.blank = (SPACE if rules.escape_whitespaces else " ").encode()
         self.score = {p.piece: p.score for p in parsed.pieces if p.type == NORMAL}
         self.ids = {p.piece: i for i, p in enumerate(parsed.pieces) if p.type == NORMAL}
-        self.sizes = {piece: len(piece.encode()) for piece in self.ids}
         self.unknown = kinds.index(UNKNOWN)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(parsed.pieces) if p.type == BYTE}
         self.fallback = parsed.trainer_spec.byte_fallback
         self.end = next((i for i, p in enumerate(parsed.pieces) if p.type == CONTROL and p.piece == (parsed.trainer_spec.eos_piece or "</s>")), -1)
-        self.inner = {piece[i:i + 2] for piece in self.score for i in range(len(piece) - 1)}
+        self._tables()
+
+    def _tables(self):
+        """Signs by number, which of them are neighbours in a piece, and which
+        two pieces make a third."""
+        signs = sorted({c for piece in self.score for c in piece})
+        self.number = np.zeros(0x110000, dtype=np.int32)
+        self.number[[ord(c) for c in signs]] = np.arange(1, len(signs) + 1)
+        self.inner = np.zeros((len(signs) + 1, len(signs) + 1), dtype=bool)
+        self.sign_id = np.array([-1, *(self.ids.get(c, -1) for c in signs)], dtype=np.int64)
+        made = []
+        for piece, i in self.ids.items():
+            for at in range(1, len(piece)):
+                self.inner[self.number[ord(piece[at - 1])], self.number[ord(piece[at])]] = True
+                left, right = self.ids.get(piece[:at]), self.ids.get(piece[at:])
+                if left is not None and right is not None:
+                    made.append((left << 32 | right, -self.score[piece], i))
         # A blank opens a chunk unless some piece holds one behind another sign.
         bridged = any(SPACE in piece.lstrip(SPACE) for piece in self.score)
         self.chunks = re.compile(r"(?s).+" if bridged else f"(?s){SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        # What ids are spelled as when decoded.
-        self.kinds = np.array(kinds, dtype=np.int8)
-        unknown = parsed.trainer_spec.unk_surface.encode()
-        spelled = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else unknown if p.type == UNKNOWN
-                   else b"" if p.type == CONTROL else p.piece.replace(SPACE, " ").encode() for p in parsed.pieces]
-        self.spell_size = np.array([len(s) for s in spelled], dtype=np.int64)
-        self.spell_from = np.concatenate(([0], np.cumsum(self.spell_size)[:-1])).astype(np.int64)
-        self.spelling = np.frombuffer(b"".join(spelled) or b"\x00", dtype=np.uint8)
-        self.leading = np.array([len(p.piece) - len(p.piece.lstrip(SPACE)) if k == NORMAL else 0
-                                 for p, k in zip(parsed.pieces, kinds)], dtype=np.int64)
+        made.sort()
+        self.pairs = np.array([m[0] for m in made], dtype=np.int64)
+        self.cost = np.array([m[1] for m in made], dtype=np.float64)
+        self.union = np.array([m[2] for m in made], dtype=np.int64)
+        self.width = np.zeros(max(self.ids.values(), default=0) + 1, dtype=np.int32)
+        for piece, i in self.ids.items():
+            self.width[i] = len(piece.encode())
 
     # --- normalisation
 
@@ -179,28 +211,49 @@ class Model:
 
     # --- pieces of a chunk
 
-    def merged(self, signs: str) -> list[str]:
-        """Pieces of signs that lie between two safe cuts: the neighbours whose
-        union scores best are merged, the leftmost first among equals."""
-        if len(signs) > SHORT:
-            return self._merged_long(signs)
-        part, score = list(signs), self.score.get
-        cost = [-score(a + b, NEVER) for a, b in zip(part, part[1:])]
-        while cost:
-            best = min(cost)
-            if best == -NEVER:
+    def stretches(self, chunk: str) -> list[str]:
+        """A chunk, cut wherever two signs stand side by side in no piece."""
+        number = self.number[np.frombuffer(chunk.encode("utf-32-le"), dtype="<u4")]
+        cuts = (np.flatnonzero(~self.inner[number[:-1], number[1:]]) + 1).tolist()
+        return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)])]
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost and id of the piece that two neighbours make; no piece costs infinity."""
+        if not len(self.pairs):
+            return np.full(left.shape, np.inf), np.zeros(left.shape, np.int64)
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == wanted, self.cost[at], np.inf), self.union[at]
+
+    def merged_together(self, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pieces of many chunks of the same length, one in each row: the
+        neighbours whose union scores best are merged, the leftmost first among
+        equals, until no two make a piece. Rows come out as they are done, with
+        their numbers."""
+        row = np.arange(len(part))
+        cost, union = self._joined(part[:, :-1], part[:, 1:])
+        while len(row):
+            best = cost.argmin(axis=1) if cost.shape[1] else np.zeros(len(row), np.int64)
+            going = np.isfinite(cost[np.arange(len(row)), best]) if cost.shape[1] else np.zeros(len(row), bool)
+            if not going.all():
+                yield row[~going], part[~going]
+            row, part, cost, union, best = row[going], part[going], cost[going], union[going], best[going]
+            if not len(row):
                 break
-            i = cost.index(best)
-            part[i:i + 2] = [part[i] + part[i + 1]]
-            del cost[i]
-            if i:
-                cost[i - 1] = -score(part[i - 1] + part[i], NEVER)
-            if i < len(cost):
-                cost[i] = -score(part[i] + part[i + 1], NEVER)
-        return part
-
-    def _merged_long(self, signs: str) -> list[str]:
-        """The same with a queue, in n log n steps."""
+            each = np.arange(len(row))
+            part[each, best] = union[each, best]
+            after = np.arange(part.shape[1] - 1)
+            part = np.take_along_axis(part, after + (after > best[:, None]), axis=1)
+            after = after[:-1]
+            past = after + (after >= best[:, None])
+            cost, union = np.take_along_axis(cost, past, axis=1), np.take_along_axis(union, past, axis=1)
+            for some, at in ((best > 0, best - 1), (best < cost.shape[1], best)):
+                where = each[some], at[some]
+                cost[where], union[where] = self._joined(part[where], part[where[0], where[1] + 1])
+
+    def merged(self, signs: str) -> list[str]:
+        """The same for one stretch of any length and any signs, with a queue:
+        n log n steps."""
         part = list(signs)
         n = len(part)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -226,40 +279,32 @@ class Model:
             offer(i, after[i])
         return [p for p in part if p]
 
-    def stretch(self, signs: str) -> tuple[list[int], list[int], list[int], int]:
-        """ids, begins, ends of the pieces of signs between two safe cuts, and
-        their size, in normalised bytes."""
-        ids, begins, ends, at = [], [], [], 0
-        for piece in self.merged(signs):
-            known = self.ids.get(piece)
-            if known is not None:
-                ids.append(known)
-                begins.append(at)
-                at += self.sizes[piece]
-                ends.append(at)
+    def spelled_out(self, pieces: list[int]) -> tuple[list[int], list[int]]:
+        """ids, and how many normalised bytes each stands for. A negative number
+        is a sign without a piece: -1 less its code point."""
+        ids, widths = [], []
+        for piece in pieces:
+            if piece >= 0:
+                ids.append(piece)
+                widths.append(int(self.width[piece]))
                 continue
-            raw = piece.encode()
+            raw = chr(-1 - piece).encode()
             if self.fallback:
                 # The last byte stands for the character, those before it for nothing.
                 ids += [self.bytes[b] for b in raw]
-                begins += [at] * len(raw)
-                ends += [at] * (len(raw) - 1) + [at + len(raw)]
+                widths += [0] * (len(raw) - 1) + [len(raw)]
             else:
                 ids.append(self.unknown)
-                begins.append(at)
-                ends.append(at + len(raw))
-            at += len(raw)
-        return ids, begins, ends, at
+                widths.append(len(raw))
+        return ids, widths
 
-    def stretches(self, chunk: str) -> list[str]:
-        """A chunk, cut where two signs stand side by side in no piece."""
-        inner = self.inner
-        cuts = [i for i in range(1, len(chunk)) if chunk[i - 1:i + 1] not in inner]
-        return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)])]
+    def coded(self, chunk: str) -> tuple[list[int], list[int]]:
+        """The same for the pieces of a chunk of any length."""
+        return self.spelled_out([self.ids.get(piece, -1 - ord(piece[0])) for signs in self.stretches(chunk) for piece in self.merged(signs)])
 
 
 class Chunks(dict):
-    """Chunk -> its number; ids and spans of all chunks lie in flat arrays."""
+    """Chunk -> its number; ids and widths of all chunks lie in flat arrays."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -267,27 +312,39 @@ class Chunks(dict):
 
     def reset(self):
         self.clear()
-        self.known = {}
         # Compact arrays, which numpy reads without a step per number.
-        self.ids, self.begins, self.ends, self.first, self.size = (array("i", start) for start in ((), (), (), (0,), ()))
+        self.ids, self.widths, self.first = array("i"), array("i"), array("q", [0])
 
-    def __missing__(self, chunk: str) -> int:
-        at = 0
-        for signs in self.model.stretches(chunk):
-            found = self.known.get(signs)
-            if found is None:
-                found = self.model.stretch(signs)
-                if len(signs) <= SHORT:
-                    self.known[signs] = found
-            ids, begins, ends, size = found
-            self.ids.extend(ids)
-            self.begins.extend([b + at for b in begins] if at else begins)
-            self.ends.extend([e + at for e in ends] if at else ends)
-            at += size
+    def _add(self, chunk: str, ids, widths):
+        self[chunk] = len(self.first) - 1
+        self.ids.extend(ids)
+        self.widths.extend(widths)
         self.first.append(len(self.ids))
-        self.size.append(at)
-        self[chunk] = number = len(self.size) - 1
-        return number
+
+    def _add_rows(self, chunks: list[str], parts: np.ndarray):
+        """Chunks of as many pieces each, known by id."""
+        self.update(zip(chunks, range(len(self.first) - 1, len(self.first) - 1 + len(chunks))))
+        self.first.frombytes((len(self.ids) + parts.shape[1] * np.arange(1, len(parts) + 1, dtype=np.int64)).tobytes())
+        self.ids.frombytes(parts.astype(np.int32).tobytes())
+        self.widths.frombytes(self.model.width[parts].tobytes())
+
+    def learn(self, new: set[str]):
+        model, by_length = self.model, defaultdict(list)
+        for chunk in new:
+            by_length[len(chunk) if len(chunk) <= SHORT else 0].append(chunk)
+        for length, group in by_length.items():
+            if length:
+                points = np.frombuffer("".join(group).encode("utf-32-le"), dtype="<u4").reshape(len(group), length)
+                signs = model.sign_id[model.number[points]]
+                signs = np.where(signs >= 0, signs, -1 - points.astype(np.int64))    # joins nothing
+                for rows, parts in model.merged_together(signs):
+                    plain = (parts >= 0).all(axis=1)
+                    self._add_rows([group[i] for i in rows[plain].tolist()], parts[plain])
+                    for i, ids in zip(rows[~plain].tolist(), parts[~plain].tolist()):
+                        self._add(group[i], *model.spelled_out(ids))
+                continue
+            for chunk in group:
+                self._add(chunk, *model.coded(chunk))
 
 
 def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -296,15 +353,19 @@ def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - before, size) + np.arange(int(size.sum()))
 
 
-_CHUNKS: dict[str, Chunks] = {}
+_KEPT: dict[tuple, object] = {}
+
+
+def _kept(make, content, name: str):
+    # What is made of the model outlives the task in a reused worker, known chunks too.
+    if (make, name) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[make, name] = make(content.value)
+    return _KEPT[make, name]
 
 
-def _chunks(content, name: str) -> Chunks:
-    # The parsed model and known chunks outlive the task in a reused worker.
-    if name not in _CHUNKS:
-        _CHUNKS.clear()
-        _CHUNKS[name] = Chunks(Model(content.value))
-    return _CHUNKS[name]
+def _chunks(content: bytes) -> Chunks:
+    return Chunks(Model(content))
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -312,40 +373,30 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
 
 
-def _encode_batch(chunks: Chunks, texts: list[bytes], add_end: bool):
+def _encode_batch(known: Chunks, texts: list[bytes], add_end: bool):
     """ids, begins and ends of all texts, one after the other, and their numbers."""
-    model = chunks.model
-    if max(len(chunks), len(chunks.known)) > CACHE or len(chunks.ids) > CACHE_IDS:
-        chunks.reset()
-    codes, owner, origin, shift, at = [], [], [], [], 0
-    for i, text in enumerate(texts):
-        normal, places = model.normalise(text)
-        found = [chunks[c] for c in model.chunks.findall(normal.decode())]
-        codes += found
-        owner.append(len(found))
-        origin.append(places)
-        shift.append(at)
-        at += len(places)
-    codes, owner = np.array(codes, dtype=np.int64), np.array(owner, dtype=np.int64)
-    shift = np.array(shift, dtype=np.int64)
-    first, size = np.array(chunks.first, dtype=np.int64), np.array(chunks.size, dtype=np.int64)
-    many = (first[1:] - first[:-1])[codes] if len(codes) else codes
-    text_of = np.repeat(np.arange(len(texts)), owner)
-    # Where every chunk begins in the normalised bytes of its text, and all texts in ``origin``.
-    run = np.cumsum(size[codes]) - size[codes] if len(codes) else codes
-    opening = np.cumsum(owner) - owner
-    base = np.where(owner > 0, run[np.minimum(opening, max(len(run) - 1, 0))], 0) if len(run) else np.zeros(len(texts), np.int64)
-    place = run - base[text_of] + shift[text_of]
-    taken = ragged(first[codes], many) if len(codes) else codes
-    ids = np.array(chunks.ids, dtype=np.int32)[taken]
-    lift = np.repeat(place, many)
-    origin = np.concatenate(origin) if origin else np.zeros(0, np.int64)
-    begins = origin[np.array(chunks.begins, dtype=np.int64)[taken] + lift]
-    ends = origin[np.array(chunks.ends, dtype=np.int64)[taken] + lift]
-    numbers = np.bincount(text_of, many, len(texts)).astype(np.int64)
-    # Unknown pieces side by side are one piece also across two chunks.
+    model = known.model
+    if len(known) > KNOWN:
+        known.reset()
+    normal, origin = zip(*map(model.normalise, texts)) if texts else ((), ())
+    cut = [model.chunks.findall(n.decode()) for n in normal]
+    found = list(chain.from_iterable(cut))
+    new = set(found).difference(known)
+    if new:
+        known.learn(new)
+    codes = np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))
+    first = np.array(known.first, dtype=np.int64)
+    many = first[codes + 1] - first[codes]
+    taken = ragged(first[codes], many)
+    ids, width = np.array(known.ids, dtype=np.int32)[taken], np.array(known.widths, dtype=np.int64)[taken]
+    holder = np.repeat(np.repeat(np.arange(len(texts)), [len(c) for c in cut]), many)
+    # Places in the normalised bytes of all texts; ``origin`` has one entry more per text.
+    to = np.cumsum(width)
+    places = np.concatenate(origin) if origin else np.zeros(0, np.int64)
+    begins, ends = places[to - width + holder], places[to + holder]
+    numbers = np.bincount(holder, minlength=len(texts))
+    # Unknown pieces side by side are one piece.
     if not model.fallback and len(ids):
-        holder = np.repeat(text_of, many)
         again = np.zeros(len(ids), dtype=bool)
         again[1:] = (ids[1:] == model.unknown) & (ids[:-1] == model.unknown) & (holder[1:] == holder[:-1])
         last = np.append(~again[1:], True)
@@ -359,39 +410,6 @@ def _encode_batch(chunks: Chunks, texts: list[bytes], add_end: bool):
     return ids, begins, ends, numbers
 
 
-def _encoder(content, name: str, add_end: bool):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _chunks(content, name)
-        for batch in portions(batches):
-            raw, starts = flat(batch.column("text"))
-            data = raw.tobytes()
-            texts = [data[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-            ids, begins, ends, numbers = _encode_batch(chunks, texts, add_end)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(_lists(v, numbers) for v in (ids, begins, ends))], names=["doc_id", "ids", "begins", "ends"])
-
-    return encode
-
-
-def encode(docs: DataFrame, content: bytes, add_end: bool = True) -> DataFrame:
-    """doc_id, ids, begins, ends of every row: the ids of the pieces of its text
-    and, for each, the original UTF-8 bytes (end exclusive) it stands for.
-
-    A NULL or empty text has no piece, only the end id if ``add_end``; a NULL
-    doc_id is kept, repeated rows are encoded each, further columns are ignored,
-    an empty table gives no rows. Bytes that are not UTF-8 count as U+FFFD each.
-    Time grows with n log n in the length of a stretch without a safe cut, and
-    linearly otherwise. The model is the only thing broadcast.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(content)
-    name = hashlib.sha256(content).hexdigest()
-    model = Model(content)
-    if add_end and model.end < 0:
-        raise ValueError("the model has no end id")
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(_encoder(shared, name, add_end), "doc_id long, ids array<int>, begins array<int>, ends array<int>"))
-
-
 def repaired(raw: bytes) -> bytes:
     """Every byte that belongs to no valid character becomes U+FFFD."""
     out, at = bytearray(), 0
@@ -402,21 +420,21 @@ def repaired(raw: bytes) -> bytes:
     return bytes(out)
 
 
-def _decode_batch(model: Model, ids: np.ndarray, numbers: np.ndarray) -> list[bytes]:
-    if len(ids) and (ids.min() < 0 or ids.max() >= len(model.kinds)):
+def _decode_batch(spelling: Spelling, ids: np.ndarray, numbers: np.ndarray) -> list[bytes]:
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(spelling.kinds)):
         raise ValueError("an id is outside the vocabulary")
-    size, first = model.spell_size[ids], model.spell_from[ids]
-    kind, doc = model.kinds[ids], np.repeat(np.arange(len(numbers)), numbers)
-    if (model.prefix or model.squeeze) and len(ids):
+    size, first = spelling.size[ids], spelling.first[ids]
+    kind, doc = spelling.kinds[ids], np.repeat(np.arange(len(numbers)), numbers)
+    if (spelling.prefix or spelling.squeeze) and len(ids):
         # The blank set in front is taken back: from the first piece that is
         # spelled at all, and from all blank ones before it when blanks are squeezed.
-        stop = np.flatnonzero(size - (np.minimum(model.leading[ids], 1) if model.squeeze else 0) > 0)
+        stop = np.flatnonzero(size - (np.minimum(spelling.leading[ids], 1) if spelling.squeeze else 0) > 0)
         heads = stop[np.unique(doc[stop], return_index=True)[1]] if len(stop) else stop
         until = np.full(len(numbers), len(ids))
         until[doc[heads]] = heads
-        trimmed = (np.arange(len(ids)) <= until[doc]) & (model.leading[ids] > 0)
+        trimmed = (np.arange(len(ids)) <= until[doc]) & (spelling.leading[ids] > 0)
         first, size = first + trimmed, size - trimmed
-    data = model.spelling[ragged(first, size)].tobytes() if len(ids) else b""
+    data = spelling.bytes[ragged(first, size)].tobytes() if len(ids) else b""
     ends = np.cumsum(np.bincount(doc, size, len(numbers)).astype(np.int64)) if len(numbers) else np.zeros(0, np.int64)
     texts, at = [], 0
     byte_pieces = np.bincount(doc[kind == BYTE], minlength=len(numbers)) if len(ids) else np.zeros(len(numbers))
@@ -432,14 +450,51 @@ def _decode_batch(model: Model, ids: np.ndarray, numbers: np.ndarray) -> list[by
     return texts
 
 
+def _encoder(content, name: str, add_end: bool, decoded: bool):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _kept(_chunks, content, name)
+        for batch in portions(batches, limit=PORTION):
+            raw, starts = flat(batch.column("text"))
+            data = raw.tobytes()
+            texts = [data[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+            ids, begins, ends, numbers = _encode_batch(known, texts, add_end)
+            columns = {"doc_id": batch.column("doc_id"), "ids": _lists(ids, numbers), "begins": _lists(begins, numbers), "ends": _lists(ends, numbers)}
+            if decoded:
+                texts = _decode_batch(known.model.spelling, ids.astype(np.int64), numbers)
+                columns["text"] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
+
+    return encode
+
+
+def encode(docs: DataFrame, content: bytes, add_end: bool = True, decoded: bool = False) -> DataFrame:
+    """doc_id, ids, begins, ends of every row: the ids of the pieces of its text
+    and, for each, the original UTF-8 bytes (end exclusive) it stands for; with
+    ``decoded`` also ``text``, what ``decode`` makes of the ids.
+
+    A NULL or empty text has no piece, only the end id if ``add_end``; a NULL
+    doc_id is kept, repeated rows are encoded each, further columns are ignored,
+    an empty table gives no rows. Bytes that are not UTF-8 count as U+FFFD each.
+    Time grows with n log n in the length of a stretch without a safe cut, and
+    linearly otherwise. The model is the only thing broadcast.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(content)
+    name = hashlib.sha256(content).hexdigest()
+    if add_end and Model(content).end < 0:
+        raise ValueError("the model has no end id")
+    schema = "doc_id long, ids array<int>, begins array<int>, ends array<int>" + (", text string" if decoded else "")
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+            .mapInArrow(_encoder(shared, name, add_end, decoded), schema))
+
+
 def _decoder(content, name: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _chunks(content, name).model
+        spelling = _kept(Spelling, content, name)
         for batch in batches:
             lists = batch.column("ids").cast(pa.large_list(pa.int32())).fill_null([])
             numbers = np.diff(np.asarray(lists.offsets))
             values = np.asarray(lists.flatten().cast(pa.int64()))
-            texts = pa.array(_decode_batch(model, values, numbers), pa.large_binary())
+            texts = pa.array(_decode_batch(spelling, values, numbers), pa.large_binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts.cast(pa.string())], names=[*batch.schema.names, "text"])
 
     return decode

@@ -1,7 +1,7 @@
 """How the wording of sources differs, and the terms that set a source apart.
 
-Terms are counted per language and source where the texts are read. A term's
-share in a group or language is a whole number of billionths, add-one smoothed;
+Terms are counted per language and source where the texts are read, and added
+up in buckets of terms. A term's share in a group or language is a whole number of billionths, add-one smoothed;
 two shares p and q differ by floor((p - q)^2 / q).
 
 *Terms of a group.* The difference grows with the term's count in the group and
@@ -21,16 +21,15 @@ sources, whose sums leave the task.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scoreloom.llm.runtime import parts_for, stored
+from scoreloom.llm.runtime import parts_for, stored, text_bytes
 from scoreloom.llm.textvec import flat, portions
 from scoreloom.session import settle
 
@@ -38,72 +37,107 @@ LEAST_DOCS = 3
 TOP = 200
 UNIT = 1_000_000_000
 TERM = re.compile(rb"[a-z\x80-\xff]+")
-HELD = 1 << 18              # counts a task holds before it sends them on
+HELD = 1 << 19              # different terms of groups a task holds before it sends them on
 BLOCK = 128                 # sources of a side in a block of the product
 ROWS = 1 << 19              # counts of terms in a block task, about
 PAIRS = 1 << 20             # products formed at once
-BAND = 1 << 16              # terms compared before a skyband is cut
-SLOTS = (1024, 32, 1)       # skybands are gathered by these numbers of slots
+BUCKET_BYTES = 8 << 20      # text whose terms are added up by a task, about
+GATHER = 32                 # skybands merged at once
 STRIP = 256
 
 
 # --- counts
 
 _COUNTED = "lang string, source string, term string, n long, docs long"
+_KEPT = "bucket int, lang string, source string, term string, n long, whole long, first boolean, band boolean"
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents per group and term, for every run of about
-    ``HELD`` terms; a group also gets a row with no term."""
-    counts: dict[tuple, tuple[Counter, Counter]] = {}
+    ``HELD`` different terms."""
+    counts: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
     held = 0
 
     def sent():
-        for (lang, source), (n, docs) in counts.items():
-            terms = list(n)
-            size = len(terms) + 1
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * size, pa.string()), pa.array([source] * size, pa.string()),
-                pa.array([None, *terms], pa.binary()).cast(pa.string()),
-                pa.array([0, *n.values()], pa.int64()), pa.array([0, *(docs[t] for t in terms)], pa.int64())],
-                names=["lang", "source", "term", "n", "docs"])
+        sizes = [len(n) for n, _ in counts.values()]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        names = [pa.array(x, pa.string()).take(pa.array(owner)) for x in zip(*counts)] if counts else [pa.array([], pa.string())] * 2
+        terms = [t for n, _ in counts.values() for t in n]
+        many = [x for n, _ in counts.values() for x in n.values()]
+        docs = [x for n, docs in counts.values() for x in map(docs.__getitem__, n)]
         counts.clear()
+        return pa.RecordBatch.from_arrays([*names, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(many, pa.int64()),
+                                           pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
 
     for batch in portions(batches):
         raw, starts = flat(batch.column("text"))
         data, ends = raw.tobytes().lower(), starts.tolist()
         for i, group in enumerate(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())):
-            if group not in counts:
-                counts[group] = Counter(), Counter()
             n, docs = counts[group]
             terms = TERM.findall(data, ends[i], ends[i + 1])
             before = len(n)
             n.update(terms)
             docs.update(set(terms))
-            held += len(n) - before + 1
+            held += len(n) - before
         if held > HELD:
-            yield from sent()
+            yield sent()
             held = 0
-    yield from sent()
-
-
-def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
-    """Counts (lang, source, term, n, whole: the term's count in the language)
-    of terms in at least ``least_docs`` documents of the language, and all
-    groups (lang, source) that occur. Both are stored."""
+    yield sent()
+
+
+def _summed(key: np.ndarray, *values: np.ndarray):
+    """Different keys in order, where each of them is first, and sums of the values."""
+    order = np.argsort(key, kind="stable")
+    heads = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+    return key[order][heads], order[heads], [np.add.reduceat(v[order], heads) for v in values]
+
+
+def _coded(column) -> tuple[np.ndarray, pa.Array]:
+    encoded = column.combine_chunks().dictionary_encode()
+    return np.asarray(encoded.indices).astype(np.int64), encoded.dictionary
+
+
+def _add_up(least_docs: int, k: int):
+    def add_up(table: pa.Table) -> pa.Table:
+        """Terms of a bucket in enough documents of their language, marked where
+        they belong to the skyband of their group."""
+        (lang, langs), (source, sources), (term, terms) = (_coded(table.column(c)) for c in ("lang", "source", "term"))
+        n, docs = table.column("n").to_numpy(), table.column("docs").to_numpy()
+        key, _, (n, docs) = _summed((lang * len(sources) + source) * len(terms) + term, n, docs)
+        group, term = key // len(terms), key % len(terms)
+        lang, source = group // len(sources), group % len(sources)
+        of_lang, head, (whole, docs) = _summed(lang * len(terms) + term, n, docs)
+        at = np.searchsorted(of_lang, lang * len(terms) + term)
+        first = np.zeros(len(n), dtype=bool)
+        first[head] = True
+        some = np.flatnonzero(docs[at] >= least_docs)
+        group, lang, source, term, n, first, whole = (x[some] for x in (group, lang, source, term, n, first, whole[at]))
+        place = np.empty(len(terms), dtype=np.int64)
+        place[np.asarray(pc.sort_indices(terms.cast(pa.binary())))] = np.arange(len(terms))
+        band = np.zeros(len(n), dtype=bool)
+        cuts = np.flatnonzero(np.diff(group)) + 1       # rows are in order of group
+        for part in np.split(np.arange(len(n)), cuts) if len(n) else []:
+            band[part[skyband(n[part], whole[part], place[term[part]], k)]] = True
+        return pa.table({"bucket": pa.array(np.full(len(n), table.column("bucket")[0].as_py()), pa.int32()),
+                         "lang": langs.take(pa.array(lang)), "source": sources.take(pa.array(source)), "term": terms.take(pa.array(term)),
+                         "n": pa.array(n), "whole": pa.array(whole), "first": pa.array(first), "band": pa.array(band)})
+
+    return add_up
+
+
+def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> tuple[DataFrame, DataFrame]:
+    """Counts (bucket, lang, source, term, n, whole: the term's count in the
+    language, first: once per term and language, band: of the bucket's skyband
+    for ``top``) of terms in at least ``least_docs`` documents of the language,
+    and all groups (lang, source) that occur. Both are stored."""
     def plain(name):
         return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
 
-    counted = stored(docs.select(plain("lang"), plain("source"), F.col("text").cast("string").alias("text"))
-                     .mapInArrow(_count_terms, _COUNTED)
-                     .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counted")
-    groups = stored(counted.where("term IS NULL").select("lang", "source"), "groups")
-    same = Window.partitionBy("lang", "term")
-    kept = (counted.where("term IS NOT NULL")
-            .select("lang", "source", "term", "n", F.sum("n").over(same).alias("whole"), F.sum("docs").over(same).alias("docs"),
-                    (F.min("source").over(same) == F.col("source")).alias("first"))
-            .where(F.col("docs") >= least_docs).drop("docs"))
-    return stored(kept, "kept"), groups
+    buckets = parts_for(text_bytes(docs), BUCKET_BYTES)
+    kept = (docs.select(plain("lang"), plain("source"), F.col("text").cast("string").alias("text")).mapInArrow(_count_terms, _COUNTED)
+            .withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+            .groupBy("bucket").applyInArrow(_add_up(least_docs, top), _KEPT))
+    return stored(kept, "kept"), stored(docs.select(plain("lang"), plain("source")).distinct(), "groups")
 
 
 def quotient(numerator: Column, denominator: Column) -> Column:
@@ -186,6 +220,19 @@ def _product(table: pa.Table) -> pa.Table:
                      "part": pa.array(out[cells], pa.int64())})
 
 
+def _dealt(counts: DataFrame, blocks: int) -> DataFrame:
+    """Every count as a left factor in the products (its block, any) and as a
+    right one in (any, its block); one row serves both in (its block, its block)."""
+    if blocks == 1:
+        return counts.withColumns({"block_i": F.lit(0), "block_j": F.lit(0), "left": F.lit(True), "right": F.lit(True)})
+    block = F.floor(F.col("sid") / BLOCK).cast("int")
+    spread = counts.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    same = block == F.col("other")
+    left = spread.withColumns({"block_i": block, "block_j": F.col("other"), "left": F.lit(True), "right": same})
+    right = spread.where(~same).withColumns({"block_i": F.col("other"), "block_j": block, "left": F.lit(False), "right": F.lit(True)})
+    return left.unionByName(right).drop("other")
+
+
 def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item (another source of the language), value: the summed
     differences of the item's shares from the source's."""
@@ -195,16 +242,9 @@ def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
     # The number of sources is known once the groups are stored; blocks and slices follow from it and from the rows.
     most = (groups.agg(F.max("sid")).first()[0] or 0) // BLOCK + 1
     slices = parts_for(kept.count() * most, ROWS)
-    block = F.floor(F.col("sid") / BLOCK).cast("int")
-    dealt = (known.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-             .withColumn("slice", F.pmod(F.xxhash64("term"), F.lit(slices)).cast("int")))
-    # A count is a left factor in the blocks (its, any) and a right one in (any, its); once in (its, its).
-    ways = F.array(
-        F.struct(block.alias("block_i"), F.col("other").alias("block_j"), F.lit(True).alias("left"), (block == F.col("other")).alias("right")),
-        F.when(block != F.col("other"), F.struct(F.col("other").alias("block_i"), block.alias("block_j"),
-                                                 F.lit(False).alias("left"), F.lit(True).alias("right"))))
-    dealt = dealt.select("lang", "sid", "term", "p", "p0", "slice", F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w"))
-    both = (dealt.select("lang", "sid", "term", "p", "p0", "slice", "w.*").groupBy("lang", "block_i", "block_j", "slice")
+    sliced = known.withColumn("slice", F.pmod(F.xxhash64("term"), F.lit(slices)).cast("int"))
+    dealt = _dealt(sliced, most)
+    both = (dealt.groupBy("lang", "block_i", "block_j", "slice")
             .applyInArrow(_product, "lang string, g int, h int, part long")
             .select("lang", "g", "h", F.col("part").cast("decimal(38,0)").alias("part")))
 
@@ -239,6 +279,11 @@ def skyband(n: np.ndarray, whole: np.ndarray, place: np.ndarray, k: int) -> np.n
     """Which entries are dominated by fewer than ``k`` others: higher or equal
     ``n``, lower or equal ``whole``, earlier ``place`` (a different one each)."""
     order = np.lexsort((place, whole, -n))          # nobody is dominated by one behind
+    # Of equal n and whole, only the first k places can be kept.
+    new_cell = np.concatenate(([True], (np.diff(n[order]) != 0) | (np.diff(whole[order]) != 0)))
+    heads = np.flatnonzero(new_cell)
+    nth = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order))))
+    order = order[nth < k]
     kept = np.zeros(0, dtype=np.int64)
     for at in range(0, len(order), STRIP):
         new = order[at:at + STRIP]
@@ -250,66 +295,32 @@ def skyband(n: np.ndarray, whole: np.ndarray, place: np.ndarray, k: int) -> np.n
     return kept
 
 
-def _bands(table: pa.Table, k: int) -> pa.Table:
-    """The skybands of all groups (gid) in a table."""
-    gid, n, whole = (table.column(c).to_numpy() for c in ("gid", "n", "whole"))
-    terms = table.column("term").combine_chunks().cast(pa.binary())
-    order = np.asarray(pc.sort_indices(terms))
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    by_group = np.argsort(gid, kind="stable")
-    cuts = np.flatnonzero(np.diff(gid[by_group])) + 1
-    keep = [part[skyband(n[part], whole[part], place[part], k)] for part in np.split(by_group, cuts)] if len(gid) else []
-    return table.take(pa.array(np.concatenate(keep))) if keep else table
-
-
-_BANDED = "gid long, slot int, term string, n long, whole long"
-
-
-def _local_bands(k: int):
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = TaskContext.get().partitionId() % SLOTS[0]
-        held, size, limit = [], 0, BAND
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size > limit:
-                table = _bands(pa.Table.from_batches(held).combine_chunks(), k).combine_chunks()
-                held, size = table.to_batches(), table.num_rows
-                limit = max(BAND, 2 * size)         # a wide skyband is not compared again at every batch
-                if size > 16 * BAND:
-                    yield from _slotted(held, slot)
-                    held, size, limit = [], 0, BAND
-        if held:
-            yield from _slotted(_bands(pa.Table.from_batches(held).combine_chunks(), k).to_batches(), slot)
-
-    return bands
-
-
-def _slotted(batches, slot: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("gid"), pa.array(np.full(b.num_rows, slot, dtype=np.int32)),
-                                          b.column("term"), b.column("n"), b.column("whole")], names=["gid", "slot", "term", "n", "whole"])
-
-
 def _merge(k: int):
     def merge(table: pa.Table) -> pa.Table:
-        return _bands(table.combine_chunks(), k)
+        """The skyband of a group's skybands."""
+        n, whole = table.column("n").to_numpy(), table.column("whole").to_numpy()
+        place = np.empty(len(n), dtype=np.int64)
+        place[np.asarray(pc.sort_indices(table.column("term").cast(pa.binary())))] = np.arange(len(n))
+        return table.take(pa.array(skyband(n, whole, place, k)))
 
     return merge
 
 
 def distinguishing_terms(kept: DataFrame, groups: DataFrame, top: int = TOP) -> DataFrame:
     """lang, source, item, value, rank: the ``top`` terms whose share in the
-    group exceeds that in the language by most."""
-    facts = settle(groups.select("lang", "source", F.monotonically_increasing_id().alias("gid"), "total", "terms", "lang_total"))
+    group exceeds that in the language by most. The bands of ``kept`` must have
+    been made for ``top`` or more."""
+    facts = settle(groups.select("lang", "source", "sid", "total", "terms", "lang_total"))
     p, q = share(F.col("n"), F.col("total"), F.col("terms")), share(F.col("whole"), F.col("lang_total"), F.col("terms"))
-    above = kept.join(facts, ["lang", "source"]).where(p > q).select("gid", "term", "n", "whole")
-    bands = above.mapInArrow(_local_bands(top), _BANDED)
-    for slots in SLOTS:
-        bands = (bands.withColumn("slot", F.col("slot") % slots).groupBy("gid", "slot").applyInArrow(_merge(top), _BANDED))
+    # A term above its language is dominated by such terms only.
+    bands = kept.where("band").join(facts, ["lang", "source"]).where(p > q).select("lang", "sid", F.col("bucket").alias("slot"), "term", "n", "whole")
+    slots = (kept.agg(F.max("bucket")).first()[0] or 0) + 1
+    while slots > 1:
+        slots = -(-slots // GATHER)
+        bands = (bands.withColumn("slot", (F.col("slot") % slots).cast("int")).groupBy("lang", "sid", "slot")
+                 .applyInArrow(_merge(top), "lang string, sid int, slot int, term string, n long, whole long"))
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    return (bands.join(facts, "gid").select("lang", "source", F.col("term").alias("item"), difference(p, q).alias("value"))
+    return (bands.join(facts, ["lang", "sid"]).select("lang", "source", F.col("term").alias("item"), difference(p, q).alias("value"))
             .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top))
 
 
@@ -322,7 +333,7 @@ def audit(docs: DataFrame, top: int = TOP, least_docs: int = LEAST_DOCS) -> Data
     that is earlier in UTF-8. Every row counts as a document, repeated ones
     too; further columns are ignored; an empty table gives no rows.
     """
-    kept, names = term_counts(docs, least_docs)
+    kept, names = term_counts(docs, least_docs, top)
     groups = group_table(kept, names)
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pair_values(kept, groups).withColumn("rank", F.row_number().over(best))

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scoreloom.llm.runtime import parts_for, stored
@@ -131,10 +132,14 @@ class Block:
 _SENT = "bucket int, block long, prints binary, counts binary"
 
 
+def _bucket(prints: np.ndarray, buckets: int) -> np.ndarray:
+    return ((prints >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+
+
 def _dealt(block: int, prints: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Distinct fingerprints of a block with their counts, by bucket."""
     prints, counts = np.unique(prints, return_counts=True)
-    bucket = ((prints >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    bucket = _bucket(prints, buckets)
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     full = np.flatnonzero(np.diff(cuts))
     slices = [slice(cuts[b], cuts[b + 1]) for b in full.tolist()]
@@ -238,34 +243,59 @@ def word_numbers(block: Block) -> np.ndarray:
     return number
 
 
-_SPELLED = "lang string, k int, phrase string, n long"
-
-
-def _spelled(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Phrases of a block that its pointers name, with their counts."""
-    known, found = _pointed(right), defaultdict(int)
-    langs = left.column("lang").to_pylist()
-    for lang, (_, block) in zip(langs, _rows(left)):
-        numbers = word_numbers(block)
-        firsts = [(n, block.phrases(n)) for n in range(1, WORDS + 1)]
-        for (n, first), prints in zip(firsts, block.prints(firsts)):
-            hit = _among(prints, known)
-            first, prints = first[hit], prints[hit]
-            if not len(first):
-                continue
-            _, lead, group = np.unique(prints, return_index=True, return_inverse=True)
-            same = np.ones(len(first), dtype=bool)
-            for k in range(n):
-                same &= numbers[first + k] == numbers[first[lead][group] + k]
-            counts = np.bincount(group, same, len(lead)).astype(np.int64)
-            for at, count in zip(first[lead].tolist(), counts.tolist()):
-                found[lang, n, block.raw[block.begins[at]:block.ends[at + n - 1]].tobytes()] += count
-            for at in first[~same].tolist():
-                found[lang, n, block.raw[block.begins[at]:block.ends[at + n - 1]].tobytes()] += 1
-    keys = list(found)
-    return pa.table({"lang": pa.array([k[0] for k in keys], pa.string()), "k": pa.array([k[1] for k in keys], pa.int32()),
-                     "phrase": pa.array([k[2] for k in keys], pa.binary()).cast(pa.string()),
-                     "n": pa.array(list(found.values()), pa.int64())})
+_SPELLED = "bucket int, lang string, size long, phrases binary, words binary, counts binary"
+
+
+def _spelled(buckets: int):
+    def spelled(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Phrases of a block that its pointers name, with their counts, packed by bucket."""
+        known, rows = _pointed(right), []
+        for lang, (_, block) in zip(left.column("lang").to_pylist(), _rows(left)):
+            numbers = word_numbers(block)
+            found: list[dict] = [defaultdict(int) for _ in range(buckets)]
+            firsts = [(n, block.phrases(n)) for n in range(1, WORDS + 1)]
+            for (n, first), prints in zip(firsts, block.prints(firsts)):
+                hit = _among(prints, known)
+                first, prints = first[hit], prints[hit]
+                if not len(first):
+                    continue
+                prints, lead, group = np.unique(prints, return_index=True, return_inverse=True)
+                same = np.ones(len(first), dtype=bool)
+                for k in range(n):
+                    same &= numbers[first + k] == numbers[first[lead][group] + k]
+                counts = np.bincount(group, same, len(lead)).astype(np.int64)
+                data, to = block.raw, _bucket(prints, buckets)
+                begins, ends = block.begins[first[lead]], block.ends[first[lead] + n - 1]
+                for bucket, a, b, count in zip(to.tolist(), begins.tolist(), ends.tolist(), counts.tolist()):
+                    found[bucket][n, data[a:b].tobytes()] += count
+                for i in np.flatnonzero(~same).tolist():
+                    a, b = block.begins[first[i]], block.ends[first[i] + n - 1]
+                    found[to[group[i]]][n, data[a:b].tobytes()] += 1
+            for bucket, phrases in enumerate(found):
+                if phrases:
+                    text = b"\n".join(phrase for _, phrase in phrases)
+                    rows.append((bucket, lang, len(text), pa.compress(text, "zstd", asbytes=True),
+                                 packed(np.array([n for n, _ in phrases], dtype=np.uint8)), packed(np.array([*phrases.values()], dtype=np.int64))))
+        columns = [*zip(*rows)] or [()] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                        names=["bucket", "lang", "size", "phrases", "words", "counts"])
+
+    return spelled
+
+
+def _added(least: int):
+    def added(table: pa.Table) -> pa.Table:
+        """Exact counts of the phrases of a bucket that reach ``least``."""
+        parts = []
+        for row in table.to_pylist():
+            phrases = pa.decompress(row["phrases"], row["size"], "zstd", asbytes=True).split(b"\n")
+            parts.append(pa.table({"lang": pa.array([row["lang"]] * len(phrases), pa.string()), "k": pa.array(unpacked(row["words"], np.uint8)).cast(pa.int32()),
+                                   "phrase": pa.array(phrases, pa.binary()), "a": pa.array(unpacked(row["counts"], np.int64))}))
+        whole = pa.concat_tables(parts).group_by(["lang", "k", "phrase"]).aggregate([("a", "sum")])
+        whole = whole.filter(pc.greater_equal(whole.column("a_sum"), least))
+        return pa.table({"lang": whole.column("lang"), "k": whole.column("k"), "phrase": whole.column("phrase").cast(pa.string()), "a": whole.column("a_sum")})
+
+    return added
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -284,8 +314,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     short = stored(reduced(blocks.mapInArrow(_short_prints(buckets), _SENT)), "short-phrases")
     long = stored(reduced(blocks.groupBy("block").cogroup(short.groupBy("block")).applyInArrow(_long_prints(buckets), _SENT)), "long-phrases")
     every = short.unionByName(long)
-    spelled = blocks.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_spelled, _SPELLED)
-    return stored(spelled.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrases"), sizes
+    spelled = blocks.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_spelled(buckets), _SPELLED)
+    phrases = spelled.groupBy("bucket").applyInArrow(_added(least), "lang string, k int, phrase string, a long")
+    return stored(phrases, "phrases"), sizes
 
 
 def _part(words: Column, first: Column | int, size: Column | int) -> Column:

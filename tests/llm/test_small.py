@@ -95,7 +95,7 @@ def test_topk(spark):
     rng = random.Random(2)
     vectors = [(i, [float(np.float32(rng.uniform(-1, 1))) for _ in range(6)]) for i in range(150)]
     vectors += [(200 + i, vectors[0][1]) for i in range(60)]            # ties
-    vectors += [(300, None), (320, [0.5, None, 0, 0, 0, 0]), (340, [float("nan")] * 6), (360, [float("inf")] + [0.0] * 5), (None, vectors[0][1]),
+    vectors += [(300, None), (320, [0.5, None, 0.0, 0.0, 0.0, 0.0]), (340, [float("nan")] * 6), (360, [float("inf")] + [0.0] * 5), (None, vectors[0][1]),
                 (380, []), (400, [0.5, 0.25]), (40, vectors[1][1]), (41, vectors[41][1]), (41, vectors[41][1])]
     df = awkward(spark, vectors, 4, VECTORS)
     for k in (7, 20, 500):

@@ -362,16 +362,32 @@ def _grams(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return stored(grams.join(wanted.select("node"), "node").dropDuplicates(["node"]), "grams")
 
 
-def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, share) -> DataFrame:
+def _sets_of(signed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and bits of the sets in ``wanted`` (node), each once.
+
+    A filter of bounded size lets only their rows, and few others, leave the
+    tasks that read the signatures.
+    """
+    n, words = wanted.count(), 64
+    while words < FILTER_WORDS and words * 64 < 16 * n:
+        words *= 2
+    at = F.pmod(F.xxhash64("node"), F.lit(words * 64))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    marks = stored(wanted.select((at / 64).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("marks")), "marks")
+    rows = signed.where("n > 0 AND doc_id IS NOT NULL").select("node", "bits", (at / 64).cast("int").alias("word"), bit.alias("bit"))
+    some = rows.join(F.broadcast(marks), "word").where(F.col("marks").bitwiseAND(F.col("bit")) != 0)      # FILTER_WORDS rows at most
+    return some.select("node", "bits").join(wanted.select("node"), "node").dropDuplicates(["node"])
+
+
+def _links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, share) -> DataFrame:
     """Links (a, b) among candidate pairs of sets."""
-    bits = sets.select(F.col("node"), "bits")
-    pairs = pairs.select("a", "b", "na", "nb").distinct()
+    pairs = stored(pairs.select("a", "b", "na", "nb").distinct(), "candidates")
+    bits = stored(_sets_of(signed, stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")), "bits")
     with_bits = (pairs.join(bits.withColumnsRenamed({"node": "a", "bits": "bits_a"}), "a")
                  .join(bits.withColumnsRenamed({"node": "b", "bits": "bits_b"}), "b"))
     left = stored(with_bits.select("a", "b", "na", "nb", "bits_a", "bits_b")
                   .mapInArrow(_bounded(share), "a long, b long, na long, nb long"), "pairs")
-    wanted = stored(left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-                    .join(sets.select("node", "doc_id"), "node"), "wanted")
+    wanted = stored(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), "wanted")
     grams = _grams(docs, wanted, width)
     # A set with many pairs is most often `a` of them (see `_multiplier`); joined last, it is not copied.
     both = (left.join(grams.withColumnsRenamed({"node": "b", "grams": "grams_b"}), "b").select("a", "b", "grams_b")
@@ -412,15 +428,15 @@ def _held(docs: DataFrame, width: int, share) -> tuple[DataFrame, DataFrame, Dat
     # One node per different set, held by its smallest doc_id.
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
     nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    sets = stored(some.join(nodes, ["node", "doc_id"]).dropDuplicates(["node"]), "sets")
-    products = stored(sets.select("node", "n", "prefix").mapInArrow(_dealer(parts), "part int, block binary")
+    # Equal sets meet in the products and are one row there.
+    products = stored(some.select("node", "n", "prefix").mapInArrow(_dealer(parts), "part int, block binary")
                       .groupBy("part").applyInArrow(_multiplier(share), _PAIR_FIELDS), "products")
-    members = products.where(F.col("kind") == MEMBER).select(F.col("a").alias("gram"), F.col("b").alias("node"), F.col("na").alias("n")).distinct()
-    links = stored(_links(rows, sets, products.where(F.col("kind") == PAIR), width, share), "links")
+    members = stored(products.where(F.col("kind") == MEMBER).select(F.col("a").alias("gram"), F.col("b").alias("node"), F.col("na").alias("n")).distinct(), "long-columns")
+    links = stored(_links(rows, signed, nodes, products.where(F.col("kind") == PAIR), width, share), "links")
     joined_up = components(links)
     if not members.isEmpty():
-        for rest in (lambda: _to_pivot(_ranked(members, joined_up), share), lambda: _product(members, joined_up, sets, share)):
-            links = stored(links.unionByName(_links(rows, sets, rest(), width, share)), "links")
+        for rest in (lambda: _to_pivot(_ranked(members, joined_up), share), lambda: _product(members, joined_up, signed, share)):
+            links = stored(links.unionByName(_links(rows, signed, nodes, rest(), width, share)), "links")
             joined_up = components(links)
     held = stored(nodes.join(joined_up, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")), "held")
     return rows, signed, held
@@ -564,7 +580,7 @@ def _to_pivot(ranked: DataFrame, share) -> DataFrame:
     return _ordered(ranked.where(~F.col("inner") & _fits("n", "n_pivot", share)), "node", "n", "pivot", "n_pivot")
 
 
-def _product(members: DataFrame, parts: DataFrame, sets: DataFrame, share, block: int | None = None) -> DataFrame:
+def _product(members: DataFrame, parts: DataFrame, signed: DataFrame, share, block: int | None = None) -> DataFrame:
     """Pairs of long columns from different components that the bounds allow.
 
     The documents of a column are dealt to blocks of about ``block``; a task
@@ -579,7 +595,9 @@ def _product(members: DataFrame, parts: DataFrame, sets: DataFrame, share, block
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # The long columns of a document; they are part of its prefix, so few.
     columns = members.groupBy("node").agg(F.sort_array(F.collect_set("gram")).alias("columns"))
-    dealt = (placed.join(sizes, "gram").join(sets.select("node", "bits"), "node").join(columns, "node").withColumn("mine", mine)
+    open_columns = stored(placed.join(sizes, "gram"), "open-columns")
+    bits = _sets_of(signed, stored(open_columns.select("node").distinct(), "named"))
+    dealt = (open_columns.join(bits, "node").join(columns, "node").withColumn("mine", mine)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("gram", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
                      (F.col("mine") > F.col("other")).alias("second"), "node", "n", "part", "bits", "columns"))

@@ -1,11 +1,14 @@
 """Exact interpolated quantiles per group, for any number of rows and values.
 
 Two passes. The first takes an approximate percentile a little below and a
-little above every wanted rank, which brackets the rank. The second counts the
-rows below each bracket and, inside it, the rows per value; the few values
-inside are put in order and the ranks read off. The counts say whether a
-bracket holds its rank. Should one miss, that quantile is found by narrowing
-ranges (``ranked_rows``).
+little above every wanted rank, which brackets the rank; the bracket of a small
+group is all of it. The second counts the rows below each bracket and, inside
+it, the rows per value. A bracket is cut into ``STEPS`` ranges of values; sums
+over the ranges tell which of them hold a rank, and only their values are put
+in order. Percentiles are off by at most one row in ``ACCURACY`` and brackets
+reach two rows in ``ACCURACY`` further out, so from ``SMALL`` rows on they hold
+their ranks. The counts prove it; should a bracket miss all the same, that
+quantile is found by narrowing ranges (``ranked_rows``).
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from scoreloom.operators.ranks import RANK_ROWS, first_regions, logarithmic, ran
 from scoreloom.session import settle, written
 
 ACCURACY = 20_000
+SMALL = 4 * ACCURACY        # rows of a group that is put in order as it is
+STEPS = 1024                # ranges of a bracket
 
 
 def _rows(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -31,7 +36,8 @@ def _spots(n: Column, probs: Sequence[float]) -> list[Column]:
 
 
 def exact_quantiles(df: DataFrame, by: str, value: str, probs: Sequence[float],
-                    rank_rows: int = RANK_ROWS, accuracy: int = ACCURACY) -> DataFrame:
+                    rank_rows: int = RANK_ROWS, accuracy: int = ACCURACY, small: int = SMALL,
+                    steps: int = STEPS) -> DataFrame:
     """(by, quantiles): linearly interpolated quantiles, in the order of ``probs``."""
     rows = _rows(df, by, value)
     sides = sorted({min(max(q + s * 2.0 / accuracy, 0.0), 1.0) for q in probs for s in (-1, 1)})
@@ -44,9 +50,8 @@ def exact_quantiles(df: DataFrame, by: str, value: str, probs: Sequence[float],
 
     brackets = F.array(*[
         F.struct(F.lit(i).alias("i"), (F.floor(spot) + 1).alias("first"), (F.ceil(spot) + 1).alias("last"),
-                 # One row more on both sides than the ranks ask for, to the ends of the group.
-                 F.when(spot < 1, F.col("low")).otherwise(side(q, -1)).alias("from"),
-                 F.when(spot >= F.col("n") - 2, F.col("high")).otherwise(side(q, 1)).alias("to"))
+                 F.when((F.col("n") <= small) | (spot < 1), F.col("low")).otherwise(side(q, -1)).alias("from"),
+                 F.when((F.col("n") <= small) | (spot >= F.col("n") - 2), F.col("high")).otherwise(side(q, 1)).alias("to"))
         for i, (q, spot) in enumerate(zip(probs, _spots(F.col("n"), probs)))])
     wanted = groups.select(by, brackets.alias("brackets"))
 
@@ -64,10 +69,17 @@ def exact_quantiles(df: DataFrame, by: str, value: str, probs: Sequence[float],
     spread = (counted.where(F.col("v").isNotNull()).select(by, "v", "c")
               .join(wanted.select(by, F.inline("brackets")), by)
               .where((F.col("v") >= F.col("from")) & (F.col("v") <= F.col("to"))))
-    upto = F.sum("c").over(W.partitionBy(by, "i").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    place = F.floor((F.col("v") - F.col("from")) / (F.col("to") - F.col("from")) * steps)
+    spread = spread.withColumn("step", F.when(F.col("to") > F.col("from"), F.least(place, F.lit(steps - 1))).otherwise(0))
     under = F.element_at(F.array(*[F.col(f"below{i}") for i in range(len(probs))]), F.col("i") + 1)
-    ranked = (spread.withColumn("upto", upto).join(lower, by)
-              .select(by, "i", "v", "first", "last", (F.col("upto") + under).alias("upto"), (F.col("upto") - F.col("c") + under).alias("before")))
+    total = F.sum("rows").over(W.partitionBy(by, "i").orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow))
+    holding = (spread.groupBy(by, "i", "step", "first", "last").agg(F.sum("c").alias("rows"))
+               .withColumn("ahead", total - F.col("rows")).join(lower, by).withColumn("ahead", F.col("ahead") + under)
+               .where((F.col("ahead") < F.col("last")) & (F.col("ahead") + F.col("rows") >= F.col("first")))
+               .select(by, "i", "step", "ahead"))
+    upto = F.sum("c").over(W.partitionBy(by, "i", "step").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("ahead")
+    ranked = (spread.join(holding, [by, "i", "step"]).withColumn("upto", upto)
+              .select(by, "i", "v", "first", "last", "upto", (F.col("upto") - F.col("c")).alias("before")))
 
     def at(rank: str) -> Column:
         return F.max(F.when((F.col("before") < F.col(rank)) & (F.col(rank) <= F.col("upto")), F.col("v")))

@@ -111,8 +111,8 @@ def test_quantiles_equal_brute_force(spark, values):
     rows = [("all", v) for v in values] + [("two", 1.0), ("two", 2.0)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    for accuracy in (5, 20_000):
-        got = {r["g"]: r["quantiles"] for r in exact_quantiles(df, "g", "v", probs, accuracy=accuracy).collect()}
+    for accuracy, small in ((5, 0), (20_000, 0), (20_000, quantiles.SMALL)):
+        got = {r["g"]: r["quantiles"] for r in exact_quantiles(df, "g", "v", probs, accuracy=accuracy, small=small).collect()}
         assert got["all"] == pytest.approx(np.quantile(values, probs), rel=1e-9, abs=1e-9)
     rows_of = quantiles._rows(df, "g", "v")
     got = {r["g"]: r["quantiles"] for r in quantiles._ranked_quantiles(rows_of, "g", probs, 5).collect()}
@@ -127,8 +127,30 @@ def test_quantiles_of_a_bracketed_skewed_group(spark):
     values = np.concatenate([values, [1e300, -1e300, 0.0]])
     df = df.unionByName(spark.createDataFrame([("g", 1e300), ("g", -1e300), ("g", 0.0), ("g", None), ("g", float("nan"))], df.schema))
     probs = [0.25, 0.5, 0.75, 0.99]
-    got = exact_quantiles(df, "g", "v", probs, accuracy=200).first()["quantiles"]
-    assert got == pytest.approx(np.quantile(values, probs), rel=1e-12)
+    for steps in (1, 7, 1024):
+        got = exact_quantiles(df, "g", "v", probs, accuracy=200, small=800, steps=steps).first()["quantiles"]
+        assert got == pytest.approx(np.quantile(values, probs), rel=1e-12)
+
+
+def test_brackets_hold_their_ranks(spark, monkeypatch):
+    """From SMALL rows on, and for every smaller group, no quantile is looked for twice."""
+    def missed(*_):
+        raise AssertionError("a bracket missed its rank")
+
+    monkeypatch.setattr(quantiles, "_ranked_quantiles", missed)
+    rng = np.random.default_rng(5)
+    groups = {str(n): rng.lognormal(3, 2, n) for n in (1, 2, 3, 4, 5, 7, 50, 399, 401, 1000)}
+    groups["dominant"] = np.concatenate([rng.normal(0, 1, 15_000), np.full(5_000, 0.5)])
+    df = spark.createDataFrame([(g, float(v)) for g, values in groups.items() for v in values], "g string, v double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 1.0]
+    for r in exact_quantiles(df, "g", "v", probs, accuracy=100, small=400).collect():
+        assert r["quantiles"] == pytest.approx(np.quantile(groups[r["g"]], probs), rel=1e-12)
+
+
+def test_values_that_divide_badly(spark):
+    values = [float("-inf"), -1.7e308, 0.0, 1.0, 1.7e308, float("inf"), float("inf")]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    assert exact_quantiles(df, "g", "v", [1 / 6, 1 / 3, 0.5, 2 / 3]).first()["quantiles"] == [-1.7e308, 0.0, 1.0, 1.7e308]
 
 
 @pytest.mark.parametrize("kind", ["int", "double"])

@@ -22,15 +22,19 @@ HASH_FEATURES = 1 << 16
 
 
 def pair_features(df: DataFrame, student: str = STUDENT, reference: str = REFERENCE) -> DataFrame:
-    """Marked tokens of both texts, share of reference words answered, lengths. Narrow."""
-    words = df.withColumns({"_s": tokens(F.lower(student)), "_r": tokens(F.lower(reference))})
+    """Marked tokens of both texts, share of reference words answered, lengths. Narrow.
+
+    A NULL text counts as the empty one.
+    """
+    texts = {"_s": F.coalesce(F.col(student), F.lit("")), "_r": F.coalesce(F.col(reference), F.lit(""))}
+    words = df.withColumns({c: tokens(F.lower(text)) for c, text in texts.items()})
     found, wanted = F.size(F.array_intersect("_s", "_r")), F.size(F.array_distinct("_r"))
     marked = F.concat(F.transform("_s", lambda t: F.concat(F.lit("s "), t)),
                       F.transform("_r", lambda t: F.concat(F.lit("r "), t)))
     return words.withColumns({
         "pair_tokens": marked,
         "overlap": F.coalesce(F.try_divide(found.cast("double"), wanted.cast("double")), F.lit(0.0)),
-        "log_student": F.log1p(F.length(student)), "log_reference": F.log1p(F.length(reference)),
+        "log_student": F.log1p(F.length(texts["_s"])), "log_reference": F.log1p(F.length(texts["_r"])),
     }).drop("_s", "_r")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoreloom.functions.bins import LENGTH_BINS, RATIO_BINS
-from scoreloom.operators import labels, metrics, model, progress, splits, strategies
+from scoreloom.operators import epochs, labels, metrics, model, progress, selection, splits, strategies
 from scoreloom.operators.labels import FOUR_GRADE_INDEX
 from scoreloom.operators.weights import class_weights
 from scoreloom.plans.adapters import (
@@ -85,6 +85,36 @@ def _(spark, sf_dir):
     return _judged(model.predict(chosen, test).withColumnRenamed("label", "y"), 4)
 
 
+_LEARNED = ("loss_falls", "best_is_least", "stop_agrees", "best_is_returned", "beats_majority")
+
+
+@query("fit_epochs", steps(*_FOUR, *splits_sql("labelled", **splits.THREE_WAY, output=f"""
+  SELECT count(*) AS judged, {", ".join(f"true AS {flag}" for flag in _LEARNED)}
+  FROM split_rows JOIN (SELECT row_id, label FROM labelled) USING (row_id) WHERE split = 'test'""")))
+def _(spark, sf_dir):
+    """Epochs with early stop. What must hold of a fit: the loss falls, the best
+    epoch has the least, the stop is the one the history gives, the returned model
+    has the loss of the best epoch, and it beats the constant answer on the test part."""
+    rows = labels.encode_labels(graded(spark, sf_dir))
+    train, validation, test = _parts(spark, rows, **splits.THREE_WAY)
+    fit = epochs.fit_epochs(train, validation, classes=4, epochs=8)
+    history = fit.history.withColumn("run", F.lit("fit"))
+    best = selection.best_candidate(history, "eval_loss", False).first()
+    stop = selection.early_stop(history, "eval_loss", False, patience=2).first()["stop_epoch"]
+    first = history.where("epoch = 1").first()["eval_loss"]
+
+    def cells(part):
+        return model.predict(fit.model, part).withColumnRenamed("label", "y")
+
+    again = model.candidate_metrics(cells(validation).withColumn("run", F.lit("fit")), ("run",)).first()["eval_loss"]
+    judged = metrics.confusion_cells(cells(test))
+    of_class = judged.groupBy("y").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)).alias("hits"))
+    flags = dict(zip(_LEARNED, (best["best_eval_loss"] < first or fit.best_epoch == 1, best["best_epoch"] == fit.best_epoch,
+                                stop == fit.stop_epoch, abs(again - best["best_eval_loss"]) < 1e-9)))
+    return of_class.agg(F.sum("n").alias("judged"), *[F.lit(bool(v)).alias(k) for k, v in flags.items()],
+                        (F.sum("hits") >= F.max("n")).alias("beats_majority"))
+
+
 def _stored(spark, document, name):
     """Write a report, read it back with the same schema."""
     path = scratch_path(spark, name)

@@ -50,7 +50,6 @@ _BINARY = (GRADED_SQL, ("labelled", """
 _FOUR = (GRADED_SQL, ("labelled", "SELECT row_id, grade, (dense_rank() OVER (ORDER BY grade) - 1)::INT AS label FROM graded"))
 _CONTINUED = {"keep": (0.4, 0.75), "names": ("earlier", "train", "test")}
 _REGS = (0.001, 0.01, 0.1)
-_FEATURES = 1 << 14
 
 
 @query("fit_binary", _fit_check(_BINARY, part="test", **splits.THREE_WAY))
@@ -58,7 +57,7 @@ def _(spark, sf_dir):
     rows = labels.encode_labels(graded(spark, sf_dir).where(F.col(GRADE).isin("2", "5")))
     train, _, test = _parts(spark, rows, **splits.THREE_WAY)
     path = scratch_path(spark, "binary-model")
-    model.save_model(model.fit_pair_classifier(train, size=_FEATURES), path)
+    model.save_model(model.fit_pair_classifier(train), path)
     return _judged(model.predict(model.load_model(path), test).withColumnRenamed("label", "y"), 2)
 
 
@@ -72,7 +71,7 @@ def _(spark, sf_dir):
     def weighed(part):
         return part.join(weights, "label", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
-    fitted = model.fit_pair_classifier(weighed(train), weight="weight", earlier=weighed(earlier), size=_FEATURES)
+    fitted = model.fit_pair_classifier(weighed(train), weight="weight", earlier=weighed(earlier))
     return _judged(model.predict(fitted, test).withColumnRenamed("label", "y"), 4)
 
 
@@ -81,7 +80,7 @@ def _(spark, sf_dir):
     """Fit candidates, choose by validation loss, and judge the chosen model on the test part."""
     rows = labels.encode_labels(graded(spark, sf_dir))
     train, validation, test = _parts(spark, rows, **splits.THREE_WAY)
-    _, chosen, _ = model.best_model(train, validation, _REGS, size=_FEATURES)
+    _, chosen, _ = model.best_model(train, validation, _REGS)
     return _judged(model.predict(chosen, test).withColumnRenamed("label", "y"), 4)
 
 
@@ -97,7 +96,7 @@ def _(spark, sf_dir):
     has the loss of the best epoch, and it beats the constant answer on the test part."""
     rows = labels.encode_labels(graded(spark, sf_dir))
     train, validation, test = _parts(spark, rows, **splits.THREE_WAY)
-    fit = epochs.fit_epochs(train, validation, classes=4, epochs=8)
+    fit = epochs.fit_epochs(train, validation, classes=4, epochs=5)
     history = fit.history.withColumn("run", F.lit("fit"))
     best = selection.best_candidate(history, "eval_loss", False).first()
     stop = selection.early_stop(history, "eval_loss", False, patience=2).first()["stop_epoch"]

@@ -35,8 +35,8 @@ LEAST = 30
 TOP = 2000
 SCALE = 2_000_000
 COVER = (80, 100)           # a longer phrase this frequent takes the place of its parts
-BLOCK_BYTES = 6 << 20       # normalised text of a block, unless one text is longer
-HELD_BYTES = 24 << 20       # text held for all languages of a task
+BLOCK_BYTES = 3 << 20       # normalised text of a block, unless one text is longer
+HELD_BYTES = 12 << 20       # text held for all languages of a task
 BUCKET = 1 << 21            # fingerprints reduced by a task, about
 # Fixed values of the rule: what parts words, and what parts pieces.
 _BLANK, _CUT = b"\x20\x09", b".,;:!?\x0A\x0B\x0C\x0D"

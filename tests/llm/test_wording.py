@@ -193,7 +193,7 @@ def phrases(n=150):
     return docs + [(None, "en", "s", None), (1, "", "s", ""), (2, "de", "s", " .,"), (3, "la", "s", "ab " * 9000), (4, "la", "s", "ab ab,ab"), (4, "la", "s", "ab ab,ab")]
 
 
-@pytest.mark.parametrize("size, bucket", [(6 << 20, 1 << 21), (5000, 4000)])
+@pytest.mark.parametrize("size, bucket", [(3 << 20, 1 << 21), (5000, 4000)])
 def test_collocations(spark, monkeypatch, size, bucket):
     monkeypatch.setattr(collocations, "BLOCK_BYTES", size)
     monkeypatch.setattr(collocations, "HELD_BYTES", 4 * size)

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scoreloom.llm.runtime import parts_for, stored, text_bytes
-from scoreloom.llm.textvec import flat, portions
+from scoreloom.llm.textvec import flat, hash_runs, portions
 from scoreloom.session import settle
 
 LEAST_DOCS = 3
@@ -38,6 +38,7 @@ TOP = 200
 UNIT = 1_000_000_000
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 HELD = 1 << 19              # different terms of groups a task holds before it sends them on
+HELD_BYTES = 1 << 28        # text a task reads before it does so, about
 BLOCK = 128                 # sources of a side in a block of the product
 ROWS = 1 << 19              # counts of terms in a block task, about
 PAIRS = 1 << 20             # products formed at once
@@ -48,41 +49,69 @@ STRIP = 256
 
 # --- counts
 
-_COUNTED = "lang string, source string, term string, n long, docs long"
+_COUNTED = "bucket int, lang string, source string, terms binary, n array<long>, docs array<long>"
 _KEPT = "bucket int, lang string, source string, term string, n long, whole long, first boolean, band boolean"
-
-
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents per group and term, for every run of about
-    ``HELD`` different terms."""
-    counts: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
-    held = 0
-
-    def sent():
-        sizes = [len(n) for n, _ in counts.values()]
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        names = [pa.array(x, pa.string()).take(pa.array(owner)) for x in zip(*counts)] if counts else [pa.array([], pa.string())] * 2
-        terms = [t for n, _ in counts.values() for t in n]
-        many = [x for n, _ in counts.values() for x in n.values()]
-        docs = [x for n, docs in counts.values() for x in map(docs.__getitem__, n)]
-        counts.clear()
-        return pa.RecordBatch.from_arrays([*names, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(many, pa.int64()),
-                                           pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
-
-    for batch in portions(batches):
-        raw, starts = flat(batch.column("text"))
-        data, ends = raw.tobytes().lower(), starts.tolist()
-        for i, group in enumerate(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())):
-            n, docs = counts[group]
-            terms = TERM.findall(data, ends[i], ends[i + 1])
-            before = len(n)
-            n.update(terms)
-            docs.update(set(terms))
-            held += len(n) - before
-        if held > HELD:
-            yield sent()
-            held = 0
-    yield sent()
+_END = b"\n"                # behind every term of a row; no term holds it
+
+
+def _count_terms(buckets: int):
+    def packed(counts: dict) -> pa.RecordBatch:
+        """A row for every group and bucket: its terms back to back, their counts as arrays."""
+        raw = np.frombuffer(b"".join(_END.join(n) + _END for n, _ in counts.values() if n), dtype=np.uint8)
+        ends = np.flatnonzero(raw == _END[0]) + 1
+        starts = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+        many = np.fromiter((x for n, _ in counts.values() for x in n.values()), np.int64, len(ends))
+        docs = np.fromiter((d[t] for n, d in counts.values() for t in n), np.int64, len(ends))
+        bucket = (hash_runs(raw, starts, ends - 1) % np.uint64(buckets)).astype(np.int64)
+        key = np.repeat(np.arange(len(counts)), np.array([len(n) for n, _ in counts.values()], dtype=np.int64)) * buckets + bucket
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        cuts = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), np.diff(key) != 0)))
+        bounds = np.append(cuts, len(key))
+        terms = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw)])
+        raw, places = flat(terms.take(pa.array(order)))
+        blobs = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(places[bounds].astype(np.int32)), pa.py_buffer(raw)])
+        owner = pa.array(key[cuts] // buckets)
+        names = [pa.array([group[i] for group in counts], pa.string()).take(owner) for i in range(2)]
+        lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x[order])) for x in (many, docs)]
+        return pa.RecordBatch.from_arrays([pa.array(key[cuts] % buckets, pa.int32()), *names, blobs, *lists],
+                                          names=["bucket", "lang", "source", "terms", "n", "docs"])
+
+    def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Occurrences and documents per group and term, for every run of about
+        ``HELD`` different terms."""
+        counts: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+        held = size = 0
+        for batch in portions(batches):
+            raw, starts = flat(batch.column("text"))
+            data, ends = raw.tobytes().lower(), starts.tolist()
+            size += len(data)
+            for i, group in enumerate(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())):
+                n, docs = counts[group]
+                terms = TERM.findall(data, ends[i], ends[i + 1])
+                before = len(n)
+                n.update(terms)
+                docs.update(set(terms))
+                held += len(n) - before
+            if held > HELD or size > HELD_BYTES:
+                yield packed(counts)
+                counts.clear()
+                held = size = 0
+        yield packed(counts)
+
+    return count_terms
+
+
+def _unpacked(table: pa.Table):
+    """Row, term and counts of everything that the rows of a bucket hold."""
+    raw, _ = flat(table.column("terms"))
+    ends = np.flatnonzero(raw == _END[0])
+    raw = raw[raw != _END[0]]
+    places = np.concatenate(([0], ends - np.arange(len(ends)))).astype(np.int64)
+    terms = pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(places), pa.py_buffer(raw)])
+    n, docs = (table.column(c).combine_chunks() for c in ("n", "docs"))
+    row = np.repeat(np.arange(table.num_rows), np.asarray(pc.list_value_length(n)))
+    return row, terms, np.asarray(n.flatten()), np.asarray(docs.flatten())
 
 
 def _summed(key: np.ndarray, *values: np.ndarray):
@@ -101,8 +130,11 @@ def _add_up(least_docs: int, k: int):
     def add_up(table: pa.Table) -> pa.Table:
         """Terms of a bucket in enough documents of their language, marked where
         they belong to the skyband of their group."""
-        (lang, langs), (source, sources), (term, terms) = (_coded(table.column(c)) for c in ("lang", "source", "term"))
-        n, docs = table.column("n").to_numpy(), table.column("docs").to_numpy()
+        row, terms, n, docs = _unpacked(table)
+        (lang, langs), (source, sources) = (_coded(table.column(c)) for c in ("lang", "source"))
+        lang, source = lang[row], source[row]
+        coded = terms.dictionary_encode()
+        term, terms = np.asarray(coded.indices).astype(np.int64), coded.dictionary.cast(pa.string())
         key, _, (n, docs) = _summed((lang * len(sources) + source) * len(terms) + term, n, docs)
         group, term = key // len(terms), key % len(terms)
         lang, source = group // len(sources), group % len(sources)
@@ -134,8 +166,7 @@ def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -
         return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
 
     buckets = parts_for(text_bytes(docs), BUCKET_BYTES)
-    kept = (docs.select(plain("lang"), plain("source"), F.col("text").cast("string").alias("text")).mapInArrow(_count_terms, _COUNTED)
-            .withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    kept = (docs.select(plain("lang"), plain("source"), F.col("text").cast("string").alias("text")).mapInArrow(_count_terms(buckets), _COUNTED)
             .groupBy("bucket").applyInArrow(_add_up(least_docs, top), _KEPT))
     return stored(kept, "kept"), stored(docs.select(plain("lang"), plain("source")).distinct(), "groups")
 
@@ -284,6 +315,7 @@ def skyband(n: np.ndarray, whole: np.ndarray, place: np.ndarray, k: int) -> np.n
     heads = np.flatnonzero(new_cell)
     nth = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order))))
     order = order[nth < k]
+    whole, place = np.unique(whole, return_inverse=True)[1].astype(np.int32), place.astype(np.int32)
     kept = np.zeros(0, dtype=np.int64)
     for at in range(0, len(order), STRIP):
         new = order[at:at + STRIP]
@@ -291,7 +323,7 @@ def skyband(n: np.ndarray, whole: np.ndarray, place: np.ndarray, k: int) -> np.n
         ahead = np.concatenate((kept, new))
         over = (whole[ahead][None, :] <= whole[new][:, None]) & (place[ahead][None, :] < place[new][:, None])
         over[:, len(kept):] &= np.tri(len(new), k=-1, dtype=bool)
-        kept = np.concatenate((kept, new[over.sum(axis=1) < k]))
+        kept = np.concatenate((kept, new[np.count_nonzero(over, axis=1) < k]))
     return kept
 
 

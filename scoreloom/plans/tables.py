@@ -67,6 +67,34 @@ def _(spark, sf_dir):
     return read.select(ROW_ID, GRADE, F.md5(STUDENT).alias(STUDENT), F.md5(REFERENCE).alias(REFERENCE))
 
 
+_NUMBERED = """
+  SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS row_id, o_orderkey::VARCHAR AS question,
+    (2 + o_orderkey % 4)::VARCHAR AS grade FROM orders"""
+
+
+def _keyless(spark, sf_dir):
+    """Orders as graded rows without a key, files in order of the order number."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        key, key.cast("string").alias(QUESTION), F.md5(key.cast("string")).alias(REFERENCE), F.col("o_orderpriority").alias(STUDENT),
+        (F.lit(2) + key % 4).cast("string").alias(GRADE))
+    return rows.repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey").drop("o_orderkey")
+
+
+@query("src_csv_row_numbers", _NUMBERED)
+def _(spark, sf_dir):
+    path = scratch_path(spark, "keyless-csv")
+    delimited.write_delimited(_keyless(spark, sf_dir), path)
+    return delimited.read_delimited(spark, path, multi_line=False).select(ROW_ID, QUESTION, GRADE)
+
+
+@query("src_workbook_row_numbers", _NUMBERED)
+def _(spark, sf_dir):
+    path = scratch_path(spark, "keyless-workbooks")
+    workbook.write_workbooks(_keyless(spark, sf_dir), path)
+    return workbook.read_workbooks(spark, path).select(ROW_ID, QUESTION, GRADE)
+
+
 @query("src_workbook_scan", _FILE_ROWS)
 def _(spark, sf_dir):
     path = scratch_path(spark, "workbooks")

@@ -26,9 +26,13 @@ def run_id() -> Column:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """UTF-8 JSON, one folder per run tag. Undefined numbers are written as null."""
-    report.write.partitionBy("run_id").mode("append").option(
-        "ignoreNullFields", False).json(path)
+    """UTF-8 JSON, one folder per run tag. Undefined numbers are written as null.
+
+    A run that is written again replaces its own documents when the job commits;
+    those of other runs stay.
+    """
+    (report.write.partitionBy("run_id").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("ignoreNullFields", False).json(path))
 
 
 def write_table(df: DataFrame, path: str, by: Sequence[str] = ("split",)) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scoreloom.operators.cleaning import with_row_id
+from scoreloom.operators.numbering import dense_numbers, file_places
 from scoreloom.schema import ROW_ID, SOURCE_HEADERS
 
 # Spark reads one-byte files as ISO-8859-1 only. Any other one-byte code page is
@@ -65,7 +65,8 @@ def read_delimited(spark: SparkSession, path: str, encoding: str = "cp1251", sep
     hold the separator, quotes and line ends, which makes one file the unit of
     parallel work. Where no field holds a line end, ``multi_line=False`` lets
     Spark split large files.
-    ``row_id`` is taken from the input if present and assigned otherwise.
+    ``row_id`` is taken from the input if present. Otherwise rows are numbered
+    from 0 in order of file name and line, for which they are written once.
     """
     utf8 = encoding.lower() in UTF8
     raw = (spark.read.option("header", True).option("sep", sep)
@@ -87,7 +88,7 @@ def read_delimited(spark: SparkSession, path: str, encoding: str = "cp1251", sep
     df = raw.select(*columns)
     if ROW_ID in df.columns:
         return df.withColumn(ROW_ID, F.col(ROW_ID).cast("bigint"))
-    return with_row_id(df)
+    return dense_numbers(raw.select(*columns, *file_places()))
 
 
 def write_delimited(df: DataFrame, path: str, encoding: str = "cp1251", sep: str = ";",

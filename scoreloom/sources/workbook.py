@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from scoreloom.operators.cleaning import with_row_id
+from scoreloom.operators.numbering import FILE, PLACE, dense_numbers
 from scoreloom.schema import ROW_ID, SOURCE_HEADERS
 
 # XML namespaces of the workbook format.
@@ -85,19 +85,23 @@ def sheet_rows(content: bytes) -> Iterator[dict[int, str | None]]:
 
 
 def parse_workbooks(files: DataFrame, headers: Mapping[str, str] = SOURCE_HEADERS,
-                    extra: tuple[str, ...] = ()) -> DataFrame:
+                    extra: tuple[str, ...] = (), placed: bool = False) -> DataFrame:
     """Graded rows from a table with a binary ``content`` column, one workbook per row.
 
     The first sheet row names the columns; columns go by name. Every value is
-    text. A workbook without a required column stops the job.
+    text. A workbook without a required column stops the job. With ``placed``
+    the table also has ``path``, and rows get it and their place in the sheet.
     """
     wanted = {**headers, **{e: e for e in extra}}
     names = list(wanted.values())
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    if placed:
+        names = [*names, FILE, PLACE]
+        schema = schema.add(FILE, T.StringType()).add(PLACE, T.LongType())
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
+            for path, content in zip(batch["path"] if placed else batch["content"], batch["content"]):
                 rows = sheet_rows(content)
                 title = {v.strip(): k for k, v in next(rows, {}).items() if v}
                 missing = [h for h in headers if h not in title]
@@ -105,27 +109,30 @@ def parse_workbooks(files: DataFrame, headers: Mapping[str, str] = SOURCE_HEADER
                     raise ValueError(f"workbook without columns {missing}")
                 places = [title.get(h) for h in wanted]
                 chunk = []
-                for row in rows:
-                    chunk.append([row.get(i) for i in places])
+                for at, row in enumerate(rows):
+                    chunk.append([row.get(i) for i in places] + ([path, at] if placed else []))
                     if len(chunk) == CHUNK:
                         yield pd.DataFrame(chunk, columns=names, dtype="object")
                         chunk = []
                 if chunk:
                     yield pd.DataFrame(chunk, columns=names, dtype="object")
 
-    return files.select("content").mapInPandas(parse, schema)
+    return files.select("content", *(["path"] if placed else [])).mapInPandas(parse, schema)
 
 
 def read_workbooks(spark: SparkSession, path: str, headers: Mapping[str, str] = SOURCE_HEADERS,
                    extra: tuple[str, ...] = ()) -> DataFrame:
     """Scan every .xlsx file of a folder, files in parallel.
 
-    ``row_id`` is taken from the sheet if it is among ``extra``, else assigned.
+    ``row_id`` is taken from the sheet if it is among ``extra``. Otherwise rows
+    are numbered from 0 in order of file name and row, for which they are
+    written once.
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
              .option("recursiveFileLookup", True).load(path))
-    rows = parse_workbooks(files, headers, extra)
-    return rows if ROW_ID in extra else with_row_id(rows)
+    if ROW_ID in extra:
+        return parse_workbooks(files, headers, extra)
+    return dense_numbers(parse_workbooks(files, headers, extra, placed=True), (FILE,))
 
 
 def write_workbooks(df: DataFrame, path: str, headers: Mapping[str, str] = SOURCE_HEADERS,

@@ -11,7 +11,7 @@ PYTHON = {"pair_encode", "anova_length", "bulk_anova_length"}
 # Jobs whose plan is only complete after they have run.
 WRITES = {"fit_binary", "fit_multiclass_weighted", "fit_candidates", "report_json", "report_strategies",
           "report_evaluation", "report_baseline", "src_csv_scan", "src_csv_scan_keep_space", "src_csv_scan_russian",
-          "src_workbook_scan", "vocab_saved", "split_stored"}
+          "src_workbook_scan", "src_csv_row_numbers", "src_workbook_row_numbers", "vocab_saved", "split_stored"}
 
 
 def plan_of(df):

@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from scoreloom.operators import cleaning
+from scoreloom.operators.numbering import dense_numbers
 from scoreloom.schema import FOUR_GRADES, SOURCE_HEADERS
 from scoreloom.sinks import report
 from scoreloom.sources import delimited, workbook
@@ -112,6 +113,48 @@ def test_workbook_folder(spark, tmp_path):
         ("q & <a>", "r", "two\nlines \x07 _x0041_", "2"), ("вопрос", "эталон", "ответ", "5")]
 
 
+def test_rows_are_numbered_alike_however_files_are_packed(spark, tmp_path):
+    """Files of very different sizes, repeated rows, an empty file, small splits."""
+    for name, lines in (("a", 700), ("b", 1), ("c", 0), ("d", 90)):
+        body = "".join(f"{name}{i // 2};r;s;2\n" for i in range(lines))
+        (tmp_path / f"{name}.csv").write_text(";".join(SOURCE_HEADERS) + "\n" + body, encoding="cp1251")
+    expected = [f"{name}{i // 2}" for name, lines in (("a", 700), ("b", 1), ("d", 90)) for i in range(lines)]
+    settings = {"spark.sql.files.maxPartitionBytes": ("128m", "500", "3000"), "spark.sql.files.openCostInBytes": ("4m", "0", "100")}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for i in range(3):
+            for key, values in settings.items():
+                spark.conf.set(key, values[i])
+            df = delimited.read_delimited(spark, str(tmp_path), multi_line=False)
+            assert [(r["row_id"], r["question"]) for r in df.orderBy("row_id").collect()] == list(enumerate(expected))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_workbook_rows_are_numbered_in_order(spark, tmp_path):
+    for name, n in (("a", 2100), ("b", 0), ("c", 3)):
+        (tmp_path / f"{name}.xlsx").write_bytes(workbook.workbook_bytes([[f"{name}{i}", "r", "s", 2] for i in range(n)], list(SOURCE_HEADERS)))
+    got = workbook.read_workbooks(spark, str(tmp_path)).orderBy("row_id").collect()
+    expected = [f"{name}{i}" for name, n in (("a", 2100), ("c", 3)) for i in range(n)]
+    assert [(r["row_id"], r["question"]) for r in got] == list(enumerate(expected))
+
+
+def test_numbering_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "__file string, __split long, __place long, question string")
+    assert dense_numbers(empty).collect() == []
+
+
+def test_a_run_written_again_replaces_its_document(spark, tmp_path):
+    def document(tag, value):
+        return spark.createDataFrame([(tag, value)], "run_id string, value int")
+
+    path = str(tmp_path / "r")
+    for tag, value in (("1", 10), ("2", 20), ("1", 11)):
+        report.write_report(document(tag, value), path)
+    assert sorted(spark.read.schema("value int, run_id string").json(path).collect()) == [(11, "1"), (20, "2")]
+
+
 def test_workbook_without_required_column(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(workbook.workbook_bytes([["q", 2]], ["Вопрос", "Оценка"]))
     with pytest.raises(PySparkException, match="workbook without columns"):

@@ -24,7 +24,8 @@ from scoreloom.llm.runtime import spread
 BLOCK = 4096            # candidates of a block
 QUERY_BLOCK = 1024      # queries of a block
 STEP = 64               # queries accumulated at a time
-NEVER = -(1 << 62)      # key of a slot that is no candidate
+NEVER = -(1 << 63)      # score of a slot that is no candidate
+WIDEST = 1 << 62        # components are smaller
 _PACKED = "n int, dim int, ids binary, weights binary"
 
 
@@ -41,7 +42,10 @@ def _numbers(column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     out = np.zeros((len(lengths), dim), dtype=np.int64)
     keep = np.isfinite(values)
-    out[row[keep], place[keep]] = np.floor(scale * values[keep]).astype(np.int64)
+    whole = np.floor(scale * values[keep])
+    if np.abs(whole).max(initial=0) >= WIDEST:
+        raise ValueError(f"a component times {scale} is {np.abs(whole).max():.3g}, beyond 62 bits")
+    out[row[keep], place[keep]] = whole.astype(np.int64)
     return out, ok
 
 
@@ -88,11 +92,12 @@ def scores_of(queries: np.ndarray, postings: np.ndarray) -> np.ndarray:
     """Inner products of some query rows with a block, term at a time.
 
     ``postings`` holds one row of candidate weights per term; a missing term
-    counts as zero.
+    counts as zero. Sums that might pass 64 bits are formed in whole numbers of
+    any size; a score that does pass them stops the job.
     """
     terms = min(queries.shape[1], postings.shape[0])
     largest = int(np.abs(queries).max(initial=0)) * int(np.abs(postings).max(initial=0)) * max(terms, 1)
-    kind = np.int32 if largest < 1 << 31 else np.int64
+    kind = np.int32 if largest < 1 << 31 else np.int64 if largest < 1 << 63 else object
     queries, postings = queries.astype(kind), postings.astype(kind, copy=False)
     scores = np.zeros((len(queries), postings.shape[1]), dtype=kind)
     for term in range(terms):
@@ -101,18 +106,25 @@ def scores_of(queries: np.ndarray, postings: np.ndarray) -> np.ndarray:
             scores += queries[:, term, None] * postings[term]
         elif len(rows):
             scores[rows] += queries[rows, term, None] * postings[term]
+    if kind is object and scores.size:
+        if max(abs(scores.max()), abs(scores.min())) >= 1 << 63:
+            raise ValueError("an inner product passes 64 bits")
+        return scores.astype(np.int64)
     return scores
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
     """The k best candidates of every row; ``ids`` ascend, so ties go to smaller ids."""
     n = len(ids)
-    key = scores.astype(np.int64) * n + np.arange(n - 1, -1, -1)
-    key[ids[None, :] == own[:, None]] = NEVER
-    take = np.argpartition(-key, k - 1, axis=1)[:, :k] if n > k else np.broadcast_to(np.arange(n), key.shape)
-    rows, cols = np.repeat(np.arange(len(own)), take.shape[1]), take.ravel()
-    keep = key[rows, cols] != NEVER
-    return rows[keep], cols[keep]
+    other = ids[None, :] != own[:, None]
+    ranked = np.where(other, scores.astype(np.int64, copy=False), NEVER)
+    take = other
+    if n > k:
+        last = np.partition(ranked, n - k, axis=1)[:, n - k, None]      # the k-th best score
+        above, level = ranked > last, ranked == last
+        room = k - np.count_nonzero(above, axis=1)[:, None]
+        take = (above | (level & (np.cumsum(level, axis=1) <= room))) & other
+    return np.nonzero(take)
 
 
 def _searcher(k: int):

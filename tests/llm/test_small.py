@@ -6,6 +6,7 @@ import string
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -202,3 +203,26 @@ def test_keys_of_every_length_class():
     for cls in range(secrets.CLASSES):
         if cls % len(secrets.LENGTHS) >= 3:
             assert secrets.discoveries([(cls, 0, False, 1)]).get(cls, -1) >= 0
+
+
+@pytest.mark.parametrize("size", [1 << 10, 1 << 51, 1 << 60])
+def test_best_scores_of_any_size(size):
+    """Large scores on both sides of a power of two, many ties, the own row left out."""
+    rng = np.random.default_rng(7)
+    ids = np.arange(300) * 3
+    scores = size + rng.integers(-6, 6, (40, 300))
+    own = rng.choice(ids, 40)
+    for k in (1, 20, 299, 300, 400):
+        r, c = topk_search.best_of(scores, ids, own, k)
+        for row in range(40):
+            plain = sorted((-int(x), int(i)) for x, i in zip(scores[row], ids) if i != own[row])[:k]
+            assert sorted((-int(scores[row, x]), int(ids[x])) for x in c[r == row]) == plain
+
+
+def test_inner_products_near_64_bits():
+    big = np.array([[1 << 31, 1 << 31], [-(1 << 31), 1 << 31]], dtype=np.int64)
+    assert topk_search.scores_of(big[:1], np.array([[1 << 31], [-(1 << 31) + 5]])).tolist() == [[5 << 31]]
+    with pytest.raises(ValueError, match="64 bits"):
+        topk_search.scores_of(big[:1] * 2, np.array([[1 << 31], [1 << 31]]))
+    with pytest.raises(ValueError, match="62 bits"):
+        topk_search._numbers(pa.array([[1e30]]), 64.0)

@@ -179,6 +179,8 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, scale: float =
     component, take no part. Missing components of shorter vectors count as 0.
     Rows with a query's own id are not its candidates; repeated candidate rows
     count each, a repeated query id is asked once. Further columns are ignored.
+    An empty table gives no rows. Weights beyond 62 bits, and scores beyond 64,
+    stop the job: no whole number of the result could hold them.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull())

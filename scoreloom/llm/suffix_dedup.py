@@ -20,7 +20,9 @@ about one for every 15 bytes.
 Copies of a run inside one map task are settled there, and anchors that meet
 many different surroundings are dealt by window instead of by anchor, so
 neither a passage nor a phrase that a third of all documents share gathers in
-one task. Documents travel once, bucketed by doc_id, for fetching and removal.
+one task. Documents travel once, bucketed by doc_id and text, for fetching and
+removal. Identical rows are one text with a count by then, as far as a map task
+sees them, and rows without doc_id do not travel at all.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scoreloom.functions import hashing
 from scoreloom.llm.runtime import parts_for, text_bytes
@@ -42,6 +44,8 @@ GATHER_BYTES = 16 << 20     # text a map task turns into one row per bucket
 LEVEL_ROWS = 1 << 17        # least rows of a batch that becomes a level
 HOT_LOCAL = 64              # surroundings of an anchor in one gathering beyond which it is dealt by window
 HOT_BUCKET = 4096           # the same, in a bucket
+REPEAT_BYTES = 8 << 20      # identical rows a map task holds before it passes them on
+COPIES = 10_000             # rows that one step of spelling out identical rows makes
 SEED = 42
 COVERED, OPEN, HOT = 0, 1, 2
 _LOW24 = U64((1 << 24) - 1)
@@ -84,12 +88,17 @@ def taken(rows: dict[str, np.ndarray], which: np.ndarray) -> dict[str, np.ndarra
     return {name: values[which] for name, values in rows.items()}
 
 
-def doc_bucket(doc_id: np.ndarray, n: int) -> np.ndarray:
-    """The bucket of a document; the same numbers as ``hashing.mix`` gives in Spark."""
+def bucket_column(doc_id: Column, tag: Column, n: int) -> Column:
+    """The bucket of a text, named by its doc_id and tag."""
+    key = doc_id.bitwiseXOR(tag * F.lit(hashing.MULTIPLIERS[0]).cast("long"))
+    return F.pmod(hashing.mix(key, SEED), F.lit(n)).cast("int")
+
+
+def doc_bucket(doc_id: np.ndarray, tag: np.ndarray, n: int) -> np.ndarray:
+    """The same numbers as ``bucket_column`` gives in Spark."""
     mask = U64(hashing.MASK)
-    x = doc_id.astype(np.int64).view(U64)
-    signed = doc_id.astype(np.int64) >> 32
-    x = (x ^ signed.view(U64) ^ U64(SEED)) & mask
+    key = doc_id.astype(np.int64) ^ tag.astype(np.int64) * np.int64(hashing.MULTIPLIERS[0])
+    x = (key.view(U64) ^ (key >> 32).view(U64) ^ U64(SEED)) & mask
     for multiplier, shift in zip(hashing.MULTIPLIERS, (16, 15)):
         x = ((x ^ (x >> U64(shift))) * U64(multiplier)) & mask
     return ((x ^ (x >> U64(16))) % U64(n)).astype(np.int64)
@@ -192,7 +201,7 @@ def _to_documents(rows: dict[str, np.ndarray], status, buckets: int, parts: int)
     if not len(rows["doc"]):
         return
     status = np.broadcast_to(np.uint8(status), rows["doc"].shape)
-    at = doc_bucket(rows["doc"], buckets)
+    at = doc_bucket(rows["doc"], rows["tag"], buckets)
     order = np.lexsort((rows["start"], rows["tag"], rows["doc"], at))
     at = at[order]
     cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
@@ -245,7 +254,7 @@ def _indexer(length: int, k: int, parts: int, buckets: int):
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, held = [], 0
-        for batch in portions(batches):
+        for batch in portions(_distinct(batches)):
             raw, starts = flat(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             tags = batch.column("tag").to_numpy().astype(np.uint32)
@@ -366,6 +375,71 @@ def _leveller(parts: int, buckets: int):
     return run
 
 
+# --- identical rows ------------------------------------------------------------
+
+_COUNTED = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("tag", pa.int64()), ("n", pa.int64())])
+
+
+def _keys(batch: pa.RecordBatch):
+    ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+    tags = batch.column("tag").to_numpy(zero_copy_only=False).astype(np.int64)
+    return ids, tags, row_key(ids, tags)
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches without rows that repeat an earlier one of the batch."""
+    for batch in batches:
+        ids, _, key = _keys(batch)
+        _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        seen, keep = set(), np.ones(batch.num_rows, dtype=bool)
+        texts = batch.column("text")
+        for i in np.flatnonzero(count[which] > 1):
+            name = int(ids[i]), texts[i].as_py()
+            keep[i] = name not in seen
+            seen.add(name)
+        yield batch if keep.all() else batch.filter(pa.array(keep))
+
+
+def _counter():
+    """Identical rows of a map task as one row with their number."""
+    def passed_on(held):
+        columns = zip(*((doc, text, tag, n) for (doc, text), (tag, n) in held.items()))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTED)], schema=_COUNTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for batch in batches:
+            ids, tags, key = _keys(batch)
+            _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+            again = count[which] > 1
+            if held:
+                again |= np.isin(key, row_key(np.array([d for d, _ in held], np.int64), np.array([t for t, _ in held.values()], np.int64)))
+            texts = batch.column("text")
+            for i in np.flatnonzero(again):
+                name = int(ids[i]), texts[i].as_py()
+                if name not in held:
+                    size += len(name[1] or b"") + 64
+                held[name] = int(tags[i]), held.get(name, (0, 0))[1] + 1
+            rest = pa.array(~again)
+            single = [batch.column(c).filter(rest) for c in ("doc_id", "text", "tag")]
+            yield pa.RecordBatch.from_arrays([*single, pa.array(np.ones(len(single[0]), np.int64))], schema=_COUNTED)
+            if size >= REPEAT_BYTES:
+                yield passed_on(held)
+                held, size = {}, 0
+        if held:
+            yield passed_on(held)
+
+    return run
+
+
+def _spelled_out(rows: DataFrame) -> DataFrame:
+    """Every row as often as its ``n`` says, in steps that bound the arrays."""
+    names = [c for c in rows.columns if c != "n"]
+    steps = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))).alias("__step"))
+    left = F.least(F.col("n") - F.col("__step") * COPIES, F.lit(COPIES)).cast("int")
+    return steps.select(*names, F.explode(F.sequence(F.lit(1), left)).alias("__copy")).select(*names)
+
+
 # --- windows of anchors with several surroundings --------------------------------
 
 def _spans_of(row: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -440,6 +514,35 @@ def _fetcher(length: int, parts: int, buckets: int):
     return run
 
 
+def _later(h: np.ndarray, doc: np.ndarray):
+    """Windows in order of hash and document; the first of each hash; which come from a later document than it."""
+    order = np.lexsort((doc, h))
+    new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+    lead = order[new][np.cumsum(new) - 1]
+    return order, lead, doc[order] > doc[lead]
+
+
+def later_windows(raw: np.ndarray, begin: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Windows whose bytes also stand in a smaller document; hashes propose, bytes decide."""
+    if not len(begin):
+        return np.zeros(0, np.int64)
+    h = window_hashes(raw, begin, length)
+    order, lead, later = _later(h, doc)
+    words, same = _words64(raw), np.ones(len(order), dtype=bool)
+    for o in (*range(0, length - 7, 8), length - 8):
+        same &= words[begin[order] + o] == words[begin[lead] + o]
+    if same.all():
+        return order[later]
+    # Different windows met under one hash: those hashes are told apart by their bytes.
+    mixed = np.isin(h, h[order[~same]])
+    sure = order[later & ~mixed[order]]
+    members = np.flatnonzero(mixed)
+    spelled = np.ascontiguousarray(raw[begin[members][:, None] + np.arange(length)])
+    _, exact = np.unique(spelled.view(f"V{length}").ravel(), return_inverse=True)
+    order, _, later = _later(exact, doc[members])
+    return np.concatenate((sure, members[order[later]]))
+
+
 def _comparer(length: int, buckets: int):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         target, blocks = key[0].as_py(), group.column("block").to_pylist()
@@ -450,13 +553,9 @@ def _comparer(length: int, buckets: int):
         size = n + length - 1
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         begin = np.repeat(np.cumsum(size) - size, n) + step
-        h = window_hashes(rows["raw"], begin, length)
         owner = np.repeat(np.arange(len(n)), n)
         doc = rows["doc"][owner]
-        order = np.lexsort((doc, h))
-        new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-        first = doc[order][new][np.cumsum(new) - 1]
-        again = order[doc[order] > first]
+        again = later_windows(rows["raw"], begin, doc, length)
         texts = row_key(rows["doc"], rows["tag"])
         _, one, which = np.unique(texts, return_index=True, return_inverse=True)
         start = rows["start"][owner[again]].astype(np.int64) + step[again]
@@ -468,7 +567,7 @@ def _comparer(length: int, buckets: int):
 
 def _remover():
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()),
-                        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+                        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("n", pa.int64())])
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, spans: pa.Table) -> pa.Table:
         raw, starts, ids, tags, valid = _texts(docs)
@@ -497,7 +596,8 @@ def _remover():
             pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32)),
             pa.StructArray.from_arrays([pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64))], ["start", "end"]))
         kept = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(kept_raw.tobytes())])
-        return pa.Table.from_arrays([pa.array(ids, mask=~valid), pa.array(np.diff(starts)), lists, kept.cast(pa.binary())], schema=schema)
+        return pa.Table.from_arrays([pa.array(ids, mask=~valid), pa.array(np.diff(starts)), lists, kept.cast(pa.binary()),
+                                     docs.column("n").combine_chunks()], schema=schema)
 
     return run
 
@@ -509,10 +609,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     document with a smaller doc_id; strings are judged on the input.
 
     NULL text counts as empty. A row without doc_id has no order: it removes
-    nothing and loses nothing. Rows with the same doc_id do not remove from
-    each other, repeated rows get the same result. Texts shorter than
-    ``length`` are kept whole, an empty table gives no rows, further columns
-    are ignored.
+    nothing, loses nothing and passes by all shuffles. Rows with the same
+    doc_id do not remove from each other, repeated rows get the same result;
+    they travel as one text and a count, so any share of the rows may have one
+    id. Texts shorter than ``length`` are kept whole, an empty table gives no
+    rows, further columns are ignored.
     """
     if not 8 <= gram <= length:
         raise ValueError("the sampled k-gram must have 8 to `length` bytes")
@@ -520,12 +621,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     parts = buckets = parts_for(size, bucket_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
                        F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"))
-    placed = rows.withColumn("target", (-1 - F.pmod(hashing.mix(F.col("doc_id"), SEED), F.lit(buckets))).cast("int"))
+    named = rows.where("doc_id IS NOT NULL")
+    counted = named.mapInArrow(_counter(), "doc_id long, text binary, tag long, n long")
+    placed = counted.withColumn("target", -1 - bucket_column(F.col("doc_id"), F.col("tag"), buckets))
     fields = "target int, block binary"
-    entries = rows.where("doc_id IS NOT NULL").mapInArrow(_indexer(length, gram, parts, buckets), fields)
+    entries = named.mapInArrow(_indexer(length, gram, parts, buckets), fields)
     settled = entries.groupBy("target").applyInArrow(_leveller(parts, buckets), fields)
     by_document = placed.groupBy("target")
     opened = by_document.cogroup(settled.groupBy("target")).applyInArrow(_fetcher(length, parts, buckets), fields)
     spans = opened.groupBy("target").applyInArrow(_comparer(length, buckets), fields)
-    return by_document.cogroup(spans.groupBy("target")).applyInArrow(
-        _remover(), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    span = "array<struct<start: long, end: long>>"
+    kept = by_document.cogroup(spans.groupBy("target")).applyInArrow(
+        _remover(), f"doc_id long, n_bytes long, spans {span}, kept binary, n long")
+    whole = F.coalesce(F.col("text"), F.lit(b""))
+    unnamed = rows.where("doc_id IS NULL").select(
+        "doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), F.array().cast(span).alias("spans"), whole.alias("kept"))
+    return _spelled_out(kept).unionAll(unnamed)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scoreloom.functions.bins import Bins, LENGTH_BINS, RATIO_BINS
-from scoreloom.functions.fdist import f_tail_column
+from scoreloom.functions.fdist import f_tail
 from scoreloom.functions.stats import pearson
 from scoreloom.operators.quantiles import exact_quantiles
 from scoreloom.schema import GRADE, REFERENCE, STUDENT
@@ -146,7 +146,7 @@ def anova_from_groups(groups: DataFrame, alpha: float = 0.05) -> DataFrame:
     mean_between = F.try_divide(F.col("ss_between"), F.col("df_between").cast("double"))
     mean_within = F.try_divide(F.col("ss_within"), F.col("df_within").cast("double"))
     return (result.withColumn("f", F.try_divide(mean_between, mean_within))
-            .withColumn("p", f_tail_column(F.col("f"), F.col("df_between").cast("double"),
+            .withColumn("p", f_tail(F.col("f"), F.col("df_between").cast("double"),
                                            F.col("df_within").cast("double")))
             .withColumn("significant", F.col("p") < alpha))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scoreloom.functions.bins import Bins, LENGTH_BINS, RATIO_BINS
-from scoreloom.functions.fdist import f_tail_column
+from scoreloom.functions.fdist import f_tail
 from scoreloom.functions.stats import pearson
 from scoreloom.operators import metrics, progress, strategies
 from scoreloom.operators.labels import ClassIndex, REMAPPINGS
@@ -168,7 +168,7 @@ def length_report(df: DataFrame, grades: Sequence[str], tag: Column | None = Non
     tested = spread.withColumns({
         "_d1": (F.size("_g") - 1).cast("double"), "_d2": F.col("_n") - F.size("_g")}).withColumn(
         "anova_f", F.try_divide(F.try_divide(between, F.col("_d1")), F.try_divide(within, F.col("_d2"))))
-    return tested.withColumn("anova_p", f_tail_column("anova_f", "_d1", "_d2")).select(
+    return tested.withColumn("anova_p", f_tail(F.col("anova_f"), F.col("_d1"), F.col("_d2"))).select(
         (tag if tag is not None else run_id()).alias("run_id"), "accuracy_by_length",
         "accuracy_by_relation", "correlation_length_grade", "correlation_relation_grade",
         "anova_f", "anova_p", "grade_statistics")

@@ -83,19 +83,49 @@ def test_anova_from_group_statistics(spark):
     row = lengths.anova_from_groups(groups).first()
     assert row["f"] == pytest.approx(122.33313856485398, rel=1e-10)
     assert (row["df_between"], row["df_within"]) == (3, 652)
-    assert row["p"] == pytest.approx(7.396002211239849e-63, rel=1e-6)
+    assert row["p"] == pytest.approx(7.396002211239849e-63, rel=1e-12)
     assert row["significant"]
 
 
-@pytest.mark.parametrize("f, d1, d2, p", [
-    (0.0, 3, 10, 1.0), (1.0, 1, 1, 0.5), (4.0, 2, 2, 0.2), (1.0, 7, 7, 0.5), (2.0, 2, 10, 0.185934432),
-])
-def test_f_tail(f, d1, d2, p):
-    assert f_tail(f, d1, d2) == pytest.approx(p, abs=1e-9)
+def tails(spark, cases):
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, f double, d1 double, d2 double")
+    return [r["p"] for r in df.select("i", f_tail(F.col("f"), F.col("d1"), F.col("d2")).alias("p")).orderBy("i").collect()]
 
 
-def test_f_tail_without_groups():
-    assert math.isnan(f_tail(float("nan"), 0, 5))
+def test_f_tail(spark):
+    known = [(0.0, 3, 10, 1.0), (1.0, 1, 1, 0.5), (4.0, 2, 2, 0.2), (1.0, 7, 7, 0.5), (2.0, 2, 10, 0.1859344320818717)]
+    # Closed forms: two degrees on either side, one on both.
+    for f in (1e-6, 0.03, 0.7, 1.0, 1.3, 9.0, 250.0):
+        for d in (1.0, 2.0, 5.0, 40.0, 999.0, 1e6, 1e12):
+            known.append((f, 2.0, d, math.exp(-d / 2 * math.log1p(2 * f / d))))
+            known.append((f, d, 2.0, -math.expm1(-d / 2 * math.log1p(2 / (d * f)))))
+        known.append((f, 1.0, 1.0, 2 / math.pi * math.atan(1 / math.sqrt(f))))
+        # Very many rows: three degrees of a chi-squared distribution.
+        y = 3 * f
+        known.append((f, 3.0, 1e18, math.erfc(math.sqrt(y / 2)) + math.sqrt(2 * y / math.pi) * math.exp(-y / 2)))
+    got = tails(spark, [tuple(map(float, k[:3])) for k in known])
+    for k, p in zip(known, got):
+        assert p == pytest.approx(k[3], rel=1e-10, abs=1e-300), k
+
+
+def test_f_tail_of_a_ratio_and_its_inverse(spark):
+    cases = [(f, d1, d2) for f in (0.2, 0.9, 1.0, 1.1, 4.0) for d1 in (1.0, 3.0, 8.0, 1e5) for d2 in (1.0, 6.0, 77.0, 1e6)]
+    there, back = tails(spark, cases), tails(spark, [(1 / f, d2, d1) for f, d1, d2 in cases])
+    for case, p, q in zip(cases, there, back):
+        assert p + q == pytest.approx(1, abs=1e-9), case
+
+
+def test_f_tail_without_groups(spark):
+    nan, inf = float("nan"), float("inf")
+    assert tails(spark, [(nan, 3.0, 5.0), (None, 3.0, 5.0), (1.0, 0.0, 5.0), (1.0, 3.0, -1.0), (1.0, None, 5.0), (inf, 3.0, 5.0), (-1.0, 3.0, 5.0)]) == [
+        None, None, None, None, None, 0.0, 1.0]
+
+
+def test_anova_stays_in_the_jvm(spark):
+    groups = spark.createDataFrame(GROUPS, "n long, mean double, std double").withColumn("variance", F.col("std") * F.col("std"))
+    plan = lengths.anova_from_groups(groups)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
 
 
 def test_version_progress(spark):

@@ -34,11 +34,15 @@ def strategy_metrics(cells: DataFrame, remappings: Sequence[Remapping] = REMAPPI
                      grades: Sequence[str] = ()) -> DataFrame:
     """Per strategy: accuracy, both F1s, the matrix and both label histograms.
 
-    ``grades`` asks for the number of rows per original grade as well.
+    ``grades`` asks for the number of rows per original grade as well, and of
+    those with another grade or none.
     """
+    none = F.lit(0).cast("bigint")
+    other = ~F.coalesce(F.col("grade").isin(*grades), F.lit(False))
     counts = metrics.cell_counts(2) | {
-        f"grade_{g}": F.when(F.col("grade") == g, F.col("n")).otherwise(F.lit(0).cast("bigint"))
-        for g in grades}
+        f"grade_{g}": F.when(F.col("grade") == g, F.col("n")).otherwise(none) for g in grades}
+    if grades:
+        counts["grade_other"] = F.when(other, F.col("n")).otherwise(none)
     fanned = strategy_cells(cells, remappings).withColumns(counts)
     scores = metrics.metrics_summary(fanned, (*KEYS, "description"), {c: F.sum for c in counts})
 

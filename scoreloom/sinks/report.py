@@ -64,7 +64,11 @@ def evaluation_report(df: DataFrame, index: ClassIndex, tag: Column | None = Non
 
 def strategy_report(grade_cells: DataFrame, tag: Column | None = None, remappings=REMAPPINGS,
                     grades: Sequence[str] = FOUR_GRADES) -> DataFrame:
-    """One document: grade counts, every strategy's numbers, and the best strategy."""
+    """One document: grade counts, every strategy's numbers, and the best strategy.
+
+    The grade counts add up to all rows: those with a grade that is not listed,
+    or none, are counted as ``other`` where there are any.
+    """
     scores = strategies.strategy_metrics(grade_cells, remappings, grades)
     document = F.struct(
         "description", "accuracy", "f1_macro", "f1_weighted",
@@ -72,7 +76,9 @@ def strategy_report(grade_cells: DataFrame, tag: Column | None = None, remapping
         F.array("true_0", "true_1").alias("true_distribution"),
         F.array("pred_0", "pred_1").alias("pred_distribution"))
     # Every strategy sees all rows, so any of them knows the grade counts.
-    distribution = F.create_map(*[x for g in grades for x in (F.lit(g), F.max(f"grade_{g}"))])
+    listed = F.create_map(*[x for g in grades for x in (F.lit(g), F.max(f"grade_{g}"))])
+    other = F.max("grade_other")
+    distribution = F.when(other > 0, F.map_concat(listed, F.create_map(F.lit("other"), other))).otherwise(listed)
     return scores.groupBy().agg(
         distribution.alias("original_distribution"),
         F.map_from_entries(F.sort_array(F.collect_list(

@@ -12,6 +12,7 @@ from scoreloom.functions.probability import argmax, confidence, negative_log_lik
 from scoreloom.operators import cleaning, encoding, labels, ledger, lengths, losses, metrics, model, prompts, selection
 from scoreloom.operators.weights import class_weights
 from scoreloom.schema import GRADED_SCHEMA
+from scoreloom.sinks import report
 
 
 def one(spark, **columns):
@@ -293,3 +294,14 @@ def test_the_best_candidate_is_returned_and_learns(spark):
     assert candidates.count() == 2 and reg == 0.01
     scored = model.predict(chosen, df.where("row_id >= 65"))
     assert scored.where("p = label").count() == scored.count() == 15
+
+
+def test_strategy_report_counts_every_grade(spark):
+    listed = [("2", 0, 4), ("2", 1, 1), ("3", 0, 2), ("4", 1, 5), ("5", 1, 6)]
+
+    def distribution(rows):
+        cells = spark.createDataFrame(rows, "grade string, p int, n long")
+        return report.strategy_report(cells, F.lit("run")).first()["original_distribution"]
+
+    assert distribution(listed) == {"2": 5, "3": 2, "4": 5, "5": 6}
+    assert distribution([*listed, ("1", 0, 7), (None, 1, 2)]) == {"2": 5, "3": 2, "4": 5, "5": 6, "other": 9}

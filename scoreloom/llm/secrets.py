@@ -11,8 +11,8 @@ serial correlation of neighbours. Fisher's method joins the three.
 How random ordinary text looks depends on length and spelling (one case, two
 cases, signs), which make the classes. Ordinary words that follow each other,
 run together to every length, are the null distribution from which a
-candidate's p-value is read: one string per document and length, so that it
-grows with the candidates, and in a class with fewer than ``DRAWS`` of them as
+candidate's p-value is read: all such words of every whole document, so that it
+grows with the candidates, and in a class with fewer than ``DRAWS`` strings as
 many more from a fixed list of words, so that the null is usable in a corpus of
 any size and with words of any length. Benjamini-Hochberg at ``RATE`` per class
 then bounds the share of false discoveries. Both distributions are histograms
@@ -21,7 +21,9 @@ of fixed size.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -45,6 +47,7 @@ LENGTHS = (20, 24, 32, 48, 64, 128)         # lower ends of the length classes
 BINS = 64
 RATE = 0.01
 DRAWS = 5_000               # least strings of ordinary words a class is held against
+GATHERED = 2_048            # ordinary strings tested at a time
 SPELLINGS = 3               # one case, two cases, signs
 WORD_LETTERS = (2, 19)      # letters of an ordinary word
 ORDINARY = """time year people way day man thing woman life child world school state family student group country problem hand part
@@ -120,6 +123,46 @@ def randomness(text: bytes) -> float:
     return max(math.exp(-joint) * (1 + joint + joint * joint / 2), 1e-300) if joint < 600 else 1e-300
 
 
+_ORDERS = np.stack([*(order for _, _, order in ENCODINGS), _BASE64])
+_SIZES = np.array([*(size for _, size, _ in ENCODINGS), 64])
+# Per byte, a bit for every encoding that holds it; base 64 takes the rest.
+_HOLDS = ((_ORDERS >= 0) << np.arange(len(_ORDERS))[:, None]).sum(axis=0)
+_HOLDS |= 1 << len(ENCODINGS)
+
+
+def _tails(z: np.ndarray) -> np.ndarray:
+    return np.array([_tail(x) for x in z.tolist()])
+
+
+def randomness_of(texts: list[bytes]) -> np.ndarray:
+    """``randomness`` of many strings of eight or more characters, all of them of base 64, at once."""
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    n = np.array([len(t) for t in texts])
+    start = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(n)), n)
+    held = np.bitwise_and.reduceat(_HOLDS[raw], start)
+    coded = np.log2(held & -held).astype(np.int64)
+    size = _SIZES[coded]
+    values = _ORDERS[coded[owner], raw]
+    counts = np.bincount(owner * 64 + values, minlength=64 * len(n)).reshape(len(n), 64).astype(float)
+    chi = (counts ** 2).sum(axis=1) * size / n - n
+    even = _tails((chi - (size - 1)) / np.sqrt(2 * (size - 1) * (n - 1) / n))
+    high = values >= size[owner] / 2
+    ones = np.add.reduceat(high, start, dtype=np.int64)
+    zeros = n - ones
+    inner = owner[1:] == owner[:-1]
+    runs = 1 + np.bincount(owner[1:][inner & (high[1:] != high[:-1])], minlength=len(n))
+    mean = 1 + 2 * ones * zeros / n
+    spread = np.sqrt(np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+    steady = np.where((ones > 0) & (zeros > 0), np.minimum(1.0, 2 * _tails(np.abs(runs - mean) / spread)), 0.5 ** (n - 1))
+    centred = values - (np.add.reduceat(values, start) / n)[owner]
+    power = np.add.reduceat(centred * centred, start)
+    moved = np.bincount(owner[1:][inner], weights=(centred[1:] * centred[:-1])[inner], minlength=len(n))
+    serial = np.where(power > 0, np.minimum(1.0, 2 * _tails(np.abs(moved) / np.where(power > 0, power, 1) * np.sqrt(n))), 1e-300)
+    joint = -sum(np.log(np.maximum(x, 1e-300)) for x in (even, steady, serial))
+    return np.where(joint < 600, np.maximum(np.exp(-np.minimum(joint, 600)) * (1 + joint + joint * joint / 2), 1e-300), 1e-300)
+
+
 def result_bin(p: float) -> int:
     """0 for the most random results, rising as the p-value falls."""
     return min(BINS - 1, int(-4 * math.log10(p)))
@@ -153,20 +196,30 @@ def _upper(length: int) -> int:
     return LENGTHS[length + 1] if length + 1 < len(LENGTHS) else 2 * LENGTHS[length]
 
 
-def _ordinary(words: list[bytes], seed: int) -> list[int]:
-    """Class and bin of a string of every length that the words, in order, suffice for."""
-    out, at = [], 0
-    for i, low in enumerate(LENGTHS):
-        length = low + (seed * 7919 + i) % (_upper(i) - low)
-        to = size = 0
-        while size < length and at + to < len(words):
-            size += len(words[at + to])
-            to += 1
-        if size < length:
-            break
-        text = _run_together(words[at:at + to], length, (seed + i) % SPELLINGS, seed // SPELLINGS % 2 > 0)
-        out.append(_class(text) * BINS + result_bin(randomness(text)))
-        at += to
+def _ordinary(data: bytes, begin: np.ndarray, end: np.ndarray) -> Iterator[bytes]:
+    """Strings of every length in turn, until the words data[begin:end], in order, suffice for none."""
+    seed, ends = len(begin), np.cumsum(np.concatenate(([0], end - begin))).tolist()
+    at = turn = 0
+    while True:
+        lap, i = divmod(turn, len(LENGTHS))
+        length = LENGTHS[i] + (seed * 7919 + turn) % (_upper(i) - LENGTHS[i])
+        while ends[at] + length > ends[-1] and i:
+            # The rest of the words goes to a shorter string.
+            i -= 1
+            length = LENGTHS[i] + (seed * 7919 + turn) % (_upper(i) - LENGTHS[i])
+        if ends[at] + length > ends[-1]:
+            return
+        to = bisect.bisect_left(ends, ends[at] + length, at)
+        words = [data[a:b] for a, b in zip(begin[at:to].tolist(), end[at:to].tolist())]
+        yield _run_together(words, length, (seed + turn + lap) % SPELLINGS, (seed // SPELLINGS + lap) % 2 > 0)
+        at, turn = to, turn + 1
+
+
+def _binned(texts: Iterator[bytes]) -> list[int]:
+    """Class and bin of every string, some strings at a time."""
+    out = []
+    while some := list(itertools.islice(texts, GATHERED)):
+        out += [_class(t) * BINS + result_bin(p) for t, p in zip(some, randomness_of(some).tolist())]
     return out
 
 
@@ -228,15 +281,21 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         usual = (end - begin >= WORD_LETTERS[0]) & (end - begin <= WORD_LETTERS[1]) & (letters[end] - letters[begin] == end - begin)
         begin, end, text = begin[usual], end[usual], text[usual]
         first = np.searchsorted(text, np.arange(batch.num_rows + 1))
-        ordinary = []
-        for x, y in zip(first[:-1].tolist(), first[1:].tolist()):
-            z = min(y, x + sum(LENGTHS))
-            ordinary.append(_ordinary([data[a:b] for a, b in zip(begin[x:z].tolist(), end[x:z].tolist())], y - x))
+        made = [0]
+
+        def strings():
+            for x, y in zip(first[:-1].tolist(), first[1:].tolist()):
+                m = 0
+                for m, one in enumerate(_ordinary(data, begin[x:y], end[x:y]), 1):
+                    yield one
+                made.append(made[-1] + m)
+
+        ordinary = pa.array(_binned(strings()), pa.int32())
         for spans in base:
             spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), pa.array([[dict(zip(("kind", "start", "end"), s)) for s in spans] for spans in base], pa.list_(_SPAN)),
-            pa.array(found, pa.list_(_CANDIDATE)), pa.array(ordinary, pa.list_(pa.int32()))], schema=_SCHEMA)
+            pa.array(found, pa.list_(_CANDIDATE)), pa.ListArray.from_arrays(pa.array(made, pa.int32()), ordinary)], schema=_SCHEMA)
 
 
 def discoveries(counts: list[tuple[int, int, bool, int]], rate: float = RATE) -> dict[int, int]:

@@ -1,5 +1,6 @@
 """Token counts, URL filter, top-k search, mixing, secrets."""
 
+import itertools
 import math
 import random
 import string
@@ -205,6 +206,27 @@ def test_keys_of_every_length_class():
             assert secrets.discoveries([(cls, 0, False, 1)]).get(cls, -1) >= 0
 
 
+@pytest.mark.parametrize("n", [0, 3, 50, 400, 20_000])
+def test_ordinary_words_of_whole_texts(n):
+    """The null distribution takes all words of a text but a rest shorter than the shortest string."""
+    rng = random.Random(n)
+    texts = [" ".join(rng.choice(secrets.ORDINARY) for _ in range(n)), None, "time year " * (n // 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], names=["doc_id", "text"])
+    found, = secrets._scan([batch])
+    for text, ordinary in zip(texts, found.column("ordinary").to_pylist()):
+        letters = len((text or "").replace(" ", ""))
+        classes = [o // secrets.BINS % len(secrets.LENGTHS) for o in ordinary]
+        upper = sum(secrets._upper(c) + secrets.WORD_LETTERS[1] for c in classes)
+        assert upper >= letters - secrets._upper(0) and sum(secrets.LENGTHS[c] for c in classes) <= letters
+
+
+def test_randomness_of_many_strings():
+    rng = random.Random(5)
+    texts = [b"".join(rng.choices([bytes([c]) for c in alphabet], k=rng.randrange(20, 300)))
+             for _, alphabet in itertools.product(range(40), (b"0", b"az", b"0123456789abcdef", b"AZ27", b"theoANDer", b"aZ0+/", b"word_Path-/"))]
+    assert [secrets.result_bin(p) for p in secrets.randomness_of(texts).tolist()] == [secrets.result_bin(secrets.randomness(t)) for t in texts]
+
+
 @pytest.mark.parametrize("size", [1 << 10, 1 << 51, 1 << 60])
 def test_best_scores_of_any_size(size):
     """Large scores on both sides of a power of two, many ties, the own row left out."""

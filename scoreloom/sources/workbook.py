@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator, Mapping
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -23,8 +23,9 @@ _PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 # Characters XML cannot hold are written as _xHHHH_ in workbooks.
 _ESCAPED = re.compile(r"_x([0-9A-Fa-f]{4})_")
 _UNWRITABLE = re.compile("[\x00-\x08\x0b-\x1f\ud800-\udfff\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
-# Rows handed to Spark at a time.
-CHUNK = 2_000
+# Rows handed to Spark at a time, and rows of a workbook that is written.
+CHUNK = 500
+BOOK = 1_000
 
 
 def _text_of(node) -> str:
@@ -75,13 +76,19 @@ def sheet_rows(content: bytes) -> Iterator[dict[int, str | None]]:
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         strings = _shared_strings(book)
         with book.open(_first_sheet(book)) as part:
-            for _, node in ElementTree.iterparse(part):
-                if node.tag != f"{_MAIN}row":
+            sheet = None
+            for event, node in ElementTree.iterparse(part, ("start", "end")):
+                if node.tag == f"{_MAIN}sheetData":
+                    sheet = node if event == "start" else None
+                if event == "start" or node.tag != f"{_MAIN}row":
                     continue
                 cells = list(node.iter(f"{_MAIN}c"))
                 yield {(_column_number(c.get("r")) if c.get("r") else i): _cell_value(c, strings)
                        for i, c in enumerate(cells)}
                 node.clear()
+                # The sheet lets go of rows that are done.
+                if sheet is not None:
+                    sheet.clear()
 
 
 def parse_workbooks(files: DataFrame, headers: Mapping[str, str] = SOURCE_HEADERS,
@@ -99,10 +106,16 @@ def parse_workbooks(files: DataFrame, headers: Mapping[str, str] = SOURCE_HEADER
         names = [*names, FILE, PLACE]
         schema = schema.add(FILE, T.StringType()).add(PLACE, T.LongType())
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table(chunk: list[list]) -> pa.RecordBatch:
+        columns = list(zip(*chunk))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == PLACE else pa.string()) for n, c in zip(names, columns)], names=names)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"] if placed else batch["content"], batch["content"]):
-                rows = sheet_rows(content)
+            for k in range(batch.num_rows):
+                # One workbook at a time leaves the batch.
+                path = batch.column("path")[k].as_py() if placed else None
+                rows = sheet_rows(batch.column("content")[k].as_py())
                 title = {v.strip(): k for k, v in next(rows, {}).items() if v}
                 missing = [h for h in headers if h not in title]
                 if missing:
@@ -112,12 +125,12 @@ def parse_workbooks(files: DataFrame, headers: Mapping[str, str] = SOURCE_HEADER
                 for at, row in enumerate(rows):
                     chunk.append([row.get(i) for i in places] + ([path, at] if placed else []))
                     if len(chunk) == CHUNK:
-                        yield pd.DataFrame(chunk, columns=names, dtype="object")
+                        yield table(chunk)
                         chunk = []
                 if chunk:
-                    yield pd.DataFrame(chunk, columns=names, dtype="object")
+                    yield table(chunk)
 
-    return files.select("content", *(["path"] if placed else [])).mapInPandas(parse, schema)
+    return files.select("content", *(["path"] if placed else [])).mapInArrow(parse, schema)
 
 
 def read_workbooks(spark: SparkSession, path: str, headers: Mapping[str, str] = SOURCE_HEADERS,
@@ -139,20 +152,22 @@ def write_workbooks(df: DataFrame, path: str, headers: Mapping[str, str] = SOURC
                     extra: tuple[str, ...] = ()) -> int:
     """Write graded rows as .xlsx files below ``path``, which all executors share.
 
-    The tasks write the files themselves, named by partition and batch, so a
-    repeated task writes the same files again. Returns the number of files.
+    The tasks write the files themselves, each when it is full, named by
+    partition and number. A file has ``BOOK`` rows, so a repeated task writes
+    the same files again. Returns the number of files.
     """
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns, title = _outward(headers, extra)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = fs.FileSystem.from_uri(path)
         files.create_dir(folder, recursive=True)
-        part = TaskContext.get().partitionId()
-        for i, batch in enumerate(batches):
-            for j, content in enumerate(batch["content"]):
-                with files.open_output_stream(f"{folder}/part-{part:05d}-{i:05d}-{j:05d}.xlsx") as out:
-                    out.write(content)
-            yield pd.DataFrame({"files": [len(batch)]})
+        part, n = TaskContext.get().partitionId(), 0
+        for n, content in enumerate(_books(batches, columns, title), 1):
+            with files.open_output_stream(f"{folder}/part-{part:05d}-{n - 1:08d}.xlsx") as out:
+                out.write(content)
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
 
-    return to_workbooks(df, headers, extra).mapInPandas(place, "files long").agg(F.sum("files")).first()[0] or 0
+    return df.select(*columns).mapInArrow(place, "files long").agg(F.sum("files")).first()[0] or 0
 
 
 def workbook_bytes(rows: list[list], header: list[str]) -> bytes:
@@ -191,15 +206,34 @@ def workbook_bytes(rows: list[list], header: list[str]) -> bytes:
     return out.getvalue()
 
 
-def to_workbooks(df: DataFrame, headers: Mapping[str, str] = SOURCE_HEADERS,
-                 extra: tuple[str, ...] = ()) -> DataFrame:
-    """(content) rows: one workbook per batch of graded rows, built in the tasks."""
+def _outward(headers: Mapping[str, str], extra: tuple[str, ...]) -> tuple[list[str], list[str]]:
     outward = {v: k for k, v in headers.items()}
     columns = [*outward, *extra]
-    title = [outward.get(c, c) for c in columns]
+    return columns, [outward.get(c, c) for c in columns]
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"content": [workbook_bytes(batch[columns].values.tolist(), title)]})
 
-    return df.select(*columns).mapInPandas(build, "content binary")
+def _books(batches: Iterator[pa.RecordBatch], columns: list[str], title: list[str]) -> Iterator[bytes]:
+    """Workbooks of ``BOOK`` rows, however the rows are batched; one is held at a time."""
+    held = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK):
+            some = batch.slice(at, CHUNK)
+            for row in zip(*(some.column(c).to_pylist() for c in columns)):
+                held.append(row)
+                if len(held) == BOOK:
+                    yield workbook_bytes(held, title)
+                    held = []
+    if held:
+        yield workbook_bytes(held, title)
+
+
+def to_workbooks(df: DataFrame, headers: Mapping[str, str] = SOURCE_HEADERS,
+                 extra: tuple[str, ...] = ()) -> DataFrame:
+    """(content) rows: one workbook per ``BOOK`` graded rows, built in the tasks."""
+    columns, title = _outward(headers, extra)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for content in _books(batches, columns, title):
+            yield pa.RecordBatch.from_pydict({"content": pa.array([content], pa.binary())})
+
+    return df.select(*columns).mapInArrow(build, "content binary")

@@ -161,6 +161,31 @@ def test_workbook_without_required_column(spark, tmp_path):
         workbook.read_workbooks(spark, str(tmp_path)).collect()
 
 
+def test_workbooks_are_written_in_bounded_files(spark, tmp_path):
+    wide = spark.range(2500, numPartitions=1).selectExpr(
+        "id AS row_id", "CASE WHEN id % 7 > 0 THEN 'вопрос ' || id END AS question", "'r' AS reference_answer", "'s' AS student_answer", "'2' AS grade")
+    books = [r["content"] for r in workbook.to_workbooks(wide, extra=("row_id",)).collect()]
+    assert [len(list(workbook.sheet_rows(b))) - 1 for b in books] == [1000, 1000, 500]
+    path = (tmp_path / "books").as_uri()
+    assert workbook.write_workbooks(wide, path, extra=("row_id",)) == 3
+    back = workbook.read_workbooks(spark, path, extra=("row_id",)).select("row_id", "question", "grade").collect()
+    assert sorted((int(i), q, g) for i, q, g in back) == [(i, f"вопрос {i}" if i % 7 else None, "2") for i in range(2500)]
+
+
+def test_rows_of_a_sheet_are_let_go():
+    import tracemalloc
+
+    def peak(n):
+        book = workbook.workbook_bytes([["q", "r", "s", 2]] * n, list(SOURCE_HEADERS))
+        tracemalloc.start()
+        assert sum(1 for _ in workbook.sheet_rows(book)) == n + 1
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(20_000) < 1.5 * peak(2_000)
+
+
 def test_long_workbook_is_read_in_chunks(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(workbook.workbook_bytes(
         [[f"q{i}", "r", "s", 2] for i in range(5001)], list(SOURCE_HEADERS)))

@@ -4,10 +4,10 @@ Documents are sets of word shingles. Two link when the overlap is at least 0.8
 of the union, hence at least 0.8 of the larger set; so two linked sets share an
 n-gram among the rarest fifth of each. Only these columns of the incidence
 matrix are multiplied: they are dealt to blocks by n-gram, and inside a block
-every column yields the pairs of its documents. Pairs are discarded by bounds
-that follow from the sizes alone: the ratio of sizes, then an upper bound of
-the overlap from bit maps of the sets. For the few left, overlaps are counted
-exactly.
+every column yields the pairs of its documents. Pairs are discarded by bounds:
+the ratio of sizes, the number of columns that a linked pair of these sizes
+shares at least, then an upper bound of the overlap from bit maps of the sets.
+For the few left, overlaps are counted exactly.
 
 Equal sets are one row throughout. The order "rarest first" needs frequent
 n-grams only (any order gives the same links): each map task reports n-grams
@@ -42,6 +42,7 @@ LONG = 128                  # documents of a column that are multiplied out
 HOT_LOCAL = 64              # documents of a column in one gathering beyond which it is salted
 SALTS = 32
 BLOCK = 2048                # documents of a long column multiplied at a time
+SHARED = 8                  # columns that a pair is asked to share, if its sizes demand as many
 DENSE = 32                  # sets of a block that share an n-gram beyond which it is counted by matrix
 FILTER_WORDS = 1 << 18      # most 64-bit words of the broadcast filter
 
@@ -186,13 +187,14 @@ def _dealer(parts: int):
                 r = taken(rows, order[a:b])
                 new = np.concatenate(([True], r["node"][1:] != r["node"][:-1]))
                 yield int(part[a]), pack(nodes=r["node"][new], n=r["n"][new], many=np.diff(np.concatenate((np.flatnonzero(new), [len(new)]))).astype(np.uint32),
-                                         gram=r["gram"], salted=r["salted"])
+                                         gram=r["gram"], at=r["at"], salted=r["salted"])
 
         for batch in batches:
             k = np.asarray(pa.compute.binary_length(batch.column("prefix"))).astype(np.int64) // 8
             gram = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), dtype="<u8")
             held.append({"gram": gram.copy(), "node": np.repeat(batch.column("node").to_numpy(), k),
-                         "n": np.repeat(batch.column("n").to_numpy(), k).astype(np.uint32)})
+                         "n": np.repeat(batch.column("n").to_numpy(), k).astype(np.uint32),
+                         "at": (np.arange(len(gram)) - np.repeat(np.cumsum(k) - k, k)).astype(np.uint32)})
             size += len(gram)
             if size >= 1 << 20:
                 yield _table(flush())
@@ -207,28 +209,29 @@ def _columns(blocks: list[bytes]) -> dict[str, np.ndarray]:
     out = []
     for block in blocks:
         b = unpack(block)
-        out.append({"gram": b["gram"], "node": np.repeat(b["nodes"], b["many"]), "n": np.repeat(b["n"], b["many"]), "salted": b["salted"]})
+        out.append({"gram": b["gram"], "node": np.repeat(b["nodes"], b["many"]), "n": np.repeat(b["n"], b["many"]), "at": b["at"], "salted": b["salted"]})
     return joined(out)
 
 
-_PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
+_PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("times", pa.int64())])
 PAIR, MEMBER = 0, 1
-_PAIR_FIELDS = "kind int, a long, b long, na long, nb long"
+_PAIR_FIELDS = "kind int, a long, b long, na long, nb long, times long"
 
 
-def _pairs(kind, a, b, na, nb) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(na.astype(np.int64)), pa.array(nb.astype(np.int64))], schema=_PAIRS)
+def _pairs(kind, a, b, na, nb, times=None) -> pa.Table:
+    times = np.ones(len(a), np.int64) if times is None else times.astype(np.int64)
+    return pa.Table.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(na.astype(np.int64)), pa.array(nb.astype(np.int64)), pa.array(times)], schema=_PAIRS)
 
 
 def _multiplier(share):
-    """Pairs of the columns of one block, and the members of long columns."""
+    """Pairs of the columns of one block and how many they share, and the members of long columns."""
     def product(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         rows = _columns(group.column("block").to_pylist())
         rows = taken(rows, np.lexsort((rows["salted"], rows["node"], rows["n"], rows["gram"])))
         gram, node = rows["gram"], rows["node"]
         new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])))
         rows = taken(rows, new)
-        gram, node, n = rows["gram"], rows["node"], rows["n"].astype(np.int64)
+        gram, node, n, place = rows["gram"], rows["node"], rows["n"].astype(np.int64), rows["at"].astype(np.int64)
         start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         count = np.diff(np.concatenate((start, [len(gram)])))
         salted = np.maximum.reduceat(rows["salted"], start) > 0 if len(start) else np.zeros(0, bool)
@@ -247,13 +250,17 @@ def _multiplier(share):
             a = np.repeat(np.arange(len(short)), many)
             b = a + 1 + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             a, b = short[a], short[b]
+            # Only columns early enough in both sets, see `_needed`.
+            early = np.minimum(n[a] - place[a], n[b] - place[b]) > (share[0] * (n[a] + n[b]) + sum(share) - 1) // sum(share) - SHARED
+            a, b = a[early], b[early]
             x, y = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
             nx, ny = np.where(node[a] <= node[b], n[a], n[b]), np.where(node[a] <= node[b], n[b], n[a])
             order = np.lexsort((y, x))
             one = np.ones(len(order), dtype=bool)
             one[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+            times = np.diff(np.concatenate((np.flatnonzero(one), [len(one)])))
             order = order[one]
-            out.append(_pairs(PAIR, x[order], y[order], nx[order], ny[order]))
+            out.append(_pairs(PAIR, x[order], y[order], nx[order], ny[order], times))
         # Long columns: each row with a pivot of its size band, and membership for later.
         for c in np.flatnonzero(long):
             rows_of = np.arange(start[c], start[c] + count[c])
@@ -379,6 +386,35 @@ def _sets_of(signed: DataFrame, wanted: DataFrame) -> DataFrame:
     return some.select("node", "bits").join(wanted.select("node"), "node").dropDuplicates(["node"])
 
 
+def _needed(share):
+    """Columns that two sets of sizes ``na`` and ``nb`` share if they link.
+
+    Linked sets have ``least`` n-grams in common. Whichever prefix ends first,
+    at most the rest of its set is common without being in both prefixes.
+    Prefixes cut so that the rest is ``least - SHARED``, if they are that long,
+    share ``SHARED`` columns, shorter ones what their own rest leaves.
+    """
+    a, b, c, d = F.col("na"), F.col("nb"), *(F.lit(x).cast("long") for x in share)
+    least = F.floor((c * (a + b) + c + d - 1) / (c + d))
+    largest = F.floor((c * F.greatest(a, b) + d - 1) / d)
+    return F.least(F.lit(SHARED).cast("long"), least - largest + 1)
+
+
+def _candidates(products: DataFrame, members: DataFrame, share) -> DataFrame:
+    """Pairs (a, b, na, nb) that share enough columns; long ones, which yield no
+    pairs, count as shared where both sets have them."""
+    pairs = products.where(F.col("kind") == PAIR).groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("times"))
+    short = F.col("times") < _needed(share)
+    if members.isEmpty():
+        return pairs.where(~short)
+    pairs = stored(pairs, "shared")
+    long = stored(members.groupBy("node").agg(F.count(F.lit(1)).alias("long")), "long")
+    more = (pairs.where(short).join(long.withColumnsRenamed({"node": "a", "long": "long_a"}), "a")
+            .join(long.withColumnsRenamed({"node": "b", "long": "long_b"}), "b")
+            .where(F.col("times") + F.least("long_a", "long_b") >= _needed(share)))
+    return pairs.where(~short).unionByName(more.select(*pairs.columns))
+
+
 def _links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, share) -> DataFrame:
     """Links (a, b) among candidate pairs of sets."""
     pairs = stored(pairs.select("a", "b", "na", "nb").distinct(), "candidates")
@@ -432,7 +468,7 @@ def _held(docs: DataFrame, width: int, share) -> tuple[DataFrame, DataFrame, Dat
     products = stored(some.select("node", "n", "prefix").mapInArrow(_dealer(parts), "part int, block binary")
                       .groupBy("part").applyInArrow(_multiplier(share), _PAIR_FIELDS), "products")
     members = stored(products.where(F.col("kind") == MEMBER).select(F.col("a").alias("gram"), F.col("b").alias("node"), F.col("na").alias("n")).distinct(), "long-columns")
-    links = stored(_links(rows, signed, nodes, products.where(F.col("kind") == PAIR), width, share), "links")
+    links = stored(_links(rows, signed, nodes, _candidates(products, members, share), width, share), "links")
     joined_up = components(links)
     if not members.isEmpty():
         for rest in (lambda: _to_pivot(_ranked(members, joined_up), share), lambda: _product(members, joined_up, signed, share)):

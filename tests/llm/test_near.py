@@ -81,3 +81,38 @@ def test_all_links_are_counted(spark, monkeypatch, small):
     expected = sorted(((i, count((i, t))) for i, t in docs), key=repr)
     assert max(n for _, n in expected if n) > 30
     assert rows(ngram_join.near_duplicates(awkward(spark, docs)), "doc_id", "n_links") == expected
+
+
+@pytest.mark.parametrize("long", [128, 2])
+def test_few_common_passages_give_no_candidates(spark, monkeypatch, long):
+    """Texts that share a passage are not compared any further, near copies are."""
+    monkeypatch.setattr(ngram_join, "LONG", long)
+    rng = random.Random(6)
+    passage = [[f"p{k}x{j}" for j in range(20)] for k in range(20)]
+    docs = []
+    for i in range(60):
+        docs.append((i, " ".join([f"w{i}x{j}" for j in range(rng.randrange(180, 200))] + passage[i % 20])))
+    docs += [(100 + i, t + " and more") for i, t in docs[:10]]
+    seen, links = [], ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda docs, signed, nodes, pairs, *rest: seen.append(pairs.count()) or links(docs, signed, nodes, pairs, *rest))
+    found = dict(rows(ngram_join.near_duplicates(awkward(spark, docs)), "doc_id", "component_id"))
+    assert found == {i: i % 100 for i, _ in docs}
+    assert seen[0] <= 10
+
+
+def test_links_share_the_needed_columns(spark):
+    rng = random.Random(2)
+    sizes = {(n, m) for n in range(1, 60) for m in range(n, 5 * n // 4 + 1)} | {(400, 450), (399, 400), (500, 500), (800, 1000)}
+    needed = {(r["na"], r["nb"]): r["k"] for r in spark.createDataFrame(sorted(sizes), "na long, nb long").select(
+        "na", "nb", ngram_join._needed(ngram_join.SHARE).alias("k")).collect()}
+    for n, m in sizes:
+        least = -(-80 * (n + m) // 180)
+        if least > n:
+            continue
+        for _ in range(5):
+            order = rng.sample(range(n + m - least), n + m - least)
+            x, y = order[:n], order[:least] + order[n:]
+            if rng.random() < 0.5:         # what is not common comes first
+                x, y = [(i in set(order[:least]), i) for i in x], [(i in set(order[:least]), i) for i in y]
+            early = [set(p[:min(s - ngram_join._least(s, (80, 100)) + 1, s - least + ngram_join.SHARED)]) for p, s in ((sorted(x), n), (sorted(y), m))]
+            assert len(early[0] & early[1]) >= needed[n, m] >= 1

@@ -4,10 +4,13 @@ Documents are sets of word shingles. Two link when the overlap is at least 0.8
 of the union, hence at least 0.8 of the larger set; so two linked sets share an
 n-gram among the rarest fifth of each. Only these columns of the incidence
 matrix are multiplied: they are dealt to blocks by n-gram, and inside a block
-every column yields the pairs of its documents. Pairs are discarded by bounds:
-the ratio of sizes, the number of columns that a linked pair of these sizes
-shares at least, then an upper bound of the overlap from bit maps of the sets.
-For the few left, overlaps are counted exactly.
+every column yields the pairs of its documents. Most columns have one document;
+the entries of the others are joined with a sketch of their set before they are
+multiplied, so that unlike sets yield no pair. Pairs are discarded by bounds:
+the ratio of sizes, the least difference that two sketches show, the number of
+columns that a linked pair of these sizes shares at least, then an upper bound
+of the overlap from bit maps of the sets. For the few left, overlaps are counted
+exactly.
 
 Equal sets are one row throughout. The order "rarest first" needs frequent
 n-grams only (any order gives the same links): each map task reports n-grams
@@ -44,6 +47,8 @@ SALTS = 32
 BLOCK = 2048                # documents of a long column multiplied at a time
 SHARED = 8                  # columns that a pair is asked to share, if its sizes demand as many
 DENSE = 32                  # sets of a block that share an n-gram beyond which it is counted by matrix
+SKETCH = 4, 16              # 64-bit words in the sketch of a small and of a large set
+LARGE = 500                 # n-grams from which a set is large
 FILTER_WORDS = 1 << 18      # most 64-bit words of the broadcast filter
 
 
@@ -115,8 +120,30 @@ def _bitmap(h: np.ndarray) -> bytes:
     return np.packbits(marks, bitorder="little").tobytes()
 
 
+def _sketches(h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For every set and cell of hashes, whether an odd number of its shingles falls there.
+
+    A cell in which two sets differ holds a shingle that only one of them has.
+    """
+    many = SKETCH[1]
+    cell = (h >> U64(40)) % U64(64 * many)
+    bit = U64(1) << cell % U64(64)
+    out = np.zeros((len(n), many), dtype=U64)
+    some = np.flatnonzero(n)
+    for word in range(many if len(some) else 0):
+        out[some, word] = np.bitwise_xor.reduceat(np.where(cell // U64(64) == word, bit, U64(0)), (np.cumsum(n) - n)[some])
+    small = _narrow(out)
+    return [(x if k >= LARGE else y).tobytes() for k, x, y in zip(n, out, small)]
+
+
+def _narrow(sketches: np.ndarray) -> np.ndarray:
+    """Sketches of large sets as those of small ones: cells are merged."""
+    few, many = SKETCH
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), many // few, few), axis=1)
+
+
 def _signer(width: int, share, frequent):
-    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.binary()), ("bits", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.binary()), ("bits", pa.binary()), ("sketch", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = frequent.value
@@ -140,7 +167,8 @@ def _signer(width: int, share, frequent):
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("tag"), pa.array(n), pa.array(node),
                 pa.array([rare[e - k:e].tobytes() for e, k in zip(ends, kept)], pa.binary()),
-                pa.array([_bitmap(h[f:f + k]) for f, k in zip(first, n)], pa.binary())], schema=schema)
+                pa.array([_bitmap(h[f:f + k]) for f, k in zip(first, n)], pa.binary()),
+                pa.array(_sketches(h, n), pa.binary())], schema=schema)
 
     return sign
 
@@ -213,6 +241,31 @@ def _columns(blocks: list[bytes]) -> dict[str, np.ndarray]:
     return joined(out)
 
 
+_ENTRIES = pa.schema([("part", pa.int32()), ("gram", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("salted", pa.bool_())])
+_ENTRY_FIELDS = "part int, gram long, node long, n int, at int, salted boolean"
+
+
+def _shared_columns(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """Entries of the columns of one block that may have more than one set.
+
+    A column that is spread is marked where any of its entries is.
+    """
+    rows = _columns(group.column("block").to_pylist())
+    # Of equal sets, one that marks the column as spread comes first.
+    rows = taken(rows, np.lexsort((-rows["salted"].astype(np.int8), rows["node"], rows["gram"])))
+    gram, node = rows["gram"], rows["node"]
+    new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])))
+    rows = taken(rows, new)
+    gram = rows["gram"]
+    start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+    count = np.diff(np.concatenate((start, [len(gram)])))
+    salted = np.maximum.reduceat(rows["salted"], start) > 0
+    keep = np.repeat((count > 1) | salted, count)
+    rows, salted = taken(rows, keep), np.repeat(salted, count)[keep]
+    return pa.Table.from_arrays([pa.array(np.full(len(salted), key[0].as_py(), np.int32)), pa.array(rows["gram"].view(np.int64)), pa.array(rows["node"]),
+                                 pa.array(rows["n"].astype(np.int32)), pa.array(rows["at"].astype(np.int32)), pa.array(salted)], schema=_ENTRIES)
+
+
 _PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("times", pa.int64())])
 PAIR, MEMBER = 0, 1
 _PAIR_FIELDS = "kind int, a long, b long, na long, nb long, times long"
@@ -224,19 +277,37 @@ def _pairs(kind, a, b, na, nb, times=None) -> pa.Table:
 
 
 def _multiplier(share):
-    """Pairs of the columns of one block and how many they share, and the members of long columns."""
+    """Pairs of the columns of one block and how many they share, and the members of long columns.
+
+    Pairs whose sketches rule a link out stay here. A pair has the same sketches
+    in every block, so all columns it shares are counted or none.
+    """
     def product(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        rows = _columns(group.column("block").to_pylist())
-        rows = taken(rows, np.lexsort((rows["salted"], rows["node"], rows["n"], rows["gram"])))
-        gram, node = rows["gram"], rows["node"]
-        new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])))
-        rows = taken(rows, new)
-        gram, node, n, place = rows["gram"], rows["node"], rows["n"].astype(np.int64), rows["at"].astype(np.int64)
+        group = group.sort_by([("gram", "ascending"), ("n", "ascending"), ("node", "ascending")])
+        gram, node, n, place = (group.column(c).to_numpy().astype(np.int64) for c in ("gram", "node", "n", "at"))
         start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         count = np.diff(np.concatenate((start, [len(gram)])))
-        salted = np.maximum.reduceat(rows["salted"], start) > 0 if len(start) else np.zeros(0, bool)
-        long = (count > LONG) | salted
+        long = (count > LONG) | group.column("salted").to_numpy()[start]
+        large = n >= LARGE
+        sketch = group.column("sketch").filter(pa.array(large)).to_pylist()
+        wide = np.frombuffer(b"".join(sketch), dtype=U64).reshape(len(sketch), SKETCH[1])
+        row = np.cumsum(large) - 1
+        narrow = np.empty((len(n), SKETCH[0]), dtype=U64)
+        narrow[large] = _narrow(wide)
+        narrow[~large] = np.frombuffer(b"".join(group.column("sketch").filter(pa.array(~large)).to_pylist()), dtype=U64).reshape(-1, SKETCH[0])
         out = []
+
+        def differ(sketches, a, b):
+            return sum(np.bitwise_count(word[a] ^ word[b]).astype(np.int64) for word in sketches.T)
+
+        def alike(a, b):
+            total = n[a] + n[b]
+            most = total - 2 * ((share[0] * total + sum(share) - 1) // sum(share))
+            good = np.flatnonzero(differ(narrow, a, b) <= most)
+            more = large[a[good]] & large[b[good]]
+            gone = good[more][differ(wide, row[a[good[more]]], row[b[good[more]]]) > most[good[more]]]
+            return np.setdiff1d(good, gone, assume_unique=True)
+
         # Short columns: every pair whose sizes allow a link.
         column = np.repeat(np.arange(len(start)), count)
         short = np.flatnonzero(~long[column] & (count[column] > 1))
@@ -253,6 +324,8 @@ def _multiplier(share):
             # Only columns early enough in both sets, see `_needed`.
             early = np.minimum(n[a] - place[a], n[b] - place[b]) > (share[0] * (n[a] + n[b]) + sum(share) - 1) // sum(share) - SHARED
             a, b = a[early], b[early]
+            likely = alike(a, b)
+            a, b = a[likely], b[likely]
             x, y = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
             nx, ny = np.where(node[a] <= node[b], n[a], n[b]), np.where(node[a] <= node[b], n[b], n[a])
             order = np.lexsort((y, x))
@@ -271,11 +344,12 @@ def _multiplier(share):
                 band = rows_of[at:to]
                 pivot = band[np.argmin(mix(node[band].view(U64)))]
                 rest = band[band != pivot]
+                rest = rest[alike(rest, np.full(len(rest), pivot))]
                 x, y = np.minimum(node[rest], node[pivot]), np.maximum(node[rest], node[pivot])
                 small = node[rest] <= node[pivot]
                 out.append(_pairs(PAIR, x, y, np.where(small, n[rest], n[pivot]), np.where(small, n[pivot], n[rest])))
                 at = to
-            out.append(_pairs(MEMBER, np.full(count[c], gram[start[c]].view(np.int64)), node[rows_of], n[rows_of], n[rows_of]))
+            out.append(_pairs(MEMBER, np.full(count[c], gram[start[c]]), node[rows_of], n[rows_of], n[rows_of]))
         return pa.concat_tables(out) if out else pa.Table.from_batches([], schema=_PAIRS)
 
     return product
@@ -460,12 +534,14 @@ def _held(docs: DataFrame, width: int, share) -> tuple[DataFrame, DataFrame, Dat
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_grams(rows.select("text"), width))
     signed = stored(rows.select("doc_id", "text", text_tag(F.col("text")).alias("tag")).mapInArrow(
-        _signer(width, share, frequent), "doc_id long, tag long, n long, node long, prefix binary, bits binary"), "signed")
+        _signer(width, share, frequent), "doc_id long, tag long, n long, node long, prefix binary, bits binary, sketch binary"), "signed")
     # One node per different set, held by its smallest doc_id.
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
     nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     # Equal sets meet in the products and are one row there.
-    products = stored(some.select("node", "n", "prefix").mapInArrow(_dealer(parts), "part int, block binary")
+    entries = (some.select("node", "n", "prefix").mapInArrow(_dealer(parts), "part int, block binary")
+               .groupBy("part").applyInArrow(_shared_columns, _ENTRY_FIELDS))
+    products = stored(entries.join(some.select("node", "sketch").dropDuplicates(["node"]), "node")
                       .groupBy("part").applyInArrow(_multiplier(share), _PAIR_FIELDS), "products")
     members = stored(products.where(F.col("kind") == MEMBER).select(F.col("a").alias("gram"), F.col("b").alias("node"), F.col("na").alias("n")).distinct(), "long-columns")
     links = stored(_links(rows, signed, nodes, _candidates(products, members, share), width, share), "links")

@@ -1,6 +1,8 @@
 import random
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from cases import awkward, empty, near, rows
 from scoreloom.llm import ngram_join
@@ -116,3 +118,51 @@ def test_links_share_the_needed_columns(spark):
                 x, y = [(i in set(order[:least]), i) for i in x], [(i in set(order[:least]), i) for i in y]
             early = [set(p[:min(s - ngram_join._least(s, (80, 100)) + 1, s - least + ngram_join.SHARED)]) for p, s in ((sorted(x), n), (sorted(y), m))]
             assert len(early[0] & early[1]) >= needed[n, m] >= 1
+
+
+def test_sketches_never_show_more_than_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60, 450, 520, 900, 3000):
+        for apart in (0, 1, n // 9, n // 2, n):
+            x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            y = np.concatenate((x[apart:], rng.integers(0, 1 << 63, apart // 2, dtype=np.uint64)))
+            sizes = np.array([len(x), 0, len(y)])
+            first, none, second = (np.frombuffer(b, np.uint64) for b in ngram_join._sketches(np.concatenate((x, y)), sizes))
+            assert not none.any() and [len(s) == ngram_join.SKETCH[k >= ngram_join.LARGE] for s, k in zip((first, second), (len(x), len(y)))] == [True, True]
+            if len(first) != len(second):
+                first, second = (s if len(s) == ngram_join.SKETCH[0] else ngram_join._narrow(s[None])[0] for s in (first, second))
+            seen = int(np.bitwise_count(first ^ second).sum())
+            assert seen <= apart + apart // 2 and (seen > 0 or apart == 0)
+
+
+@pytest.mark.parametrize("own", [150, 700])
+def test_unlike_sets_that_share_columns_yield_no_pairs(spark, monkeypatch, own):
+    """Pairs out of the product follow the near copies, not the square of the texts that share a passage."""
+    rng = random.Random(8)
+    passage = [f"p{j}" for j in range(own // 3)]
+    docs = [(i, " ".join([f"w{i}x{j}" for j in range(own + rng.randrange(10))] + passage)) for i in range(40)]
+    docs += [(100 + i, t + " and more") for i, t in docs[:10]]
+    made, keep = [], ngram_join.stored
+
+    def stored(df, name):
+        out = keep(df, name)
+        if name == "products":
+            made.append(out.select("a", "b").distinct().count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    found = dict(rows(ngram_join.near_duplicates(awkward(spark, docs)), "doc_id", "component_id"))
+    assert found == {i: i % 100 for i, _ in docs}
+    assert made[0] <= 20
+
+
+def test_a_spread_column_stays_marked():
+    """An unmarked entry of an equal set does not hide that the rest of the column is elsewhere."""
+    def block(node, salted):
+        k = len(node)
+        return ngram_join.pack(nodes=np.array(node), n=np.full(k, 50, np.uint32), many=np.ones(k, np.uint32), gram=np.full(k, 9, np.uint64),
+                               at=np.zeros(k, np.uint32), salted=np.array(salted, np.uint8))
+
+    blocks = pa.table({"block": pa.array([block([7], [2]), block([7, 8], [0, 0])], pa.binary())})
+    found = ngram_join._shared_columns((pa.scalar(3, pa.int32()),), blocks).to_pylist()
+    assert [(r["part"], r["node"], r["salted"]) for r in found] == [(3, 7, True), (3, 8, True)]

@@ -20,18 +20,29 @@ from scoreloom.llm.runtime import stored, text_tag, without
 WINDOW = 13
 TERMS = 500_000         # test terms up to this number are broadcast, more are joined by shuffle
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# A word holds everything but ASCII signs. These are listed one by one: java.util.regex looks single
+# characters up in a table, but asks every range of a class in turn, for each character of a text.
+WORD = "[^" + "".join(f"\\x{i:02X}" for i in range(128) if not chr(i).isalnum()) + "]+"
+
+
+def lowered(word: Column) -> Column:
+    """A-Z lower-cased, never NULL. ``translate`` looks up one character after another; only words with others than ASCII need it."""
+    ascii_only = F.octet_length(word) == F.length(word)
+    return F.coalesce(F.when(ascii_only, F.lower(word)).otherwise(F.translate(word, _UPPER, _SMALL)), F.lit(""))
+
+
+def raw_words(text: Column) -> Column:
+    """Words of a text as they are written; none for NULL."""
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def words(text: Column) -> Column:
     """Words of a text with A-Z lower-cased; none for NULL."""
-    low = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _SMALL)
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return raw_words(lowered(text.cast("string")))
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(ANY_CASE)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def _checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -55,20 +66,22 @@ def _placed(docs: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """How often each listed term occurs in all texts: term, n."""
-    return (docs.select(F.explode(words(F.col("text"))).alias("term"))
+    return (docs.select(F.explode(raw_words(F.col("text"))).alias("word")).select(lowered(F.col("word")).alias("term"))
             .join(_checked_broadcast(terms, TERMS), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")))
 
 
 def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
     """The index of the listed terms: term, doc_id, tag, position (from 1) and
     the words around it, ``reach`` to each side as far as the text goes."""
-    cut = _placed(docs).withColumn("words", words(F.col("text"))).drop("text")
+    cut = _placed(docs).withColumn("words", raw_words(F.col("text"))).drop("text")
     at = F.col("i") + 1
-    return (cut.select("doc_id", "tag", "words", F.posexplode("words").alias("i", "term"))
+    around = F.slice("words", F.greatest(at - reach, F.lit(1)), F.least(F.lit(reach), F.col("i")) + reach + 1)
+    return (cut.select("doc_id", "tag", "words", F.posexplode("words").alias("i", "word"))
+            .withColumn("term", lowered(F.col("word")))
             .join(_checked_broadcast(terms, TERMS), "term")
             .select("term", "doc_id", "tag", at.cast("int").alias("position"),
                     F.least(F.lit(reach), F.col("i")).cast("int").alias("ahead"),
-                    F.slice("words", F.greatest(at - reach, F.lit(1)), F.least(F.lit(reach), F.col("i")) + reach + 1).alias("around")))
+                    F.split(lowered(F.array_join(around, " ")), " ").alias("around")))     # no word holds a blank
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
 import random
+import re
+
+from pyspark.sql import functions as F
 
 import brute
 from cases import awkward, empty, rows
@@ -61,3 +64,25 @@ def test_proximity(spark):
     index = decontaminate.postings(df, anchors.select("term").distinct(), 12)
     assert {r["doc_id"] for r in decontaminate.proximity_matches(index, anchors, 4).collect()} == {1}
     assert {r["doc_id"] for r in decontaminate.proximity_matches(index, anchors, 7).collect()} == {1, 3}
+
+
+def test_words_of_every_sign(spark):
+    text = "".join(f"Q{chr(i)}z " for i in range(0x3000) if chr(i) not in "Qz ") + "\U0001F600A \U00010400"
+    df = spark.createDataFrame([(1, text), (2, "İKK Σ AΣ."), (3, None)], "doc_id long, text string")
+    found = df.orderBy("doc_id").select(decontaminate.words(F.col("text")), decontaminate.n_words(F.col("text"))).collect()
+    for (got, n), t in zip(found, [text, "İKK Σ AΣ.", ""]):
+        assert got == re.findall(brute.WORD, brute.low(t)) and n == len(got)
+
+
+def test_texts_are_read_without_ranges_or_translation(spark):
+    """Ranges in a class and ``translate`` cost several times the rest, for each character of all texts."""
+    docs = spark.createDataFrame([(1, "A b, a")], "doc_id long, text string")
+    terms = spark.createDataFrame([("a",)], "term string")
+    for df in (decontaminate.term_counts(docs, terms), decontaminate.postings(docs, terms, 2), docs.select(decontaminate.n_words(F.col("text")))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        classes = re.findall(r"regexp_\w+\(.*?(\[.*?\]\+)", plan)
+        assert classes and not any("-" in c for c in classes)
+        assert not re.search(r"translate\((cast\(|coalesce\()*text", plan)
+    assert [tuple(r) for r in decontaminate.term_counts(docs, terms).collect()] == [("a", 2)]
+    assert sorted((r["position"], r["ahead"], r["around"]) for r in decontaminate.postings(docs, terms, 2).collect()) == [
+        (1, 0, ["a", "b", "a"]), (3, 2, ["a", "b", "a"])]
